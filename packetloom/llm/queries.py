@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import bpe, packing, token_counts
+from packetloom.llm import bpe, chunk_dedup, imatch, kdtree, packing, simhash, token_counts, warc
 from packetloom.llm.io import table
 
-#: Where the public vocabularies lie; the same path on the driver only, tasks get the file's text.
+#: Where the public vocabularies lie; the driver reads the file, tasks get its text.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -26,12 +26,48 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=1)
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"), tau=4, words=4)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=100)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.shard(table(spark, sf_dir, "documents"), shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_packing, op8_token_counts)
+    f.__name__: f for f in (op1_bpe, op2_packing, op3_imatch, op5_chunk_dedup, op6_simhash, op7_warc, op8_token_counts, op9_kdtree)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The classes of white space are ASCII; of equal texts the longest original stays, then the smallest id.
+_OP5 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+_OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND least < page_id THEN least END AS refers_to
+FROM q
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_chunk_dedup": _OP5, "op7_warc": _OP7}
