@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import bpe, chunk_dedup, imatch, kdtree, packing, simhash, token_counts, warc
+from packetloom.llm import bpe, chunk_dedup, imatch, kdtree, line_runs, packing, simhash, token_counts, toxicity, warc
 from packetloom.llm.io import table
 
 #: Where the public vocabularies lie; the driver reads the file, tasks get its text.
@@ -30,6 +30,10 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.report(table(spark, sf_dir, "documents"))
+
+
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -43,17 +47,39 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op9_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_packing, op3_imatch, op5_chunk_dedup, op6_simhash, op7_warc, op8_token_counts, op9_kdtree)
+    f.__name__: f
+    for f in (op1_bpe, op2_packing, op3_imatch, op4_line_runs, op5_chunk_dedup, op6_simhash, op7_warc, op8_token_counts, op9_kdtree, op10_toxicity)
 }
 
+#: The shortest runs of lines with three words, forwards and backwards from each line; all but the first of equal ones go.
+_OP4 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+c AS (SELECT *, len(regexp_extract_all(line, '\S+')) AS w, sum(len(regexp_extract_all(line, '\S+'))) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l),
+ahead AS (SELECT a.doc_id, a.pos AS i, min(b.pos) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto >= a.upto - a.w + 3 GROUP BY ALL),
+behind AS (SELECT b.doc_id, max(a.pos) AS i, b.pos AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto >= a.upto - a.w + 3 GROUP BY b.doc_id, b.pos),
+runs AS (SELECT doc_id, i, j, ls[i + 1 : j + 1] AS run FROM (FROM ahead UNION SELECT doc_id, i, j FROM behind) JOIN d USING (doc_id)),
+later AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS copy FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS pos FROM later WHERE copy > 1),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY l.doc_id),
+lost AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS deleted FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(d.ls) AS n_lines, coalesce(lost.n, 0) AS n_deleted, coalesce(deleted, '') AS deleted, coalesce(kept.text, '') AS text
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
 #: The classes of white space are ASCII; of equal texts the longest original stays, then the smallest id.
 _OP5 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
@@ -70,4 +96,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_chunk_dedup": _OP5, "op7_warc": _OP7}
+ORACLE_SQL: dict[str, str] = {"op4_line_runs": _OP4, "op5_chunk_dedup": _OP5, "op7_warc": _OP7}

@@ -7,8 +7,8 @@ part is not probed). How many parts there are and how the thresholds are dealt o
 dynamic programming over the estimated rows probed and candidates verified; the estimate rests on
 the bits' counts and pair counts over all distinct fingerprints.
 
-A part with threshold t is probed by meeting half-way: its value is stored with up to t // 2 bits
-flipped and asked for with up to (t + 1) // 2, so values within t meet at a key. Keys are grouped by
+A part with threshold t is probed by meeting half-way: its value is stored under keys with up to
+t // 2 bits flipped and asked for at keys with up to (t + 1) // 2, so values within t meet. Keys are grouped by
 a shuffle; a task walks over its sorted keys and links the members of each key after counting the
 differing bits, keeping a spanning forest only, at most one link fewer than members. A key with more
 than ``hot`` members leaves that path: its members are linked through all keys within tau / 2 flips
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, lgamma, exp
+from math import acos, comb, exp, lgamma, pi
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,9 @@ BITS = 64
 #: Rows of a key beyond which its members are linked without pairs.
 HOT = 20_000
 
+#: Rows of a key up to which all its pairs are looked at as one matrix, in slices.
+SQUARE = 4096
+
 #: Relative cost of a probed row and of a verified candidate.
 ROW_COST, PAIR_COST = 1.5, 0.02
 
@@ -67,16 +70,18 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(np.frombuffer(bits.tobytes(), "<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (42,), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The kept columns and the fingerprint of each seed, ``fp``, ``fp1``, ..., as signed longs."""
+    names = [f"fp{i or ''}" for i in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t, words, seed) for t in batch.column("_text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made.view(np.int64))], names=[*keep, "fp"])
+            texts = batch.column("_text").to_pylist()
+            made = [np.array([fingerprint(t, words, s) for t in texts], np.uint64).view(np.int64) for s in seeds]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, made)], names=[*keep, *names])
 
     read = docs.select(*(F.col(c).cast("long").alias(c) for c in keep), F.col(text).alias("_text"))
-    return read.mapInArrow(run, ", ".join(f"`{c}` long" for c in keep) + ", fp long")
+    return read.mapInArrow(run, ", ".join(f"`{c}` long" for c in (*keep, *names)))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -141,7 +146,7 @@ def chance_within(n: int, both: np.ndarray, part: list[int], most: int) -> list[
     rho = min(max((variance / (s * q * (1 - q)) - 1) / max(s - 1, 1), 1e-6), 0.999)
     a, b = q * (1 / rho - 1), (1 - q) * (1 / rho - 1)
     mass = lambda k: comb(s, k) * exp(lgamma(k + a) + lgamma(s - k + b) + lgamma(a + b) - lgamma(s + a + b) - lgamma(a) - lgamma(b))
-    return np.cumsum([mass(k) for k in range(min(most, s) + 1)]).tolist()
+    return np.cumsum([mass(k) if k <= s else 0.0 for k in range(most + 1)]).tolist()
 
 
 def allocate(n: int, both: np.ndarray, tau: int) -> tuple[list[list[int]], list[int]]:
@@ -168,83 +173,112 @@ def _flips(part: list[int], radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(part, r)], np.uint64)
 
 
-def probes(fps: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(part, key, fp, roles): roles 1 stored, 2 asked for, 3 both."""
+def probes(nodes: DataFrame, parts: list[list[int]], thresholds: list[int], more: tuple[str, ...] = ()) -> DataFrame:
+    """(part, key, node, fp, further words): a row per key that a node is stored under or asked for at."""
     plan = []
     for i, (part, t) in enumerate(zip(parts, thresholds)):
         if t >= 0:
-            few, many = _flips(part, t // 2), _flips(part, (t + 1) // 2)
-            roles = np.where(np.isin(many, few), 3, 2).astype(np.int8)
-            plan.append((i, np.uint64(sum(1 << b for b in part)), many, roles))
+            plan.append((i, np.uint64(sum(1 << b for b in part)), _flips(part, (t + 1) // 2), len(_flips(part, t // 2))))
+    names = ["node", "fp", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch.column("fp").to_numpy().view(np.uint64)
-            for at in range(0, len(whole), 2000):
-                fp = whole[at : at + 2000]
-                for i, mask, flips, roles in plan:
+            held = [batch.column(c).to_numpy() for c in names]
+            for at in range(0, batch.num_rows, 1000):
+                rows = [x[at : at + 1000] for x in held]
+                fp = rows[1].view(np.uint64)
+                for i, mask, flips, stored in plan:
                     keys = ((fp & mask)[:, None] ^ flips[None, :]).ravel()
-                    n = len(keys)
-                    columns = [np.full(n, i, np.int8), keys.view(np.int64), np.repeat(fp, len(flips)).view(np.int64), np.tile(roles, len(fp))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "fp", "roles"])
+                    asks = np.tile(np.arange(len(flips)) >= stored, len(fp))
+                    columns = [np.full(len(keys), i, np.int8), keys.view(np.int64), asks, *(np.repeat(x, len(flips)) for x in rows)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "asks", *names])
+
+    schema = "part byte, key long, asks boolean, " + ", ".join(f"`{c}` long" for c in names)
+    return nodes.select(*names).mapInArrow(run, schema)
+
 
-    return fps.select("fp").mapInArrow(run, "part byte, key long, fp long, roles byte")
+def _near(a: np.ndarray, b: np.ndarray, tau: int, within: int) -> np.ndarray:
+    """Whether rows of words differ in at most tau bits of the first and ``within`` bits of all."""
+    ok = np.bitwise_count(a[..., 0] ^ b[..., 0]) <= tau
+    if a.shape[-1] > 1 and ok.any():
+        at = np.nonzero(ok)
+        a, b = (np.broadcast_to(x, (*ok.shape, x.shape[-1]))[at] for x in (a, b))
+        ok[at] = np.bitwise_count(a ^ b).sum(-1) <= within
+    return ok
 
 
-def forest(fp: np.ndarray, tau: int, roles: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the fingerprints as all links within tau would; fewer than fingerprints."""
-    left = np.arange(1, len(fp))
+def forest(words: np.ndarray, tau: int, within: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that join the rows as all links would; fewer than rows."""
+    left = np.arange(1, len(words))
     us: list[np.ndarray] = []
     vs: list[np.ndarray] = []
     queue = [0]
     while len(left):
-        at = queue.pop() if queue else None
-        if at is None:
-            at, left = left[0], left[1:]
-        near = np.bitwise_count(fp[left] ^ fp[at]) <= tau
+        if queue:
+            at = queue.pop()
+        else:
+            at, left = int(left[0]), left[1:]
+        near = _near(words[left], words[at], tau, within)
         if near.any():
             new = left[near]
-            us.append(fp[new])
-            vs.append(np.full(len(new), fp[at]))
+            us.append(new)
+            vs.append(np.full(len(new), at))
             queue += new.tolist()
             left = left[~near]
-    empty = np.zeros(0, np.uint64)
+    empty = np.zeros(0, np.int64)
     return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
-def links(part: np.ndarray, key: np.ndarray, fp: np.ndarray, roles: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among the members of each key; rows come sorted by part and key."""
-    new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])]))
-    size = np.diff(np.concatenate([new, [len(key)]]))
-    run = np.repeat(np.arange(len(new)), size)
-    us, vs = [], []
-    small = size <= 32
-    for d in range(1, 32):  # short runs, all at once: members d places apart
-        if not (small & (size > d)).any():
+def _pairs(words: np.ndarray, tau: int, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all links among a key's rows, or of a forest where there are many."""
+    us: list[np.ndarray] = []
+    vs: list[np.ndarray] = []
+    if len(words) <= SQUARE:
+        step = max(1, (1 << 20) // len(words))
+        for at in range(0, len(words), step):
+            u, v = np.nonzero(_near(words[at : at + step, None], words[None, at:], tau, within))
+            new = u < v
+            us.append(u[new] + at)
+            vs.append(v[new] + at)
+            if sum(map(len, us)) > 4 * len(words):
+                break
+        else:
+            return np.concatenate(us), np.concatenate(vs)
+    return forest(words, tau, within)
+
+
+def links(run: np.ndarray, node: np.ndarray, words: np.ndarray, asks: np.ndarray, tau: int, within: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links (node, node) among the members of each key; a key's rows follow one another."""
+    new = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    size = np.diff(np.concatenate([new, [len(run)]]))
+    small = np.repeat(size <= 12, size)
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, 12):  # short runs, all at once: members d places apart
+        i = np.flatnonzero((run[d:] == run[:-d]) & small[d:])
+        if not len(i):
             break
-        i = np.flatnonzero((run[d:] == run[:-d]) & small[run[d:]])
-        a, b = fp[i], fp[i + d]
-        ok = (np.bitwise_count(a ^ b) <= tau) & (a != b) & (((roles[i] | roles[i + d]) & 1) > 0)
-        us.append(a[ok])
-        vs.append(b[ok])
-    for at, n in zip(new[~small].tolist(), size[~small].tolist()):
-        u, v = forest(np.unique(fp[at : at + n]), tau)
-        us.append(u)
-        vs.append(v)
-    return np.concatenate(us or [np.zeros(0, np.uint64)]), np.concatenate(vs or [np.zeros(0, np.uint64)])
-
-
-def link(fps: DataFrame, tau: int = 4, hot: int = HOT) -> DataFrame:
-    """(u, v) links between distinct fingerprints that connect exactly what all links within tau connect."""
-    n, both = bit_statistics(fps)
+        i = i[~(asks[i] & asks[i + d])]  # one of a pair is stored under the key
+        ok = _near(words[i], words[i + d], tau, within) & (node[i] != node[i + d])
+        us.append(node[i[ok]])
+        vs.append(node[i[ok] + d])
+    for at, n in zip(new[size > 12].tolist(), size[size > 12].tolist()):
+        own, first = np.unique(node[at : at + n], return_index=True)
+        u, v = _pairs(words[at + first], tau, within)
+        us.append(own[u])
+        vs.append(own[v])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def link(nodes: DataFrame, tau: int = 4, hot: int = HOT, more: tuple[str, ...] = (), within: int = BITS) -> DataFrame:
+    """(u, v) links between nodes (node, fp, further words) that connect exactly what all links connect."""
+    n, both = bit_statistics(nodes)
     parts, thresholds = allocate(n, both, tau)
-    probed = probes(fps, parts, thresholds)
-    crowded = written(probed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("part", "key"), "crowded")
+    probed = probes(nodes, parts, thresholds, more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("part", "key", "fp", "roles")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) if len(now[0]) else np.zeros(0, bool)
@@ -254,14 +288,20 @@ def link(fps: DataFrame, tau: int = 4, hot: int = HOT) -> DataFrame:
             yield made(held)
 
     def made(rows: list[np.ndarray]) -> pa.RecordBatch:
-        part, key, fp, roles = rows
-        u, v = links(part, key, fp.view(np.uint64), roles, tau) if len(key) else (np.zeros(0, np.uint64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], names=["u", "v"])
+        part, key, asks, node, *words = rows
+        u = v = np.zeros(0, np.int64)
+        if len(key):
+            changed = np.concatenate([[False], (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
+            u, v = links(np.cumsum(changed), node, np.stack([w.view(np.uint64) for w in words], 1), asks, tau, within)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     dense = None
-    if not crowded.isEmpty():
-        dense = _by_midpoints(probed.join(crowded, ["part", "key"], "left_semi").select("fp").distinct(), tau)
-        probed = probed.join(crowded, ["part", "key"], "left_anti")
+    if not more:
+        crowded = probed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("part", "key")
+        crowded = written(crowded, "crowded")
+        if not crowded.isEmpty():
+            dense = _by_midpoints(probed.join(crowded, ["part", "key"], "left_semi").select("fp").distinct(), tau)
+            probed = probed.join(crowded, ["part", "key"], "left_anti")
     dealt = probed.repartition("part", "key").sortWithinPartitions("part", "key")
     out = dealt.mapInArrow(run, "u long, v long")
     return out.union(dense) if dense is not None else out
@@ -288,11 +328,15 @@ def _by_midpoints(fps: DataFrame, tau: int) -> DataFrame:
 
 def group(fps: DataFrame, tau: int = 4, hot: int = HOT) -> DataFrame:
     """(fp, component_id) for rows (doc_id, fp): the least doc_id reachable over links within tau."""
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    labels = components(link(nodes, tau, hot)).withColumnRenamed("node", "fp")
-    placed = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("fp")), "fingerprints")
+    return _named(nodes, link(nodes, tau, hot)).select("fp", "component_id")
+
+
+def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Nodes with their component's label and its least ``first``."""
+    placed = nodes.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = placed.groupBy("label").agg(F.min("first").alias("component_id"))
-    return placed.join(named, "label").select("fp", "component_id")
+    return placed.join(named, "label")
 
 
 def near_dedup(docs: DataFrame, tau: int = 4, words: int = 4, hot: int = HOT) -> DataFrame:
@@ -302,11 +346,27 @@ def near_dedup(docs: DataFrame, tau: int = 4, words: int = 4, hot: int = HOT) ->
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, tau: int = 4, words: int = 4, hot: int = HOT) -> DataFrame:
-    """The documents without the near copies: of each group the smallest doc_id stays, in one row."""
+def bits_within(similarity: float, bits: int) -> int:
+    """The bits that SimHashes of shingle sets with this Jaccard similarity are expected to differ in.
+
+    Sets of one size with Jaccard similarity J have the cosine 2J / (1 + J), and each bit differs
+    with the chance of their angle over pi.
+    """
+    return int(bits * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, tau: int = 12, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+    """The documents without near copies: of each group the smallest doc_id stays, in one row.
+
+    One 64-bit fingerprint is probed within tau bits; a candidate is verified on the bits of all seeds'
+    fingerprints, which estimate the similarity of the five-word shingles much closer than 64 bits do.
+    """
     rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    fps = written(fingerprints(rows, words, keep=("doc_id", "_rid")), "simhash")
-    grouped = fps.join(group(fps, tau, hot), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own"))
+    fps = written(fingerprints(rows, words, seeds, keep=("doc_id", "_rid")), "simhash")
+    columns = [f"fp{i or ''}" for i in range(len(seeds))]
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")
-    stay = grouped.agg(F.min(order).alias("best")).select(F.col("best._rid").alias("_rid"))
+    nodes = fps.groupBy(*columns).agg(F.min(order).alias("first"))
+    nodes = written(nodes.withColumn("node", F.col("first._rid")), "fingerprints")
+    found = link(nodes, tau, more=tuple(columns[1:]), within=bits_within(similarity, BITS * len(seeds)))
+    stay = _named(nodes, found).select(F.col("component_id._rid").alias("_rid")).distinct()
     return rows.join(stay, "_rid", "left_semi").drop("_rid")

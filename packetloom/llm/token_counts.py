@@ -14,32 +14,42 @@ table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe
+from packetloom.llm.bpe import spec_of
+from packetloom.llm.io import written
 
+#: Fixed value: the public pattern that cuts texts into pieces for byte-level vocabularies of this kind.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-def lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """One row ``n_tokens`` per document, with the count of equal lengths in its batch: ``n_docs``."""
-    spec = docs.sparkSession.sparkContext.broadcast(bpe.spec_of(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+@lru_cache(1)
+def encoding(ranks: str, pattern: str):
+    """An encoding from the text of a file of base64 tokens and ranks; special tokens are ordinary text."""
+    from tiktoken import Encoding
+
+    table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
+    return Encoding("counted", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
 
-        model = Tokenizer.from_str(spec.value)
-        model.encode_special_tokens = True
-        model.no_truncation()
-        model.no_padding()
+def lengths(docs: DataFrame, path: str, text: str = "text", pattern: str = PATTERN) -> DataFrame:
+    """Encoded lengths, with the count of equal lengths in a batch: (n_tokens, n_docs)."""
+    ranks = docs.sparkSession.sparkContext.broadcast(spec_of(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(ranks.value, pattern).encode_ordinary
         for batch in batches:
             counts: dict[int, int] = {}
-            for at in range(0, batch.num_rows, 64):
-                texts = [t or "" for t in batch.column(0).slice(at, 64).to_pylist()]
-                for e in model.encode_batch_fast(texts, add_special_tokens=False):
-                    counts[n] = counts.get(n := len(e), 0) + 1
+            for at in range(0, batch.num_rows, 500):
+                for t in batch.column(0).slice(at, 500).to_pylist():
+                    n = len(encode(t)) if t else 0
+                    counts[n] = counts.get(n, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.int64()), pa.array([*counts.values()], pa.int64())], names=["n_tokens", "n_docs"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
@@ -87,7 +97,8 @@ def by_limit(hist: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    return by_limit(histogram(lengths(docs, path, text)))
+    """Every context limit's figures; the texts are encoded once, for the histogram that is written."""
+    return by_limit(written(histogram(lengths(docs, path, text)), "lengths"))
 
 
 def quantile(limits: DataFrame, q: float) -> DataFrame:

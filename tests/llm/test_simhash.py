@@ -98,7 +98,7 @@ def test_allocation_spends_the_threshold(spark):
 def test_crowded_runs_keep_a_forest():
     draw = np.random.default_rng(5)
     fp = np.unique(np.uint64(77) ^ (np.uint64(1) << draw.integers(0, 64, 500).astype(np.uint64)))
-    u, v = simhash.forest(fp, 4)
+    u, v = simhash.forest(fp[:, None], 4)
     assert len(u) == len(fp) - 1
 
 
@@ -109,13 +109,44 @@ def test_components_on_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def wide_reach(rows):
+    """Groups of rows whose texts are linked by the stage's definition, by all pairs."""
+    prints = [tuple(simhash.fingerprint(r.text, 5, s) for s in (42, 43, 44)) for r in rows]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                a, b = prints[i], prints[j]
+                if (a[0] ^ b[0]).bit_count() <= 12 and sum((x ^ y).bit_count() for x, y in zip(a, b)) <= simhash.bits_within(0.8, 192) and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return label
+
+
 def test_one_of_each_group_stays(docs, rows, odd, none):
     for df in (docs, odd):
-        named = defaultdict(list)
-        for d, f, c in brute(df.collect()):
-            named[c if c is not None else f].append(d)
+        own = df.collect()
+        least = {}
+        for r, k in zip(own, wide_reach(own)):
+            key = (r.doc_id is None, r.doc_id)
+            least[k] = min(least.get(k, key), key)
         kept = simhash.keep_one(df)
         assert kept.columns == [c for c in df.columns if c != "_rid"]
-        want = sorted((min((d for d in own if d is not None), default=None) for own in named.values()), key=str)
-        assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == want
+        assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == sorted((d for _, d in least.values()), key=str)
     assert simhash.keep_one(none).select(F.count("*")).first()[0] == 0
+
+
+def test_near_copies_go_and_others_stay(spark):
+    draw = random.Random(11)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    rows = [(i, draw.choices(vocabulary, k=300)) for i in range(120)]
+    for i in range(0, 60):
+        copy = list(rows[i][1])
+        copy[draw.randrange(300)] = "changed"
+        copy[draw.randrange(300)] = "again"
+        rows.append((1000 + i, copy))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert set(range(120)) <= kept and len([i for i in kept if i >= 1000]) <= 2

@@ -3,11 +3,11 @@ from tokenizers import Tokenizer
 from packetloom.llm import token_counts
 from packetloom.llm.queries import vocabulary
 
-PATH = vocabulary("byte_bpe_50k.json")
+PATH = vocabulary("byte_bpe_50k.tiktoken")
 
 
 def brute(df):
-    t = Tokenizer.from_file(PATH)
+    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))  # the same vocabulary, in another library
     t.encode_special_tokens = True
     return sorted(len(t.encode(r.text or "", add_special_tokens=False).ids) for r in df.collect())
 
