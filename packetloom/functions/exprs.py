@@ -29,13 +29,13 @@ def ip_key(c: Column | str) -> Column:
 
 
 def cidr_low(c: Column | str) -> Column:
-    bits = F.lit(32) - F.split(col(c), "/")[1].cast("int")
-    base = ip_key(F.split(col(c), "/")[0])
+    bits = F.lit(32) - F.get(F.split(col(c), "/"), 1).cast("int")
+    base = ip_key(F.get(F.split(col(c), "/"), 0))
     return base - F.pmod(base, F.pow(F.lit(2.0), bits).cast("long"))
 
 
 def cidr_high(c: Column | str) -> Column:
-    bits = F.lit(32) - F.split(col(c), "/")[1].cast("int")
+    bits = F.lit(32) - F.get(F.split(col(c), "/"), 1).cast("int")
     return cidr_low(c) + F.pow(F.lit(2.0), bits).cast("long") - 1
 
 

@@ -28,7 +28,7 @@ def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: s
     out = out.join(stats.daily_rhythm(hours, keys), keys).join(stats.persistence(hours, spans, keys, cfg), keys)
     iv = F.col("ivs")
     mean = F.aggregate(iv, F.lit(0.0), lambda a, x: a + x) / F.size(iv)
-    spread = F.sqrt(F.aggregate(iv, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(iv))
+    spread = stats.let(mean, lambda m: F.sqrt(F.aggregate(iv, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(iv)))
     out = out.select(
         *keys,
         "n",

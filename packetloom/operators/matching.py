@@ -30,11 +30,11 @@ def prefixes(address: Column | str, lengths: Sequence[int]) -> Column:
 
 def cidr_lengths(cidrs: DataFrame, value: str = "_v") -> list[int]:
     """The prefix lengths that occur: at most 33, whatever the list."""
-    return sorted(r[0] for r in cidrs.select(F.split(value, "/")[1].cast("int")).distinct().collect() if r[0] is not None)
+    return sorted(r[0] for r in cidrs.select(F.get(F.split(value, "/"), 1).cast("int")).distinct().collect() if r[0] is not None)
 
 
 def with_prefix(cidrs: DataFrame, value: str = "_v") -> DataFrame:
-    bits = F.split(value, "/")[1].cast("long")
+    bits = F.get(F.split(value, "/"), 1).cast("long")
     return cidrs.withColumn("_p", F.shiftleft(bits, 32) + E.cidr_low(value))
 
 
@@ -51,7 +51,7 @@ def matches(values: DataFrame, column: str, entries: DataFrame) -> DataFrame:
         out = out.union(ranged)
     globs = [r._v for r in listed.filter(F.col("_kind") == "glob").select("_v").distinct().limit(10_000).collect()]
     if globs:  # a wildcard has no key to join by: patterns are constants of one pass over the values
-        hit = F.filter(F.array(*map(F.lit, globs)), lambda g: F.lower(F.col(column)).rlike(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(g, r"([.\\+^$|(){}\[\]])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))))
+        hit = F.array_compact(F.array(*(F.when(F.lower(column).rlike(E.glob_regex(g)), F.lit(g)) for g in globs)))
         out = out.union(own.withColumn("_v", F.explode(hit)).join(listed.filter(F.col("_kind") == "glob"), "_v").select(column, *keep))
     return out.distinct()
 

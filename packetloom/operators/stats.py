@@ -7,7 +7,7 @@ source, a target and a timestamp.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,28 +29,47 @@ def intervals(df: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str | Non
     return df.withColumn("iv", F.when(gap > 0, gap))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def median(xs: Column) -> Column:
     """Of a sorted array."""
-    n = F.size(xs)
-    middle = F.floor(n / 2).cast("int")
-    return F.when(n == 0, F.lit(0.0)).when(n % 2 == 1, F.get(xs, middle)).otherwise((F.get(xs, middle - 1) + F.get(xs, middle)) / 2)
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        middle = F.floor(n / 2).cast("int")
+        return F.when(n == 0, F.lit(0.0)).when(n % 2 == 1, F.get(x, middle)).otherwise((F.get(x, middle - 1) + F.get(x, middle)) / 2)
+
+    return let(xs, of)
 
 
 def bowley(xs: Column) -> Column:
     """1 - |skewness| by quartiles of a sorted array; 1 where it is degenerate."""
-    n = F.size(xs)
-    half = F.floor(n / 2).cast("int")
-    q2 = median(xs)
-    q1 = median(F.slice(xs, F.lit(1), half))
-    q3 = median(F.slice(xs, n - half + 1, half))
-    flat = (n < 3) | (q3 - q1 < 0.05 * q2) | (q2 == q1) | (q2 == q3)
-    return F.when(flat, 1.0).otherwise(1.0 - F.abs((q1 + q3 - 2 * q2) / (q3 - q1)))
+
+    def of(q: Column) -> Column:
+        q1, q2, q3 = q["q1"], q["q2"], q["q3"]
+        flat = (q["n"] < 3) | (q3 - q1 < 0.05 * q2) | (q2 == q1) | (q2 == q3)
+        return F.when(flat, 1.0).otherwise(1.0 - F.abs((q1 + q3 - 2 * q2) / (q3 - q1)))
+
+    def quartiles(x: Column) -> Column:
+        n = F.size(x)
+        half = F.floor(n / 2).cast("int")
+        q1, q3 = median(F.slice(x, F.lit(1), half)), median(F.slice(x, n - half + 1, half))
+        return let(F.struct(n.alias("n"), q1.alias("q1"), median(x).alias("q2"), q3.alias("q3")), of)
+
+    return let(xs, quartiles)
 
 
 def mad(xs: Column, default: float) -> Column:
-    med = median(xs)
-    off = median(F.array_sort(F.transform(xs, lambda x: F.abs(x - med))))
-    return F.when((F.size(xs) == 0) | (med == 0), F.lit(default)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (med - off) / med)))
+    def of(x: Column) -> Column:
+        return let(median(x), lambda med: let(median(F.array_sort(F.transform(x, lambda v: F.abs(v - med)))), lambda off: score(x, med, off)))
+
+    def score(x: Column, med: Column, off: Column) -> Column:
+        return F.when((F.size(x) == 0) | (med == 0), F.lit(default)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (med - off) / med)))
+
+    return let(xs, of)
 
 
 def regularity(xs: Column, default: float) -> Column:
@@ -62,39 +81,48 @@ def _bucket(x: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.log2(x).cast("int")))
 
 
+def _counts(xs: Column) -> Column:
+    return let(F.transform(xs, _bucket), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(bs, lambda x: x == b))))
+
+
 def multimodal(xs: Column) -> Column:
     """Two to four tight modes on the logarithmic scale: their mean tightness, weighted by count; else 0.
 
     Buckets with half the largest count are peaks, and neighbouring peaks are one mode.
     """
-    buckets = F.transform(xs, lambda x: F.struct(_bucket(x).alias("b"), x.alias("x")))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(buckets, lambda s: s["b"] == b)))
-    most = F.array_max(counts)
-    peaks = F.transform(counts, lambda c: (c > 0) & (c >= most * 0.5))
-    starts = F.filter(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.get(peaks, b) & ~F.coalesce(F.get(peaks, F.when(b > 0, b - 1)), F.lit(False)))
 
-    def mode(start: Column) -> Column:
-        gap = F.filter(F.sequence(start, F.lit(BUCKETS)), lambda b: ~F.coalesce(F.get(peaks, b), F.lit(False)))
-        return F.transform(F.filter(buckets, lambda s: (s["b"] >= start) & (s["b"] < F.get(gap, 0))), lambda s: s["x"])
+    def of(peaks: Column) -> Column:
+        at = lambda b: F.coalesce(F.get(peaks, b), F.lit(False))
+        starts = F.filter(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: at(b) & ~((b > 0) & at(F.greatest(b - 1, F.lit(0)))))
+        ends = F.filter(F.sequence(F.lit(1), F.lit(BUCKETS)), lambda b: at(b - 1) & ~at(b))
+        return let(F.zip_with(starts, ends, judged), weighed)
+
+    def judged(start: Column, end: Column) -> Column:
+        samples = F.filter(xs, lambda x: (_bucket(x) >= start) & (_bucket(x) < end))
+        return let(samples, lambda m: F.struct(F.size(m).alias("n"), mad(m, 0.0).alias("t")))
 
-    def judged(samples: Column) -> Column:
-        return F.struct(F.size(samples).alias("n"), mad(samples, 0.0).alias("t"))
+    def weighed(modes: Column) -> Column:
+        good = F.size(modes).between(2, 4) & F.forall(modes, lambda m: (m["n"] >= 2) & (m["t"] >= 0.5))
+        weight = F.aggregate(modes, F.lit(0.0), lambda a, m: a + m["t"] * m["n"])
+        return F.when(good, weight / F.aggregate(modes, F.lit(0), lambda a, m: a + m["n"])).otherwise(0.0)
 
-    modes = F.transform(F.transform(starts, mode), judged)
-    good = (F.size(xs) >= 6) & F.size(modes).between(2, 4) & F.forall(modes, lambda m: (m["n"] >= 2) & (m["t"] >= 0.5))
-    weight = F.aggregate(modes, F.lit(0.0), lambda a, m: a + m["t"] * m["n"])
-    return F.when(good, weight / F.aggregate(modes, F.lit(0), lambda a, m: a + m["n"])).otherwise(0.0)
+    def peaks_of(counts: Column) -> Column:
+        return let(F.array_max(counts), lambda most: F.transform(counts, lambda c: (c > 0) & (c >= most * 0.5)))
+
+    return F.when(F.size(xs) >= 6, let(let(_counts(xs), peaks_of), of)).otherwise(0.0)
 
 
 def concentration(xs: Column) -> Column:
     """1 - entropy over the logarithmic buckets, scaled down where the fullest bucket is wide; 0 below six intervals."""
-    buckets = F.transform(xs, _bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)))
-    n = F.size(xs).cast("double")
-    bits = F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0))
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - bits / math.log2(BUCKETS)))
-    top = F.array_position(counts, F.array_max(counts)).cast("int") - 1
-    return F.when(F.size(xs) >= 6, F.when(top >= 8, score * 128.0 / F.pow(F.lit(2.0), top)).otherwise(score)).otherwise(0.0)
+
+    def of(counts: Column) -> Column:
+        n = F.size(xs).cast("double")
+        bits = F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0))
+        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - bits / math.log2(BUCKETS)))
+        top = F.array_position(counts, F.array_max(counts)).cast("int") - 1
+        return F.when(top >= 8, score * 128.0 / F.pow(F.lit(2.0), top)).otherwise(score)
+
+    return F.when(F.size(xs) >= 6, let(_counts(xs), of)).otherwise(0.0)
 
 
 def hourly(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:

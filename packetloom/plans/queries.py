@@ -300,7 +300,7 @@ register("join_context", lambda s, d: matching.context(view(s, d, "findings_v"))
 register(
     "join_evidence",
     lambda s, d: matching.evidence(view(s, d, "findings_v").filter("type = 'Strobe'"), conn(s, d), hours=48, most=3).select("id", "uid", "place"),
-    """ SELECT id, uid, place FROM (SELECT id, uid, row_number() OVER (PARTITION BY id ORDER BY abs(ts - at), ts) AS place FROM findings_v f JOIN conn_v c ON f.src_ip = c.src AND f.dst_ip = c.dst AND abs(ts - at) <= 172800 WHERE type = 'Strobe') WHERE place <= 3""",
+    """ SELECT id, uid, place FROM (SELECT id, uid, row_number() OVER (PARTITION BY id ORDER BY abs(c.ts - f."at"), c.ts) AS place FROM findings_v f JOIN conn_v c ON f.src_ip = c.src AND f.dst_ip = c.dst AND abs(c.ts - f."at") <= 172800 WHERE type = 'Strobe') WHERE place <= 3""",
     ("findings_v", "conn_v"),
 )
 register("join_hash_hits", lambda s, d: matching.hash_hits(view(s, d, "files_v"), view(s, d, "files_v").filter("md5 LIKE 'a%'").select(F.upper("md5").alias("value"), F.lit("f").alias("feed"))).select("rx", "tx", "hash", "score"), f" SELECT rx, tx, md5 AS hash, 90 AS score FROM {first_sql('''(SELECT * FROM files_v WHERE md5 LIKE 'a%')''', 'rx, md5', 'ts')}", ("files_v",))
