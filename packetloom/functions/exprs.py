@@ -126,14 +126,18 @@ def is_cdn(c: Column | str, suffixes: Iterable[str] = values.CDN_SUFFIXES) -> Co
 def entropy(c: Column | str) -> Column:
     """Shannon entropy of the lower-case characters over the byte length."""
     text = F.lower(col(c))
-    n = F.octet_length(text).cast("double")
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
 
-    def add(total: Column, x: Column) -> Column:
-        p = F.size(F.filter(chars, lambda y: y == x)) / n
-        return total - p * F.log2(p)
+    def of(held: Column) -> Column:
+        chars, n = held["chars"], held["n"]
+
+        def add(total: Column, x: Column) -> Column:
+            p = F.size(F.filter(chars, lambda y: y == x)) / n
+            return total - p * F.log2(p)
 
-    return F.when(n > 0, F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), add)).otherwise(0.0)
+        return F.when(n > 0, F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), add)).otherwise(0.0)
+
+    chars = F.filter(F.split(text, ""), lambda x: x != "")
+    return F.get(F.transform(F.array(F.struct(chars.alias("chars"), F.octet_length(text).cast("double").alias("n"))), of), 0)
 
 
 def bigram_mean(c: Column | str, table: Column, floor: float = -5.5) -> Column:

@@ -324,8 +324,8 @@ def dga(beacons: DataFrame, bigrams: DataFrame, host: str = "hostname", cfg: Con
 
 def bigram_table(names: DataFrame, text: str = "text") -> DataFrame:
     """(bigram, logp): log10 shares of letter pairs in a column of ordinary words; built, not shipped."""
-    letters = F.regexp_replace(F.lower(text), "[^a-z]+", " ")
-    pairs = names.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - 1, F.lit(1))), lambda i: F.substring(letters, i, F.lit(2)))).alias("bigram"))
+    words = names.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).filter(F.length("word") > 1)
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("bigram"))
     counted = pairs.filter(F.col("bigram").rlike("^[a-z]{2}$")).groupBy("bigram").agg(F.count("*").alias("n"))
     every = Window.partitionBy(F.lit(0))  # at most 676 rows
     return counted.select("bigram", F.log10(F.col("n") / F.sum("n").over(every)).alias("logp"))
