@@ -221,7 +221,7 @@ detector("det_notices", "notice_v", detect.notices, f"""{finding_sql("'Notice'",
 detector("det_file_download", "files_v", detect.file_download, f"""{finding_sql("'Suspicious File Download'", "'HIGH'", '72', src='rx', dst='tx', port='CAST(NULL AS VARCHAR)')} FROM {first_sql("(SELECT * FROM files_v WHERE mime_type = 'application/x-dosexec' OR filename LIKE '%.exe' OR filename LIKE '%.ps1')", 'rx, filename || mime_type', 'ts, tx')}""")
 detector("det_agents", "http_v", detect.agents, f"""{finding_sql("'Suspicious UA'", "'LOW'", '30')} FROM {first_sql("(SELECT * FROM http_v WHERE lower(user_agent) LIKE 'curl/%' OR lower(user_agent) LIKE 'python-requests%')", 'src, user_agent')}""")
 _SUM8 = "list_sum(list_transform(string_split(uri, ''), lambda x: ord(x))) % 256"
-detector("det_uri_checks", "http_v", detect.uri_checks, f"""{finding_sql(f"CASE WHEN {_SUM8} IN (92, 93) THEN 'Cobalt Strike URI' ELSE 'C2 URI Pattern' END", "'CRITICAL'", f"CASE WHEN {_SUM8} IN (92, 93) THEN 93 ELSE 91 END")} FROM {first_sql(f"(SELECT * FROM http_v WHERE strlen(uri) > 1 AND ({_SUM8} IN (92, 93) OR regexp_matches(uri, '^/[a-zA-Z0-9]{{8}}$')))", 'src, dst, uri')}""")
+detector("det_uri_checks", "http_v", detect.uri_checks, f"""{finding_sql(f"CASE WHEN {_SUM8} IN (92, 93) THEN 'Cobalt Strike URI' ELSE 'C2 URI Pattern' END", "'CRITICAL'", f"CASE WHEN {_SUM8} IN (92, 93) THEN 93 ELSE 91 END")} FROM {first_sql(rf"(SELECT * FROM http_v WHERE strlen(uri) > 1 AND ({_SUM8} IN (92, 93) OR regexp_matches(uri, '^/([a-zA-Z0-9]{{8}}|submit\.php|ca|dpixel|ptj|j\.ad)$')))", 'src, dst, uri')}""")
 detector("det_http_download", "http_v", detect.http_download, f"""{finding_sql("'Suspicious File Download'", "'HIGH'", '72')} FROM {first_sql(r"(SELECT * FROM http_v WHERE regexp_matches(lower(uri), '(\.exe|\.dll|\.bat|\.ps1|\.vbs|\.js|\.hta|\.scr|\.sh|\.elf|\.com|\.msi)$'))", 'src, uri', 'ts, dst')}""")
 register("det_fronting", lambda s, d: detect.fronting(conn(s, d).withColumn("host", F.lit("h1.example.net:443")), view(s, d, "ssl_v")).select(*FINDING), f"""{finding_sql("'Domain Fronting'", "'CRITICAL'", '88')} FROM {first_sql("(SELECT c.* FROM conn_v c JOIN ssl_v s USING (uid) WHERE s.server_name <> 'h1.example.net')", 'src, uid')}""", ("conn_v", "ssl_v"))
 register(

@@ -34,13 +34,14 @@ VIEWS = {
         "pages",
         r"""CAST(1704067200 + page_id * 60 AS DOUBLE) AS ts, 's0' AS sensor, concat('H', page_id) AS uid, concat('10.0.0.', page_id % 16) AS src,
   concat('203.0.113.', page_id % 10) AS dst, 80 AS port, regexp_extract(url, '://([^/:]+)', 1) AS host,
-  regexp_extract(url, '://[^/]+(/[^#]*)', 1) AS uri,
+  CASE page_id % 11 WHEN 0 THEN '/submit.php' WHEN 1 THEN concat('/ab12C', 100 + page_id % 100) WHEN 2 THEN concat('/files/f', page_id, '.exe')
+    ELSE regexp_extract(url, '://[^/]+(/[^#]*)', 1) END AS uri,
   CASE page_id % 5 WHEN 0 THEN 'curl/8.0' WHEN 1 THEN 'Python-Requests/2' WHEN 2 THEN NULL ELSE 'Mozilla/5.0' END AS user_agent""",
     ),
     "ssl_v": (
         "events",
         """concat('C', event_id) AS uid, {TS} AS ts, concat('s', user_id % 2) AS sensor, concat('10.0.', {U}, '.', user_id % 256) AS src,
-  CASE {K} % 9 WHEN 0 THEN '8.8.8.8' ELSE concat('203.0.113.', {K} % 20) END AS dst, CASE {K} % 3 WHEN 0 THEN 4444 ELSE 443 END AS port,
+  CASE {K} % 9 WHEN 1 THEN '8.8.8.8' ELSE concat('203.0.113.', {K} % 20) END AS dst, CASE {K} % 3 WHEN 0 THEN 4444 ELSE 443 END AS port,
   CASE {K} % 12 WHEN 0 THEN '72a589da586844d7f0818ce684948eea' ELSE md5(CAST({K} % 12 AS {STR})) END AS ja3,
   CASE WHEN {K} % 5 = 0 THEN NULL ELSE concat('h', {K} % 20, '.example.net') END AS server_name, ({K} % 2 = 0) AS established""",
     ),
