@@ -50,8 +50,12 @@ def _place(pos: str = "pos") -> Column:
 
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
-    """Depth 1: the places whose line occurs again, with their bucket's first place as ``head``."""
+    """Depth 1: the places whose line occurs again, with their bucket's first place as ``head``.
+
+    The buckets are written, so that the join deals out its own rows and a common line can be split among tasks.
+    """
     buckets = rows.groupBy("line").agg(F.count("*").alias("n"), F.min(_place()).alias("head")).filter("n > 1").drop("n")
+    buckets = written(buckets, "buckets")
     return rows.join(buckets, "line").select(*KEY, "pos", "words", "head").distinct()
 
 
@@ -97,7 +101,7 @@ def windows(places: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 
 def deletions(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, dels): the places of each document's deleted lines, ascending."""
-    places = written(repeated_lines(lines(docs)), "depth-1")
+    places = written(repeated_lines(written(lines(docs), "lines")), "depth-1")
     wanted = written(windows(places, min_lines, min_words), "windows")
     longest = wanted.agg(F.max("len")).first()[0] or 0
     depths, k = places.select(*KEY, "pos", F.lit(1).alias("k"), "head"), 1
