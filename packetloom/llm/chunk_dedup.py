@@ -158,7 +158,8 @@ def dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
         rows = rows.withColumn("told", F.coalesce(F.to_json("told"), F.lit("")))
         key = ["recipe", "told"]
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    groups = rows.groupBy(*key).agg(best.alias("best"), F.count("*").alias("group_size"))
+    # Written, so that the join below deals out its own rows and a large group can be split among tasks.
+    groups = written(rows.groupBy(*key).agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, key).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
