@@ -334,8 +334,8 @@ def group(fps: DataFrame, tau: int = 4, hot: int = HOT) -> DataFrame:
 
 def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Nodes with their component's label and its least ``first``."""
-    placed = nodes.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = placed.groupBy("label").agg(F.min("first").alias("component_id"))
+    placed = written(nodes.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+    named = written(placed.groupBy("label").agg(F.min("first").alias("component_id")), "named")
     return placed.join(named, "label")
 
 
