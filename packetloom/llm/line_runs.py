@@ -114,8 +114,10 @@ def deletions(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_
     ends = wanted.withColumn("k", power).withColumn("pos", F.col("start"))
     named = ends.join(depths.withColumnRenamed("head", "head1"), [*KEY, "pos", "k"]).withColumn("pos", F.expr("start + len - k"))
     named = named.join(depths.withColumnRenamed("head", "head2"), [*KEY, "pos", "k"]).select(*KEY, "start", "len", "head1", "head2")
+    named = written(named, "named")
     place = _place("start")
     first = named.groupBy("len", "head1", "head2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(first, "first")  # the join deals out its own rows, as above
     later = named.join(first, ["len", "head1", "head2"]).filter(place > F.col("first"))
     gone = later.select(*KEY, F.explode(F.expr("sequence(start, start + len - 1)")).alias("pos"))
     return gone.groupBy(*KEY).agg(F.array_sort(F.collect_set("pos")).alias("dels"))
