@@ -229,8 +229,8 @@ def forest(words: np.ndarray, tau: int, within: int = BITS) -> tuple[np.ndarray,
     return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
-def _pairs(words: np.ndarray, tau: int, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all links among a key's rows, or of a forest where there are many."""
+def _pairs(words: np.ndarray, tau: int, within: int, sure: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all links among a key's rows, or of forests of the sure and of all links where there are many."""
     us: list[np.ndarray] = []
     vs: list[np.ndarray] = []
     if len(words) <= SQUARE:
@@ -244,11 +244,12 @@ def _pairs(words: np.ndarray, tau: int, within: int) -> tuple[np.ndarray, np.nda
                 break
         else:
             return np.concatenate(us), np.concatenate(vs)
-    return forest(words, tau, within)
+    us, vs = zip(*(forest(words, tau, most) for most in sorted({sure, within})))
+    return np.concatenate(us), np.concatenate(vs)
 
 
-def links(run: np.ndarray, node: np.ndarray, words: np.ndarray, asks: np.ndarray, tau: int, within: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links (node, node) among the members of each key; a key's rows follow one another."""
+def links(run: np.ndarray, node: np.ndarray, words: np.ndarray, asks: np.ndarray, tau: int, within: int = BITS, sure: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links between different nodes among the members of each key; a key's rows follow one another."""
     new = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     size = np.diff(np.concatenate([new, [len(run)]]))
     small = np.repeat(size <= 12, size)
@@ -259,18 +260,22 @@ def links(run: np.ndarray, node: np.ndarray, words: np.ndarray, asks: np.ndarray
             break
         i = i[~(asks[i] & asks[i + d])]  # one of a pair is stored under the key
         ok = _near(words[i], words[i + d], tau, within) & (node[i] != node[i + d])
-        us.append(node[i[ok]])
-        vs.append(node[i[ok] + d])
+        us.append(i[ok])
+        vs.append(i[ok] + d)
     for at, n in zip(new[size > 12].tolist(), size[size > 12].tolist()):
-        own, first = np.unique(node[at : at + n], return_index=True)
-        u, v = _pairs(words[at + first], tau, within)
+        own = at + np.unique(node[at : at + n], return_index=True)[1]
+        u, v = _pairs(words[own], tau, within, sure)
         us.append(own[u])
         vs.append(own[v])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def link(nodes: DataFrame, tau: int = 4, hot: int = HOT, more: tuple[str, ...] = (), within: int = BITS) -> DataFrame:
-    """(u, v) links between nodes (node, fp, further words) that connect exactly what all links connect."""
+def link(nodes: DataFrame, tau: int = 4, hot: int = HOT, more: tuple[str, ...] = (), within: int = BITS, sure: int = BITS) -> DataFrame:
+    """(u, v, sure) links between nodes (node, fp, further words), connecting what all links within ``within`` bits connect.
+
+    A link is sure if it differs in at most ``sure`` bits of all words; the sure links by themselves
+    connect what all sure links connect.
+    """
     n, both = bit_statistics(nodes)
     parts, thresholds = allocate(n, both, tau)
     probed = probes(nodes, parts, thresholds, more)
@@ -281,30 +286,49 @@ def link(nodes: DataFrame, tau: int = 4, hot: int = HOT, more: tuple[str, ...] =
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
-            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) if len(now[0]) else np.zeros(0, bool)
+            last = np.all([x == x[-1:] for x in now[:3]], 0)
             held = [x[last] for x in now]  # its key may go on in the next batch
             yield made([x[~last] for x in now])
         if held is not None:
             yield made(held)
 
     def made(rows: list[np.ndarray]) -> pa.RecordBatch:
-        part, key, asks, node, *words = rows
+        part, key, block, asks, node, *words = rows
         u = v = np.zeros(0, np.int64)
+        near = np.zeros(0, bool)
         if len(key):
-            changed = np.concatenate([[False], (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
-            u, v = links(np.cumsum(changed), node, np.stack([w.view(np.uint64) for w in words], 1), asks, tau, within)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            changed = np.concatenate([[False], (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+            words = np.stack([w.view(np.uint64) for w in words], 1)
+            i, j = links(np.cumsum(changed), node, words, asks, tau, within, sure)
+            u, v, near = node[i], node[j], np.bitwise_count(words[i] ^ words[j]).sum(-1) <= sure
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(near)], names=["u", "v", "sure"])
 
     dense = None
-    if not more:
-        crowded = probed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("part", "key")
-        crowded = written(crowded, "crowded")
-        if not crowded.isEmpty():
+    crowded = probed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+    crowded = written(crowded, "crowded")
+    blocks = probed.withColumn("block", F.lit(0).cast("long"))
+    if not crowded.isEmpty():
+        blocks = blocks.join(crowded, ["part", "key"], "left_anti")
+        if more:
+            blocks = blocks.unionByName(_in_blocks(probed.join(crowded, ["part", "key"]), hot))
+        else:
             dense = _by_midpoints(probed.join(crowded, ["part", "key"], "left_semi").select("fp").distinct(), tau)
-            probed = probed.join(crowded, ["part", "key"], "left_anti")
-    dealt = probed.repartition("part", "key").sortWithinPartitions("part", "key")
-    out = dealt.mapInArrow(run, "u long, v long")
-    return out.union(dense) if dense is not None else out
+    columns = ["part", "key", "block", "asks", "node", "fp", *more]
+    dealt = blocks.select(columns).repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "node")
+    out = dealt.mapInArrow(run, "u long, v long, sure boolean")
+    return out.union(dense.withColumn("sure", F.lit(True))) if dense is not None else out
+
+
+def _in_blocks(members: DataFrame, hot: int) -> DataFrame:
+    """The members (with their key's count n) of crowded keys, dealt out so that each two of a key meet in some block.
+
+    Nodes fall into enough slots for half of ``hot`` rows each; a block is a pair of slots, and a row goes to
+    the blocks of its slot with every slot.
+    """
+    slots = F.ceil(F.col("n") * 2 / hot)
+    slot = F.pmod(F.xxhash64("node"), slots)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), slots - 1), lambda x: F.least(slot, x) * slots + F.greatest(slot, x))
+    return members.withColumn("block", F.explode(pairs)).drop("n")
 
 
 def _by_midpoints(fps: DataFrame, tau: int) -> DataFrame:
@@ -346,27 +370,67 @@ def near_dedup(docs: DataFrame, tau: int = 4, words: int = 4, hot: int = HOT) ->
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def bits_within(similarity: float, bits: int) -> int:
+def bits_within(similarity: float, bits: int, deviations: float = 0) -> int:
     """The bits that SimHashes of shingle sets with this Jaccard similarity are expected to differ in.
 
     Sets of one size with Jaccard similarity J have the cosine 2J / (1 + J), and each bit differs
-    with the chance of their angle over pi.
+    with the chance of their angle over pi; so many standard deviations of that count are added.
     """
-    return int(bits * acos(2 * similarity / (1 + similarity)) / pi)
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, ascending."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(found) - words + 1) if found else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), seed) for i in range(n)], np.uint64))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Those (u, v) whose texts (node, text) have at least this Jaccard similarity of their sets of word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = written(texts.join(ends, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, grams array<long>"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, tau: int = 12, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, tau: int = 12, seeds: tuple[int, ...] = (42, 43, 44), probed: int = 2) -> DataFrame:
     """The documents without near copies: of each group the smallest doc_id stays, in one row.
 
-    One 64-bit fingerprint is probed within tau bits; a candidate is verified on the bits of all seeds'
-    fingerprints, which estimate the similarity of the five-word shingles much closer than 64 bits do.
+    The first ``probed`` of the seeds' fingerprints are each probed within tau bits. A candidate is judged on
+    the bits of all fingerprints: two standard deviations below what the similarity is expected to differ in it
+    is a link, two above it is none, and between them the sets of shingles themselves are compared, if sure
+    links don't connect the two already.
     """
     rows = docs.withColumn("_rid", F.monotonically_increasing_id())
     fps = written(fingerprints(rows, words, seeds, keep=("doc_id", "_rid")), "simhash")
-    columns = [f"fp{i or ''}" for i in range(len(seeds))]
+    columns, bits = [f"fp{i or ''}" for i in range(len(seeds))], BITS * len(seeds)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")
     nodes = fps.groupBy(*columns).agg(F.min(order).alias("first"))
     nodes = written(nodes.withColumn("node", F.col("first._rid")), "fingerprints")
-    found = link(nodes, tau, more=tuple(columns[1:]), within=bits_within(similarity, BITS * len(seeds)))
-    stay = _named(nodes, found).select(F.col("component_id._rid").alias("_rid")).distinct()
+    far, sure = bits_within(similarity, bits, 2), bits_within(similarity, bits, -2)
+    found = None
+    for i in range(probed):
+        turned = nodes.select("node", *(F.col(c).alias(name) for c, name in zip(columns[i:] + columns[:i], columns)))
+        one = link(turned, tau, more=tuple(columns[1:]), within=far, sure=sure)
+        found = one if found is None else found.union(one)
+    found = written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "sure").distinct(), "candidates")
+    certain = found.filter("sure").select("u", "v")
+    label = written(components(certain), "sure")
+    open_ = found.filter("not sure")
+    for end in ("u", "v"):
+        named = label.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+        open_ = open_.join(named, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    open_ = written(open_.filter("_u != _v").select("u", "v"), "open")
+    verified = similar(open_, rows.select(F.col("_rid").alias("node"), "text"), similarity, words)
+    stay = _named(nodes, certain.union(verified)).select(F.col("component_id._rid").alias("_rid")).distinct()
     return rows.join(stay, "_rid", "left_semi").drop("_rid")

@@ -109,22 +109,40 @@ def test_components_on_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def grams(text, words=5):
+    found = (text or "").lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def wide_reach(rows):
     """Groups of rows whose texts are linked by the stage's definition, by all pairs."""
     prints = [tuple(simhash.fingerprint(r.text, 5, s) for s in (42, 43, 44)) for r in rows]
+    sets = [grams(r.text) for r in rows]
+    linked = []
+    for i in range(len(rows)):
+        for j in range(i):
+            apart = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j])]
+            if min(apart[:2]) <= 12 and (sum(apart) <= 19 or sum(apart) <= 39 and jaccard(sets[i], sets[j]) >= 0.8):
+                linked.append((i, j))
     label = list(range(len(rows)))
     changed = True
     while changed:
         changed = False
-        for i in range(len(rows)):
-            for j in range(i):
-                a, b = prints[i], prints[j]
-                if (a[0] ^ b[0]).bit_count() <= 12 and sum((x ^ y).bit_count() for x, y in zip(a, b)) <= simhash.bits_within(0.8, 192) and label[i] != label[j]:
-                    label[i] = label[j] = min(label[i], label[j])
-                    changed = True
+        for i, j in linked:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
     return label
 
 
+def test_bits_of_a_similarity():
+    assert [simhash.bits_within(0.8, 192, d) for d in (-2, 0, 2)] == [19, 29, 39]
+
+
 def test_one_of_each_group_stays(docs, rows, odd, none):
     for df in (docs, odd):
         own = df.collect()
@@ -150,3 +168,37 @@ def test_near_copies_go_and_others_stay(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     kept = {r.doc_id for r in simhash.keep_one(df).collect()}
     assert set(range(120)) <= kept and len([i for i in kept if i >= 1000]) <= 2
+
+
+def test_borderline_pairs_are_found_and_pairs_below_are_not(spark):
+    draw = random.Random(23)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    rows, above, below = [], set(), set()
+    for i in range(200):
+        words = draw.choices(vocabulary, k=400)
+        copy = list(words)
+        for at in draw.sample(range(400), 7 if i % 2 else 14):  # about 0.84 and 0.7
+            copy[at] = "changed"
+        near = jaccard(grams(" ".join(words)), grams(" ".join(copy)))
+        (above if near >= 0.8 else below).add(1000 + i)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert below | set(range(200)) <= kept and len(above) > 50 and len(above & kept) <= len(above) * 0.1
+
+
+@pytest.mark.parametrize("more", [(), ("fp1",)])
+def test_crowded_keys_are_dealt_in_blocks(spark, more):
+    draw = random.Random(3)
+    base = [draw.getrandbits(64) for _ in range(6)]
+    fps = sorted({b ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for b in base for _ in range(40)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(i, f, f) for i, f in enumerate(signed)], "node long, fp long, fp1 long")
+    within = {"within": 8, "sure": 8} if more else {}
+    edges = simhash.link(df.drop(*({"fp1"} - set(more))), 4, hot=20, more=more, **within)
+    if not more:
+        edges = edges.select("u", "v")
+    names = {r.node: r.label for r in components(edges).collect()}
+    ids = {f: i for i, f in enumerate(signed)} if more else {f: f for f in signed}
+    want = reach([(ids[s], f) for s, f in zip(signed, fps)])
+    for (f, k), s in zip(want.items(), signed):
+        assert names.get(ids[s], ids[s]) == k
