@@ -14,6 +14,7 @@ differing bits, keeping a spanning forest only, at most one link fewer than memb
 than ``hot`` members leaves that path: its members are linked through all keys within tau / 2 flips
 of the whole fingerprint, two that share one being within tau of each other by construction, so no
 pair is formed and the work grows in proportion to the members.
+Where further words decide as well, its members are dealt out in blocks in which each two meet.
 
 Cases: null, empty and white texts have the fingerprint 0; fewer words than a shingle make one
 shingle; texts of any length are read whole; equal fingerprints are one node, so copies are never
