@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, comb, exp, lgamma, pi
+from math import acos, ceil, comb, exp, lgamma, pi
 
 import numpy as np
 import pyarrow as pa
@@ -384,54 +384,217 @@ def bits_within(similarity: float, bits: int, deviations: float = 0) -> int:
 def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     """The distinct hashes of the text's word shingles, ascending."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(found) - words + 1) if found else 0
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), seed) for i in range(n)], np.uint64))
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined, n = b" ".join(found), max(1, len(found) - words + 1)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends[min(words, len(found)) - 1 :].tolist())], np.uint64))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Those (u, v) whose texts (node, text) have at least this Jaccard similarity of their sets of word shingles."""
+def set_node(grams: np.ndarray) -> int:
+    """The 63-bit name of a set of shingles: equal sets are one node."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) >> 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def set_keys(grams: np.ndarray, similarity: float) -> list[tuple[bool, np.ndarray]]:
+    """(own class, keys): two sets with at least this Jaccard similarity share a key that one of them has in its own class.
+
+    Sizes fall into classes such that similar sets lie in one class or in neighbouring ones; a set also
+    visits the next larger class where one there can be similar to it. Similar sets differ in at most
+    ``apart`` shingles in a class. A class deals shingles into more parts than that by their hashes, so a set
+    that fills more than ``apart`` parts has a part in full common with each similar one. A set that
+    fills fewer has, beside its parts, its least shingles for keys: of similar sets, these overlap.
+    """
+    out: list[tuple[bool, np.ndarray]] = []
+    n, low, level = len(grams), 1, 0
+    if not n:
+        return out
+    while (high := int(low / similarity + 1e-9) + 1) <= n:
+        low, level = high, level + 1
+    for own in (True, False):
+        if not own:
+            low, high, level = high, int(high / similarity + 1e-9) + 1, level + 1
+            if int(n / similarity + 1e-9) < low:
+                break
+        apart = int(2 * (high - 1) * (1 - similarity) / (1 + similarity) + 1e-9)
+        part = grams % np.uint64(apart + apart // 5 + 1)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        keys = _mixed(np.add.reduceat(grams[order], starts), part[starts], 2 * level)
+        if len(starts) <= apart:
+            least = grams[: n - ceil(similarity * n - 1e-9) + 1]
+            keys = np.concatenate([keys, _mixed(least, np.zeros(len(least), np.uint64), 2 * level + 1)])
+        out.append((own, keys))
+    return out
+
+
+#: Words of a set's parity sketch.
+SKETCH = 16
+
+
+def parities(grams: np.ndarray) -> np.ndarray:
+    """How many shingles fall to each bit, odd or even: two sets differ in at least as many shingles as sketches in bits."""
+    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def _mixed(x: np.ndarray, part: np.ndarray, level: int) -> np.ndarray:
+    x = (x ^ ((part + np.uint64(level << 40)) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+_OWN = np.int64(-1 << 63)
+
+
+def sharing(rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(key, node, own, head): the sets under a key but its head, the first that has the key in its own class."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+            seen: set[int] = set()
+            keys, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for text in batch.column("text").to_pylist():
+                grams = shingles(text, words)
+                if (node := set_node(grams)) in seen:
+                    continue
+                seen.add(node)
+                for own, made in set_keys(grams, similarity):
+                    keys.append(made)
+                    who.append(np.full(len(made), np.int64(node) | (_OWN if own else np.int64(0))))
+                if sum(map(len, keys)) > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, who)], names=["key", "who"])
+                    keys, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, who)], names=["key", "who"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple[np.ndarray, ...] | None = None  # the last row's key, set and head
+        for batch in batches:
+            key, who = (batch.column(c).to_numpy() for c in ("key", "who"))
+            if not len(key):
+                continue
+            if before is not None:
+                key, who = np.concatenate([before[0], key]), np.concatenate([before[1], who])
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            head = who[first]
+            if before is not None:
+                head[first == 0] = before[2][0]
+            again = np.concatenate([[True], (who[1:] == who[:-1]) & ~new[1:]])
+            take = (head < 0) & (head != who) & ~again
+            before = (key[-1:], who[-1:], head[-1:])
+            columns = [key[take], who[take] & ~_OWN, who[take] < 0, head[take] & ~_OWN]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "own", "head"])
+
+    dealt = rows.select("text").mapInArrow(keyed, "key long, who long").repartition("key").sortWithinPartitions("key", "who")
+    return dealt.mapInArrow(met, "key long, node long, own boolean, head long")
+
+
+def unjoined(members: DataFrame, sets: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+    """(u, v) of all members (key, node, own, label) of a key that have different labels, one of them in its own class.
+
+    Pairs whose sketches and sizes (in ``sets``) already show that they are not similar are left out.
+    """
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    mixed = written(members.join(mixed.select("key", "n"), "key").join(sets.select("node", "size", "sketch"), "node"), "mixed")
+    few = mixed.filter(F.col("n") <= hot).drop("n").withColumn("block", F.lit(0).cast("long"))
+    dealt = few.unionByName(_in_blocks(mixed.filter(F.col("n") > hot), hot))
+
+    def pairs(key: np.ndarray, block: np.ndarray, label: np.ndarray, node: np.ndarray, own: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        run = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+        group = run | np.concatenate([[True], label[1:] != label[:-1]])
+        ends = np.append(np.flatnonzero(run)[1:], len(key))[np.cumsum(run) - 1]
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        starts = np.flatnonzero(group)
+        for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+            if to == (end := int(ends[at])):
+                continue
+            step = max(1, (1 << 16) // (end - to))
+            for low in range(at, to, step):
+                i = np.repeat(np.arange(low, min(to, low + step)), end - to)
+                j = np.tile(np.arange(to, end), min(to, low + step) - low)
+                ok = (own[i] | own[j]) & (size[i] >= similarity * size[j] - 1e-9) & (size[j] >= similarity * size[i] - 1e-9)
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-9
+                us.append(node[i[ok]])
+                vs.append(node[j[ok]])
+                if sum(map(len, us)) > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
+                    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
 
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = written(texts.join(ends, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, grams array<long>"), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u")
-    both = both.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of a key that may go on in the next batch
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names[:-1]]
+            if not len(now[0]):
+                continue
+            now.append(batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH))
+            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
+            if last.all() and (not held or held[-1][0][0] == now[0][0] and held[-1][1][0] == now[1][0]):
+                held.append(now)
+                continue
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, [x[~last] for x in now])))
+            held = [[x[last] for x in now]]
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+
+    columns = ["key", "block", "label", "node", "own", "size", "sketch"]
+    sorted_ = dealt.select(columns).repartition("key", "block").sortWithinPartitions("key", "block", "label", "node")
+    found = sorted_.mapInArrow(run, "u long, v long")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those (u, v) whose sets (node, grams, size, sketch) have at least this Jaccard similarity."""
+    ends = lambda *columns: [sets.select(F.col("node").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in columns)) for at in "uv"]
+    for side, at in zip(ends("size", "sketch"), "uv"):
+        pairs = pairs.join(side, at)
+    bits = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    small, large = F.least("size_u", "size_v"), F.greatest("size_u", "size_v")
+    open_ = pairs.filter((small >= similarity * large - 1e-9) & (bits <= (small + large) * (1 - similarity) / (1 + similarity) + 1e-9))
+    both = written(open_.select("u", "v"), "open")
+    for side, at in zip(ends("grams"), "uv"):
+        both = both.join(side.withColumnRenamed(f"grams_{at}", {"u": "a", "v": "b"}[at]), at)
     common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return both.filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, tau: int = 12, seeds: tuple[int, ...] = (42, 43, 44), probed: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int = HOT) -> DataFrame:
     """The documents without near copies: of each group the smallest doc_id stays, in one row.
 
-    The first ``probed`` of the seeds' fingerprints are each probed within tau bits. A candidate is judged on
-    the bits of all fingerprints: two standard deviations below what the similarity is expected to differ in it
-    is a link, two above it is none, and between them the sets of shingles themselves are compared, if sure
-    links don't connect the two already.
+    Two documents are linked where the sets of their word shingles have at least this Jaccard similarity;
+    a group is what links connect. All similar sets share a key (``set_keys``). First each set is
+    compared with the head of its keys; then those under one key that are not joined yet are compared
+    with one another. Nothing goes without a comparison of whole sets, but equal ones.
     """
     rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    fps = written(fingerprints(rows, words, seeds, keep=("doc_id", "_rid")), "simhash")
-    columns, bits = [f"fp{i or ''}" for i in range(len(seeds))], BITS * len(seeds)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [set_node(shingles(t, words)) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_rid"), pa.array(made, pa.int64())], names=["doc_id", "_rid", "node"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            lists = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], names=["node", "grams", "size", "sketch"])
+
+    read = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_rid", F.col("text").alias("_text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")
-    nodes = fps.groupBy(*columns).agg(F.min(order).alias("first"))
-    nodes = written(nodes.withColumn("node", F.col("first._rid")), "fingerprints")
-    far, sure = bits_within(similarity, bits, 2), bits_within(similarity, bits, -2)
-    found = None
-    for i in range(probed):
-        turned = nodes.select("node", *(F.col(c).alias(name) for c, name in zip(columns[i:] + columns[:i], columns)))
-        one = link(turned, tau, more=tuple(columns[1:]), within=far, sure=sure)
-        found = one if found is None else found.union(one)
-    found = written(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "sure").distinct(), "candidates")
-    certain = found.filter("sure").select("u", "v")
-    label = written(components(certain), "sure")
-    open_ = found.filter("not sure")
-    for end in ("u", "v"):
-        named = label.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
-        open_ = open_.join(named, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
-    open_ = written(open_.filter("_u != _v").select("u", "v"), "open")
-    verified = similar(open_, rows.select(F.col("_rid").alias("node"), "text"), similarity, words)
-    stay = _named(nodes, certain.union(verified)).select(F.col("component_id._rid").alias("_rid")).distinct()
+    nodes = written(read.mapInArrow(named, "doc_id long, _rid long, node long").groupBy("node").agg(F.min(order).alias("first")), "sets")
+    shared = written(sharing(rows, similarity, words), "shared")
+    star = shared.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct()
+    star = written(star, "stars")
+    ends = star.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first._rid").alias("_rid"))
+    sets = written(rows.select("_rid", "text").join(ends, "_rid").select("node", "text").mapInArrow(gathered, "node long, grams array<long>, size long, sketch array<long>"), "shingles")
+    near = written(similar(star, sets, similarity), "near")
+    label = written(components(near), "joined")
+    members = shared.select("key", "node", "own").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = written(unjoined(members, sets, similarity, hot).join(star, ["u", "v"], "left_anti"), "unjoined")
+    found = near.union(similar(rest, sets, similarity))
+    stay = _named(nodes, found).select(F.col("component_id._rid").alias("_rid")).distinct()
     return rows.join(stay, "_rid", "left_semi").drop("_rid")

@@ -202,3 +202,33 @@ def test_crowded_keys_are_dealt_in_blocks(spark, more):
     want = reach([(ids[s], f) for s, f in zip(signed, fps)])
     for (f, k), s in zip(want.items(), signed):
         assert names.get(ids[s], ids[s]) == k
+
+
+def kept_ids(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.keep_one(df, **more).collect()}
+
+
+def plain_ids(texts):
+    """The least of each group that a Jaccard similarity of 0.8 links, by all pairs."""
+    sets, label = [grams(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return {root(i) for i in range(len(texts))}
+
+
+def test_texts_that_share_only_a_repeated_shingle_stay(spark):
+    draw = random.Random(7)
+    own = lambda k: [f"w{draw.getrandbits(60):x}" for _ in range(k)]
+    rule = ["-----"] * 34
+    texts = [" ".join([*own(60), *rule]) for _ in range(20)]
+    assert kept_ids(spark, texts) == set(range(20))
