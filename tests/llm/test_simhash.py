@@ -232,3 +232,21 @@ def test_texts_that_share_only_a_repeated_shingle_stay(spark):
     rule = ["-----"] * 34
     texts = [" ".join([*own(60), *rule]) for _ in range(20)]
     assert kept_ids(spark, texts) == set(range(20))
+
+
+def test_pairs_of_one_template_are_found_in_dense_keys(spark):
+    """40 pairs at 0.85 of one template; 0.69 across pairs."""
+    draw = random.Random(29)
+    word = lambda: f"w{draw.getrandbits(60):x}"
+    frame, texts = [word() for _ in range(400)], []
+    for _ in range(40):
+        page = list(frame)
+        for at in range(5, 400, 28):
+            page[at] = word()
+        copy = list(page)
+        for at in draw.sample(range(19, 380, 28), 6):
+            copy[at] = word()
+        texts += [" ".join(page), " ".join(copy)]
+    want = plain_ids(texts)
+    assert want == set(range(0, 80, 2))
+    assert kept_ids(spark, texts) == kept_ids(spark, texts, hot=20) == want
