@@ -250,3 +250,30 @@ def test_pairs_of_one_template_are_found_in_dense_keys(spark):
     want = plain_ids(texts)
     assert want == set(range(0, 80, 2))
     assert kept_ids(spark, texts) == kept_ids(spark, texts, hot=20) == want
+
+
+def test_groups_are_those_of_plain_jaccard(spark, rows):
+    draw = random.Random(31)
+    vocabulary = [f"w{draw.getrandbits(60):x}" for _ in range(5000)]
+    texts = [r.text or "" for r in rows]
+    for size in (8, 9, 12, 16, 19, 24, 29, 45, 54, 104, 254):
+        for _ in range(25):
+            text = draw.choices(vocabulary, k=size)
+            copy = text[: max(5, round(size * draw.uniform(0.75, 0.95)))]
+            texts += [" ".join(text), " ".join(copy)]
+    common = draw.choices(vocabulary, k=104)
+    texts += [" ".join(common), " ".join(common) + (" " + " ".join(draw.choices(vocabulary, k=5))) * 10]
+    assert kept_ids(spark, texts) == plain_ids(texts)
+
+
+def test_similar_sets_share_a_key():
+    draw = np.random.default_rng(2)
+    for n in [*range(1, 40), 100, 999]:
+        for _ in range(30):
+            a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+            gone = draw.integers(0, n // 5 + 1)
+            more = draw.integers(0, int((n - gone) / 0.8 - n + 1e-9) + 1) if (n - gone) / 0.8 >= n else 0
+            b = np.unique(np.concatenate([a[draw.permutation(n)[gone:]], draw.integers(0, 1 << 63, more).astype(np.uint64)]))
+            assert (n - gone) / (n + more) >= 0.8
+            own, every = ([set(np.concatenate([k for o, k in simhash.set_keys(x, 0.8) if o or most]).tolist()) for x in (a, b)] for most in (0, 1))
+            assert own[0] & every[1] or own[1] & every[0]
