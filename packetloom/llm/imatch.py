@@ -16,8 +16,8 @@ Documents are put next to one another by blocks of doc_id, cut at quantiles over
 block also holds a copy of the first document of the next block, so a text is shuffled once and all
 later steps stay where it lies.
 
-Cases: a null text counts as empty; a text without any term in the band takes all its terms if they
-are ``FEW`` at most, and else, or without any term, one hash of its whole text; equal texts have
+Cases: a null text counts as empty; equal texts count once for the band; a text without any term in
+the band takes all its terms, and one without any term a hash of its whole text; equal texts have
 equal fingerprints, and equal fingerprints the likeness 1; a null doc_id comes last in descending
 order; rows that repeat a doc_id are ordered by their texts' hash; with one document the next is
 itself; an empty table gives no rows. Extra columns are not read.
@@ -36,7 +36,7 @@ RATE_BITS, SUBSETS, LEAST = (4, 6, 8, 10), 16, 4
 #: The band of document frequencies, as shares of all documents.
 RAREST, COMMONEST = 1 / 1000, 1 / 50
 
-FEW, BROADCAST_TERMS = 64, 2_000_000
+BROADCAST_TERMS = 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -45,9 +45,13 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
-    """The hashes of the terms in the band, over whole texts of all documents."""
-    n = docs.count()
-    counted = docs.select(F.explode(terms(F.col("text"))).alias("t")).select(F.xxhash64("t").alias("term"))
+    """The hashes of the terms in the band, over whole texts; equal texts count once."""
+    # Texts stay out of the shuffle: a row per digest names the one that counts.
+    rows = docs.select("text", F.monotonically_increasing_id().alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    one = written(rows.groupBy("sha").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "digests")
+    n = one.count()
+    later = rows.join(one.filter("copies > 1").select("sha", F.col("row").alias("first")), "sha", "left").filter("first IS NULL OR row = first")
+    counted = later.select(F.explode(terms(F.col("text"))).alias("t")).select(F.xxhash64("t").alias("term"))
     return counted.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df").between(max(1, n * rarest), max(1, n * commonest))).select("term")
 
 
@@ -127,24 +131,31 @@ def fingerprints(docs: DataFrame, rarest: float = RAREST, commonest: float = COM
     # One more entry per text, behind a NUL, carries its digest and stands in for texts without terms.
     mark = F.concat(F.lit("\0"), F.sha2("t", 256))
     each = each.select(*own, "which", terms(F.col("t")).alias("terms"), mark.alias("mark"))
-    each = each.select(*own, "which", (F.size("terms") <= FEW).alias("few"), F.explode(F.array_append("terms", F.col("mark"))).alias("word"))
+    hashes = F.transform("terms", lambda t: F.xxhash64(t))
+    words_ = F.transform("terms", lambda t: F.struct(t.alias("word"), F.lit(None).cast("array<bigint>").alias("all")))
+    each = each.select(*own, "which", F.inline(F.array_append(words_, F.struct(F.col("mark").alias("word"), hashes.alias("all")))))
     each = each.withColumn("marked", F.col("word").startswith("\0")).withColumn("term", F.xxhash64("word"))
-    known = each.join(words, "term", "left").filter("known OR few OR marked")
-    # Kinds: 0 a term of the lexicon, 1 another term, 2 the digest.
-    kind = F.when(F.col("marked"), 2).when(F.col("known"), 0).otherwise(1)
+    known = each.join(words, "term", "left").filter("known OR marked")
+    # Kinds: 0 a term of the lexicon, 2 the digest, with the hashes of all terms.
+    kind = F.when(F.col("marked"), 2).otherwise(0)
     where = F.when(F.col("marked"), F.array(F.lit(0).cast("long"))).otherwise(_subsets(F.col("term")))
-    placed = known.select(*own, "which", kind.alias("kind"), "term", F.when(F.col("marked"), F.substring("word", 2, 64)).alias("sha"), F.explode(where).alias("subset"))
-    hashed = placed.groupBy(*own, "which", "kind", "subset").agg(F.array_sort(F.collect_list("term")).alias("sorted"), F.first("sha", ignorenulls=True).alias("sha"))
-    short = F.lpad(F.hex(F.xxhash64("sorted").bitwiseAND(0xFFFF)), 4, "0")
-    entry = F.struct("kind", "subset", F.lower(short).alias("h"), "sha")
+    placed = known.select(*own, "which", kind.alias("kind"), "term", "all", F.when(F.col("marked"), F.substring("word", 2, 64)).alias("sha"), F.explode(where).alias("subset"))
+    hashed = placed.groupBy(*own, "which", "kind", "subset").agg(F.array_sort(F.collect_list("term")).alias("sorted"), F.first("sha", ignorenulls=True).alias("sha"), F.first("all", ignorenulls=True).alias("all"))
+    short = lambda terms_: F.lower(F.lpad(F.hex(F.xxhash64(terms_).bitwiseAND(0xFFFF)), 4, "0"))
+    entry = F.struct("kind", "subset", short(F.col("sorted")).alias("h"), "sha", "all")
     text = hashed.groupBy(*own, "which").agg(F.collect_list(entry).alias("e"))
-    digest = F.element_at(F.filter("e", lambda x: x["kind"] == 2), 1)["sha"]
-    kinds = F.when(F.exists("e", lambda x: x["kind"] == 0), 0).when(F.exists("e", lambda x: x["kind"] == 1), 1).otherwise(2)
-    text = text.withColumn("sha", digest).withColumn("use", kinds)
+    mark_ = F.element_at(F.filter("e", lambda x: x["kind"] == 2), 1)
+    text = text.withColumn("sha", mark_["sha"]).withColumn("all", mark_["all"])
+    text = text.withColumn("use", F.when(F.exists("e", lambda x: x["kind"] == 0), 0).when(F.size("all") > 0, 1).otherwise(2))
     held = F.map_from_entries(F.transform(F.filter("e", lambda x: x["kind"] == F.col("use")), lambda x: F.struct(x["subset"], x["h"])))
     text = text.withColumn("held", held)
     every = F.sequence(F.lit(0).cast("long"), F.lit(len(RATE_BITS) * SUBSETS - 1).cast("long"))
-    slots = F.when(F.col("use") == 2, F.array(F.concat(F.lit("x"), F.substring("sha", 1, 16)))).otherwise(
+    def of_all(i: Column) -> Column:
+        """The hash of all the text's terms in a subset."""
+        inside = F.array_sort(F.filter("all", lambda t: F.array_contains(_subsets(t), i)))
+        return F.when(F.size(inside) > 0, short(inside)).otherwise("----")
+
+    slots = F.when(F.col("use") == 1, F.transform(every, of_all)).when(F.col("use") == 2, F.array(F.concat(F.lit("x"), F.substring("sha", 1, 16)))).otherwise(
         F.transform(every, lambda i: F.coalesce(F.try_element_at(F.col("held"), i), F.lit("----")))
     )
     both = text.withColumn("slots", slots).groupBy(*own).agg(

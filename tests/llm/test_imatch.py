@@ -40,3 +40,21 @@ def test_odd_rows(odd, none, spark):
     assert imatch.fingerprints(none).count() == 0
     one = imatch.fingerprints(odd.filter("doc_id = 3")).collect()
     assert one[0].near_next == 1.0 and one[0].n_chars == 27
+
+
+def test_copies_of_a_text_keep_their_terms(spark, docs, rows):
+    """A text with over 64 terms whose copies are a third of the rows: its lexicon and likeness stay."""
+    hot = next(r for r in sorted(rows, key=lambda r: r.doc_id) if len(set((r.text or "").lower().split())) > 100)
+    copies = spark.createDataFrame([(10_000 + i, hot.text, hot.n_chars) for i in range(100)], "doc_id long, text string, n_chars long")
+    mixed = docs.select("doc_id", "text", "n_chars").union(copies)
+    terms = lambda df: {r.term for r in imatch.lexicon(df).collect()}
+    assert terms(mixed) == terms(docs)
+    got = [r for r in imatch.fingerprints(mixed).collect() if r.doc_id >= 10_000]
+    assert len(got) == 100 and all(r.near_edited > 0 for r in got)
+
+
+def test_a_text_outside_the_band_uses_all_its_terms(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    df = spark.createDataFrame([(i, f"{text} {i}") for i in range(300)], "doc_id long, text string")
+    got = imatch.fingerprints(df, rarest=0.5, commonest=0.6).collect()
+    assert all(len(r.fingerprint) == 256 and r.near_edited > 0 for r in got)
