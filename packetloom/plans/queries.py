@@ -143,9 +143,9 @@ def scored(s: SparkSession, d: str) -> DataFrame:
 
 register("det_beacon_findings", lambda s, d: beacon.findings(scored(s, d), beacon.ports(conn(s, d)), cfg=CFG).select("type", "severity", "score", "sensor", "src", "dst", "timestamp", "modal_port"))
 register("det_beacon_tls", lambda s, d: beacon.with_tls(scored(s, d).select("sensor", "src", "dst", "score", "unboosted"), conn(s, d), view(s, d, "ssl_v").filter("server_name IS NOT NULL")))
-register("det_beacon_channels", lambda s, d: beacon.channels(detect.egress(conn(s, d)), view(s, d, "ssl_v").withColumn("ja3", F.substring("ja3", 1, 1)), scored(s, d).withColumn("type", F.lit("Beacon")), Config(beacon_min_score=1)).select("sensor", "src", "dst", "channel", "score", "blend_score"))
+register("det_beacon_channels", lambda s, d: beacon.channels(detect.egress(conn(s, d)), view(s, d, "ssl_v"), scored(s, d).withColumn("type", F.lit("Beacon")), Config(beacon_min_score=1)).select("sensor", "src", "dst", "channel", "score", "blend_score"))
 register("det_dns_beacon", lambda s, d: beacon.dns_scored(beacon.profile(detect.dns_rows(view(s, d, "dns_v")).filter("rcode != 'NXDOMAIN'").withColumn("orig_bytes", F.lit(0.0)), ("sensor", "src", "apex")), detect.subdomains(view(s, d, "dns_v")).select("sensor", "src", "apex", "n_subs")).select("sensor", "src", "apex", "score", "severity"))
-register("stat_periodicity", lambda s, d: stats.periodicity(conn(s, d), ["sensor", "src"], grid=500).select("sensor", "src", "n", F.round("period", 3).alias("period"), F.round("power", 6).alias("power")))
+register("stat_periodicity", lambda s, d: stats.periodicity(conn(s, d), ["sensor", "src"]).select("sensor", "src", "n", F.round("period", 3).alias("period"), F.round("power", 6).alias("power")))
 register(
     "det_ports",
     lambda s, d: beacon.ports(conn(s, d)).select("sensor", "src", "dst", "modal_port", "n_ports", F.round("top_share", 6).alias("top_share"), "hops", "co_traffic"),

@@ -40,3 +40,18 @@ def test_query_as_sql(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_periodicity_and_channels_take_the_whole_job(spark, monkeypatch):
+    from packetloom.plans import queries as q
+
+    class Any:
+        def select(self, *columns):
+            return self
+
+    grids, ja3 = [], []
+    monkeypatch.setattr(q.stats, "periodicity", lambda df, keys, **more: grids.append(more.get("grid", 2000)) or Any())
+    monkeypatch.setattr(q.beacon, "channels", lambda conn, ssl, *more: ja3.append(ssl) or Any())
+    __spark_entry__.queries()["stat_periodicity"](spark, SF)
+    __spark_entry__.queries()["det_beacon_channels"](spark, SF)
+    assert grids == [2000] and ja3[0].selectExpr("max(length(ja3))").first()[0] > 1
