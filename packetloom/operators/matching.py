@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import exprs as E
 
+#: Wildcards of one pass over the values.
+GLOBS = 10_000
+
 
 def typed(entries: DataFrame, value: str = "value") -> DataFrame:
     """List entries with their kind: ip, cidr, glob or exact text."""
@@ -49,10 +52,11 @@ def matches(values: DataFrame, column: str, entries: DataFrame) -> DataFrame:
     if lengths := cidr_lengths(cidrs):
         ranged = own.withColumn("_p", F.explode(prefixes(column, lengths))).join(with_prefix(cidrs), "_p").select(column, *keep)
         out = out.union(ranged)
-    globs = [r._v for r in listed.filter(F.col("_kind") == "glob").select("_v").distinct().limit(10_000).collect()]
-    if globs:  # a wildcard has no key to join by: patterns are constants of one pass over the values
-        hit = F.array_compact(F.array(*(F.when(F.lower(column).rlike(E.glob_regex(g)), F.lit(g)) for g in globs)))
-        out = out.union(own.withColumn("_v", F.explode(hit)).join(listed.filter(F.col("_kind") == "glob"), "_v").select(column, *keep))
+    patterns = listed.filter(F.col("_kind") == "glob")
+    globs = [r._v for r in patterns.select("_v").distinct().toLocalIterator()]
+    for at in range(0, len(globs), GLOBS):  # a wildcard has no key to join by: patterns are constants of one pass over the values
+        hit = F.array_compact(F.array(*(F.when(F.lower(column).rlike(E.glob_regex(g)), F.lit(g)) for g in globs[at : at + GLOBS])))
+        out = out.union(own.withColumn("_v", F.explode(hit)).join(patterns, "_v").select(column, *keep))
     return out.distinct()
 
 

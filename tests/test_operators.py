@@ -272,3 +272,12 @@ def test_stale_sources(spark):
     latest = spark.createDataFrame([("a", 10.0), ("b", 95.0)], "sensor string, ts double")
     assert [r.sensor for r in stream.stale(latest, 100.0, 50.0).collect()] == ["a"]
     assert stream.stale(latest, 100.0, 50.0, latest).count() == 0
+
+
+def test_wildcards_beyond_one_pass_are_matched(spark, monkeypatch):
+    from packetloom.operators import matching as m
+
+    monkeypatch.setattr(m, "GLOBS", 2)
+    values = spark.createDataFrame([(f"h{i}.example",) for i in range(5)], "dst string")
+    entries = spark.createDataFrame([(f"h{i}.*",) for i in range(5)], "value string")
+    assert {tuple(r) for r in m.matches(values, "dst", entries).collect()} == {(f"h{i}.example", f"h{i}.*") for i in range(5)}
