@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.io import written
+from packetloom.llm.io import freed, written
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v) pairs with the least of u and its v's: (u, v, least)."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("least"))
+    """(u, v) pairs with the least of u and its v's: (u, v, least).
+
+    The least ones are written, so that the join deals out its own rows and a star's centre can be split among tasks.
+    """
+    least = written(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("least")), "least")
     return pairs.join(least, "u")
 
 
@@ -30,10 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = written(_star(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct(), "large")
         small = _star(large)
         turned = small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v")))
-        edges = written(turned.filter("u != v").distinct(), "stars")
+        before, edges = edges, written(turned.filter("u != v").distinct(), "stars")
+        freed(before, large)
         if (now := _mark(edges)) == mark:
             break
         mark = now

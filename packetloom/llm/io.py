@@ -13,8 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; only where none is named (tests), one of our own."""
+    """The folder that the cluster names for checkpoints; only where none is named and all runs in one process (tests), one of our own."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -24,4 +26,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that later steps don't depend on how it was made."""
     path = f"{shared_dir(df.sparkSession)}/packetloom/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``written`` returned and that nothing reads any more."""
+    for df in tables:
+        if path := vars(df).get("written_to"):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
