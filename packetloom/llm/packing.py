@@ -5,11 +5,10 @@ rests that its task is filling. A block is partitioned by differencing: each par
 one load per window, and the two with the largest spread are merged, the heaviest loads of one onto
 the lightest of the other, until one partition of near-equal windows is left.
 
-The window count starts at the whole windows that the block's tokens fill and rises whenever
-capacity is exceeded. With cuts allowed, the tokens beyond the whole windows open further windows
-whose sizes are powers of two (which need no padding), and what differencing leaves above capacity
-is cut off and fills the windows below it, so no window is padded. Without cuts the count rises
-until every window fits.
+The window count starts at the least that can hold the block's tokens and rises whenever differencing
+leaves a window above capacity, by the windows that what is over would fill, until every window fits.
+Where cuts are allowed, the lightest windows are then cut up to fill the others, and what is left over
+makes windows whose sizes are powers of two (which need no padding), so no window is padded.
 
 A task packs its own partition, block by block, in bounded memory: nothing is shuffled and no
 window depends on another task. A task that runs again gives the same rows.
@@ -70,50 +69,29 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
+def fitting(sizes: list[int], capacity: int) -> list[list[int]]:
+    """The items of near-equal windows; the window count rises while differencing leaves one above capacity."""
+    windows = -(-sum(sizes) // capacity)
+    while windows:
+        packed = difference(sizes, windows)
+        over = sum(max(0, sum(sizes[i] for i in w) - capacity) for w in packed)
+        if not over:
+            return packed
+        windows += -(-over // capacity)
+    return []
+
+
 def pack_block(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start in the item, length). With cuts every window is full or a power of two."""
+    packed = sorted(fitting(sizes, capacity), key=lambda w: -sum(sizes[i] for i in w))
+    windows = [[(i, 0, sizes[i]) for i in w if sizes[i]] for w in packed]
     if not cut:
-        windows = -(-sum(sizes) // capacity)
-        while True:
-            packed = difference(sizes, windows) if windows else []
-            if max((sum(sizes[i] for i in w) for w in packed), default=0) <= capacity:
-                return [[(i, 0, sizes[i]) for i in w] for w in packed if w]
-            windows += 1
-    windows, beyond = divmod(sum(sizes), capacity)
-    begun = [0] * len(sizes)
-    out: list[list[tuple[int, int, int]]] = []
-    give = 0  # the item whose head is cut for the next power-of-two window
-    for power in powers(beyond):
-        window, room = [], power
-        while room:
-            take = min(room, sizes[give] - begun[give])
-            if take:
-                window.append((give, begun[give], take))
-                begun[give] += take
-                room -= take
-            if room:
-                give += 1
-        out.append(window)
-    left = [i for i in range(len(sizes)) if sizes[i] > begun[i]]
-    if not windows:
-        return out
-    spare: list[tuple[int, int, int]] = []
-    lacking = []
-    for items in difference([sizes[i] - begun[i] for i in left], windows):
-        window = [(left[i], begun[left[i]], sizes[left[i]] - begun[left[i]]) for i in items]
-        over = sum(p[2] for p in window) - capacity
-        while over > 0:
-            i, start, length = window.pop()
-            moved = min(over, length)
-            spare.append((i, start + length - moved, moved))
-            if length > moved:
-                window.append((i, start, length - moved))
-            over -= moved
-        out.append(window)
-        if over < 0:
-            lacking.append(window)
-    for window in lacking:
-        room = capacity - sum(p[2] for p in window)
+        return [w for w in windows if w]
+    full, beyond = divmod(sum(sizes), capacity)
+    spare = [piece for window in windows[full:] for piece in window]  # the lightest windows fill the others
+    targets = [(window, capacity) for window in windows[:full]] + [([], power) for power in powers(beyond)]
+    for window, size in targets:
+        room = size - sum(p[2] for p in window)
         while room:
             i, start, length = spare.pop()
             take = min(room, length)
@@ -121,7 +99,7 @@ def pack_block(sizes: list[int], capacity: int, cut: bool = True) -> list[list[t
             if length > take:
                 spare.append((i, start + take, length - take))
             room -= take
-    return out
+    return [window for window, _ in targets]
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, block: int = BLOCK) -> DataFrame:
