@@ -3,7 +3,8 @@
 Documents are aggregated by encoded length; everything else is read off the histogram. For a context
 limit L the tokens kept when every document is truncated to L are the tokens of the shorter
 documents and L for each document of length L or more, so suffix sums over the lengths answer
-totals, quantiles and truncated totals for every limit.
+totals, quantiles and truncated totals for every limit: those that occur as lengths, and any others
+that are asked for, which join the histogram as lengths without documents.
 
 The suffix sums run in two levels, within blocks of neighbouring lengths and over the blocks' totals,
 so no task gets all lengths: the top level has one row per block of ``block`` lengths.
@@ -15,7 +16,7 @@ table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from packetloom.llm.bpe import spec_of
 from packetloom.llm.io import written
 
+#: Context limits that are answered beside the lengths that occur.
+LIMITS = tuple(1 << b for b in range(7, 21))
+
 #: Fixed value: the public pattern that cuts texts into pieces for byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -59,12 +63,17 @@ def histogram(counted: DataFrame) -> DataFrame:
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def by_limit(hist: DataFrame, block: int = 1024) -> DataFrame:
-    """For each length that occurs, taken as context limit: counts, totals and truncated totals.
+def by_limit(hist: DataFrame, limits: Sequence[int] = (), block: int = 1024) -> DataFrame:
+    """For each length that occurs and each given limit, taken as context limit: counts, totals and truncated totals.
 
     ``docs_at_least``/``tokens_at_least`` count documents of that length or more; ``kept_tokens`` is the
     corpus truncated to it, ``lost_tokens`` the rest; ``quantile`` is the share of documents not longer.
+    A limit that no document has as its length is a row without documents (``n_docs`` 0).
     """
+    if limits:
+        given = hist.sparkSession.createDataFrame([(int(n), 0) for n in limits], "n_tokens long, n_docs long")
+        some = hist.agg(F.count("*").alias("lengths")).filter("lengths > 0")  # an empty table stays empty
+        hist = histogram(hist.select("n_tokens", "n_docs").union(given.join(some).select("n_tokens", "n_docs")))
     block_of = F.floor(F.col("n_tokens") / block).alias("block")
     h = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), block_of)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
@@ -96,9 +105,9 @@ def by_limit(hist: DataFrame, block: int = 1024) -> DataFrame:
     )
 
 
-def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, text: str = "text", limits: Sequence[int] = LIMITS) -> DataFrame:
     """Every context limit's figures; the texts are encoded once, for the histogram that is written."""
-    return by_limit(written(histogram(lengths(docs, path, text)), "lengths"))
+    return by_limit(written(histogram(lengths(docs, path, text)), "lengths"), limits)
 
 
 def quantile(limits: DataFrame, q: float) -> DataFrame:
