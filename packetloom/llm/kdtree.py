@@ -1,7 +1,7 @@
 """Sharding by a k-d tree over metadata, built from distributed weighted medians.
 
 Equal texts are one point: their bytes add up, and they share the least language and source and the
-length of their text. A node holds the points of some shards; it is split along the dimension in
+length of their text. Languages and sources count by their rank among the distinct values. A node holds the points of some shards; it is split along the dimension in
 which its points spread widest, at the weighted quantile that leaves each side the bytes of its
 shards, until a node is one shard (its points have the target bytes). Within equal coordinates
 points are ordered by a hash, so a split can fall inside a crowded coordinate.
@@ -64,14 +64,25 @@ def points(rows: DataFrame) -> DataFrame:
         F.sum("size").alias("bytes"),
         F.count("*").alias("copies"),
         F.first("n").alias("n"),
-        *(F.min(_number(c)).alias(c) for c in ("source", "lang")),
+        *(F.min(F.struct(F.col(c).isNotNull().alias("some"), F.col(c).alias("value"))).alias(c) for c in ("source", "lang")),
     )
-    return grouped.select("point", "bytes", "copies", F.log2(F.col("n") + 1.0).alias("length"), "source", "lang")
+    out = grouped.select("point", "bytes", "copies", F.log2(F.col("n") + 1.0).alias("length"), "source.value", F.col("lang.value").alias("lang"))
+    out = written(out.withColumnRenamed("value", "source"), "texts")
+    for c in ("source", "lang"):
+        held = ranks(out.select(c)).withColumnRenamed("rank", f"rank_{c}")
+        out = out.join(held, c, "left").withColumn(c, F.coalesce(f"rank_{c}", F.lit(-1.0))).drop(f"rank_{c}")
+    return out.select("point", "bytes", "copies", "length", "source", "lang")
 
 
-def _number(c: str) -> Column:
-    """The first six bytes of a string as a number; keeps the order of strings."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def ranks(values: DataFrame) -> DataFrame:
+    """(value, rank) of the distinct values of a column, in their order: places within ranges of values, behind the counts of the ranges before."""
+    c = values.columns[0]
+    spread = values.filter(F.col(c).isNotNull()).distinct().repartitionByRange(c).withColumn("part", F.spark_partition_id())
+    spread = written(spread, "values")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = spread.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(c))
+    return spread.withColumn("place", place).join(offsets, "part").select(c, (F.col("offset") + F.col("place")).cast("double").alias("rank"))
 
 
 def keyed(pts: DataFrame) -> DataFrame:
@@ -174,11 +185,11 @@ def _refine(placed: DataFrame, ranges: dict[int, Range], tolerance: float) -> di
     return left_over
 
 
-def shard(docs: DataFrame, shards: int = 40, slot_block: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, slot_block: int = 1024, tolerance: float = 0.001) -> DataFrame:
     """One row per document: its size, the shard it lies in, and its place there."""
     rows = written(documents(docs), "sizes")
     pts = written(keyed(points(rows)), "points")
-    where = assign(pts, shards).select("point", "shard")
+    where = assign(pts, shards, tolerance).select("point", "shard")
     n = rows.count()
     sub = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(1, -(-n // (shards * slot_block))))).cast("int")
     placed = rows.select("doc_id", "size", "text_crc32", "point").join(where, "point").drop("point").withColumn("sub", sub)
