@@ -3,7 +3,8 @@
 The label columns are predicted in a fixed order by linear (logistic) models; each model sees the
 text's features and the probabilities of the categories before it. While training, those
 probabilities come from models that haven't seen the row: rows are dealt into folds by their text, so
-copies share a fold, and each fold is predicted by a model of the other folds. The final models,
+copies share a fold, and each fold is predicted by a model of the other folds, their choice of
+features and their scaling included. The final models,
 trained on all rows with the out-of-fold probabilities of the earlier categories, are applied to the
 documents one category after the other.
 
@@ -168,35 +169,60 @@ def choose(rows: DataFrame, order: tuple[str, ...], most: int) -> list[str]:
     return sorted(out)
 
 
+@dataclass
+class Design:
+    """What turns a training row into a model's columns: a vocabulary, and the measures' centre and scale."""
+
+    vocabulary: dict[str, int]
+    centre: np.ndarray
+    scale: np.ndarray
+
+    def rows(self, words: list[list[str]], dense: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(words), 1 + len(self.vocabulary) + DENSE), np.float32)
+        x[:, 0] = 1
+        for i, own in enumerate(words):
+            x[i, [1 + self.vocabulary[w] for w in own if w in self.vocabulary]] = 1
+        x[:, 1 + len(self.vocabulary) :] = np.clip((dense - self.centre) / self.scale, -5, 5)
+        return x
+
+
+def designed(words: list[str], dense: np.ndarray) -> Design:
+    centre, scale = (dense.mean(0), np.maximum(dense.std(0), 1e-6)) if len(dense) else (np.zeros(DENSE), np.ones(DENSE))
+    return Design({w: i for i, w in enumerate(words)}, centre, scale)
+
+
 def train(docs: DataFrame, labels: DataFrame, order: tuple[str, ...] = ORDER, sample: int = SAMPLE, most: int = FEATURES) -> Chain:
-    """The chain, fitted on the driver from the sampled rows' chosen features."""
+    """The chain, fitted on the driver from the sampled rows' chosen features.
+
+    A fold's rows take no part in the model that predicts them: features are chosen, and measures
+    centred and scaled, by the other folds' rows only.
+    """
     rows = sampled(docs, labels, order, sample)
     words = choose(rows, order, most)
-    chain = Chain(order, {w: i for i, w in enumerate(words)})
-    kept = F.array_intersect("words", F.array(*map(F.lit, words))) if words else F.expr("array()").cast("array<string>")
+    without = [choose(rows.filter(F.col("fold") != k), order, most) for k in range(FOLDS)]
+    wanted = sorted({w for chosen in (words, *without) for w in chosen})
+    kept = F.array_intersect("words", F.array(*map(F.lit, wanted))) if wanted else F.expr("array()").cast("array<string>")
     held = rows.select("fold", "dense", kept.alias("words"), *order).collect()
+    chain = Chain(order)
     if not held:
         chain.weights = [np.zeros(0) for _ in order]
         return chain
-    dense = np.array([r.dense for r in held])
-    chain.centre, chain.scale = dense.mean(0), np.maximum(dense.std(0), 1e-6)
-    x = np.zeros((len(held), 1 + len(words) + DENSE), np.float32)
-    x[:, 0] = 1
-    for i, r in enumerate(held):
-        x[i, [1 + chain.vocabulary[w] for w in r.words]] = 1
-    x[:, 1 + len(words) :] = np.clip((dense - chain.centre) / chain.scale, -5, 5)
-    fold = np.array([r.fold for r in held])
+    own, dense, fold = [r.words for r in held], np.array([r.dense for r in held]), np.array([r.fold for r in held])
+    whole = designed(words, dense)
+    chain.vocabulary, chain.centre, chain.scale = whole.vocabulary, whole.centre, whole.scale
+    x = whole.rows(own, dense)
+    folds = [designed(chosen, dense[fold != k]).rows(own, dense) for k, chosen in enumerate(without)]
     earlier = np.zeros((len(held), 0), np.float32)
     for c in order:
         y = np.array([r[c] for r in held], np.float32)
-        own = np.hstack([x, earlier])
         p = np.zeros((len(held), 1), np.float32)
-        for k in range(FOLDS):
+        for k, each in enumerate(folds):
             out = fold == k
             if out.any():
-                w = fit_linear(own[~out], y[~out])
-                p[out, 0] = 1 / (1 + np.exp(-np.clip(own[out] @ w, -40, 40))) if len(w) else y.mean()
-        chain.weights.append(fit_linear(own, y))
+                each = np.hstack([each, earlier])
+                w = fit_linear(each[~out], y[~out])
+                p[out, 0] = 1 / (1 + np.exp(-np.clip(each[out] @ w, -40, 40))) if len(w) else y.mean()
+        chain.weights.append(fit_linear(np.hstack([x, earlier]), y))
         earlier = np.hstack([earlier, p])
     chain.out_of_fold = earlier
     chain.threshold = best_threshold(earlier[:, -1], y)
