@@ -10,11 +10,10 @@ the bits' counts and pair counts over all distinct fingerprints.
 A part with threshold t is probed by meeting half-way: its value is stored under keys with up to
 t // 2 bits flipped and asked for at keys with up to (t + 1) // 2, so values within t meet. Keys are grouped by
 a shuffle; a task walks over its sorted keys and links the members of each key after counting the
-differing bits, keeping a spanning forest only, at most one link fewer than members. A key with more
-than ``hot`` members leaves that path: its members are linked through all keys within tau / 2 flips
-of the whole fingerprint, two that share one being within tau of each other by construction, so no
-pair is formed and the work grows in proportion to the members.
-Where further words decide as well, its members are dealt out in blocks in which each two meet.
+differing bits, in large keys keeping a spanning forest only, at most one link fewer than members. A key
+with more than ``hot`` members leaves that path: its members meet at keys within tau / 2 flips of the
+whole fingerprint, which are within tau of each other by construction, so no pair is formed and the
+work grows in proportion to the members.
 
 Cases: null, empty and white texts have the fingerprint 0; fewer words than a shingle make one
 shingle; texts of any length are read whole; equal fingerprints are one node, so copies are never
@@ -26,25 +25,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, ceil, comb, exp, lgamma, pi
+from math import ceil, comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from packetloom.llm.components import components
-from packetloom.llm.io import written
+from packetloom.llm.io import freed, written
 
 BITS = 64
 
 #: Rows of a key beyond which its members are linked without pairs.
 HOT = 20_000
 
-#: Rows of a key up to which all its pairs are looked at as one matrix, in slices.
-SQUARE = 4096
-
 #: Relative cost of a probed row and of a verified candidate.
 ROW_COST, PAIR_COST = 1.5, 0.02
 
@@ -71,18 +68,15 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(np.frombuffer(bits.tobytes(), "<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seeds: tuple[int, ...] = (42,), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns and the fingerprint of each seed, ``fp``, ``fp1``, ..., as signed longs."""
-    names = [f"fp{i or ''}" for i in range(len(seeds))]
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, fp): fingerprints as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            made = [np.array([fingerprint(t, words, s) for t in texts], np.uint64).view(np.int64) for s in seeds]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, made)], names=[*keep, *names])
+            made = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made)], names=["doc_id", "fp"])
 
-    read = docs.select(*(F.col(c).cast("long").alias(c) for c in keep), F.col(text).alias("_text"))
-    return read.mapInArrow(run, ", ".join(f"`{c}` long" for c in (*keep, *names)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -174,43 +168,30 @@ def _flips(part: list[int], radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(part, r)], np.uint64)
 
 
-def probes(nodes: DataFrame, parts: list[list[int]], thresholds: list[int], more: tuple[str, ...] = ()) -> DataFrame:
-    """(part, key, node, fp, further words): a row per key that a node is stored under or asked for at."""
+def probes(fps: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
+    """(part, key, asks, fp): a row per key that a fingerprint is stored under or asked for at."""
     plan = []
     for i, (part, t) in enumerate(zip(parts, thresholds)):
         if t >= 0:
             plan.append((i, np.uint64(sum(1 << b for b in part)), _flips(part, (t + 1) // 2), len(_flips(part, t // 2))))
-    names = ["node", "fp", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [batch.column(c).to_numpy() for c in names]
-            for at in range(0, batch.num_rows, 1000):
-                rows = [x[at : at + 1000] for x in held]
-                fp = rows[1].view(np.uint64)
+            whole = batch.column("fp").to_numpy().view(np.uint64)
+            for at in range(0, len(whole), 1000):
+                fp = whole[at : at + 1000]
                 for i, mask, flips, stored in plan:
                     keys = ((fp & mask)[:, None] ^ flips[None, :]).ravel()
                     asks = np.tile(np.arange(len(flips)) >= stored, len(fp))
-                    columns = [np.full(len(keys), i, np.int8), keys.view(np.int64), asks, *(np.repeat(x, len(flips)) for x in rows)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "asks", *names])
-
-    schema = "part byte, key long, asks boolean, " + ", ".join(f"`{c}` long" for c in names)
-    return nodes.select(*names).mapInArrow(run, schema)
+                    columns = [np.full(len(keys), i, np.int8), keys.view(np.int64), asks, np.repeat(fp, len(flips)).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "asks", "fp"])
 
+    return fps.select("fp").mapInArrow(run, "part byte, key long, asks boolean, fp long")
 
-def _near(a: np.ndarray, b: np.ndarray, tau: int, within: int) -> np.ndarray:
-    """Whether rows of words differ in at most tau bits of the first and ``within`` bits of all."""
-    ok = np.bitwise_count(a[..., 0] ^ b[..., 0]) <= tau
-    if a.shape[-1] > 1 and ok.any():
-        at = np.nonzero(ok)
-        a, b = (np.broadcast_to(x, (*ok.shape, x.shape[-1]))[at] for x in (a, b))
-        ok[at] = np.bitwise_count(a ^ b).sum(-1) <= within
-    return ok
 
-
-def forest(words: np.ndarray, tau: int, within: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Places of links that join the rows as all links would; fewer than rows."""
-    left = np.arange(1, len(words))
+def forest(fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that join the fingerprints as all links would; fewer than rows."""
+    left = np.arange(1, len(fp))
     us: list[np.ndarray] = []
     vs: list[np.ndarray] = []
     queue = [0]
@@ -219,7 +200,7 @@ def forest(words: np.ndarray, tau: int, within: int = BITS) -> tuple[np.ndarray,
             at = queue.pop()
         else:
             at, left = int(left[0]), left[1:]
-        near = _near(words[left], words[at], tau, within)
+        near = np.bitwise_count(fp[left] ^ fp[at]) <= tau
         if near.any():
             new = left[near]
             us.append(new)
@@ -230,27 +211,8 @@ def forest(words: np.ndarray, tau: int, within: int = BITS) -> tuple[np.ndarray,
     return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
-def _pairs(words: np.ndarray, tau: int, within: int, sure: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all links among a key's rows, or of forests of the sure and of all links where there are many."""
-    us: list[np.ndarray] = []
-    vs: list[np.ndarray] = []
-    if len(words) <= SQUARE:
-        step = max(1, (1 << 20) // len(words))
-        for at in range(0, len(words), step):
-            u, v = np.nonzero(_near(words[at : at + step, None], words[None, at:], tau, within))
-            new = u < v
-            us.append(u[new] + at)
-            vs.append(v[new] + at)
-            if sum(map(len, us)) > 4 * len(words):
-                break
-        else:
-            return np.concatenate(us), np.concatenate(vs)
-    us, vs = zip(*(forest(words, tau, most) for most in sorted({sure, within})))
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def links(run: np.ndarray, node: np.ndarray, words: np.ndarray, asks: np.ndarray, tau: int, within: int = BITS, sure: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Places of links between different nodes among the members of each key; a key's rows follow one another."""
+def links(run: np.ndarray, fp: np.ndarray, asks: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links among the members of each key, or of a forest; a key's rows follow one another."""
     new = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     size = np.diff(np.concatenate([new, [len(run)]]))
     small = np.repeat(size <= 12, size)
@@ -260,26 +222,22 @@ def links(run: np.ndarray, node: np.ndarray, words: np.ndarray, asks: np.ndarray
         if not len(i):
             break
         i = i[~(asks[i] & asks[i + d])]  # one of a pair is stored under the key
-        ok = _near(words[i], words[i + d], tau, within) & (node[i] != node[i + d])
+        ok = (np.bitwise_count(fp[i] ^ fp[i + d]) <= tau) & (fp[i] != fp[i + d])
         us.append(i[ok])
         vs.append(i[ok] + d)
     for at, n in zip(new[size > 12].tolist(), size[size > 12].tolist()):
-        own = at + np.unique(node[at : at + n], return_index=True)[1]
-        u, v = _pairs(words[own], tau, within, sure)
+        own = at + np.unique(fp[at : at + n], return_index=True)[1]
+        u, v = forest(fp[own], tau)
         us.append(own[u])
         vs.append(own[v])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def link(nodes: DataFrame, tau: int = 4, hot: int = HOT, more: tuple[str, ...] = (), within: int = BITS, sure: int = BITS) -> DataFrame:
-    """(u, v, sure) links between nodes (node, fp, further words), connecting what all links within ``within`` bits connect.
-
-    A link is sure if it differs in at most ``sure`` bits of all words; the sure links by themselves
-    connect what all sure links connect.
-    """
-    n, both = bit_statistics(nodes)
+def link(fps: DataFrame, tau: int = 4, hot: int = HOT) -> DataFrame:
+    """(u, v) links between distinct fingerprints ``fp`` that connect what all links within tau bits connect."""
+    n, both = bit_statistics(fps)
     parts, thresholds = allocate(n, both, tau)
-    probed = probes(nodes, parts, thresholds, more)
+    probed = written(probes(fps, parts, thresholds), "probes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -287,70 +245,66 @@ def link(nodes: DataFrame, tau: int = 4, hot: int = HOT, more: tuple[str, ...] =
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
-            last = np.all([x == x[-1:] for x in now[:3]], 0)
+            last = np.all([x == x[-1:] for x in now[:2]], 0)
             held = [x[last] for x in now]  # its key may go on in the next batch
             yield made([x[~last] for x in now])
         if held is not None:
             yield made(held)
 
     def made(rows: list[np.ndarray]) -> pa.RecordBatch:
-        part, key, block, asks, node, *words = rows
+        part, key, asks, fp = rows
         u = v = np.zeros(0, np.int64)
-        near = np.zeros(0, bool)
         if len(key):
-            changed = np.concatenate([[False], (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-            words = np.stack([w.view(np.uint64) for w in words], 1)
-            i, j = links(np.cumsum(changed), node, words, asks, tau, within, sure)
-            u, v, near = node[i], node[j], np.bitwise_count(words[i] ^ words[j]).sum(-1) <= sure
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(near)], names=["u", "v", "sure"])
-
-    dense = None
-    crowded = probed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
-    crowded = written(crowded, "crowded")
-    blocks = probed.withColumn("block", F.lit(0).cast("long"))
-    if not crowded.isEmpty():
-        blocks = blocks.join(crowded, ["part", "key"], "left_anti")
-        if more:
-            blocks = blocks.unionByName(_in_blocks(probed.join(crowded, ["part", "key"]), hot))
-        else:
-            dense = _by_midpoints(probed.join(crowded, ["part", "key"], "left_semi").select("fp").distinct(), tau)
-    columns = ["part", "key", "block", "asks", "node", "fp", *more]
-    dealt = blocks.select(columns).repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "node")
-    out = dealt.mapInArrow(run, "u long, v long, sure boolean")
-    return out.union(dense.withColumn("sure", F.lit(True))) if dense is not None else out
+            changed = np.concatenate([[False], (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
+            i, j = links(np.cumsum(changed), fp.view(np.uint64), asks, tau)
+            u, v = fp[i], fp[j]
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    crowded = written(probed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("part", "key"), "crowded")
+    if crowded.isEmpty():
+        rest, dense = probed, None
+    else:
+        rest = probed.join(crowded, ["part", "key"], "left_anti")
+        dense = _by_midpoints(probed.join(crowded, ["part", "key"], "left_semi").select("fp").distinct(), tau)
+    dealt = rest.select("part", "key", "asks", "fp").repartition("part", "key").sortWithinPartitions("part", "key", "fp")
+    out = dealt.mapInArrow(run, "u long, v long")
+    return out.union(dense) if dense is not None else out
 
 
-def _in_blocks(members: DataFrame, hot: int) -> DataFrame:
-    """The members (with their key's count n) of crowded keys, dealt out so that each two of a key meet in some block.
+def _by_midpoints(fps: DataFrame, tau: int) -> DataFrame:
+    """Links of crowded fingerprints: each to the least one that is stored under a key it asks for.
 
-    Nodes fall into enough slots for half of ``hot`` rows each; a block is a pair of slots, and a row goes to
-    the blocks of its slot with every slot.
+    Fingerprints are stored under all keys within tau // 2 flips and ask at those within (tau + 1) // 2, so
+    whatever meets there is within tau by construction.
     """
-    slots = F.ceil(F.col("n") * 2 / hot)
-    slot = F.pmod(F.xxhash64("node"), slots)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), slots - 1), lambda x: F.least(slot, x) * slots + F.greatest(slot, x))
-    return members.withColumn("block", F.explode(pairs)).drop("n")
-
-
-def _by_midpoints(fps: DataFrame, tau: int) -> DataFrame:
-    """Links of crowded fingerprints: each to the least one that shares a key within tau / 2 flips."""
-    few, many = _flips(list(range(BITS)), tau // 2), _flips(list(range(BITS)), (tau + 1) // 2)
+    stored, flips = len(_flips(list(range(BITS)), tau // 2)), _flips(list(range(BITS)), (tau + 1) // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = batch.column("fp").to_numpy().view(np.uint64)
             for at in range(0, len(whole), 64):
                 fp = whole[at : at + 64]
-                columns = [(fp[:, None] ^ many[None, :]).ravel().view(np.int64), np.repeat(fp, len(many)).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fp"])
+                asks = np.tile(np.arange(len(flips)) >= stored, len(fp))
+                columns = [(fp[:, None] ^ flips[None, :]).ravel().view(np.int64), np.repeat(fp, len(flips)).view(np.int64), asks]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fp", "asks"])
 
-    if len(few) != len(many):
-        raise ValueError("crowded keys need an even threshold")
-    keys = fps.mapInArrow(run, "key long, fp long")
-    least = keys.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    keys = fps.mapInArrow(run, "key long, fp long, asks boolean")
+    least = keys.groupBy("key").agg(F.min(F.when(~F.col("asks"), F.col("fp"))).alias("least"), F.count("*").alias("n")).filter("n > 1 AND least IS NOT NULL")
     return keys.join(least, "key").filter("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
+def _in_blocks(members: DataFrame, hot: int) -> DataFrame:
+    """The members (with their key's count n) of crowded keys, dealt out so that each two of a key meet in some block.
+
+    Nodes fall into enough slots for half of ``hot`` rows each; a block is a pair of slots, and a row goes to
+    the blocks of its slot with every slot.
+    """
+    slots = F.ceil(F.col("n") * 2 / hot)
+    slot = F.pmod(F.xxhash64("node"), slots)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), slots - 1), lambda x: F.least(slot, x) * slots + F.greatest(slot, x))
+    return members.withColumn("block", F.explode(pairs)).drop("n")
+
+
 def group(fps: DataFrame, tau: int = 4, hot: int = HOT) -> DataFrame:
     """(fp, component_id) for rows (doc_id, fp): the least doc_id reachable over links within tau."""
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("fp")), "fingerprints")
@@ -371,16 +325,6 @@ def near_dedup(docs: DataFrame, tau: int = 4, words: int = 4, hot: int = HOT) ->
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def bits_within(similarity: float, bits: int, deviations: float = 0) -> int:
-    """The bits that SimHashes of shingle sets with this Jaccard similarity are expected to differ in.
-
-    Sets of one size with Jaccard similarity J have the cosine 2J / (1 + J), and each bit differs
-    with the chance of their angle over pi; so many standard deviations of that count are added.
-    """
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
-
-
 def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     """The distinct hashes of the text's word shingles, ascending."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -563,19 +507,22 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int = HOT) -> DataFrame:
-    """The documents without near copies: of each group the smallest doc_id stays, in one row.
+    """The documents without near copies: of each group the smallest doc_id stays (nulls last), in one row.
 
     Two documents are linked where the sets of their word shingles have at least this Jaccard similarity;
-    a group is what links connect. All similar sets share a key (``set_keys``). First each set is
+    a group is what links connect. The generalised pigeonhole is applied to the sets themselves instead of
+    to bits that are drawn from them, so all similar sets share a key (``set_keys``). First each set is
     compared with the head of its keys; then those under one key that are not joined yet are compared
     with one another. Nothing goes without a comparison of whole sets, but equal ones.
+
+    Rows travel as one column and are written with their numbers first, so extra columns may have any
+    names, and numbers don't depend on how ``docs`` was made.
     """
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [set_node(shingles(t, words)) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_rid"), pa.array(made, pa.int64())], names=["doc_id", "_rid", "node"])
+            made = [set_node(shingles(t, words)) for t in batch.column("row").field(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.int64())], names=["row", "node"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -583,18 +530,25 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int
             lists = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], names=["node", "grams", "size", "sketch"])
 
-    read = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_rid", F.col("text").alias("_text"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")
-    nodes = written(read.mapInArrow(named, "doc_id long, _rid long, node long").groupBy("node").agg(F.min(order).alias("first")), "sets")
-    shared = written(sharing(rows, similarity, words), "shared")
-    star = shared.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct()
-    star = written(star, "stars")
-    ends = star.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first._rid").alias("_rid"))
-    sets = written(rows.select("_rid", "text").join(ends, "_rid").select("node", "text").mapInArrow(gathered, "node long, grams array<long>, size long, sketch array<long>"), "shingles")
+    at = docs.columns.index("text")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = StructType([StructField("row", whole.schema["row"].dataType), StructField("node", LongType())])
+    rows = written(whole.mapInArrow(named, schema).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    doc = F.col("row.doc_id").cast("long")
+    order = F.struct(doc.isNull().alias("none"), doc.alias("doc_id"), "rid")
+    nodes = written(rows.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "sets")
+    copies = rows.select("rid", "node").join(nodes.filter("copies > 1").select("node", F.col("first.rid").alias("kept")), "node").filter("rid != kept")
+    reps = rows.select("rid", "node", F.col("row.text").alias("text")).join(written(copies.select("rid"), "copies"), "rid", "left_anti")
+    shared = written(sharing(reps, similarity, words), "shared")
+    star = written(shared.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct(), "stars")
+    ends = written(star.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select(F.col("first.rid").alias("rid")), "ends")
+    sets = rows.select("rid", "node", F.col("row.text").alias("text")).join(ends, "rid").select("node", "text")
+    sets = written(sets.mapInArrow(gathered, "node long, grams array<long>, size long, sketch array<long>"), "shingles")
     near = written(similar(star, sets, similarity), "near")
     label = written(components(near), "joined")
     members = shared.select("key", "node", "own").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = written(unjoined(members, sets, similarity, hot).join(star, ["u", "v"], "left_anti"), "unjoined")
     found = near.union(similar(rest, sets, similarity))
-    stay = _named(nodes, found).select(F.col("component_id._rid").alias("_rid")).distinct()
-    return rows.join(stay, "_rid", "left_semi").drop("_rid")
+    stay = written(_named(nodes, found).select(F.col("component_id.rid").alias("rid")).distinct(), "stay")
+    freed(shared, star, ends, sets, near, label, rest)
+    return rows.join(stay, "rid", "left_semi").select("row.*")

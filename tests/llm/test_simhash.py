@@ -19,7 +19,7 @@ def plain(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def reach(pairs):
+def reach(pairs, tau=4):
     """pairs: (doc_id, fingerprint); the least doc_id reachable per fingerprint."""
     fps = sorted({f for _, f in pairs})
     of = {f: f for f in fps}
@@ -31,7 +31,7 @@ def reach(pairs):
 
     for i, a in enumerate(fps):
         for b in fps[i + 1 :]:
-            if (a ^ b).bit_count() <= 4:
+            if (a ^ b).bit_count() <= tau:
                 of[root(a)] = root(b)
     least = defaultdict(lambda: None)
     for d, f in pairs:
@@ -98,7 +98,7 @@ def test_allocation_spends_the_threshold(spark):
 def test_crowded_runs_keep_a_forest():
     draw = np.random.default_rng(5)
     fp = np.unique(np.uint64(77) ^ (np.uint64(1) << draw.integers(0, 64, 500).astype(np.uint64)))
-    u, v = simhash.forest(fp[:, None], 4)
+    u, v = simhash.forest(fp, 4)
     assert len(u) == len(fp) - 1
 
 
@@ -119,28 +119,20 @@ def jaccard(a, b):
 
 
 def wide_reach(rows):
-    """Groups of rows whose texts are linked by the stage's definition, by all pairs."""
-    prints = [tuple(simhash.fingerprint(r.text, 5, s) for s in (42, 43, 44)) for r in rows]
-    sets = [grams(r.text) for r in rows]
-    linked = []
-    for i in range(len(rows)):
-        for j in range(i):
-            apart = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j])]
-            if min(apart[:2]) <= 12 and (sum(apart) <= 19 or sum(apart) <= 39 and jaccard(sets[i], sets[j]) >= 0.8):
-                linked.append((i, j))
-    label = list(range(len(rows)))
-    changed = True
-    while changed:
-        changed = False
-        for i, j in linked:
-            if label[i] != label[j]:
-                label[i] = label[j] = min(label[i], label[j])
-                changed = True
-    return label
+    """Groups of rows whose sets of five-word shingles a Jaccard similarity of 0.8 links, by all pairs."""
+    sets, label = [grams(r.text) for r in rows], list(range(len(rows)))
 
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
 
-def test_bits_of_a_similarity():
-    assert [simhash.bits_within(0.8, 192, d) for d in (-2, 0, 2)] == [19, 29, 39]
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(rows))]
 
 
 def test_one_of_each_group_stays(docs, rows, odd, none):
@@ -151,11 +143,18 @@ def test_one_of_each_group_stays(docs, rows, odd, none):
             key = (r.doc_id is None, r.doc_id)
             least[k] = min(least.get(k, key), key)
         kept = simhash.keep_one(df)
-        assert kept.columns == [c for c in df.columns if c != "_rid"]
+        assert kept.schema.names == df.schema.names
         assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == sorted((d for _, d in least.values()), key=str)
     assert simhash.keep_one(none).select(F.count("*")).first()[0] == 0
 
 
+def test_clashing_columns_are_kept(spark):
+    names = ["_rid", "rid", "row", "node", "key", "first"]
+    df = spark.createDataFrame([(i, f"text number {i % 2}", *(f"{c}{i}" for c in names)) for i in range(4)], ["doc_id", "text", *names])
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.filter("doc_id < 2").collect()))
+
+
 def test_near_copies_go_and_others_stay(spark):
     draw = random.Random(11)
     vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
@@ -186,22 +185,15 @@ def test_borderline_pairs_are_found_and_pairs_below_are_not(spark):
     assert below | set(range(200)) <= kept and len(above) > 50 and len(above & kept) <= len(above) * 0.1
 
 
-@pytest.mark.parametrize("more", [(), ("fp1",)])
-def test_crowded_keys_are_dealt_in_blocks(spark, more):
-    draw = random.Random(3)
+@pytest.mark.parametrize("tau", [2, 3, 4, 5])
+def test_crowded_keys_for_even_and_odd_thresholds(spark, tau):
+    draw = random.Random(tau)
     base = [draw.getrandbits(64) for _ in range(6)]
-    fps = sorted({b ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for b in base for _ in range(40)})
+    fps = sorted({b ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for b in base for _ in range(25)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(i, f, f) for i, f in enumerate(signed)], "node long, fp long, fp1 long")
-    within = {"within": 8, "sure": 8} if more else {}
-    edges = simhash.link(df.drop(*({"fp1"} - set(more))), 4, hot=20, more=more, **within)
-    if not more:
-        edges = edges.select("u", "v")
-    names = {r.node: r.label for r in components(edges).collect()}
-    ids = {f: i for i, f in enumerate(signed)} if more else {f: f for f in signed}
-    want = reach([(ids[s], f) for s, f in zip(signed, fps)])
-    for (f, k), s in zip(want.items(), signed):
-        assert names.get(ids[s], ids[s]) == k
+    df = spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp long, doc_id long")
+    got = {r.fp % (1 << 64): r.component_id for r in simhash.group(df, tau, hot=5).collect()}
+    assert got == reach([(i, f) for i, f in enumerate(fps)], tau)
 
 
 def kept_ids(spark, texts, **more):
