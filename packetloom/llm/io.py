@@ -6,6 +6,7 @@ import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a narrow table (two longs at most) up to which it is broadcast: 64 MB.
+BROADCAST_ROWS = 4_000_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """A narrow written table, to be broadcast if a count proves it small; beyond that the join deals out both sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def freed(*tables: DataFrame) -> None:
     """Removes the files of tables that ``written`` returned and that nothing reads any more."""
     for df in tables:

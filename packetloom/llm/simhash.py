@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from packetloom.llm.components import components
-from packetloom.llm.io import freed, written
+from packetloom.llm.io import freed, sized, written
 
 BITS = 64
 
@@ -500,6 +500,8 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     small, large = F.least("size_u", "size_v"), F.greatest("size_u", "size_v")
     open_ = pairs.filter((small >= similarity * large - 1e-9) & (bits <= (small + large) * (1 - similarity) / (1 + similarity) + 1e-9))
     both = written(open_.select("u", "v"), "open")
+    asked = written(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
+    sets = sets.join(sized(asked), "node", "left_semi")
     for side, at in zip(ends("grams"), "uv"):
         both = both.join(side.withColumnRenamed(f"grams_{at}", {"u": "a", "v": "b"}[at]), at)
     common = F.size(F.array_intersect("a", "b"))
@@ -538,17 +540,19 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int
     order = F.struct(doc.isNull().alias("none"), doc.alias("doc_id"), "rid")
     nodes = written(rows.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "sets")
     copies = rows.select("rid", "node").join(nodes.filter("copies > 1").select("node", F.col("first.rid").alias("kept")), "node").filter("rid != kept")
-    reps = rows.select("rid", "node", F.col("row.text").alias("text")).join(written(copies.select("rid"), "copies"), "rid", "left_anti")
+    copies = written(copies.select("rid"), "copies")
+    reps = rows.select("rid", "node", F.col("row.text").alias("text")).join(sized(copies), "rid", "left_anti")
     shared = written(sharing(reps, similarity, words), "shared")
     star = written(shared.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct(), "stars")
     ends = written(star.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select(F.col("first.rid").alias("rid")), "ends")
-    sets = rows.select("rid", "node", F.col("row.text").alias("text")).join(ends, "rid").select("node", "text")
+    sets = rows.select("rid", "node", F.col("row.text").alias("text")).join(sized(ends), "rid", "left_semi").select("node", "text")
     sets = written(sets.mapInArrow(gathered, "node long, grams array<long>, size long, sketch array<long>"), "shingles")
     near = written(similar(star, sets, similarity), "near")
     label = written(components(near), "joined")
     members = shared.select("key", "node", "own").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = written(unjoined(members, sets, similarity, hot).join(star, ["u", "v"], "left_anti"), "unjoined")
     found = near.union(similar(rest, sets, similarity))
-    stay = written(_named(nodes, found).select(F.col("component_id.rid").alias("rid")).distinct(), "stay")
-    freed(shared, star, ends, sets, near, label, rest)
-    return rows.join(stay, "rid", "left_semi").select("row.*")
+    kept = _named(nodes, found).select("node", F.col("component_id.rid").alias("kept"))
+    gone = written(rows.select("rid", "node").join(kept, "node").filter("rid != kept").select("rid"), "gone")
+    freed(shared, star, copies, ends, sets, near, label, rest)
+    return rows.join(sized(gone), "rid", "left_anti").select("row.*")
