@@ -31,6 +31,7 @@ class Config:
     dga_entropy: float = 3.5
     dga_bigram: float = -4.5
     persistence_days: int = 7
+    series_sample: int = 10_000
 
 
 DEFAULT = Config()

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from ipaddress import ip_network
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,23 +25,74 @@ def col(c: Column | str) -> Column:
 def ip_key(c: Column | str) -> Column:
     """An IPv4 address as a number, else null."""
     parts = F.split(col(c), r"\.")
-    number = sum((F.get(parts, i).cast("long") * (1 << (24 - 8 * i)) for i in range(1, 4)), F.get(parts, 0).cast("long") * (1 << 24))
+    number = sum((F.get(parts, i).try_cast("long") * (1 << (24 - 8 * i)) for i in range(1, 4)), F.get(parts, 0).try_cast("long") * (1 << 24))
     return F.when(col(c).rlike(_IPV4), number)
 
 
-def cidr_low(c: Column | str) -> Column:
-    bits = F.lit(32) - F.get(F.split(col(c), "/"), 1).cast("int")
-    base = ip_key(F.get(F.split(col(c), "/"), 0))
-    return base - F.pmod(base, F.pow(F.lit(2.0), bits).cast("long"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def cidr_high(c: Column | str) -> Column:
-    bits = F.lit(32) - F.get(F.split(col(c), "/"), 1).cast("int")
-    return cidr_low(c) + F.pow(F.lit(2.0), bits).cast("long") - 1
+def _groups(side: Column) -> Column:
+    """The hexadecimal groups of one side of an IPv6 address; an IPv4 tail makes two."""
+    tail = r"\d+\.\d+\.\d+\.\d+$"
+
+    def plain(key: Column) -> Column:
+        two = F.concat_ws(":", F.lower(F.hex(F.floor(key / 65536).cast("long"))), F.lower(F.hex(F.pmod(key, F.lit(65536)))))
+        return F.when(key.isNotNull(), F.concat(F.regexp_replace(side, tail, ""), two)).otherwise(side)
+
+    return F.filter(F.split(let(ip_key(F.regexp_extract(side, f"({tail})", 1)), plain), ":"), lambda g: g != "")
+
+
+def ip_hex(c: Column | str) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, else null."""
+
+    def of(v: Column) -> Column:
+        return let(F.split(v, "::", -1), lambda sides: filled(v, sides))
+
+    def filled(v: Column, sides: Column) -> Column:
+        pair = F.struct(_groups(F.get(sides, 0)).alias("head"), _groups(F.coalesce(F.get(sides, 1), F.lit(""))).alias("tail"))
+        return let(pair, lambda p: let(whole(p, F.size(sides) == 2), lambda groups: checked(v, sides, groups)))
+
+    def whole(p: Column, short: Column) -> Column:
+        free = F.greatest(F.lit(8) - F.size(p["head"]) - F.size(p["tail"]), F.lit(0))
+        return F.when(short & (free > 0), F.concat(p["head"], F.array_repeat(F.lit("0"), free), p["tail"])).otherwise(F.concat(p["head"], p["tail"]))
+
+    def checked(v: Column, sides: Column, groups: Column) -> Column:
+        short = F.size(sides) == 2
+        fine = v.rlike(r"^[0-9a-f:.]+$") & (F.size(sides) <= 2) & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) <= 4) & (short | ~v.rlike("^:|:$"))
+        return F.when(fine, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return F.when(F.contains(col(c), F.lit(":")), let(F.lower(F.regexp_replace(col(c), r"%.*$", "")), of))
+
+
+def ip_bits(c: Column | str) -> Column:
+    """An IPv6 address as 128 binary digits, else null."""
+    nibble = lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")
+    return F.array_join(F.transform(F.filter(F.split(ip_hex(c), ""), lambda d: d != ""), nibble), "")
+
+
+def canonical(c: Column | str) -> Column:
+    """One spelling per address: IPv4 as it is, also where it is mapped into IPv6, other IPv6 as 32 digits; other text in lower case."""
+
+    def six(digits: Column) -> Column:
+        four = F.concat_ws(".", *(F.conv(F.substring(digits, 25 + 2 * i, 2), 16, 10) for i in range(4)))
+        return F.coalesce(F.when(digits.startswith("0" * 20 + "ffff"), four).otherwise(digits), F.lower(col(c)))
+
+    return F.when(F.contains(col(c), F.lit(":")), let(ip_hex(c), six)).otherwise(F.lower(col(c)))
 
 
 def in_cidr(c: Column | str, cidr: str) -> Column:
-    return F.coalesce(ip_key(c).between(cidr_low(F.lit(cidr)), cidr_high(F.lit(cidr))), F.lit(False))
+    """Whether an address, of either family, lies in a range."""
+    try:
+        net = ip_network(cidr, strict=False)
+    except ValueError:
+        return F.lit(False)
+    if net.version == 4:
+        return F.coalesce(ip_key(c).between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
+    prefix = f"{int(net.network_address):0128b}"[: net.prefixlen]
+    return F.coalesce(F.contains(col(c), F.lit(":")) & F.startswith(ip_bits(c), F.lit(prefix)), F.lit(False))
 
 
 def is_private(c: Column | str) -> Column:
@@ -55,7 +107,7 @@ def is_private_ungated(c: Column | str) -> Column:
     return F.coalesce(is_private(c) | (col(c) == "::1") | col(c).startswith("fc") | col(c).startswith("fd"), F.lit(False))
 
 
-def is_internal(c: Column | str, nets: Iterable[str] = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16")) -> Column:
+def is_internal(c: Column | str, nets: Iterable[str] = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "::1/128", "fc00::/7", "fe80::/10")) -> Column:
     """The true range test."""
     out = F.lit(False)
     for net in nets:
@@ -182,7 +234,7 @@ def pick(c: Column, table: dict) -> Column:
 
 
 def service_category(c: Column | str) -> Column:
-    return pick(col(c), {s: k for k, names in values.SERVICE_CATEGORIES.items() for s in names})
+    return pick(col(c), values.SERVICE_CATEGORIES)
 
 
 def expected_on_port(service: Column | str, port: Column | str) -> Column:
@@ -259,6 +311,28 @@ def when_text(ts: Column | str) -> Column:
 # Predicates over findings
 
 
+def severity_is(value: str) -> Column:
+    return F.upper("severity") == value.upper()
+
+
+def sensor_is(value: str) -> Column:
+    return F.coalesce(F.col("sensor") == value, F.lit(False))
+
+
+def status_is(value: str) -> Column:
+    """``open`` is no status."""
+    return F.coalesce("status", F.lit("")) == ("" if value.lower() == "open" else value.lower())
+
+
+def detected_is(low: float | None = None, high: float | None = None, c: str = "detected_at") -> Column:
+    """A UTC text time as epoch seconds within [low, high); without a readable time a row is out (PRED-14)."""
+    at = F.unix_timestamp(F.try_to_timestamp(col(c), F.lit("yyyy-MM-dd HH:mm:ss")))
+    ok = at.isNotNull()
+    if low is not None:
+        ok = ok & (at >= low)
+    return ok & (at < high) if high is not None else ok
+
+
 def type_is(value: str) -> Column:
     if value.lower() == "beacons":
         return F.col("type").isin(list(values.BEACONS))
@@ -292,6 +366,40 @@ def ip_is(c: Column | str, value: str) -> Column:
     return glob_match(c, value) if re.search(r"[*?]", value) else F.coalesce(col(c) == value, F.lit(False))
 
 
+def fingerprint_is(c: Column | str, value: str) -> Column:
+    """A TLS fingerprint, whatever its case."""
+    return F.coalesce(F.lower(col(c)) == value.strip().lower(), F.lit(False))
+
+
+def bool_is(name: str, value: str) -> Column:
+    """ioc, spectral, channel, benign or triaged, ``true`` or ``false``; other values match nothing."""
+    held = {
+        "ioc": lambda: F.coalesce("ioc_match", F.lit(False)),
+        "spectral": lambda: F.coalesce("spectral_rescued", F.lit(False)),
+        "channel": lambda: F.coalesce("channel", F.lit("")) != "",
+        "benign": lambda: F.coalesce("benign", F.lit(False)),
+        "triaged": lambda: F.coalesce(F.exists("notes", lambda n: F.lower(n).startswith("triage:")), F.lit(False)),
+    }[name]()
+    return {"true": held, "false": ~held}.get(value.strip().lower(), F.lit(False))
+
+
+def log_types(c: Column | str) -> Column:
+    """The logs in which a finding's records are (LKP-13)."""
+    return F.coalesce(pick(col(c), {t: F.array(*map(F.lit, logs)) for t, logs in values.LOG_TYPES.items()}), F.array(*map(F.lit, values.ANY_LOG)))
+
+
+def trend_family(c: Column | str) -> Column:
+    return F.coalesce(pick(col(c), values.TREND_FAMILIES), F.lit("other"))
+
+
+def port_context(port: Column | str, service: Column | str) -> Column:
+    """What is known about a port, where the service doesn't say it already (LKP-14, SCL-15)."""
+    p, s = F.coalesce(col(port), F.lit("")), F.coalesce(col(service), F.lit(""))
+    name = pick(p, values.WELL_KNOWN_PORTS)
+    known = F.concat(F.lit("port "), p, F.lit(" (well-known: "), name, F.lit(")"))
+    return F.when(p == "", "").when(name.isNotNull(), known).when(s != "", "").otherwise(F.concat(F.lit("port "), p, F.lit(" (no well-known service: uncommon or custom)")))
+
+
 def direction_is(src: Column | str, dst: Column | str, value: str) -> Column:
     a, b, both = is_internal(src), is_internal(dst), is_ip(src) & is_ip(dst)
     cases = {"outbound": a & ~b, "inbound": ~a & b, "internal": a & b, "lateral": a & b, "external": ~a & ~b}

@@ -9,37 +9,44 @@ from pyspark.sql import functions as F
 
 from packetloom.config import DEFAULT, Config
 from packetloom.functions import exprs as E
-from packetloom.operators import stats
+from packetloom.operators import detect, matching, stats
 
 
 def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", bytes_: str = "orig_bytes", least: int = 4, cfg: Config = DEFAULT) -> DataFrame:
-    """All keys with enough records, with every sub-score; ``keys`` begins with the sensor."""
+    """All keys with enough records, with every sub-score; ``keys`` begins with the sensor.
+
+    Counts, means, log buckets, hours and coverage are over all records. The order statistics of a key with
+    over ``cfg.series_sample`` records are over about so many of them, chosen by hash (STAT-13), so no key
+    outgrows a row.
+    """
     keys = list(keys)
-    counted = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
-    counted = counted.filter(F.col("n") >= least)
-    gaps = stats.intervals(df.select(*keys, ts, bytes_), keys, ts)
-    series = gaps.groupBy(*keys).agg(
-        F.array_sort(F.collect_list("iv")).alias("ivs"),
-        F.array_sort(F.collect_list(F.when(F.col(bytes_) > 0, F.col(bytes_).cast("double")))).alias("sizes"),
+    rows = stats.blocked(df.select(*keys, F.col(ts).alias("_ts"), F.col(bytes_).cast("double").alias("_bytes")), keys, "_ts", least)
+    share = F.pmod(F.xxhash64("_ts", "_bytes"), F.lit(1 << 20)) / float(1 << 20)
+    rows = rows.withColumn("_in", (F.col("n") <= cfg.series_sample) | (share < cfg.series_sample / F.col("n"))).withColumn("_bucket", F.when(F.col("iv").isNotNull(), stats._bucket(F.col("iv"))))
+    series = rows.groupBy(*keys, "n", "first", "last").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_in"), F.col("iv")))).alias("ivs"),
+        F.array_sort(F.collect_list(F.when(F.col("_in") & (F.col("_bytes") > 0), F.col("_bytes")))).alias("sizes"),
+        F.count("iv").alias("gaps"),
+        F.avg("iv").alias("mean_iv"),
+        F.stddev_pop("iv").alias("sd_iv"),
+        *(F.count_if(F.col("_bucket") == b).cast("int").alias(f"_b{b}") for b in range(stats.BUCKETS)),
     )
-    hours = stats.hourly(df, keys, ts)
-    spans = counted.join(F.broadcast(stats.capture_window(df, keys[0], ts)), keys[0])
-    out = spans.join(series, keys).filter(F.size("ivs") >= 3)
-    out = out.join(stats.daily_rhythm(hours, keys), keys).join(stats.persistence(hours, spans, keys, cfg), keys)
-    iv = F.col("ivs")
-    mean = F.aggregate(iv, F.lit(0.0), lambda a, x: a + x) / F.size(iv)
-    spread = stats.let(mean, lambda m: F.sqrt(F.aggregate(iv, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(iv)))
+    series = series.filter("gaps >= 3").join(stats.capture_window(df, keys[0], ts), keys[0])
+    hours = stats.hourly(df.select(*keys, ts), keys, ts)
+    spans = series.select(*keys, "first", "last", "win_min", "win_max")
+    out = series.join(stats.daily_rhythm(hours, keys), keys).join(stats.persistence(hours, spans, keys, cfg), keys)
+    iv, counts = F.col("ivs"), F.array(*(F.col(f"_b{b}") for b in range(stats.BUCKETS)))
     out = out.select(
         *keys,
         "n",
         "first",
         "last",
-        mean.alias("mean_iv"),
+        "mean_iv",
         stats.median(iv).alias("median_iv"),
-        (spread / mean).alias("cv"),
+        (F.col("sd_iv") / F.col("mean_iv")).alias("cv"),
         stats.regularity(iv, 1.0).alias("ts_raw"),
-        stats.multimodal(iv).alias("ts_mm"),
-        stats.concentration(iv).alias("ts_ent"),
+        stats.multimodal(iv, counts).alias("ts_mm"),
+        stats.concentration(iv, counts, F.col("gaps")).alias("ts_ent"),
         F.when(F.size("sizes") >= 3, stats.regularity(F.col("sizes"), 0.0)).otherwise(0.0).alias("ds_score"),
         "hist_score",
         "dur_score",
@@ -48,12 +55,28 @@ def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: s
     return out.withColumn("conf", stats.confidence(F.col("n"), least, cfg))
 
 
-def scored(profiled: DataFrame, prevalence: DataFrame | None = None) -> DataFrame:
-    """``score`` and ``unboosted``, with the destination's prevalence where it is given."""
+def annotated(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", cfg: Config = DEFAULT) -> DataFrame:
+    """``spectral_rescued`` and ``spectral_period`` of the keys with weak timing (STAT-11 in DET-1): a hint that doesn't lift the score.
+
+    ``spectral_blocked``: the only strong peak was implausible.
+    """
+    keys = list(keys)
+    weak = profiled.filter((F.col("ts_score") < cfg.spectral_rescue) & (F.col("n") >= cfg.spectral_min_observations))
+    found = stats.periodicity(df, keys, ts, cfg=cfg, gated=weak).select(*keys, "period", "spectral_score", "dominant_period")
+    out = profiled.join(found, keys, "left")
+    rescued = F.coalesce(F.col("spectral_score") > F.col("ts_score"), F.lit(False))
+    out = out.withColumns({"spectral_rescued": rescued, "spectral_period": F.when(rescued, F.col("period"))})
+    return out.withColumn("spectral_blocked", ~F.col("spectral_rescued") & F.col("dominant_period").isNotNull()).drop("period", "spectral_score", "dominant_period")
+
+
+def scored(profiled: DataFrame, prevalence: DataFrame | None = None, boost: bool = True) -> DataFrame:
+    """``score`` and ``unboosted``, with the destination's prevalence where it is given; without boost it only damps."""
     if prevalence is None:
         profiled = profiled.withColumn("prevalence_mod", F.lit(1.0))
     else:
         profiled = profiled.join(prevalence.select("sensor", "dst", "prevalence_mod"), ["sensor", "dst"], "left").fillna({"prevalence_mod": 1.0})
+        if not boost:
+            profiled = profiled.withColumn("prevalence_mod", F.least("prevalence_mod", F.lit(1.0)))
     base = 100 * (F.col("ts_score") * 0.25 + F.col("ds_score") * 0.25 + F.col("hist_score") * 0.25 + F.col("dur_score") * 0.25) * F.col("conf")
     return profiled.withColumns({"score": E.clamp(base * F.col("prevalence_mod"), 1, 100), "unboosted": E.clamp(base, 1, 100)})
 
@@ -122,9 +145,43 @@ def channels(conn: DataFrame, ssl: DataFrame, blend: DataFrame, cfg: Config = DE
     return each.join(base, keys).filter((F.col("score") >= cfg.beacon_min_score) & (F.col("score") > F.col("blend_score")))
 
 
+def http_beacons(http: DataFrame, cfg: Config = DEFAULT, prevalence: DataFrame | None = None) -> DataFrame:
+    """HTTP beacons (DET-34): one host's URI asked for at a regular pace; as DET-1, without the lift of rare destinations."""
+    keys = ["sensor", "src", "dst", "port", "host", "uri"]
+    rows = http.filter(F.coalesce("host", F.lit("")) != "")
+    if "orig_bytes" not in rows.columns:
+        rows = rows.withColumn("orig_bytes", F.lit(0.0))
+    found = scored(annotated(profile(rows, keys, least=cfg.http_beacon_min_requests, cfg=cfg), rows, keys, cfg=cfg), prevalence, boost=False)
+    found = found.filter(F.col("score") >= cfg.beacon_min_score)
+    detail = F.format_string(
+        "Requests: %d | Host: %s | URI: %s | Score: ts=%.2f ds=%.2f hist=%.2f dur=%.2f conf=%.2f | ts_layers: raw=%.2f mm=%.2f ent=%.2f",
+        *(F.col(c) for c in ("n", "host", "uri", "ts_score", "ds_score", "hist_score", "dur_score", "conf", "ts_raw", "ts_mm", "ts_ent")),
+    )
+    return found.withColumns({"type": F.lit("HTTP Beacon"), "severity": E.beacon_severity("score"), "src_ip": F.col("src"), "dst_ip": F.col("dst"), "dst_port": F.col("port").cast("string"), "hostname": F.col("host"), "detail": detail, "timestamp": E.when_text("first")})
+
+
+def dns_beacons(dns: DataFrame, cfg: Config = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+    """DNS beacons (DET-19): at least ``dns_beacon_min_queries`` answered queries of one domain at a regular pace.
+
+    Content networks and allowed domains are left out; so are domains with as many names as the generated-name
+    rule takes (that rule owns them). No lift, no floor.
+    """
+    keys = ["sensor", "src", "apex"]
+    rows = detect.dns_rows(dns).filter(F.coalesce("rcode", F.lit("")) != "NXDOMAIN").filter(~E.is_cdn("apex")).withColumn("orig_bytes", F.lit(0.0))
+    if allowed is not None:
+        rows = rows.join(matching.matches(rows, "apex", allowed).select("apex").distinct(), "apex", "left_anti")
+    profiled = annotated(profile(rows, keys, least=cfg.dns_beacon_min_queries, cfg=cfg), rows, keys, cfg=cfg)
+    found = dns_scored(profiled, detect.subdomains(dns).select(*keys, "n_subs"), cfg)
+    detail = F.format_string(
+        "DNS queries: %d | Unique subdomains: %d | Mean interval: %.1fs | CV: %.2f | Score: ts=%.2f conf=%.2f",
+        *(F.col(c) for c in ("n", "n_subs", "mean_iv", "cv", "ts_score", "conf")),
+    )
+    return found.withColumns({"type": F.lit("DNS Beacon"), "src_ip": F.col("src"), "dst_ip": F.col("apex"), "hostname": F.col("apex"), "detail": detail, "timestamp": E.when_text("first")})
+
+
 def dns_scored(profiled: DataFrame, subs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Timing half, few subdomains a quarter, rhythm and persistence a quarter (DET-19); no lift, no floor."""
     joined = profiled.join(subs, ["sensor", "src", "apex"]).filter(F.col("n_subs") < cfg.unique_subdomain_min)
-    few = F.greatest(F.lit(0.0), 1 - F.col("n_subs") / 50.0)
+    few = F.greatest(F.lit(0.0), 1 - F.col("n_subs") / float(max(1, cfg.unique_subdomain_min)))
     base = 100 * (0.5 * F.col("ts_score") + 0.25 * few + 0.25 * (F.col("hist_score") + F.col("dur_score")) / 2) * F.col("conf")
     return joined.withColumn("score", E.clamp(base, 1, 100)).withColumn("severity", F.when(F.col("score") >= 80, "CRITICAL").otherwise("HIGH"))

@@ -164,9 +164,11 @@ def subdomain_dga(dns: DataFrame, sample: int = 200, cfg: Config = DEFAULT) -> D
     """Many subdomains; the mean entropy is over the first ``sample`` in sort order."""
     keys = ["sensor", "src", "apex"]
     subs = dns_rows(dns).filter(F.col("sub").isNotNull()).groupBy(*keys, "sub").agg(F.min("ts").alias("first"))
-    ranked = subs.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("sub")))
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.when(F.col("r") <= sample, E.entropy("sub"))).alias("ent"), F.min("first").alias("first"))
-    out = out.filter(F.col("n") >= cfg.unique_subdomain_min).withColumn("port", F.lit(53))
+    counted = subs.groupBy(*keys).agg(F.count("*").alias("n"), F.min("first").alias("first")).filter(F.col("n") >= cfg.unique_subdomain_min)
+    # Names are ranked and measured only where there are many.
+    ranked = subs.select(*keys, "sub").join(counted.select(*keys), keys, "left_semi").withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("sub")))
+    measured = ranked.filter(F.col("r") <= sample).groupBy(*keys).agg(F.avg(E.entropy("sub")).alias("ent"))
+    out = counted.join(measured, keys).withColumn("port", F.lit(53))
     sev = F.when(F.col("ent") > 3.0, "HIGH").otherwise("MEDIUM")
     return finding(out, "DNS Subdomain DGA", sev, E.clamp(F.least(55 + F.col("ent") * 6, F.lit(90.0)), 1, 95), F.format_string("Unique subdomains: %d", "n"), dst="apex", ts="first")
 

@@ -7,12 +7,16 @@ source, a target and a timestamp.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from packetloom.config import DEFAULT, Config
+from packetloom.functions.exprs import let
 
 BUCKETS = 18
 
@@ -29,9 +33,27 @@ def intervals(df: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str | Non
     return df.withColumn("iv", F.when(gap > 0, gap))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it occurs there."""
-    return F.get(F.transform(F.array(value), use), 0)
+def blocked(df: DataFrame, keys: Sequence[str], ts: str = "ts", least: int = 0, block: float = 86400.0) -> DataFrame:
+    """Rows of the keys with at least ``least`` records, with ``n``, ``first``, ``last`` of their key and ``iv`` in event order.
+
+    Rows are dealt out by key and block of time, so a busy key lies in many tasks: one small aggregate per
+    block gives the key's figures and the latest time before each block.
+    """
+    keys, own = list(keys), df.withColumn("_block", F.floor(F.col(ts) / block))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    days = own.groupBy(*keys, "_block").agg(F.count("*").alias("_c"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    days = days.select(
+        *keys,
+        "_block",
+        F.max("_hi").over(before).alias("_before"),
+        F.sum("_c").over(whole).alias("n"),
+        F.min("_lo").over(whole).alias("first"),
+        F.max("_hi").over(whole).alias("last"),
+    )
+    rows = own.join(days.filter(F.col("n") >= least), [*keys, "_block"])
+    gap = F.col(ts) - F.coalesce(F.lag(ts).over(Window.partitionBy(*keys, "_block").orderBy(ts)), F.col("_before"))
+    return rows.withColumn("iv", F.when(gap > 0, gap)).drop("_block", "_before")
 
 
 def median(xs: Column) -> Column:
@@ -85,7 +107,7 @@ def _counts(xs: Column) -> Column:
     return let(F.transform(xs, _bucket), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(bs, lambda x: x == b))))
 
 
-def multimodal(xs: Column) -> Column:
+def multimodal(xs: Column, counts: Column | None = None) -> Column:
     """Two to four tight modes on the logarithmic scale: their mean tightness, weighted by count; else 0.
 
     Buckets with half the largest count are peaks, and neighbouring peaks are one mode.
@@ -109,25 +131,25 @@ def multimodal(xs: Column) -> Column:
     def peaks_of(counts: Column) -> Column:
         return let(F.array_max(counts), lambda most: F.transform(counts, lambda c: (c > 0) & (c >= most * 0.5)))
 
-    return F.when(F.size(xs) >= 6, let(let(_counts(xs), peaks_of), of)).otherwise(0.0)
+    return F.when(F.size(xs) >= 6, let(let(_counts(xs) if counts is None else counts, peaks_of), of)).otherwise(0.0)
 
 
-def concentration(xs: Column) -> Column:
+def concentration(xs: Column, counts: Column | None = None, total: Column | None = None) -> Column:
     """1 - entropy over the logarithmic buckets, scaled down where the fullest bucket is wide; 0 below six intervals."""
 
     def of(counts: Column) -> Column:
-        n = F.size(xs).cast("double")
+        n = (F.size(xs) if total is None else total).cast("double")
         bits = F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0))
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - bits / math.log2(BUCKETS)))
         top = F.array_position(counts, F.array_max(counts)).cast("int") - 1
         return F.when(top >= 8, score * 128.0 / F.pow(F.lit(2.0), top)).otherwise(score)
 
-    return F.when(F.size(xs) >= 6, let(_counts(xs), of)).otherwise(0.0)
+    return F.when(F.size(xs) >= 6, let(_counts(xs) if counts is None else counts, of)).otherwise(0.0)
 
 
 def hourly(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Records per key and absolute hour: what the daily and the persistence score rest on."""
-    return df.groupBy(*keys, F.floor(F.col(ts) / 3600).alias("hour")).agg(F.count("*").alias("n"))
+    """Records per key and absolute hour: what the daily and the persistence score rest on, dealt out by key once for both."""
+    return df.groupBy(*keys, F.floor(F.col(ts) / 3600).alias("hour")).agg(F.count("*").alias("n")).repartition(*keys)
 
 
 def daily_rhythm(hours: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -180,35 +202,61 @@ def prevalence(df: DataFrame, sensor: str = "sensor", src: str = "src", dst: str
     return seen.withColumn("prevalence_mod", mod)
 
 
-def periods(window: float, n: int = 2000, least: float = 5.0) -> list[float]:
-    """The logarithmic grid from 5 s to half the window."""
-    top = max(window / 2, least)
-    return [least * (top / least) ** (i / (n - 1)) for i in range(n)]
-
-
-def periodicity(df: DataFrame, keys: Sequence[str], ts: str = "ts", grid: int = 2000, cfg: Config = DEFAULT, last: int = 2000) -> DataFrame:
-    """The strongest period of each key: power |sum exp(2 pi i t / p)|^2 / n less what the mere window gives.
+def periodicity(df: DataFrame, keys: Sequence[str], ts: str = "ts", grid: int = 2000, cfg: Config = DEFAULT, last: int = 2000, gated: DataFrame | None = None) -> DataFrame:
+    """The strongest plausible period of each key (STAT-11): power |sum exp(2 pi i t / p)|^2 / n less what the mere window gives.
 
-    Keys are first gated by their count; each key's timestamps meet its own grid, dealt over tasks by
-    key and slice of the grid, and only sums leave a task.
+    Keys are gated first, by their count and (``gated``) by whatever the caller asks of them, such as a
+    weak timing score; each keeps its ``last`` timestamps (WIN-10). Plausible are a fifth of the median
+    interval and more, up to a third of the window. ``dominant_period`` is a stronger peak outside of
+    that. A key is one row then, and its sums over the grid are arrays within an Arrow batch.
     """
-    order = Window.partitionBy(*keys).orderBy(F.desc(ts))
-    held = df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= last).drop("_rank")
-    spans = held.groupBy(*keys).agg(F.count("*").alias("n"), F.min(ts).alias("t0"), F.max(ts).alias("t1")).filter((F.col("n") >= cfg.spectral_min_observations) & (F.col("t1") - F.col("t0") > 20))
-    gaps = intervals(held, keys, ts).groupBy(*keys).agg(F.median("iv").alias("median_iv"))
-    own = held.join(spans, list(keys)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(grid // 100 - 1))))
-    own = own.repartition(*keys, "slice").withColumn("i", F.explode(F.sequence(F.col("slice") * 100, F.col("slice") * 100 + 99)))
-    top = (F.col("t1") - F.col("t0")) / 2
-    period = 5.0 * F.pow(top / 5.0, F.col("i") / float(grid - 1))
-    angle = 2 * math.pi * (F.col(ts) - F.col("t0")) / period
-    power = own.select(*keys, "n", "t0", "t1", "i", period.alias("period"), F.cos(angle).alias("c"), F.sin(angle).alias("s"))
-    power = power.groupBy(*keys, "n", "t0", "t1", "i", "period").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-    x = math.pi * (F.col("t1") - F.col("t0")) / F.col("period")
-    # An even spread over the window has the sums n sin(x)/x in this direction; its share is taken off.
-    flat = F.col("n") * F.sin(x) / x
-    less = F.pow(F.col("c") - flat * F.cos(x), 2) + F.pow(F.col("s") - flat * F.sin(x), 2)
-    scored = power.withColumn("power", less / F.col("n")).join(gaps, list(keys))
-    fits = (F.col("period") >= F.col("median_iv") / 5) & (F.col("period") <= (F.col("t1") - F.col("t0")) / 3)
-    best = scored.filter(fits).groupBy(*keys).agg(F.max(F.struct("power", "period")).alias("b"), F.first("n").alias("n"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("b.power") - cfg.spectral_threshold) / cfg.spectral_threshold))
-    return best.select(*keys, "n", F.col("b.period").alias("period"), F.col("b.power").alias("power"), score.alias("spectral_score"))
+    keys = list(keys)
+    rows = df.select(*keys, F.col(ts).cast("double").alias("_t")).filter("_t IS NOT NULL")
+    if gated is not None:
+        rows = rows.join(gated.select(*keys).distinct(), keys, "left_semi")
+    enough = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= cfg.spectral_min_observations)
+    rows = rows.join(enough.select(*keys), keys, "left_semi").withColumn("_s", F.pmod(F.xxhash64("_t"), F.lit(32)))
+    # The latest of each of 32 shares, then the latest of these: a busy key is dealt out.
+    place = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(F.desc("_t")))
+    latest = F.sort_array(F.slice(F.sort_array(F.collect_list("_t"), False), 1, last))
+    held = rows.withColumn("_r", place).filter(F.col("_r") <= last).groupBy(*keys).agg(latest.alias("_ts"))
+    names = [*keys, "n", "median_iv", "period", "power", "spectral_score", "dominant_period", "dominant_power"]
+    threshold, steps = cfg.spectral_threshold, np.arange(grid) / (grid - 1)
+
+    def strongest(t: np.ndarray) -> tuple | None:
+        t, window, n = t - t[0], t[-1] - t[0], len(t)
+        gaps = np.diff(t)
+        gaps = gaps[gaps > 0]
+        if window / 2 < 5.0 or not len(gaps):
+            return None
+        median, period = float(np.median(gaps)), 5.0 * (window / 10.0) ** steps
+        omega = 2 * np.pi / period
+        x = omega * window / 2
+        flat = n * np.sin(x) / x  # an even spread over the window has these sums
+        c, s = -flat * np.cos(x), -flat * np.sin(x)
+        for at in range(0, n, 500):
+            angle = t[at : at + 500, None] * omega
+            c += np.cos(angle).sum(0)
+            s += np.sin(angle).sum(0)
+        power = (c * c + s * s) / n
+        best = int(power.argmax())
+        fits = np.flatnonzero((period >= median / 5) & (period <= window / 3))
+        if not len(fits):
+            return (n, median, None, None, 0.0, *((period[best], power[best]) if power[best] >= threshold else (None, None)))
+        own = int(fits[power[fits].argmax()])
+        score = min(1.0, max(0.0, (power[own] - threshold) / threshold))
+        stronger = best != own and power[best] >= threshold and power[best] > power[own]
+        return (n, median, period[own], power[own], score, *((period[best], power[best]) if stronger else (None, None)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [strongest(np.array(ts_)) for ts_ in batch.column("_ts").to_pylist()]
+            kept = batch.filter(pa.array([m is not None for m in made], pa.bool_()))
+            figures = list(zip(*(m for m in made if m is not None))) or [()] * 7
+            types = [pa.int64(), *[pa.float64()] * 6]
+            columns = [kept.column(k) for k in keys] + [pa.array(list(f), t) for f, t in zip(figures, types)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = StructType([*(held.schema[k] for k in keys), StructField("n", LongType()), *(StructField(x, DoubleType()) for x in names[len(keys) + 1 :])])
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return held.repartition(2 * slots, *keys).mapInArrow(run, schema)
