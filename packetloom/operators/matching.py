@@ -1,13 +1,13 @@
 """Joins with lists, ranges, rules and indicators (JOIN-3..14, DET-36..38).
 
-Ranges are matched by equi joins: a range is named by its prefix, an address is exploded into its
-prefixes of the lengths that occur, so no pair of address and range is formed in vain. Lists are small
+Ranges, of IPv4 and IPv6, are matched by equi joins: a range is named by its prefix, an address is exploded
+into its prefixes of the lengths that occur, so no pair of address and range is formed in vain. Lists are small
 by nature, but none is broadcast by hint: Spark broadcasts what its statistics prove small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,24 +21,38 @@ GLOBS = 10_000
 def typed(entries: DataFrame, value: str = "value") -> DataFrame:
     """List entries with their kind: ip, cidr, glob or exact text."""
     v = F.trim(F.col(value))
-    kind = F.when(v.rlike(r"^\d+\.\d+\.\d+\.\d+/\d+$"), "cidr").when(E.is_ip(v), "ip").when(v.rlike(r"[*?]"), "glob").otherwise("text")
-    return entries.withColumn("_v", F.lower(v)).withColumn("_kind", kind)
+    base, bits = F.get(F.split(v, "/"), 0), F.get(F.split(v, "/"), 1).try_cast("int")
+    cidr = v.rlike(r"^[^/]+/\d+$") & F.when(E.ip_key(base).isNotNull(), bits <= 32).otherwise(E.ip_hex(base).isNotNull() & (bits <= 128))
+    kind = F.when(F.coalesce(cidr, F.lit(False)), "cidr").when(E.is_ip(v), "ip").when(v.rlike(r"[*?]"), "glob").otherwise("text")
+    return entries.withColumn("_kind", kind).withColumn("_v", F.when(F.col("_kind") == "cidr", F.lower(v)).otherwise(E.canonical(v)))
 
 
-def prefixes(address: Column | str, lengths: Sequence[int]) -> Column:
-    """The address's prefixes of the given lengths, as length * 2^32 + network."""
-    key = E.ip_key(address)
-    return F.when(key.isNotNull(), F.array(*(F.lit(n << 32) + key - F.pmod(key, F.lit(1 << (32 - n))) for n in lengths)))
+def _four(key: Column, bits: Column) -> Column:
+    return F.concat_ws("/", F.lit("4"), bits.cast("string"), (key - F.pmod(key, F.pow(F.lit(2.0), F.lit(32) - bits).cast("long"))).cast("string"))
 
 
-def cidr_lengths(cidrs: DataFrame, value: str = "_v") -> list[int]:
-    """The prefix lengths that occur: at most 33, whatever the list."""
-    return sorted(r[0] for r in cidrs.select(F.get(F.split(value, "/"), 1).cast("int")).distinct().collect() if r[0] is not None)
+def _six(bits_of: Column, bits: Column) -> Column:
+    return F.concat_ws("/", F.lit("6"), bits.cast("string"), F.substring(bits_of, F.lit(1), bits))
+
+
+def prefixes(address: Column | str, lengths: Sequence[tuple[int, int]]) -> Column:
+    """The address's prefixes of the given (family, length)s, each as a text; of its own family only."""
+    own = {family: [n for f, n in lengths if f == family] for family in (4, 6)}
+    none = F.lit(None).cast("array<string>")
+    four = lambda key: F.when(key.isNotNull(), F.array(*(_four(key, F.lit(n)) for n in own[4]))) if own[4] else none
+    six = lambda bits: F.when(bits.isNotNull(), F.array(*(_six(bits, F.lit(n)) for n in own[6]))) if own[6] else none
+    return F.coalesce(E.let(E.ip_key(E.canonical(address)), four), E.let(E.ip_bits(address), six))
+
+
+def cidr_lengths(cidrs: DataFrame, value: str = "_v") -> list[tuple[int, int]]:
+    """The (family, prefix length)s that occur: at most 33 and 129, whatever the list."""
+    family = F.when(F.contains(value, F.lit(":")), 6).otherwise(4)
+    return sorted((r[0], r[1]) for r in cidrs.select(family, F.get(F.split(value, "/"), 1).cast("int")).distinct().collect() if r[1] is not None)
 
 
 def with_prefix(cidrs: DataFrame, value: str = "_v") -> DataFrame:
-    bits = F.get(F.split(value, "/"), 1).cast("long")
-    return cidrs.withColumn("_p", F.shiftleft(bits, 32) + E.cidr_low(value))
+    base, bits = F.get(F.split(value, "/"), 0), F.get(F.split(value, "/"), 1).cast("int")
+    return cidrs.withColumn("_p", F.when(E.ip_key(base).isNotNull(), _four(E.ip_key(base), bits)).otherwise(_six(E.ip_bits(base), bits)))
 
 
 def matches(values: DataFrame, column: str, entries: DataFrame) -> DataFrame:
@@ -46,13 +60,13 @@ def matches(values: DataFrame, column: str, entries: DataFrame) -> DataFrame:
     listed = typed(entries)
     own = values.select(column).filter(F.col(column).isNotNull()).distinct()
     keep = [c for c in entries.columns if c != column]
-    exact = own.withColumn("_v", F.lower(column)).join(listed.filter(F.col("_kind").isin("ip", "text")), "_v").select(column, *keep)
+    exact = own.withColumn("_v", E.canonical(column)).join(listed.filter(F.col("_kind").isin("ip", "text")), "_v").select(column, *keep)
     cidrs = listed.filter(F.col("_kind") == "cidr")
     out = exact
     if lengths := cidr_lengths(cidrs):
         ranged = own.withColumn("_p", F.explode(prefixes(column, lengths))).join(with_prefix(cidrs), "_p").select(column, *keep)
         out = out.union(ranged)
-    patterns = listed.filter(F.col("_kind") == "glob")
+    patterns = listed.filter(F.col("_kind") == "glob").withColumn("_v", F.lower(F.trim("value")))
     globs = [r._v for r in patterns.select("_v").distinct().toLocalIterator()]
     for at in range(0, len(globs), GLOBS):  # a wildcard has no key to join by: patterns are constants of one pass over the values
         hit = F.array_compact(F.array(*(F.when(F.lower(column).rlike(E.glob_regex(g)), F.lit(g)) for g in globs[at : at + GLOBS])))
@@ -87,20 +101,61 @@ def hide_suppressed(findings: DataFrame, rules: DataFrame, now: float) -> DataFr
     return findings
 
 
-def hide_pairs(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pair rules: port exact, an empty field matches all, a side is exact, a range or *.suffix (JOIN-8)."""
-    wanted = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rules = rules.select(*(wanted(c).alias(f"r_{c}") for c in ("src", "dst", "port", "finding_type", "sensor"))).distinct()
+def _side_shape(rule: str) -> Column:
+    """How a rule's side is compared: any, exact, a range (4/n or 6/n), or a name's last k labels (s/k)."""
+    r = F.col(rule)
+    base, bits = F.get(F.split(r, "/"), 0), F.get(F.split(r, "/"), 1)
+    return (
+        F.when(r == "", "any")
+        .when(r.startswith("*."), F.concat(F.lit("s/"), (F.size(F.split(r, r"\.")) - 1).cast("string")))
+        .when(F.contains(r, F.lit("/")), F.concat(F.when(E.ip_key(base).isNotNull(), "4/").when(E.ip_hex(base).isNotNull(), "6/"), bits))
+        .otherwise("exact")
+    )
 
-    def side(value: str, rule: str) -> Column:
-        v, r = F.lower(F.col(value)), F.lower(F.col(rule))
-        bare = F.substring(r, F.lit(3), F.length(r))
-        name = r.startswith("*.") & (F.endswith(v, F.concat(F.lit("."), bare)) | (v == bare))
-        return (r == "") | (v == r) | name | F.coalesce(E.ip_key(value).between(E.cidr_low(rule), E.cidr_high(rule)) & r.contains("/"), F.lit(False))
 
-    same = lambda value, rule: (F.col(rule) == "") | F.col(value).eqNullSafe(F.col(rule))
-    hit = side("src_ip", "r_src") & side("dst_ip", "r_dst") & same("dst_port", "r_port") & same("type", "r_finding_type") & same("sensor", "r_sensor")
-    return findings.join(rules, hit, "left_anti")
+def _side_key(value: Column, shape: str) -> Column:
+    """The key by which a finding's side meets the rules of a shape."""
+    kind, _, n = shape.partition("/")
+    if kind == "s":
+        labels = F.split(F.lower(value), r"\.")
+        return F.when(F.size(labels) >= int(n), F.array_join(F.slice(labels, -int(n), int(n)), "."))
+    if kind in "46":
+        return F.get(prefixes(value, [(int(kind), int(n))]), 0)
+    return F.lit("") if shape == "any" else F.lower(value)
+
+
+def hide_pairs(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pair rules: port exact, an empty field matches all, a side is exact, a range or *.suffix (JOIN-8).
+
+    Rules are grouped by their shape: how each side is compared, and which fields are set. Each shape that
+    occurs is one equi join; a rule whose range can't be read hides nothing.
+    """
+    wanted = lambda c: F.coalesce(F.col(c), F.lit(""))
+    fields = {"port": "dst_port", "finding_type": "type", "sensor": "sensor"}
+    held = rules.select(*(F.lower(wanted(c)).alias(c) for c in ("src", "dst")), *(wanted(c).alias(c) for c in fields)).distinct()
+    held = held.withColumns({f"{c}_shape": _side_shape(c) for c in ("src", "dst")} | {f"{c}_set": F.col(c) != "" for c in fields})
+    shape = ["src_shape", "dst_shape", *(f"{c}_set" for c in fields)]
+    for r in held.select(*shape).distinct().dropna().collect():  # kinds of comparison, not rules
+        own = held
+        for name in shape:
+            own = own.filter(F.col(name) == r[name])
+        on = []
+        for c, value in (("src", "src_ip"), ("dst", "dst_ip")):
+            kind = r[f"{c}_shape"]
+            if kind == "any":
+                continue
+            if kind[0] in "46":
+                own = with_prefix(own, c).withColumnRenamed("_p", f"_{c}")
+            else:
+                own = own.withColumn(f"_{c}", F.expr(f"substring({c}, 3)") if kind[0] == "s" else F.col(c))
+            on.append(_side_key(F.col(value), kind) == F.col(f"_{c}"))
+        for c, value in fields.items():
+            own = own.withColumnRenamed(c, f"_{c}")
+            if r[f"{c}_set"]:
+                on.append(F.col(value) == F.col(f"_{c}"))
+        mine = own.select(*(c for c in own.columns if c in ("_src", "_dst", "_port", "_finding_type", "_sensor"))).distinct()
+        findings = findings.join(mine, on, "left_anti") if on else findings.filter(F.lit(False))
+    return findings
 
 
 def flag_benign(findings: DataFrame, benign: DataFrame) -> DataFrame:
@@ -148,14 +203,47 @@ def evidence(findings: DataFrame, records: DataFrame, hours: float = 2.0, most:
 
     ``findings`` (id, src_ip, dst_ip, at), ``records`` (src, dst, ts, ...); time is matched by whole windows.
     """
-    span = hours * 3600
     own = findings.select("id", F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), "at")
+    return _nearest(own, records, ["src", "dst"], hours, most)
+
+
+def _nearest(own: DataFrame, records: DataFrame, keys: Sequence[str], hours: float, most: int) -> DataFrame:
+    span = hours * 3600
     own = own.withColumn("_slot", F.explode(F.expr(f"sequence(CAST(floor(at / {span}) AS BIGINT) - 1, CAST(floor(at / {span}) AS BIGINT) + 1)")))
-    near = records.withColumn("_slot", F.floor(F.col("ts") / span).cast("long")).join(own, ["src", "dst", "_slot"]).filter(F.abs(F.col("ts") - F.col("at")) <= span)
+    near = records.withColumn("_slot", F.floor(F.col("ts") / span).cast("long")).join(own, [*keys, "_slot"]).filter(F.abs(F.col("ts") - F.col("at")) <= span)
     w = Window.partitionBy("id").orderBy(F.abs(F.col("ts") - F.col("at")), "ts")
     return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("_slot")
 
 
+def raw_evidence(findings: DataFrame, logs: Mapping[str, DataFrame], hours: float = 2.0, most: int = 50) -> DataFrame:
+    """(id, log_type, uid, ts, place): the nearest records in the logs that a finding's type points to (JOIN-13, LKP-13).
+
+    A destination that is a name meets DNS queries of it or below it, and HTTP hosts without their port;
+    an address meets the record's destination. ``logs`` maps a log to its records (uid, src, dst, ts, and
+    query or host).
+    """
+    own = findings.select("id", F.col("src_ip").alias("src"), F.lower("dst_ip").alias("target"), "at", F.explode(E.log_types("type")).alias("log_type"), E.is_ip("dst_ip").alias("_ip"))
+    parts = []
+    for name, records in logs.items():
+        rows = records.withColumn("uid", F.col("uid") if "uid" in records.columns else F.lit(None).cast("string"))
+        mine = own.filter(F.col("log_type") == name)
+        by_ip = rows.select("uid", "src", "ts", F.lower("dst" if "dst" in rows.columns else "resolver").alias("target"))
+        by_name = by_ip
+        if "query" in rows.columns:  # every parent of a name is a key
+            labels = F.split(F.lower(F.regexp_replace("query", r"\.$", "")), r"\.")
+            above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+            by_name = rows.filter("query IS NOT NULL").select("uid", "src", "ts", F.explode(above).alias("target"))
+        elif "host" in rows.columns:
+            by_name = rows.select("uid", "src", "ts", F.lower(E.host_without_port("host")).alias("target"))
+        for held, flag in ((by_ip, F.col("_ip")), (by_name, ~F.col("_ip"))):
+            parts.append(_nearest(mine.filter(flag).drop("_ip"), held, ["src", "target"], hours, most).select("id", "log_type", "uid", "ts", "at"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    w = Window.partitionBy("id").orderBy(F.abs(F.col("ts") - F.col("at")), "ts", "log_type", "uid")
+    return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("at")
+
+
 def cross_notes(findings: DataFrame, hits: DataFrame) -> DataFrame:
     """(id, note): one note per finding and indicator hit that share an address (JOIN-14)."""
     hit = hits.select(F.col("dst_ip").alias("ip"), "source").distinct()
@@ -195,6 +283,47 @@ def indicator_hits(records: DataFrame, indicators: DataFrame, dst: str = "dst")
     return out.withColumns({"type": kind, "severity": F.when(F.col("score") >= 95, "CRITICAL").otherwise("HIGH")})
 
 
+def destinations(conn: DataFrame | None = None, dns: DataFrame | None = None, http: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """(dst, src, ts, port, log): what was contacted, by address in connections, by name in queries and HTTP hosts, and by findings (DET-37).
+
+    Rows of findings name a destination without a source.
+    """
+    parts = []
+    external = lambda c: F.col(c).isNotNull() & ~E.is_private(c) & ~E.is_local_infra(c)
+    if conn is not None:
+        parts.append(conn.filter(external("dst") & E.is_ip("dst")).select("dst", "src", "ts", F.col("port").cast("string").alias("port"), F.lit("conn").alias("log")))
+    if dns is not None:
+        name = F.lower(F.regexp_replace("query", r"\.+$", ""))
+        parts.append(dns.filter("query IS NOT NULL").select(name.alias("dst"), "src", "ts", F.lit("53").alias("port"), F.lit("dns").alias("log")).filter((F.col("dst") != "") & ~E.is_ip("dst")))
+    if http is not None:
+        host = F.lower(E.host_without_port("host"))
+        parts.append(http.filter(F.coalesce("host", F.lit("")) != "").select(host.alias("dst"), "src", "ts", F.col("port").cast("string").alias("port"), F.lit("http").alias("log")))
+    if findings is not None:
+        rows = findings.filter(external("dst_ip") & ~F.col("dst_ip").startswith("("))
+        parts.append(rows.select(F.lower("dst_ip").alias("dst"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("double").alias("ts"), F.lit(None).cast("string").alias("port"), F.lit("findings").alias("log")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def threat_hits(seen: DataFrame, indicators: DataFrame) -> DataFrame:
+    """TI hits per (dst, src) over ``destinations``: evidence of the preferred log, one row without source where only findings name it (DET-37).
+
+    Sources of one destination merge into the best score and a sorted list. Preferred are connections for
+    addresses and HTTP over DNS for names.
+    """
+    found = matches(seen, "dst", indicators)
+    merged = found.groupBy("dst").agg(F.max("score").alias("score"), F.array_join(F.sort_array(F.collect_set("feed")), "+").alias("source"))
+    rank = E.pick(F.col("log"), {"conn": 0, "http": 1, "dns": 2, "findings": 3})
+    by_log = seen.join(merged.select("dst"), "dst", "left_semi").groupBy("dst", "src", rank.alias("rank")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.min("port").alias("port"), F.first("log").alias("log"))
+    best = by_log.groupBy("dst", "src").agg(F.min_by(F.struct("n", "first", "port", "log"), "rank").alias("b")).select("dst", "src", "b.*")
+    named = best.filter("src IS NOT NULL").select("dst").distinct()
+    out = best.filter("src IS NOT NULL").unionByName(best.filter("src IS NULL").join(named, "dst", "left_anti").withColumn("src", F.lit("(TI)")))
+    kind = F.when(E.is_ip("dst"), "TI Hit (IP)").otherwise("TI Hit (Domain)")
+    return out.join(merged, "dst").withColumns({"type": kind, "severity": F.when(F.col("score") >= 95, "CRITICAL").otherwise("HIGH")})
+
+
 def hash_hits(files: DataFrame, indicators: DataFrame, columns: Sequence[str] = ("md5", "sha1", "sha256")) -> DataFrame:
     """First hit per (receiver, hash), hashes in order (DET-38)."""
     held = [c for c in columns if c in files.columns]

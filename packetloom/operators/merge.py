@@ -19,31 +19,80 @@ def winners(run: DataFrame) -> DataFrame:
     return fingerprint(run).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def _older_names(fp_of: DataFrame) -> DataFrame:
+    """(fp, try, older): the identities under which earlier versions kept a row, without host and URI, then without sensor."""
+    blank = lambda *cs: fp_of.withColumns({c: F.lit("") for c in cs if c in fp_of.columns})
+    host, sensor = [c for c in ("hostname", "uri") if c in fp_of.columns], ["sensor"]
+    http = (F.col("type") == "HTTP Beacon") & F.lit(bool(host))
+    tries = [(1, host, http), (2, [*host, *sensor], http), (3, sensor, ~http)]
+    out = None
+    for n, gone, when in tries:
+        own = blank(*gone).withColumnRenamed("fp", "_fp").filter(when)
+        rows = fingerprint(own).select(F.col("_fp").alias("fp"), F.lit(n).alias("try"), F.col("fp").alias("older")).filter("fp != older")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def merge_run(history: DataFrame, run: DataFrame, now: str, full: bool = True) -> DataFrame:
     """A run merged into the findings table (MRG-1; full=False keeps roll-ups, MRG-2).
 
     A row of the run with a known identity keeps the history's id, triage and detection time; others
-    get the next ids and ``is_new``. History without a match stays, roll-ups only if the run is partial.
-    New ids are dealt by blocks of the identity's hash: counts per block, then places within a block.
+    get the next ids and ``is_new``. A row whose identity is new takes over a history row that is left under
+    an older form of it, each at most one. History without a match stays, roll-ups only if the run is
+    partial. New ids are dealt by blocks of the identity's hash: counts per block, then places within a
+    block. Where the run has ``id`` and ``correlations``, these are translated (``translated``).
     """
+    kept = [c for c in (*KEPT, "notes", "status_ts") if c in history.columns]
     old = fingerprint(history)
-    new = winners(run.drop(*(c for c in (*KEPT, "is_new") if c in run.columns)))
-    known = new.join(old.select("fp", *KEPT), "fp").withColumn("is_new", F.lit(False))
-    fresh = new.join(old.select("fp"), "fp", "left_anti")
-    top = history.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    block = F.conv(F.substring("fp", 1, 3), 16, 10).cast("int")  # 4096 blocks
-    fresh = fresh.withColumn("_b", block)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = fresh.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("fp"))
-    fresh = fresh.withColumn("_p", place).join(offsets, "_b").withColumn("id", (F.lit(top) + F.col("_o") + F.col("_p")).cast("long")).drop("_b", "_p", "_o")
-    fresh = fresh.withColumns({"status": F.lit(""), "analyst": F.lit(""), "analyst_note": F.lit(""), "detected_at": F.lit(now), "is_new": F.lit(True)})
-    stay = old.join(new.select("fp"), "fp", "left_anti")
+    new = winners(run).drop(*(c for c in (*kept, "is_new") if c in run.columns))
+    both = old.select("fp", F.struct(*history.columns).alias("o")).join(new.select("fp", F.struct(*(c for c in new.columns if c != "fp")).alias("n")), "fp", "full")
+    lone = _older_names(both.filter("o IS NULL").select("fp", "n.*")).join(both.filter("n IS NULL").select(F.col("fp").alias("older"), F.col("o").alias("before")), "older")
+    first = lone.groupBy("older").agg(F.min(F.struct("try", "fp")).alias("w"), F.first("before").alias("before")).select("older", "w.*", "before")
+    taken = first.groupBy("fp").agg(F.min(F.struct("try", "older")).alias("w"), F.min_by("before", F.struct("try", "older")).alias("before")).select("fp", "w.older", "before")
+    gone = taken.select(F.col("older").alias("fp"))
+    both = both.join(gone, "fp", "left_anti").join(taken.select("fp", "before"), "fp", "left").withColumn("o", F.coalesce("o", "before")).drop("before")
     if full:
-        stay = stay.filter(~F.col("type").isin(list(V.ROLLUPS)))
-    if "is_new" in stay.columns:
-        stay = stay.withColumn("is_new", F.lit(False))
-    return known.unionByName(fresh).unionByName(stay, allowMissingColumns=True).drop("fp")
+        both = both.filter(F.col("n").isNotNull() | ~F.col("o.type").isin(list(V.ROLLUPS)))
+    fresh = F.col("o").isNull()
+    both = both.withColumn("_b", F.conv(F.substring("fp", 1, 3), 16, 10).cast("int"))  # 4096 blocks
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = both.groupBy("_b").agg(F.count_if(fresh).alias("_n"))  # at most 4096 rows
+    offsets = offsets.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    top = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    place = F.sum(fresh.cast("int")).over(Window.partitionBy("_b").orderBy("fp"))
+    rows = both.withColumn("_p", place).join(F.broadcast(offsets), "_b").join(F.broadcast(top))
+    makes = {"status": F.lit(""), "analyst": F.lit(""), "analyst_note": F.lit(""), "detected_at": F.lit(now), "id": (F.col("_top") + F.col("_o") + F.col("_p")).cast("long")}
+    names = list(dict.fromkeys([*(c for c in new.columns if c != "fp"), *KEPT, "is_new", *history.columns]))
+    cols = {}
+    for c in names:
+        held = F.col(f"o.{c}") if c in history.columns else F.lit(None)
+        if c == "is_new":
+            cols[c] = fresh
+        elif c in kept or c in KEPT:
+            cols[c] = F.when(fresh, makes.get(c, F.lit(None))).otherwise(held)
+        else:
+            cols[c] = F.when(F.col("n").isNotNull(), F.col(f"n.{c}") if c in new.columns else F.lit(None)).otherwise(held)
+    out = rows.select("fp", F.col("n").isNotNull().alias("_ran"), *(v.alias(c) for c, v in cols.items()))
+    if {"id", "correlations"} <= set(run.columns):
+        out = translated(out, run, history)
+    return out.drop("fp", "_ran")
+
+
+def translated(merged: DataFrame, run: DataFrame, history: DataFrame) -> DataFrame:
+    """``correlations`` of the run's rows with the table's ids in place of the run's.
+
+    A run's id stands for the row that its identity ended up in, a negative one for a history row; ids that
+    are neither are dropped.
+    """
+    ids = fingerprint(run).select("fp", F.col("id").alias("ref")).join(merged.select("fp", F.col("id").alias("to")), "fp").select("ref", "to").distinct()
+    known = history.select(F.col("id").alias("there")).distinct()
+    refs = merged.filter("_ran").select("fp", F.posexplode("correlations").alias("pos", "ref"))
+    refs = refs.join(ids, "ref", "left").join(known, F.abs("ref") == F.col("there"), "left")
+    refs = refs.withColumn("to", F.when(F.col("ref") < 0, F.col("there")).otherwise(F.coalesce("to", "there"))).filter("to IS NOT NULL")
+    held = refs.groupBy("fp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "to"))), lambda x: x["to"]).alias("_to"))
+    kind = merged.schema["correlations"].dataType
+    new = F.coalesce(F.col("_to"), F.array().cast("array<bigint>")).cast(kind)
+    return merged.join(held, "fp", "left").withColumn("correlations", F.when(F.col("_ran") & F.col("correlations").isNotNull(), new).otherwise(F.col("correlations"))).drop("_to")
 
 
 def merge_history(history: DataFrame, findings: DataFrame, day: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import exprs as E
 from packetloom.functions import values as V
+from packetloom.operators.listing import Filters, Lists, filtered
 
 
 def no_rollups(findings: DataFrame) -> DataFrame:
@@ -39,14 +40,21 @@ def status_counts(findings: DataFrame) -> DataFrame:
     return findings.agg(*flags, F.count_if("ioc_match").alias("ioc"), F.count("*").alias("total"))
 
 
+def tab_counts(findings: DataFrame) -> DataFrame:
+    """Status counts, and how many campaigns and hosts there are (AGG-3); one row."""
+    more = campaigns(findings).agg(F.count("*").alias("campaigns")).join(hosts(findings).agg(F.count("*").alias("hosts")))
+    return status_counts(findings).join(more)
+
+
 def facets(findings: DataFrame) -> DataFrame:
     pairs = F.array(F.struct(F.lit("type").alias("facet"), F.col("type").alias("value")), F.struct(F.lit("sensor").alias("facet"), F.col("sensor").alias("value")))
     return findings.select(F.inline(pairs)).filter("value IS NOT NULL").distinct()
 
 
 def trend(findings: DataFrame, dimension: str = "severity", most_days: int = 3660) -> DataFrame:
-    """Counts per day and value, with zeros between the first and the last day (AGG-5)."""
-    rows = no_rollups(findings).select(F.to_date(F.substring("timestamp", 1, 10)).alias("day"), dimension).filter("day IS NOT NULL")
+    """Counts per day and value, with zeros between the first and the last day (AGG-5); ``family`` is that of the type."""
+    rows = no_rollups(findings).withColumn("family", E.trend_family("type"))
+    rows = rows.select(F.to_date(F.substring("timestamp", 1, 10)).alias("day"), dimension).filter("day IS NOT NULL")
     counted = rows.groupBy("day", dimension).agg(F.count("*").alias("n"))
     ends = counted.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
     if ends.a is None:
@@ -103,11 +111,61 @@ def census(findings: DataFrame, by: Sequence[str] = ("type", "severity")) -> Dat
     return findings.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("avg_score"))
 
 
+def timing_layer() -> Column:
+    """The timing layer that decides a beacon's timing score."""
+    ent, mm, raw = F.col("ts_ent"), F.col("ts_mm"), F.col("ts_raw")
+    return F.when((ent > raw) & (ent > mm), "entropy").when(mm > raw, "multimodal").otherwise("raw")
+
+
 def timing_layers(beacons: DataFrame) -> DataFrame:
-    """Which timing layer carried each beacon, against severity (AGG-14, AGG-15)."""
-    layer = F.when(F.col("ts_score") == F.col("ts_raw"), "raw").when(F.col("ts_score") == F.col("ts_mm"), "multimodal").otherwise("entropy")
-    out = beacons.withColumn("layer", layer).groupBy("layer")
-    return out.agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in V.SEVERITIES))
+    """Which timing layer carried each beacon, against severity and disposition (AGG-14)."""
+    is_ = lambda s: F.count_if(F.coalesce("status", F.lit("")) == s)
+    said = {"open": "", "acknowledged": "acknowledged", "escalated": "escalated", "dismissed": "dismissed"} if "status" in beacons.columns else {}
+    out = beacons.withColumn("layer", timing_layer()).groupBy("layer")
+    return out.agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in V.SEVERITIES), *(is_(s).alias(n) for n, s in said.items()))
+
+
+def periodic_summary(beacons: DataFrame) -> DataFrame:
+    """How many beacons carry the periodic hint, and what became of them (AGG-14)."""
+    flag = F.coalesce("spectral_rescued", F.lit(False))
+    is_ = lambda s: F.count_if(flag & (F.coalesce("status", F.lit("")) == s))
+    return beacons.agg(F.count_if(flag).alias("flagged"), is_("escalated").alias("escalated"), is_("acknowledged").alias("acknowledged"), is_("dismissed").alias("dismissed"), F.count("*").alias("total"))
+
+
+def layer_census(beacons: DataFrame) -> DataFrame:
+    """Per timing layer: beacons, mean score, critical and dismissed ones (AGG-15)."""
+    rows = beacons.withColumn("layer", timing_layer()).groupBy("layer")
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("avg_score"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("status") == "dismissed").alias("dismissed"))
+
+
+def implausible_periods(findings: DataFrame, share: float = 0.2) -> DataFrame:
+    """Findings whose text names a period below a fifth of the median interval: the lower bound was passed (AGG-15)."""
+    period = F.regexp_extract("detail", r"period ([0-9.]+)s,", 1).try_cast("double")
+    rows = findings.filter(F.contains("detail", F.lit("Spectral signal")) & (F.col("median_interval") > 0)).withColumn("period", period)
+    rows = rows.filter((F.col("period") > 0) & (F.col("period") < F.col("median_interval") * share))
+    return rows.select("id", "type", "period", "median_interval", (F.col("period") / F.col("median_interval")).alias("ratio"))
+
+
+def suppressed_peaks(findings: DataFrame) -> DataFrame:
+    """Findings with a stronger peak that was set aside, and its text (AGG-15)."""
+    peak = F.regexp_extract("detail", r"(\[artifact .*?suppressed\])", 1)
+    return findings.withColumn("peak", peak).filter("peak != ''").select("id", "score", "peak")
+
+
+def blocked_totals(runs: DataFrame, last: int = 10) -> DataFrame:
+    """Periodic hints that were blocked entirely, over the last runs (AGG-16): ``runs`` (run_at, spectral_blocked)."""
+    recent = runs.orderBy(F.desc("run_at")).limit(last)
+    return recent.agg(F.coalesce(F.sum("spectral_blocked"), F.lit(0)).alias("blocked"), F.count("*").alias("runs"))
+
+
+def beacon_history(history: DataFrame, today: str, days: int = 30) -> DataFrame:
+    """The daily figures of the last days, by identity and day (AGG-11)."""
+    return history.filter((F.col("day").cast("date") >= F.date_sub(F.lit(today).cast("date"), days)) & (F.col("day").cast("date") <= F.lit(today).cast("date")))
+
+
+def indicators_per_feed(indicators: DataFrame) -> DataFrame:
+    """AGG-12."""
+    return indicators.groupBy("feed").agg(F.count("*").alias("n"))
 
 
 def graph(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,24 +174,40 @@ def graph(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = no_rollups(findings).withColumn("rank", rank)
     nodes = ends.select(F.explode(F.array_distinct(F.array("src_ip", "dst_ip"))).alias("host"), "rank").groupBy("host").agg(F.count("*").alias("n"), F.min("rank").alias("worst"))
     nodes = nodes.withColumn("internal", E.is_private("host"))
+    # The external host with the worst severity, the busiest first, is marked if that is high.
+    worst = nodes.filter(~F.col("internal") & (F.col("worst") <= 1)).agg(F.min_by("host", F.struct("worst", (-F.col("n")).alias("n"), "host")).alias("_marked"))
+    nodes = nodes.join(worst).withColumn("marked", F.coalesce(F.col("host") == F.col("_marked"), F.lit(False))).drop("_marked")
     links = ends.groupBy("src_ip", "dst_ip").agg(F.count("*").alias("n"), F.min("rank").alias("worst"))
     return nodes, links.withColumn("weight", F.least(F.lit(8.0), 1 + F.log2("n")))
 
 
-def capped(nodes: DataFrame, links: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
-    """The best-connected hosts and the links among them (AGG-19)."""
+def capped(nodes: DataFrame, links: DataFrame, most: int = 200, hint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best-connected hosts, a hinted one among them, and the links among these (AGG-19)."""
     degree = links.select(F.col("src_ip").alias("host")).union(links.select("dst_ip")).groupBy("host").agg(F.count("*").alias("degree"))
-    top = nodes.join(degree, "host", "left").fillna({"degree": 0}).orderBy(F.desc("degree"), F.desc("n"), "host").limit(most)
+    hinted = F.col("host") == hint if hint else F.lit(False)
+    top = nodes.join(degree, "host", "left").fillna({"degree": 0}).orderBy(hinted.desc(), F.desc("degree"), F.desc("n"), "host").limit(most)
     held = top.select("host")
     return top, links.join(held.withColumnRenamed("host", "src_ip"), "src_ip", "left_semi").join(held.withColumnRenamed("host", "dst_ip"), "dst_ip", "left_semi")
 
 
-def interval_histogram(df: DataFrame, keys: Sequence[str], value: str = "iv", bins: int = 24) -> DataFrame:
-    """Linear bins of each key's values without the top hundredth (AGG-20)."""
-    cut = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile_approx(value, 0.99, 10_000).alias("top"), F.min(value).alias("low"))
-    rows = df.join(cut, list(keys)).filter(F.col(value) <= F.col("top"))
-    place = F.when(F.col("top") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("low")) / (F.col("top") - F.col("low")) * bins))).otherwise(0)
-    return rows.groupBy(*keys, place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+def interval_histogram(df: DataFrame, keys: Sequence[str], value: str = "iv") -> DataFrame:
+    """Linear bins of each key's values without the top hundredth (AGG-20); 12 to 40 bins, twice the root of the count.
+
+    The values left are the first 99 % in order: equal values are counted first, and a value keeps as many
+    of its rows as fit.
+    """
+    keys = list(keys)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counted.withColumns({"upto": upto, "total": F.sum("c").over(whole)})
+    kept = F.greatest(F.lit(1), F.floor(F.col("total") * 0.99)).cast("long")
+    rows = rows.withColumn("kept", kept).withColumn("c", F.least("c", F.col("kept") - (F.col("upto") - F.col("c")))).filter("c > 0")
+    rows = rows.withColumns({"low": F.min("v").over(whole), "top": F.max("v").over(whole)})
+    bins = F.least(F.lit(40), F.greatest(F.lit(12), F.floor(F.sqrt("kept") * 2))).cast("int")
+    width = F.greatest(F.col("top") - F.col("low"), F.lit(0.001)) / bins
+    place = F.least(bins - 1, F.greatest(F.lit(0), F.floor((F.col("v") - F.col("low")) / width).cast("int")))
+    return rows.groupBy(*keys, bins.alias("bins"), place.alias("bin")).agg(F.sum("c").alias("n"))
 
 
 def byte_bins(df: DataFrame, keys: Sequence[str], bins: int = 24) -> DataFrame:
@@ -144,9 +218,17 @@ def byte_bins(df: DataFrame, keys: Sequence[str], bins: int = 24) -> DataFrame:
     return out.withColumn("upload", F.col("sent") > 2 * F.col("received"))
 
 
-def notable(findings: DataFrame, least: int = 95, skip: Sequence[str] = ("Host Risk Score",)) -> DataFrame:
-    """What notifications are made of: new rows with a top score (AGG-22)."""
-    return findings.filter(F.col("is_new") & (F.col("score") >= least) & ~F.col("type").isin(list(skip)))
+def notable(findings: DataFrame, least: int = 95, skip: Sequence[str] = ("Host Risk Score",), lists: Lists | None = None) -> DataFrame:
+    """What notifications are made of: new rows with a top score that no list hides (AGG-22)."""
+    rows = findings.filter(F.col("is_new") & (F.col("score") >= least) & ~F.col("type").isin(list(skip)))
+    return rows if lists is None else filtered(rows, Filters(include_dismissed=True), lists).select(rows.columns)
+
+
+def inventory_counts(inventory_: DataFrame, findings: DataFrame) -> DataFrame:
+    """The inventory with the findings that carry each fingerprint, ranked (AGG-9)."""
+    pairs = F.array(*(F.lower(F.col(c)) for c in ("ja3", "ja4") if c in findings.columns))
+    n = findings.select("id", F.explode(F.array_distinct(pairs)).alias("fp")).filter("fp IS NOT NULL").groupBy("fp").agg(F.countDistinct("id").alias("findings"))
+    return inventory_.join(n, "fp", "left").fillna({"findings": 0}).orderBy("rank", F.desc("findings"), "fp")
 
 
 def ordered(findings: DataFrame, by: str = "score", descending: bool = True) -> DataFrame:
@@ -154,8 +236,10 @@ def ordered(findings: DataFrame, by: str = "score", descending: bool = True) ->
     return findings.orderBy(key.desc() if descending else key.asc(), "id")
 
 
-def page(findings: DataFrame, by: str = "score", descending: bool = True, offset: int = 0, limit: int = 1000) -> DataFrame:
-    return ordered(findings, by, descending).offset(offset).limit(min(limit, 50_000))
+def page(findings: DataFrame, by: str = "score", descending: bool = True, offset: int = 0, limit: int = 1000, total: bool = False) -> DataFrame:
+    """A page of the sorted list, on request with ``total``, the count of all rows (ORD-2)."""
+    rows = ordered(findings, by, descending).offset(offset).limit(min(limit, 50_000))
+    return rows.join(findings.agg(F.count("*").alias("total"))) if total else rows
 
 
 def position(findings: DataFrame, id_: int, by: str = "score") -> int | None:

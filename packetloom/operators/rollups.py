@@ -58,15 +58,16 @@ def multi_stage(conn: DataFrame, reasons: DataFrame | None = None, most_sources:
 
     ``reasons`` (dst, reason, rank) corroborates; the first by rank counts (JOIN-16).
     """
-    onset = conn.filter(~E.is_private("dst") & ~E.is_local_infra("dst")).groupBy("sensor", "dst", "src").agg(F.min("ts").alias("onset"))
-    out = onset.groupBy("sensor", "dst").agg(
-        F.count("*").alias("n_sources"),
-        F.min("onset").alias("first"),
-        F.max("onset").alias("last"),
+    keys = ["sensor", "dst"]
+    onset = conn.filter(~E.is_private("dst") & ~E.is_local_infra("dst")).groupBy(*keys, "src").agg(F.min("ts").alias("onset"))
+    counted = onset.groupBy(*keys).agg(F.count("*").alias("n_sources"), F.min("onset").alias("first"), F.max("onset").alias("last"))
+    few = counted.filter(F.col("n_sources").between(2, most_sources) & (F.col("last") - F.col("first") <= hours * 3600))
+    # Sources are listed where they are few; a busy destination's are only counted.
+    listed = onset.join(few.select(*keys), keys, "left_semi").groupBy(*keys).agg(
         F.min_by("src", F.struct("onset", "src")).alias("patient_zero"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("onset", "src"))), lambda x: x["src"]), ",").alias("order"),
     )
-    out = out.filter(F.col("n_sources").between(2, most_sources) & (F.col("last") - F.col("first") <= hours * 3600))
+    out = few.join(listed, keys)
     if reasons is not None:
         out = out.join(reasons.groupBy("dst").agg(F.min_by("reason", "rank").alias("reason")), "dst", "left")
     else:
