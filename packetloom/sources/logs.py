@@ -69,10 +69,16 @@ def read(spark: SparkSession, path: str, log: str, default_sensor: str | None =
 
 
 def quality(spark: SparkSession, path: str, log: str) -> DataFrame:
-    """Data lines and parsed lines per file; a file without a parsed line is an error (SRC-7)."""
-    lines = _lines(spark, path, log).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    parsed = F.from_json("value", "ts STRING, `_bad` STRING", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNull()
-    out = lines.groupBy("source_file").agg(F.count("*").alias("lines"), F.count_if(parsed).alias("parsed"))
+    """Data lines and parsed lines per file, JSON or with a header; a file without a parsed line is an error (SRC-7).
+
+    A tab-separated line counts as parsed if its file has a header and it has a first value.
+    """
+    lines = _lines(spark, path, log).filter(F.trim("value") != "")
+    data = ~F.col("value").startswith("#")
+    json_ok = F.from_json("value", "ts STRING, `_bad` STRING", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNull()
+    tab_ok = (F.size(F.split("value", "\t", -1)) > 1) & (F.get(F.split("value", "\t"), 0) != "")
+    headed = F.count_if(F.col("value").startswith("#fields")) > 0
+    out = lines.groupBy("source_file").agg(F.count_if(data).alias("lines"), F.when(headed, F.count_if(data & tab_ok)).otherwise(F.count_if(data & json_ok)).alias("parsed"))
     return out.withColumn("error", F.col("parsed") == 0)
 
 

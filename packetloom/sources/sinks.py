@@ -66,20 +66,57 @@ def triage(findings: DataFrame) -> DataFrame:
     return rows.select("id", F.lower(take("verdict", r"([A-Za-z_ -]+?)(?=[;,.\n]|$)")).alias("verdict"), take("confidence", r"(\d+)").cast("int").alias("confidence"), take("reason", r"([^\n]+)").alias("reason"))
 
 
+def triage_lines(findings: DataFrame, version: str = "1.0", most: int = 1023) -> DataFrame:
+    """One event line per finding with a verdict (SNK-4): who, what was decided, how surely and why."""
+    rows = findings.join(triage(findings), "id").filter("verdict IS NOT NULL")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    said = F.concat(
+        text("verdict"),
+        F.when(F.col("confidence").isNotNull(), F.concat(F.lit(" ("), text("confidence"), F.lit(")"))).otherwise(""),
+        F.when(text("reason") != "", F.concat(F.lit(" - "), text("reason"))).otherwise(""),
+    )
+    techniques = E.pick(F.col("type"), {t: ",".join(ids) for t, ids in V.TYPE_TECHNIQUES.items()})
+    side = lambda c: F.when(E.is_ip(c), text(c)).otherwise("")
+    fields = {
+        "externalId": text("id"),
+        "src": side("src_ip"),
+        "dst": side("dst_ip"),
+        "dpt": F.when(text("dst_port").rlike(r"^\d+$"), text("dst_port")).otherwise(""),
+        "msg": F.substring(said, 1, most),
+        "cs1": text("score"),
+        "cs2": text("verdict"),
+        "cs3": text("confidence"),
+        "cs4": text("type"),
+        "cs5": techniques,
+        "end": text("timestamp"),
+    }
+    ext = F.concat_ws(" ", *(F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}="), _value(v))) for k, v in fields.items()))
+    name = F.concat(F.lit("Triage #"), text("id"), F.lit(": "), text("verdict"))
+    head = F.concat_ws("|", F.lit("CEF:0"), F.lit("packetloom"), F.lit("packetloom"), F.lit(version), F.lit("triage"), _header(name), F.least(F.lit(10), F.floor(F.col("score") / 10)).cast("string"))
+    return rows.select(F.concat_ws("|", head, ext).alias("value"))
+
+
 def write_text(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 
 
 def publish(findings: DataFrame, root: str) -> str:
-    """A new version of the findings table, partitioned by type; the pointer moves when it is whole (SNK-5)."""
+    """A new version of the findings table, partitioned by type (SNK-5).
+
+    A pointer of its own is added when the version is whole; nothing is overwritten, so the table that was
+    current stays readable whatever happens in between.
+    """
     spark, version = findings.sparkSession, f"v-{uuid4().hex}"
     findings.write.partitionBy("type").parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_current")
+    at = spark.range(1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("at"))
+    at.coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
     return version
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{spark.read.parquet(f'{root}/_current').first()[0]}")
+    """The version that the newest pointer names."""
+    newest = spark.read.parquet(f"{root}/_pointers").agg(F.max_by("version", F.struct("at", "version"))).first()[0]
+    return spark.read.parquet(f"{root}/{newest}")
 
 
 _ADDRESS = r"\b((?:10|127)\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})\b"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.functions import exprs as E
-from packetloom.operators.matching import indicator_hits
+from packetloom.operators.matching import cidr_lengths, indicator_hits, prefixes, typed, with_prefix
 
 
 def arriving(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -24,8 +25,20 @@ def with_time(stream: DataFrame, ts: str = "ts", late: str = "5 minutes") -> Dat
 
 
 def matched(stream: DataFrame, indicators: DataFrame, dst: str = "dst") -> DataFrame:
-    """New records whose destination is an exact indicator; the static side follows its statistics (STR-2)."""
-    return stream.join(indicators.select(F.col("value").alias(dst), "feed", "score"), dst)
+    """New records whose destination is an indicator, an exact one or a range (STR-2): one stream-static join by keys.
+
+    A record asks by its own spelling and by its prefixes of the lengths that occur; the static side follows
+    its statistics. A record that several entries of a feed match comes once for each.
+    """
+    listed = typed(indicators.select("value", "feed", "score"))
+    exact = listed.filter(F.col("_kind").isin("ip", "text")).select(F.col("_v").alias("_p"), "feed", "score")
+    cidrs = listed.filter(F.col("_kind") == "cidr")
+    lengths = cidr_lengths(cidrs)
+    keys = F.array(E.canonical(dst))
+    if lengths:
+        keys = F.concat(keys, F.coalesce(prefixes(dst, lengths), F.array().cast("array<string>")))
+        exact = exact.union(with_prefix(cidrs).select("_p", "feed", "score"))
+    return stream.withColumn("_p", F.explode(keys)).join(exact, "_p").drop("_p")
 
 
 def first_seen(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,29 +55,35 @@ def tumbling(stream: DataFrame, keys: Sequence[str], size: str = "1 hour", slide
 STATE = "n long, last double, gaps long, total double, squares double"
 
 
-def intervals(stream: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst")) -> DataFrame:
+def intervals(stream: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), idle_hours: float = 168.0) -> DataFrame:
     """Running interval statistics per key (STR-4, STR-5): counts and moments, never the records.
 
-    A batch's records are sorted first, and a record before the latest one does not rewind the state.
+    A batch's records are sorted first, and a record before the latest one does not rewind the state. With a
+    watermark (``with_time``), a pair that is silent for ``idle_hours`` of event time leaves the state.
     """
+    timed = "at" in stream.columns
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, last, gaps, total, squares = state.get if state.exists else (0, float("-inf"), 0, 0.0, 0.0)
-        ts = pd.concat([b["ts"] for b in batches]).sort_values()
-        for t in ts:
-            if t > last:
-                if n:
-                    gap = t - last
-                    gaps, total, squares = gaps + 1, total + gap, squares + gap * gap
-                last = t
-            n += 1
+        ts = np.sort(np.concatenate([b["ts"].to_numpy(np.float64) for b in batches]))
+        new = ts[ts > last]
+        steps = np.diff(np.concatenate([[last], new])) if n else np.diff(new)
+        steps = steps[steps > 0]
+        n, gaps, total, squares = n + len(ts), gaps + len(steps), total + float(steps.sum()), squares + float(steps @ steps)
+        last = float(new[-1]) if len(new) else last
         state.update((n, float(last), gaps, total, squares))
+        if timed:
+            state.setTimeoutTimestamp(max(int((last + idle_hours * 3600) * 1000), state.getCurrentWatermarkMs() + 1))
         mean = total / gaps if gaps else None
         cv = (max(squares / gaps - mean * mean, 0.0) ** 0.5 / mean) if gaps and mean else None
         yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "n": [n], "last": [last], "mean_iv": [mean], "cv": [cv]}).astype({"mean_iv": "float64", "cv": "float64"})
 
     out = ", ".join(f"{k} string" for k in keys) + ", n long, last double, mean_iv double, cv double"
-    return stream.groupBy(*keys).applyInPandasWithState(update, out, STATE, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*keys).applyInPandasWithState(update, out, STATE, "update", timeout)
 
 
 def merged(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None], name: str | None = None) -> StreamingQuery:
