@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.config import Config
 from packetloom.functions import exprs as E
-from packetloom.operators import beacon, detect, matching, merge, reports, rollups, stats
+from packetloom.operators import beacon, detect, listing, matching, merge, reports, rollups, stats
 from packetloom.plans.views import ctes, view
 from packetloom.sources import lists, sinks
 
@@ -75,7 +75,15 @@ def rounded(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def profile_sql(rows: str, keys: str = "sensor, src, dst", bytes_: str = "orig_bytes", least: int = 4) -> str:
-    """The profile of all keys, in relational steps."""
+    """The profile of all keys, in relational steps, rounded."""
+    digits = ", ".join(f"round({c}, {n}) AS {c}" for c, n in _ROUND.items())
+    return f"""{profile_steps(rows, keys, bytes_, least)}
+SELECT {keys}, n, {digits} FROM prof
+"""
+
+
+def profile_steps(rows: str, keys: str = "sensor, src, dst", bytes_: str = "orig_bytes", least: int = 4) -> str:
+    """The profile's steps, up to ``prof``."""
     bowley = lambda xs: f"""(CASE WHEN len({xs}) < 3 THEN 1.0 ELSE (SELECT CASE WHEN q3 - q1 < 0.05 * q2 OR q2 = q1 OR q2 = q3 THEN 1.0 ELSE 1.0 - abs((q1 + q3 - 2 * q2) / (q3 - q1)) END
       FROM (SELECT list_median({xs}) AS q2, list_median({xs}[1 : len({xs}) // 2]) AS q1, list_median({xs}[len({xs}) - len({xs}) // 2 + 1 :]) AS q3)) END)"""
     mad = lambda xs, d: f"""(CASE WHEN len({xs}) = 0 OR list_median({xs}) = 0 THEN {d}
@@ -105,16 +113,15 @@ spans AS (SELECT counted.*, win_min, win_max, greatest(win_min, win_max - 604800
 bins AS (SELECT DISTINCT {", ".join("hrs." + k.strip() for k in keys.split(","))}, greatest(0, least(23, CAST(trunc((hour * 3600 - b0) / (win_max - b0) * 24) AS INT))) AS bin FROM hrs JOIN spans ON {on('hrs', 'spans')}),
 runs AS (SELECT {keys}, count(*) AS len FROM (SELECT *, bin - row_number() OVER (PARTITION BY {keys} ORDER BY bin) AS g FROM bins) GROUP BY {keys}, g),
 longest AS (SELECT {keys}, sum(len) AS bars, max(len) AS longest FROM runs GROUP BY {keys}),
-dur AS (SELECT {keys}, CASE WHEN bars < 6 THEN 0.0 ELSE greatest(least(1.0, (last - greatest(first, b0)) / (win_max - b0)), least(1.0, longest / 12.0)) END AS dur_score FROM spans JOIN longest {using})
-SELECT {keys}, base.n, round(list_sum(ivs) / len(ivs), 4) AS mean_iv, round(list_median(ivs), 4) AS median_iv,
-  round(sqrt(list_sum(list_transform(ivs, lambda x: (x - list_sum(ivs) / len(ivs)) ** 2)) / len(ivs)) / (list_sum(ivs) / len(ivs)), 4) AS cv,
+dur AS (SELECT {keys}, CASE WHEN bars < 6 THEN 0.0 ELSE greatest(least(1.0, (last - greatest(first, b0)) / (win_max - b0)), least(1.0, longest / 12.0)) END AS dur_score FROM spans JOIN longest {using}),
+prof AS (SELECT {keys}, base.n, base.first, base.last, list_sum(ivs) / len(ivs) AS mean_iv, list_median(ivs) AS median_iv,
+  sqrt(list_sum(list_transform(ivs, lambda x: (x - list_sum(ivs) / len(ivs)) ** 2)) / len(ivs)) / (list_sum(ivs) / len(ivs)) AS cv,
   round(({bowley('ivs')} + {mad('ivs', '1.0')}) / 2, 3) AS ts_raw,
-  round(CASE WHEN len(ivs) >= 6 THEN mm ELSE 0.0 END, 4) AS ts_mm,
-  round(CASE WHEN len(ivs) < 6 THEN 0.0 WHEN top >= 8 THEN e * 128.0 / 2 ** top ELSE e END, 4) AS ts_ent,
+  CASE WHEN len(ivs) >= 6 THEN mm ELSE 0.0 END AS ts_mm,
+  CASE WHEN len(ivs) < 6 THEN 0.0 WHEN top >= 8 THEN e * 128.0 / 2 ** top ELSE e END AS ts_ent,
   CASE WHEN len(sizes) >= 3 THEN round(({bowley('sizes')} + {mad('sizes', '0.0')}) / 2, 3) ELSE 0.0 END AS ds_score,
-  round(hist_score, 4) AS hist_score, round(dur_score, 4) AS dur_score, round(0.5 + 0.5 * least(1.0, greatest(0.0, (base.n - {least}) / 96.0)), 4) AS conf
-FROM base JOIN mm {using} JOIN en {using} JOIN hist {using} JOIN dur {using}
-"""
+  hist_score, dur_score, 0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (base.n - {least}) / 96.0::DOUBLE)) AS conf
+FROM base JOIN mm {using} JOIN en {using} JOIN hist {using} JOIN dur {using})"""
 
 
 def conn(s: SparkSession, d: str) -> DataFrame:
@@ -132,8 +139,40 @@ def lineitem_rows(s: SparkSession, d: str) -> DataFrame:
 
 _LINEITEM = "(SELECT l_returnflag AS sensor, l_suppkey AS dst, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) * 86400.0::DOUBLE + l_linenumber * 60.0::DOUBLE AS ts, CAST(l_quantity AS DOUBLE) AS orig_bytes FROM lineitem)"
 register("stat_profile_lineitem", lambda s, d: rounded(beacon.profile(lineitem_rows(s, d), ("sensor", "dst")), ("sensor", "dst")), profile_sql(_LINEITEM, "sensor, dst").replace(",\nrows_ AS", "WITH rows_ AS", 1))
-register("det_dns_beacon_profile", lambda s, d: rounded(beacon.profile(detect.dns_rows(view(s, d, "dns_v")).filter("rcode != 'NXDOMAIN'").withColumn("orig_bytes", F.lit(0.0)), ("sensor", "src", "apex")), ("sensor", "src", "apex")))
-register("det_http_beacon_profile", lambda s, d: rounded(beacon.profile(view(s, d, "http_v").withColumn("orig_bytes", F.lit(0.0)), ("sensor", "src", "dst"), least=2), ("sensor", "src", "dst")))
+_APEX = "CASE WHEN len(l) < 2 THEN query WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'co.nz', 'com.br', 'co.za', 'co.in', 'com.cn', 'com.mx') AND len(l) >= 3 THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END"
+DNS_NAMES = f"(SELECT *, CASE WHEN ends_with(query, '.' || apex) THEN query[: len(query) - len(apex) - 1] END AS sub FROM (SELECT *, {_APEX} AS apex FROM (SELECT *, string_split(query, '.') AS l FROM dns_v)))"
+_DNS_ROWS = "(SELECT *, 0.0::DOUBLE AS orig_bytes FROM {dns} WHERE rcode <> 'NXDOMAIN')"
+register(
+    "det_dns_beacon_profile",
+    lambda s, d: rounded(beacon.profile(detect.dns_rows(view(s, d, "dns_v")).filter("rcode != 'NXDOMAIN'").withColumn("orig_bytes", F.lit(0.0)), ("sensor", "src", "apex")), ("sensor", "src", "apex")),
+    profile_sql(_DNS_ROWS.format(dns=DNS_NAMES), "sensor, src, apex"),
+    ("dns_v",),
+)
+register(
+    "det_http_beacon_profile",
+    lambda s, d: rounded(beacon.profile(view(s, d, "http_v").withColumn("orig_bytes", F.lit(0.0)), ("sensor", "src", "dst"), least=2), ("sensor", "src", "dst")),
+    profile_sql("(SELECT *, 0.0::DOUBLE AS orig_bytes FROM http_v)", least=2),
+    ("http_v",),
+)
+
+
+def prevalence_sql(rows: str, boost: bool = True) -> str:
+    lift = "WHEN all_srcs >= 50 AND dst_srcs / all_srcs <= 0.02 THEN 1.15::DOUBLE" if boost else ""
+    return f""", prev_ AS (SELECT sensor, dst, CASE WHEN all_srcs >= 10 AND dst_srcs / all_srcs >= 0.5 THEN 0.85::DOUBLE {lift} ELSE 1.0::DOUBLE END AS pm
+  FROM (SELECT sensor, dst, count(DISTINCT src) AS dst_srcs FROM {rows} GROUP BY ALL) JOIN (SELECT sensor, count(DISTINCT src) AS all_srcs FROM {rows} GROUP BY ALL) USING (sensor))"""
+
+
+_TS = "greatest(ts_raw, ts_mm, ts_ent)"
+_BASE = f"100 * ({_TS} * 0.25::DOUBLE + ds_score * 0.25::DOUBLE + hist_score * 0.25::DOUBLE + dur_score * 0.25::DOUBLE) * conf"
+
+
+def scored_sql(rows: str, keys: str = "sensor, src, dst", least: int = 4, boost: bool = True) -> str:
+    """Steps up to ``sc``: the profile with its scores."""
+    return f"""{profile_steps(rows, keys, least=least)}{prevalence_sql(rows, boost)},
+sc AS (SELECT prof.*, {clamp_sql(_BASE + ' * pm', 1, 100)} AS score, {clamp_sql(_BASE, 1, 100)} AS unboosted FROM prof JOIN prev_ USING (sensor, dst))"""
+
+
+_BEACON_SEVERITY = "CASE WHEN score >= 85 THEN 'CRITICAL' WHEN score >= 70 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
@@ -141,11 +180,83 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return beacon.scored(beacon.profile(rows), stats.prevalence(rows))
 
 
-register("det_beacon_findings", lambda s, d: beacon.findings(scored(s, d), beacon.ports(conn(s, d)), cfg=CFG).select("type", "severity", "score", "sensor", "src", "dst", "timestamp", "modal_port"))
-register("det_beacon_tls", lambda s, d: beacon.with_tls(scored(s, d).select("sensor", "src", "dst", "score", "unboosted"), conn(s, d), view(s, d, "ssl_v").filter("server_name IS NOT NULL")))
-register("det_beacon_channels", lambda s, d: beacon.channels(detect.egress(conn(s, d)), view(s, d, "ssl_v"), scored(s, d).withColumn("type", F.lit("Beacon")), Config(beacon_min_score=1)).select("sensor", "src", "dst", "channel", "score", "blend_score"))
-register("det_dns_beacon", lambda s, d: beacon.dns_scored(beacon.profile(detect.dns_rows(view(s, d, "dns_v")).filter("rcode != 'NXDOMAIN'").withColumn("orig_bytes", F.lit(0.0)), ("sensor", "src", "apex")), detect.subdomains(view(s, d, "dns_v")).select("sensor", "src", "apex", "n_subs")).select("sensor", "src", "apex", "score", "severity"))
-register("stat_periodicity", lambda s, d: stats.periodicity(conn(s, d), ["sensor", "src"]).select("sensor", "src", "n", F.round("period", 3).alias("period"), F.round("power", 6).alias("power")))
+register(
+    "det_beacon_findings",
+    lambda s, d: beacon.findings(scored(s, d), beacon.ports(conn(s, d)), cfg=CFG).select("type", "severity", "score", "sensor", "src", "dst", "timestamp", "modal_port"),
+    f"""{scored_sql(egress_sql())}, pc AS (SELECT sensor, src, dst, port, count(*) AS c FROM conn_v GROUP BY ALL),
+po AS (SELECT sensor, src, dst, arg_min(port, r) AS modal_port, count(*) >= 5 AND max(c) / sum(c) < 0.5 AS hops FROM (SELECT *, row_number() OVER (PARTITION BY sensor, src, dst ORDER BY c DESC, port) AS r FROM pc) GROUP BY sensor, src, dst)
+SELECT CASE WHEN hops THEN 'Port-Hopping Beacon' ELSE 'Beacon' END AS type, {_BEACON_SEVERITY} AS severity, score, sensor, src, dst, {text_sql('"first"')} AS timestamp, modal_port
+FROM sc JOIN po USING (sensor, src, dst) WHERE score >= 20""",
+    ("conn_v",),
+)
+register(
+    "det_beacon_tls",
+    lambda s, d: beacon.with_tls(scored(s, d).select("sensor", "src", "dst", "score", "unboosted"), conn(s, d), view(s, d, "ssl_v").filter("server_name IS NOT NULL")),
+    f"""{scored_sql(egress_sql())}, t AS (SELECT c.sensor, c.src, c.dst, x.server_name, x.ja3, row_number() OVER (PARTITION BY c.sensor, c.src, c.dst ORDER BY c.ts, c.uid) AS r
+  FROM conn_v c JOIN (SELECT uid, server_name, ja3 FROM ssl_v WHERE server_name IS NOT NULL) x USING (uid)),
+m AS (SELECT sensor, src, dst, arg_min(server_name, r) AS hostname, arg_min(ja3, r) AS ja3 FROM t WHERE r <= 32 GROUP BY sensor, src, dst)
+SELECT sensor, src, dst, CASE WHEN hostname IS NULL THEN score ELSE least(score, unboosted) END AS score, unboosted, hostname, ja3, CAST(NULL AS VARCHAR) AS ja4 FROM sc LEFT JOIN m USING (sensor, src, dst)""",
+    ("conn_v", "ssl_v"),
+)
+_SPLIT_ROWS = f"(SELECT c.*, x.ja3 FROM {egress_sql()} c JOIN (SELECT DISTINCT uid, ja3 FROM ssl_v WHERE coalesce(ja3, '') <> '') x USING (uid))"
+register(
+    "det_beacon_channels",
+    lambda s, d: beacon.channels(detect.egress(conn(s, d)), view(s, d, "ssl_v"), scored(s, d).withColumn("type", F.lit("Beacon")), Config(beacon_min_score=1)).select("sensor", "src", "dst", "channel", "score", "blend_score"),
+    f""", split_ AS (SELECT * FROM {_SPLIT_ROWS}), pairs_ AS (SELECT sensor, src, dst FROM split_ GROUP BY ALL HAVING count(DISTINCT ja3) >= 2),
+ch AS (WITH {profile_steps('(SELECT * FROM split_ SEMI JOIN pairs_ USING (sensor, src, dst))', 'sensor, src, dst, ja3')[2:]} SELECT * FROM prof){scored_sql(egress_sql())}
+SELECT sensor, src, dst, ch.ja3 AS channel, {clamp_sql(_BASE.replace('ts_', 'ch.ts_').replace('ds_score', 'ch.ds_score').replace('hist_score', 'ch.hist_score').replace('dur_score', 'ch.dur_score').replace('* conf', '* ch.conf'), 1, 100)} AS score, sc.score AS blend_score
+FROM ch JOIN sc USING (sensor, src, dst) WHERE {clamp_sql(_BASE.replace('ts_', 'ch.ts_').replace('ds_score', 'ch.ds_score').replace('hist_score', 'ch.hist_score').replace('dur_score', 'ch.dur_score').replace('* conf', '* ch.conf'), 1, 100)} > sc.score""",
+    ("conn_v", "ssl_v"),
+)
+#: Pairs of the tables have few queries of a domain, so the floor is low enough for some to pass.
+DNS_CFG = Config(dns_beacon_min_queries=6)
+register(
+    "det_dns_beacon",
+    lambda s, d: beacon.dns_beacons(view(s, d, "dns_v"), DNS_CFG).select("sensor", "src", "apex", "score", "severity", "n", "n_subs"),
+    f"""{profile_steps(_DNS_ROWS.format(dns=DNS_NAMES), 'sensor, src, apex', least=6)},
+su AS (SELECT sensor, src, apex, count(DISTINCT sub) AS n_subs FROM {DNS_NAMES} GROUP BY ALL),
+sc AS (SELECT *, {clamp_sql(f'100 * (0.5::DOUBLE * {_TS} + 0.25::DOUBLE * greatest(0.0::DOUBLE, 1 - n_subs / 50.0::DOUBLE) + 0.25::DOUBLE * (hist_score + dur_score) / 2) * conf', 1, 100)} AS score FROM prof JOIN su USING (sensor, src, apex) WHERE n_subs < 50)
+SELECT sensor, src, apex, score, CASE WHEN score >= 80 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, n, n_subs FROM sc""",
+    ("dns_v",),
+)
+_WEB = "sensor, src, dst, port, host, uri"
+register(
+    "det_http_beacon",
+    lambda s, d: beacon.http_beacons(view(s, d, "web_v"), Config(beacon_min_score=20), stats.prevalence(view(s, d, "web_v"))).select("type", "severity", "score", "sensor", "src", "dst", "port", "host", "uri", "n", "timestamp"),
+    f"""{scored_sql('web_v', _WEB, 8, boost=False)}
+SELECT 'HTTP Beacon' AS type, {_BEACON_SEVERITY} AS severity, score, {_WEB}, n, {text_sql('"first"')} AS timestamp FROM sc WHERE score >= 20""",
+    ("web_v",),
+)
+
+
+def periodicity_sql(rows: str, keys: str, grid: int = 2000, last: int = 2000, least: int = 16) -> str:
+    """Steps up to ``per``: the strongest plausible period of each key."""
+    return f""",
+ph AS (SELECT * FROM (SELECT {keys}, ts, row_number() OVER (PARTITION BY {keys} ORDER BY ts DESC) AS r FROM {rows}) WHERE r <= {last}),
+pg AS (SELECT {keys}, median(g) AS med FROM (SELECT {keys}, ts - lag(ts) OVER (PARTITION BY {keys} ORDER BY ts) AS g FROM ph) WHERE g > 0 GROUP BY {keys}),
+ps AS (SELECT {keys}, count(*) AS n, min(ts) AS t0, max(ts) - min(ts) AS w FROM ph GROUP BY {keys} HAVING count(*) >= {least} AND max(ts) - min(ts) >= 10),
+pp AS (SELECT {keys}, n, t0, w, 5.0::DOUBLE * pow(w / 10.0::DOUBLE, i / {grid - 1}.0::DOUBLE) AS p FROM ps, range({grid}) g(i)),
+pw AS (SELECT {keys}, n, w, p, sum(cos(2 * pi() * (ts - t0) / p)) AS c, sum(sin(2 * pi() * (ts - t0) / p)) AS s FROM ph JOIN pp USING ({keys}) GROUP BY {keys}, n, w, p),
+px AS (SELECT *, pi() * w / p AS x FROM pw),
+pz AS (SELECT {keys}, n, p, (pow(c - n * sin(x) / x * cos(x), 2) + pow(s - n * sin(x) / x * sin(x), 2)) / n AS power, w FROM px),
+per AS (SELECT {keys}, any_value(n) AS n, any_value(med) AS median_iv, arg_max(p, power) FILTER (p >= med / 5 AND p <= w / 3) AS period, max(power) FILTER (p >= med / 5 AND p <= w / 3) AS power FROM pz JOIN pg USING ({keys}) GROUP BY {keys})"""
+
+
+register(
+    "stat_periodicity",
+    lambda s, d: stats.periodicity(conn(s, d), ["sensor", "src"]).select("sensor", "src", "n", F.round("period", 3).alias("period"), F.round("power", 4).alias("power"), F.round("spectral_score", 4).alias("spectral_score")),
+    f"""{periodicity_sql('conn_v', 'sensor, src')}
+SELECT sensor, src, n, round(period, 3) AS period, round(power, 4) AS power, round(CASE WHEN power IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (power - 14.5) / 14.5)) END, 4) AS spectral_score FROM per""",
+    ("conn_v",),
+)
+register(
+    "det_beacon_hints",
+    lambda s, d: beacon.annotated(beacon.profile(detect.egress(conn(s, d))), detect.egress(conn(s, d)), cfg=Config(spectral_threshold=3.0)).select("sensor", "src", "dst", "spectral_rescued", F.round("spectral_period", 3).alias("spectral_period")),
+    f"""{profile_steps(egress_sql())}{periodicity_sql(f'(SELECT e.* FROM {egress_sql()} e JOIN prof USING (sensor, src, dst) WHERE {_TS} < 0.5 AND n >= 16)', 'sensor, src, dst')},
+hint AS (SELECT sensor, src, dst, period, CASE WHEN power IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (power - 3.0) / 3.0)) END AS s FROM per)
+SELECT sensor, src, dst, coalesce(s > {_TS}, false) AS spectral_rescued, round(CASE WHEN s > {_TS} THEN period END, 3) AS spectral_period FROM prof LEFT JOIN hint USING (sensor, src, dst)""",
+    ("conn_v",),
+)
 register(
     "det_ports",
     lambda s, d: beacon.ports(conn(s, d)).select("sensor", "src", "dst", "modal_port", "n_ports", F.round("top_share", 6).alias("top_share"), "hops", "co_traffic"),
@@ -198,17 +309,15 @@ detector("det_database_egress", "conn_v", detect.database_egress, f"""{finding_s
 
 # DNS
 
-_APEX = "CASE WHEN len(l) < 2 THEN query WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'co.nz', 'com.br', 'co.za', 'co.in', 'com.cn', 'com.mx') AND len(l) >= 3 THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END"
-_DNS = f"(SELECT *, CASE WHEN ends_with(query, '.' || apex) THEN query[: len(query) - len(apex) - 1] END AS sub FROM (SELECT *, {_APEX} AS apex FROM (SELECT *, string_split(query, '.') AS l FROM dns_v)))"
-detector("det_suspicious_tld", "dns_v", detect.suspicious_tld, f"""{finding_sql("'Suspicious TLD'", "'MEDIUM'", '52', dst='apex')} FROM {first_sql(f"(SELECT * FROM {_DNS} WHERE l[-1] IN ('xyz', 'tk', 'top', 'pw', 'cc', 'to', 'biz'))", 'src, apex', 'ts, query')}""")
+detector("det_suspicious_tld", "dns_v", detect.suspicious_tld, f"""{finding_sql("'Suspicious TLD'", "'MEDIUM'", '52', dst='apex')} FROM {first_sql(f"(SELECT * FROM {DNS_NAMES} WHERE l[-1] IN ('xyz', 'tk', 'top', 'pw', 'cc', 'to', 'biz'))", 'src, apex', 'ts, query')}""")
 detector("det_tunneling", "dns_v", lambda x: detect.tunneling(x, CFG), f"""{finding_sql("'DNS Tunneling'", "'HIGH'", clamp_sql('least(55 + ent * 6, 88.0)', 1, 95), dst='apex')}
-FROM {first_sql(f"(SELECT *, list_aggregate(string_split(l[1], ''), 'entropy') AS ent FROM {_DNS} WHERE len(l[1]) >= 31 OR (len(l[1]) >= 30 AND list_aggregate(string_split(l[1], ''), 'entropy') >= 3.5) OR len(l) > 5)", 'src, apex', 'ts, query')}""")
+FROM {first_sql(f"(SELECT *, list_aggregate(string_split(l[1], ''), 'entropy') AS ent FROM {DNS_NAMES} WHERE len(l[1]) >= 31 OR (len(l[1]) >= 30 AND list_aggregate(string_split(l[1], ''), 'entropy') >= 3.5) OR len(l) > 5)", 'src, apex', 'ts, query')}""")
 detector("det_nxdomain", "dns_v", lambda x: detect.nxdomain_flood(x, CFG), f"""{finding_sql("'DNS NXDOMAIN Flood'", "'HIGH'", clamp_sql('45 + log10(n) * 15', 1, 85), dst="'(network)'", port="'53'", ts='f')} FROM (SELECT sensor, src, count(*) AS n, min(ts) AS f FROM dns_v WHERE rcode = 'NXDOMAIN' GROUP BY ALL) WHERE n >= 2""")
 detector("det_subdomain_dga", "dns_v", lambda x: detect.subdomain_dga(x, cfg=CFG), f"""{finding_sql("'DNS Subdomain DGA'", "CASE WHEN ent > 3.0 THEN 'HIGH' ELSE 'MEDIUM' END", clamp_sql('least(55 + ent * 6, 90.0)', 1, 95), dst='apex', port="'53'", ts='f')}
-FROM (SELECT sensor, src, apex, count(*) AS n, avg(list_aggregate(string_split(sub, ''), 'entropy')) AS ent, min(f) AS f FROM (SELECT sensor, src, apex, sub, min(ts) AS f FROM {_DNS} WHERE sub IS NOT NULL GROUP BY ALL) GROUP BY sensor, src, apex) WHERE n >= 3""")
-register("det_resolvers", lambda s, d: detect.resolvers(view(s, d, "dns_v")), f" SELECT sensor, src, resolver, count(*) AS queries, least(count(DISTINCT apex), 512) AS apexes FROM {_DNS} GROUP BY ALL", ("dns_v",))
-register("det_subdomains", lambda s, d: detect.subdomains(view(s, d, "dns_v")).select("sensor", "src", "apex", "n_subs", "queries"), f" SELECT sensor, src, apex, count(DISTINCT sub) AS n_subs, count(*) AS queries FROM {_DNS} GROUP BY ALL", ("dns_v",))
-register("det_resolved", lambda s, d: detect.resolved(view(s, d, "dns_v")), f" SELECT sensor, src, apex, array_to_string(list_sort(list_distinct(list(answers)))[:8], ',') AS resolved FROM {_DNS} WHERE answers IS NOT NULL GROUP BY sensor, src, apex", ("dns_v",))
+FROM (SELECT sensor, src, apex, count(*) AS n, avg(list_aggregate(string_split(sub, ''), 'entropy')) AS ent, min(f) AS f FROM (SELECT sensor, src, apex, sub, min(ts) AS f FROM {DNS_NAMES} WHERE sub IS NOT NULL GROUP BY ALL) GROUP BY sensor, src, apex) WHERE n >= 3""")
+register("det_resolvers", lambda s, d: detect.resolvers(view(s, d, "dns_v")), f" SELECT sensor, src, resolver, count(*) AS queries, least(count(DISTINCT apex), 512) AS apexes FROM {DNS_NAMES} GROUP BY ALL", ("dns_v",))
+register("det_subdomains", lambda s, d: detect.subdomains(view(s, d, "dns_v")).select("sensor", "src", "apex", "n_subs", "queries"), f" SELECT sensor, src, apex, count(DISTINCT sub) AS n_subs, count(*) AS queries FROM {DNS_NAMES} GROUP BY ALL", ("dns_v",))
+register("det_resolved", lambda s, d: detect.resolved(view(s, d, "dns_v")), f" SELECT sensor, src, apex, array_to_string(list_sort(list_distinct(list(answers)))[:8], ',') AS resolved FROM {DNS_NAMES} WHERE answers IS NOT NULL GROUP BY sensor, src, apex", ("dns_v",))
 
 # TLS, certificates, notices, files, HTTP
 
@@ -226,12 +335,22 @@ detector("det_http_download", "http_v", detect.http_download, f"""{finding_sql("
 register("det_fronting", lambda s, d: detect.fronting(conn(s, d).withColumn("host", F.lit("h1.example.net:443")), view(s, d, "ssl_v")).select(*FINDING), f"""{finding_sql("'Domain Fronting'", "'CRITICAL'", '88')} FROM {first_sql("(SELECT c.* FROM conn_v c JOIN ssl_v s USING (uid) WHERE s.server_name <> 'h1.example.net')", 'src, uid')}""", ("conn_v", "ssl_v"))
 register(
     "det_uri_footprint",
-    lambda s, d: detect.uri_footprint(view(s, d, "http_v").withColumn("uri", F.substring("uri", 1, 4)).withColumn("host", F.lit("h")).withColumn("dst", F.lit("x"))).select("src", F.transform("top_uris", lambda x: F.concat(x["uri"], F.lit(" "), x["count"].cast("string"))).alias("t")).select("src", F.array_join("t", ",").alias("top")),
-    """ SELECT src, string_agg(concat(u, ' ', n), ',' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, u) AS r FROM (SELECT src, uri[:4] AS u, count(*) AS n FROM http_v GROUP BY ALL)) WHERE r <= 8 GROUP BY src""",
-    ("http_v",),
+    lambda s, d: detect.uri_footprint(view(s, d, "web_v")).select("sensor", "src", "dst", "port", "host", F.array_join(F.transform("top_uris", lambda x: F.concat(x["uri"], F.lit(" "), x["count"].cast("string"))), ",").alias("top")),
+    """ SELECT sensor, src, dst, port, host, string_agg(concat(uri, ' ', n), ',' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY sensor, src, dst, port, host ORDER BY n DESC, uri) AS r FROM (SELECT sensor, src, dst, port, host, uri, count(*) AS n FROM web_v GROUP BY ALL)) WHERE r <= 8 GROUP BY sensor, src, dst, port, host""",
+    ("web_v",),
+)
+_GENERATED = "concat(md5(CAST(id AS VARCHAR))[:12], '.net')"
+register(
+    "det_dga",
+    lambda s, d: detect.dga(view(s, d, "findings_v").withColumn("hostname", F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 12), F.lit(".net"))), detect.bigram_table(s.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'"))).select("id", "hostname", "score", "severity", "dga"),
+    f""", words AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en'),
+bi AS (SELECT bigram, log10(count(*) / sum(count(*)) OVER ()) AS logp FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i : i + 1])) AS bigram FROM words WHERE len(w) > 1) GROUP BY bigram),
+h AS (SELECT id, score, severity, {_GENERATED} AS hostname, {_GENERATED}[:12] AS sld FROM findings_v),
+p AS (SELECT id, sum(coalesce(logp, -5.5::DOUBLE)) / 11 AS mean FROM (SELECT id, unnest(list_transform(range(1, 12), lambda i: sld[i : i + 1])) AS bigram FROM h) LEFT JOIN bi USING (bigram) GROUP BY id),
+g AS (SELECT h.*, list_aggregate(string_split(sld, ''), 'entropy') > 3.5::DOUBLE AND mean < -4.5::DOUBLE AS dga FROM h JOIN p USING (id))
+SELECT id, hostname, CAST(CASE WHEN dga THEN least(score + 15, 99) ELSE score END AS INT) AS score, CASE WHEN dga THEN CASE severity WHEN 'LOW' THEN 'MEDIUM' WHEN 'MEDIUM' THEN 'HIGH' ELSE 'CRITICAL' END ELSE severity END AS severity, dga FROM g""",
+    ("findings_v",),
 )
-register("det_dga", lambda s, d: detect.dga(view(s, d, "findings_v").filter("type = 'HTTP Beacon'").withColumn("hostname", F.concat(F.md5(F.col("id").cast("string")), F.lit(".example.net"))).withColumn("hostname", F.concat(F.substring("hostname", 1, 12), F.lit(".net"))), detect.bigram_table(s.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'"))).select("id", "hostname", "score", "severity", "dga"))
-
 
 # Joins with lists and indicators
 
@@ -293,18 +412,30 @@ register(
     ", o AS (SELECT sensor, src_ip, dst_ip, array_to_string(list_sort(list_distinct(list(type))), ', ') AS corroboration FROM findings_v WHERE type IN ('Data Exfiltration', 'Off-Hours Transfer', 'Long Connection', 'Strobe') GROUP BY ALL) SELECT id, corroboration FROM findings_v LEFT JOIN o USING (sensor, src_ip, dst_ip) WHERE type = 'Beacon'",
     ("findings_v",),
 )
-register("join_resolver_context", lambda s, d: matching.resolver_context(view(s, d, "findings_v").withColumn("dst_ip", F.lit("10.0.255.53")), detect.resolvers(view(s, d, "dns_v"))).select("id", "queries", "apexes", "dns_context"))
+register(
+    "join_resolver_context",
+    lambda s, d: matching.resolver_context(view(s, d, "findings_v").withColumn("dst_ip", F.lit("10.0.255.53")), detect.resolvers(view(s, d, "dns_v"))).select("id", "queries", "apexes", "dns_context"),
+    f""", r AS (SELECT sensor, src, count(*) AS queries, least(count(DISTINCT apex), 512) AS apexes FROM {DNS_NAMES} GROUP BY ALL)
+SELECT id, queries, CAST(apexes AS BIGINT) AS apexes, CASE WHEN queries IS NULL THEN 'no DNS queries seen: not a resolver' WHEN apexes <= 2 THEN 'few domains: looks like a channel' ELSE 'many domains: looks like a resolver' END AS dns_context
+FROM findings_v f LEFT JOIN r ON f.sensor = r.sensor AND f.src_ip = r.src WHERE dst_port = '53' AND f.sensor IN (SELECT sensor FROM r)""",
+    ("findings_v", "dns_v"),
+)
 register("join_siblings", lambda s, d: matching.siblings(view(s, d, "ssl_v").withColumnRenamed("uid", "id")).select("id", "siblings"), " SELECT uid AS id, count(*) OVER (PARTITION BY ja3) - 1 AS siblings FROM ssl_v", ("ssl_v",))
 register("join_cross_notes", lambda s, d: matching.cross_notes(view(s, d, "findings_v"), indicators(s, d).filter("value NOT LIKE '%/%' AND value NOT LIKE '%*'").select(F.col("value").alias("dst_ip"), F.col("feed").alias("source"))), f", {_IND}, h AS (SELECT DISTINCT value, feed FROM ind WHERE value NOT LIKE '%/%' AND value NOT LIKE '%*') SELECT DISTINCT id, concat('Indicator hit on ', value, ' from ', feed) AS note FROM findings_v JOIN h ON value = src_ip OR value = dst_ip", ("findings_v",))
 register("join_context", lambda s, d: matching.context(view(s, d, "findings_v")).select("id", "dst_hosts", "src_more"), ", h AS (SELECT dst_ip, count(DISTINCT src_ip) AS dst_hosts FROM findings_v GROUP BY dst_ip), t AS (SELECT src_ip, greatest(count(DISTINCT type) - 8, 0) AS src_more FROM findings_v GROUP BY src_ip) SELECT id, dst_hosts, src_more FROM findings_v JOIN h USING (dst_ip) JOIN t USING (src_ip)", ("findings_v",))
 register(
     "join_evidence",
-    lambda s, d: matching.evidence(view(s, d, "findings_v").filter("type = 'Strobe'"), conn(s, d), hours=48, most=3).select("id", "uid", "place"),
-    """ SELECT id, uid, place FROM (SELECT id, uid, row_number() OVER (PARTITION BY id ORDER BY abs(c.ts - f."at"), c.ts) AS place FROM findings_v f JOIN conn_v c ON f.src_ip = c.src AND f.dst_ip = c.dst AND abs(c.ts - f."at") <= 172800 WHERE type = 'Strobe') WHERE place <= 3""",
+    lambda s, d: matching.evidence(view(s, d, "findings_v"), conn(s, d), hours=48, most=3).select("id", "uid", "place"),
+    """ SELECT id, uid, place FROM (SELECT id, uid, row_number() OVER (PARTITION BY id ORDER BY abs(c.ts - f."at"), c.ts) AS place FROM findings_v f JOIN conn_v c ON f.src_ip = c.src AND f.dst_ip = c.dst AND abs(c.ts - f."at") <= 172800) WHERE place <= 3""",
     ("findings_v", "conn_v"),
 )
 register("join_hash_hits", lambda s, d: matching.hash_hits(view(s, d, "files_v"), view(s, d, "files_v").filter("md5 LIKE 'a%'").select(F.upper("md5").alias("value"), F.lit("f").alias("feed"))).select("rx", "tx", "hash", "score"), f" SELECT rx, tx, md5 AS hash, 90 AS score FROM {first_sql('''(SELECT * FROM files_v WHERE md5 LIKE 'a%')''', 'rx, md5', 'ts')}", ("files_v",))
-register("join_url_hits", lambda s, d: matching.url_hits(view(s, d, "http_v"), lists.url_list(s.read.parquet(f"{d}/pages.parquet").filter("page_id % 9 = 0"))).select("src", "name", "dst", "score"), f", u AS (SELECT DISTINCT regexp_extract(url, '://([^/:]+)', 1) AS host FROM pages WHERE page_id % 9 = 0) SELECT src, host AS name, dst, 96 AS score FROM {first_sql('(SELECT h.* FROM http_v h JOIN u USING (host))', 'src, host', 'ts, dst')}", ("http_v",))
+register(
+    "join_url_hits",
+    lambda s, d: matching.url_hits(view(s, d, "http_v"), lists.url_list(s.read.parquet(f"{d}/pages.parquet"))).select("src", "name", "dst", "score"),
+    f", u AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/:]+)', 1)) AS host FROM pages) SELECT src, lower(host) AS name, dst, 96 AS score FROM {first_sql('(SELECT h.* FROM http_v h WHERE lower(host) IN (FROM u))', 'src, lower(host)', 'ts, dst')}",
+    ("http_v",),
+)
 register(
     "join_suggested",
     lambda s, d: matching.suggested(view(s, d, "findings_v").select("src_ip", "dst_ip", "dst_port", "type", F.substring("timestamp", 1, 10).alias("day"), F.col("score").alias("max_score")), view(s, d, "findings_v").filter("status = 'acknowledged'"), view(s, d, "findings_v").filter("status = 'dismissed' AND score > 70"), 2),
@@ -353,8 +484,16 @@ def halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return merge.winners(f.filter("id % 2 = 0")).drop("fp"), f.filter("id % 2 = 1").drop("id")
 
 
-register("merge_run", lambda s, d: merge.merge_run(*halves(s, d), "2024-02-01 00:00:00").groupBy("type", "is_new", "status").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")))
 _FP = "CASE WHEN type = 'HTTP Beacon' THEN concat_ws('|', type, src_ip, dst_ip, dst_port, sensor, hostname, uri) ELSE concat_ws('|', type, src_ip, dst_ip, dst_port, sensor) END"
+register(
+    "merge_run",
+    lambda s, d: merge.merge_run(*halves(s, d), "2024-02-01 00:00:00").groupBy("type", "is_new", "status").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")),
+    f""", h AS (SELECT * FROM (SELECT *, {_FP} AS fp, row_number() OVER (PARTITION BY {_FP} ORDER BY score DESC, id) AS r FROM findings_v WHERE id % 2 = 0) WHERE r = 1),
+n AS (SELECT {_FP} AS fp, any_value(type) AS type FROM findings_v WHERE id % 2 = 1 GROUP BY fp),
+j AS (SELECT coalesce(n.type, h.type) AS type, h.fp IS NULL AS is_new, coalesce(h.status, '') AS status FROM h FULL JOIN n ON h.fp = n.fp WHERE n.fp IS NOT NULL OR h.type <> 'Host Risk Score')
+SELECT type, is_new, status, count(*) AS n, count(*) AS ids FROM j GROUP BY ALL""",
+    ("findings_v",),
+)
 register("merge_run_totals", lambda s, d: merge.merge_run(*halves(s, d), "2024-02-01 00:00:00", full=False).agg(F.count("*").alias("n"), F.count_if("is_new").alias("fresh"), F.countDistinct("id").alias("ids"), F.sum("score").alias("score")), f""", h AS (SELECT {_FP} AS fp, id, score, row_number() OVER (PARTITION BY {_FP} ORDER BY score DESC, id) AS r FROM findings_v WHERE id % 2 = 0), h1 AS (SELECT * FROM h WHERE r = 1),
 n AS (SELECT {_FP} AS fp, max(score) AS score FROM findings_v WHERE id % 2 = 1 GROUP BY fp), j AS (SELECT h1.fp AS a, n.fp AS b, coalesce(n.score, h1.score) AS score FROM h1 FULL JOIN n ON h1.fp = n.fp)
 SELECT count(*) AS n, count(*) FILTER (a IS NULL) AS fresh, count(*) AS ids, CAST(sum(score) AS BIGINT) AS score FROM j""", ("findings_v",))
@@ -423,7 +562,8 @@ report("unmapped", reports.unmapped, " SELECT DISTINCT type FROM findings_v WHER
 report("activity", lambda f: reports.activity(f, "2024-01-20 00:00:00"), " SELECT type, count(*) FILTER (timestamp > '2024-01-13 00:00:00' AND timestamp <= '2024-01-20 00:00:00') AS last7, count(*) FILTER (timestamp > '2024-01-06 00:00:00' AND timestamp <= '2024-01-13 00:00:00') AS prior7, count(*) AS total, count(*) FILTER (timestamp > '2024-01-13 00:00:00' AND timestamp <= '2024-01-20 00:00:00') = 0 AND count(*) FILTER (timestamp > '2024-01-06 00:00:00' AND timestamp <= '2024-01-13 00:00:00') > 0 AS dropped FROM findings_v GROUP BY type")
 report("unseen", lambda f: reports.unseen(f, "2024-01-20 00:00:00"), f" SELECT count(*) FILTER (is_new) AS new, count(*) FILTER (detected_at > '2024-01-20 00:00:00' AND NOT {ROLLUP}) AS unseen FROM findings_v")
 report("census", lambda f: reports.census(f, ("type", "severity", "service")), " SELECT type, severity, service, count(*) AS n, round(avg(score), 1) AS avg_score FROM findings_v GROUP BY ALL")
-report("graph_nodes", lambda f: reports.graph(f)[0], f", e AS (SELECT src_ip AS host, {RANK} AS r FROM findings_v WHERE NOT {ROLLUP} UNION ALL SELECT dst_ip, {RANK} FROM findings_v WHERE NOT {ROLLUP}) SELECT host, count(*) AS n, CAST(min(r) AS INT) AS worst, {private('host')} AS internal FROM e GROUP BY host")
+report("graph_nodes", lambda f: reports.graph(f)[0].drop("marked"), f", e AS (SELECT src_ip AS host, {RANK} AS r FROM findings_v WHERE NOT {ROLLUP} UNION ALL SELECT dst_ip, {RANK} FROM findings_v WHERE NOT {ROLLUP}) SELECT host, count(*) AS n, CAST(min(r) AS INT) AS worst, {private('host')} AS internal FROM e GROUP BY host")
+report("graph_marked", lambda f: reports.graph(f)[0].filter("marked").select("host", "n"), f" SELECT host, count(*) AS n FROM (SELECT src_ip AS host, {RANK} AS r FROM findings_v WHERE NOT {ROLLUP} UNION ALL SELECT dst_ip, {RANK} FROM findings_v WHERE NOT {ROLLUP}) WHERE NOT {private('host')} GROUP BY host HAVING min(r) <= 1 ORDER BY min(r), n DESC, host LIMIT 1")
 report("graph_links", lambda f: reports.graph(f)[1].withColumn("weight", F.round("weight", 6)), f" SELECT src_ip, dst_ip, count(*) AS n, CAST(min({RANK}) AS INT) AS worst, round(least(8.0, 1 + log2(count(*))), 6) AS weight FROM findings_v WHERE NOT {ROLLUP} GROUP BY src_ip, dst_ip")
 report("graph_capped", lambda f: reports.capped(*reports.graph(f))[0].select("host", "degree"), f", l AS (SELECT DISTINCT src_ip, dst_ip FROM findings_v WHERE NOT {ROLLUP}), d AS (SELECT host, count(*) AS degree FROM (SELECT src_ip AS host FROM l UNION ALL SELECT dst_ip FROM l) GROUP BY host), c AS (SELECT host, count(*) AS n FROM (SELECT src_ip AS host FROM findings_v WHERE NOT {ROLLUP} UNION ALL SELECT dst_ip FROM findings_v WHERE NOT {ROLLUP}) GROUP BY host) SELECT host, degree FROM d JOIN c USING (host) ORDER BY degree DESC, n DESC, host LIMIT 200")
 report("notable", lambda f: reports.notable(f).select("id"), " SELECT id FROM findings_v WHERE is_new AND score >= 95 AND type <> 'Host Risk Score'")
@@ -432,8 +572,192 @@ register("report_concern", lambda s, d: reports.concern(detect.fingerprint_preva
 register("report_inventory", lambda s, d: reports.inventory(detect.fingerprint_prevalence(view(s, d, "ssl_v")), detect.fingerprint_list(detect.V.BAD_JA3, None, s)).select("fp", "label", "concern", "rank"), ", p AS (SELECT ja3 AS fp, CASE WHEN count(DISTINCT dst) <= 8 AND count(DISTINCT src) >= 2 THEN 'high' WHEN count(DISTINCT dst) <= 8 THEN 'medium' ELSE 'low' END AS concern FROM ssl_v GROUP BY ja3) SELECT fp, CASE WHEN fp = '72a589da586844d7f0818ce684948eea' THEN 'Cobalt Strike beacon' END AS label, concern, CAST(CASE WHEN fp = '72a589da586844d7f0818ce684948eea' THEN 0 WHEN concern = 'high' THEN 1 ELSE 2 END AS INT) AS rank FROM p WHERE fp = '72a589da586844d7f0818ce684948eea' OR concern <> 'low'", ("ssl_v",))
 register("report_byte_bins", lambda s, d: reports.byte_bins(conn(s, d), ["sensor", "dst"]), """, s AS (SELECT sensor, dst, min(ts) AS t0, max(ts) AS t1 FROM conn_v GROUP BY ALL)
 SELECT sensor, dst, CAST(CASE WHEN t1 > t0 THEN least(23, floor((ts - t0) / (t1 - t0) * 24)) ELSE 0 END AS INT) AS bin, sum(orig_bytes) AS sent, sum(resp_bytes) AS received, sum(orig_bytes) > 2 * sum(resp_bytes) AS upload FROM conn_v JOIN s USING (sensor, dst) GROUP BY ALL""", ("conn_v",))
-register("report_interval_histogram", lambda s, d: reports.interval_histogram(stats.intervals(conn(s, d), ["sensor", "dst"]), ["sensor", "dst"]))
-register("report_timing_layers", lambda s, d: reports.timing_layers(scored(s, d).withColumn("severity", E.beacon_severity("score"))))
+register(
+    "report_interval_histogram",
+    lambda s, d: reports.interval_histogram(stats.intervals(conn(s, d), ["sensor", "dst"]), ["sensor", "dst"]),
+    """, i AS (SELECT sensor, dst, iv, row_number() OVER (PARTITION BY sensor, dst ORDER BY iv) AS r, count(*) OVER (PARTITION BY sensor, dst) AS total
+  FROM (SELECT sensor, dst, ts - lag(ts) OVER (PARTITION BY sensor, dst ORDER BY ts) AS iv FROM conn_v) WHERE iv > 0),
+k AS (SELECT *, greatest(1, CAST(floor(total * 0.99) AS BIGINT)) AS kept FROM i), t AS (SELECT *, min(iv) OVER w AS lo, max(iv) OVER w AS hi, CAST(least(40, greatest(12, floor(sqrt(kept) * 2))) AS INT) AS bins FROM k WHERE r <= kept WINDOW w AS (PARTITION BY sensor, dst))
+SELECT sensor, dst, bins, CAST(least(bins - 1, greatest(0, CAST(floor((iv - lo) / (greatest(hi - lo, 0.001::DOUBLE) / bins)) AS INT))) AS INT) AS bin, count(*) AS n FROM t GROUP BY ALL""",
+    ("conn_v",),
+)
+_LAYER = "CASE WHEN ts_ent > ts_raw AND ts_ent > ts_mm THEN 'entropy' WHEN ts_mm > ts_raw THEN 'multimodal' ELSE 'raw' END"
+register(
+    "report_timing_layers",
+    lambda s, d: reports.timing_layers(scored(s, d).withColumn("severity", E.beacon_severity("score"))),
+    f"""{scored_sql(egress_sql())}, v AS (SELECT {_LAYER} AS layer, {_BEACON_SEVERITY} AS severity FROM sc)
+SELECT layer, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM v GROUP BY layer""",
+    ("conn_v",),
+)
+
+
+def wide(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query over the findings with all their columns."""
+    register(name, lambda s, d: make(view(s, d, "wide_v")), sql, ("wide_v",))
+
+
+_WIDE_BEACON = "type IN ('Beacon', 'HTTP Beacon', 'DNS Beacon', 'Port-Hopping Beacon')"
+_FAMILY = "CASE WHEN type IN ('Suspicious URL', 'TI Hit (Domain)', 'Malicious JA3') THEN 'ti' WHEN type IN ('Beacon', 'Strobe', 'HTTP Beacon', 'DNS Beacon') THEN 'beaconing' WHEN type = 'DNS Tunneling' THEN 'dns' ELSE 'other' END"
+wide("report_layer_census", lambda f: reports.layer_census(f.filter(F.col("type").isin(list(detect.V.BEACONS)))), f" SELECT {_LAYER} AS layer, count(*) AS n, round(avg(score), 1) AS avg_score, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (status = 'dismissed') AS dismissed FROM wide_v WHERE {_WIDE_BEACON} GROUP BY ALL")
+wide("report_periodic_summary", lambda f: reports.periodic_summary(f.filter(F.col("type").isin(list(detect.V.BEACONS)))), f" SELECT count(*) FILTER (spectral_rescued) AS flagged, count(*) FILTER (spectral_rescued AND status = 'escalated') AS escalated, count(*) FILTER (spectral_rescued AND status = 'acknowledged') AS acknowledged, count(*) FILTER (spectral_rescued AND status = 'dismissed') AS dismissed, count(*) AS total FROM wide_v WHERE {_WIDE_BEACON}")
+wide("report_implausible_periods", lambda f: reports.implausible_periods(f, 0.21).select("id", "period", "median_interval"), " SELECT id, score * 2 + 0.5::DOUBLE AS period, median_interval FROM wide_v WHERE contains(detail, 'Spectral signal') AND median_interval > 0 AND score * 2 + 0.5::DOUBLE < median_interval * 0.21::DOUBLE")
+wide("report_suppressed_peaks", reports.suppressed_peaks, " SELECT id, score, concat('[artifact ', score, 's suppressed]') AS peak FROM wide_v WHERE contains(detail, 'suppressed]')")
+wide("report_dispositions", lambda f: reports.timing_layers(f.filter(F.col("type").isin(list(detect.V.BEACONS)))).select("layer", "n", "open", "acknowledged", "escalated", "dismissed"), f" SELECT {_LAYER} AS layer, count(*) AS n, count(*) FILTER (status = '') AS open, count(*) FILTER (status = 'acknowledged') AS acknowledged, count(*) FILTER (status = 'escalated') AS escalated, count(*) FILTER (status = 'dismissed') AS dismissed FROM wide_v WHERE {_WIDE_BEACON} GROUP BY ALL")
+wide(
+    "report_family_trend",
+    lambda f: reports.trend(f, "family"),
+    f", c AS (SELECT CAST(timestamp[:10] AS DATE) AS day, {_FAMILY} AS family, count(*) AS n FROM wide_v GROUP BY ALL), d AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day), s AS (SELECT DISTINCT family FROM c) SELECT d.day, s.family, coalesce(n, 0) AS n FROM d CROSS JOIN s LEFT JOIN c USING (day, family)",
+)
+wide("report_tab_counts", reports.tab_counts, f" SELECT count(*) FILTER (status = '') AS open, count(*) FILTER (status = 'acknowledged') AS acknowledged, count(*) FILTER (status = 'escalated') AS escalated, count(*) FILTER (status = 'dismissed') AS dismissed, count(*) FILTER (ioc_match) AS ioc, count(*) AS total, (SELECT count(*) FROM (SELECT dst_ip, dst_port FROM wide_v GROUP BY ALL HAVING count(DISTINCT src_ip) >= 2)) AS campaigns, (SELECT count(DISTINCT src_ip) FROM wide_v WHERE {private('src_ip')}) AS hosts FROM wide_v")
+wide("report_inventory_counts", lambda f: reports.inventory_counts(f.select(F.col("ja3").alias("fp")).distinct().withColumn("rank", F.lit(1)), f), " SELECT ja3 AS fp, 1 AS rank, count(*) AS findings FROM wide_v GROUP BY ja3")
+wide(
+    "report_beacon_history",
+    lambda f: reports.beacon_history(f.groupBy("src_ip", "dst_ip", F.substring("timestamp", 1, 10).alias("day")).agg(F.max("score").alias("max_score")), "2024-01-20", 10),
+    " SELECT src_ip, dst_ip, timestamp[:10] AS day, max(score) AS max_score FROM wide_v WHERE timestamp[:10] BETWEEN '2024-01-10' AND '2024-01-20' GROUP BY ALL",
+)
+wide("report_blocked_totals", lambda f: reports.blocked_totals(f.groupBy(F.substring("timestamp", 1, 10).alias("run_at")).agg(F.count_if(F.col("score") % 7 == 0).alias("spectral_blocked"))), " SELECT CAST(coalesce(sum(b), 0) AS BIGINT) AS blocked, count(*) AS runs FROM (SELECT timestamp[:10] AS day, count(*) FILTER (score % 7 = 0) AS b FROM wide_v GROUP BY ALL ORDER BY day DESC LIMIT 10)")
+register("report_indicators_per_feed", lambda s, d: reports.indicators_per_feed(indicators(s, d)), f"WITH {_IND} SELECT feed, count(*) AS n FROM ind GROUP BY feed")
+
+# The finding list
+
+
+def noted(f: DataFrame) -> DataFrame:
+    """Every fifth finding has a triage note behind another one."""
+    said = F.array(F.lit("seen"), F.lit("triage: verdict: likely benign; confidence: 80; reason: known host"))
+    return f.withColumn("notes", F.when(F.col("id") % 5 == 0, said).otherwise(F.array(F.lit("seen"))))
+
+
+wide("pred_booleans", lambda f: noted(f).filter((E.bool_is("spectral", "true") | E.bool_is("channel", "true")) & E.bool_is("triaged", "false") & E.bool_is("ioc", "False")).select("id"), " SELECT id FROM wide_v WHERE (spectral_rescued OR channel <> '') AND id % 5 <> 0")
+wide("pred_fingerprint", lambda f: f.filter(E.fingerprint_is("ja3", "C4CA4238A0B923820DCC509A6F75849B")).select("id"), " SELECT id FROM wide_v WHERE ja3 = md5('1')")
+wide("pred_metrics", lambda f: f.filter(E.beacon_number_is("sample_size", ">=40") & E.beacon_number_is("median_interval", "<900")).select("id"), f" SELECT id FROM wide_v WHERE {_WIDE_BEACON} AND sample_size >= 40 AND median_interval < 900")
+wide("pred_status", lambda f: f.filter(E.status_is("open") & E.severity_is("high") & E.sensor_is("s1")).select("id"), " SELECT id FROM wide_v WHERE status = '' AND severity = 'HIGH' AND sensor = 's1'")
+wide("pred_detected", lambda f: f.filter(E.detected_is(1704844800, 1705276800)).select("id"), " SELECT id FROM wide_v WHERE detected_at >= '2024-01-10 00:00:00' AND detected_at < '2024-01-15 00:00:00'")
+wide("scl_port_context", lambda f: f.select("id", E.port_context("dst_port", "service").alias("context")), " SELECT id, CASE dst_port WHEN '443' THEN 'port 443 (well-known: HTTPS)' WHEN '80' THEN 'port 80 (well-known: HTTP)' WHEN '53' THEN 'port 53 (well-known: DNS)' WHEN '22' THEN 'port 22 (well-known: SSH)' WHEN '8443' THEN 'port 8443 (well-known: HTTPS-alt)' WHEN '3389' THEN 'port 3389 (well-known: RDP)' WHEN '8080' THEN 'port 8080 (well-known: HTTP-alt)' WHEN '25' THEN 'port 25 (well-known: SMTP)' ELSE CASE WHEN service <> '' THEN '' ELSE concat('port ', dst_port, ' (no well-known service: uncommon or custom)') END END AS context FROM wide_v")
+wide("scl_log_types", lambda f: f.select("type", F.array_join(E.log_types("type"), ",").alias("logs")).distinct(), " SELECT DISTINCT type, CASE WHEN type IN ('Beacon', 'Strobe', 'C2 Port') THEN 'conn' WHEN type IN ('Suspicious URL', 'HTTP Beacon') THEN 'http' WHEN type IN ('DNS Tunneling', 'DNS Beacon') THEN 'dns' WHEN type = 'TI Hit (Domain)' THEN 'dns,http' ELSE 'ssl' END AS logs FROM wide_v")
+
+
+def list_filters() -> listing.Filters:
+    return listing.Filters(type="beacons", min_score=10, sub_scores={"ts_score": (0.2, 0.9)}, time_from="2024-01-03 00:00:00", time_to="2024-01-28 00:00:00", zone="Europe/Berlin", search="KIND=", ports=("443", "80", "22", "4444"))
+
+
+def list_lists(s: SparkSession, d: str) -> listing.Lists:
+    named = indicators(s, d).select("value", F.col("feed").alias("source"), F.substring("feed", 2, 1).cast("int").alias("rank"))
+    return listing.Lists(pairs=pair_rules(s, d), indicators=named)
+
+
+_PAIRS = """pr AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 8 END AS rlo, CASE WHEN n_nationkey % 3 = 0 THEN '203.0.113.10' ELSE '198.51.100.5' END AS rdst,
+  CASE n_nationkey % 5 WHEN 0 THEN '443' WHEN 1 THEN '22' ELSE '6667' END AS rport, CASE WHEN n_nationkey % 7 = 0 THEN 'Strobe' ELSE 'C2 Port' END AS kind FROM nation)"""
+register(
+    "list_filtered",
+    lambda s, d: listing.filtered(view(s, d, "wide_v"), list_filters(), list_lists(s, d)).select("id", "ioc_match", "ioc_source"),
+    f""", {_IND}, {_PAIRS}, a AS (SELECT ip, min(feed) AS feed FROM (SELECT DISTINCT src_ip AS ip FROM wide_v UNION SELECT DISTINCT dst_ip FROM wide_v) JOIN num ON {_hit_sql('ip')} GROUP BY ip),
+f AS (SELECT * FROM wide_v w WHERE {_WIDE_BEACON} AND score >= 10 AND ts_score BETWEEN 0.2 AND 0.9 AND timestamp >= '2024-01-02 23:00:00' AND timestamp <= '2024-01-27 23:00:00' AND status <> 'dismissed'
+  AND contains(detail, 'kind=') AND dst_port IN ('443', '80', '22', '4444') AND NOT EXISTS (SELECT 1 FROM pr WHERE w.dst_ip = rdst AND w.dst_port = rport AND w.type = kind AND (rlo IS NULL OR (starts_with(src_ip, '10.0.0.') AND CAST(src_ip[8:] AS INT) BETWEEN rlo AND rlo + 7))))
+SELECT id, s.feed IS NOT NULL OR t.feed IS NOT NULL AS ioc_match, least(s.feed, t.feed) AS ioc_source FROM f LEFT JOIN a s ON s.ip = src_ip LEFT JOIN a t ON t.ip = dst_ip""",
+    ("wide_v",),
+)
+register(
+    "list_ioc_only",
+    lambda s, d: listing.filtered(view(s, d, "wide_v"), listing.Filters(ioc_only=True, include_dismissed=True), list_lists(s, d)).select("id", "ioc_source"),
+    f""", {_IND}, {_PAIRS}, a AS (SELECT ip, min(feed) AS feed FROM (SELECT DISTINCT src_ip AS ip FROM wide_v UNION SELECT DISTINCT dst_ip FROM wide_v) JOIN num ON {_hit_sql('ip')} GROUP BY ip),
+f AS (SELECT * FROM wide_v w WHERE NOT EXISTS (SELECT 1 FROM pr WHERE w.dst_ip = rdst AND w.dst_port = rport AND w.type = kind AND (rlo IS NULL OR (starts_with(src_ip, '10.0.0.') AND CAST(src_ip[8:] AS INT) BETWEEN rlo AND rlo + 7))))
+SELECT id, coalesce(least(s.feed, t.feed), CASE WHEN type IN ('Suspicious URL', 'TI Hit (Domain)') THEN 'Threat Intel' END) AS ioc_source FROM f LEFT JOIN a s ON s.ip = src_ip LEFT JOIN a t ON t.ip = dst_ip
+WHERE s.feed IS NOT NULL OR t.feed IS NOT NULL OR type IN ('Suspicious URL', 'TI Hit (Domain)')""",
+    ("wide_v",),
+)
+
+
+def benign_marks(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/region.parquet").select(F.lit("ja3").alias("kind"), F.md5(F.col("r_regionkey").cast("string")).alias("fp"))
+
+
+register(
+    "list_projection",
+    lambda s, d: listing.projected(view(s, d, "wide_v").withColumn("ja4", F.lit(None).cast("string")), "2024-01-15 00:00:00", benign_marks(s, d)).select("id", "type", "detail", "is_new_to_me", "tls_allowlisted"),
+    " SELECT id, type, detail, detected_at > '2024-01-15 00:00:00' AS is_new_to_me, ja3 IN (SELECT md5(CAST(r_regionkey AS VARCHAR)) FROM region) AS tls_allowlisted FROM wide_v",
+    ("wide_v",),
+)
+register("join_benign", lambda s, d: matching.flag_benign(view(s, d, "wide_v").withColumn("ja4", F.lit(None).cast("string")), benign_marks(s, d)).select("id", "benign"), " SELECT id, ja3 IN (SELECT md5(CAST(r_regionkey AS VARCHAR)) FROM region) AS benign FROM wide_v", ("wide_v",))
+
+# Joins of both address families, evidence by log, hits in all logs
+
+
+def both_families(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    six = F.concat(F.lit("2001:db8:"), (k % 90).cast("string"), F.lit("::"), (k % 10).cast("string"))
+    return s.read.parquet(f"{d}/orders.parquet").select(F.when(k % 2 == 0, six).otherwise(F.concat(F.lit("203.0."), (k % 90).cast("string"), F.lit(".7"))).alias("ip"))
+
+
+def ranges(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    six = F.concat(F.lit("2001:DB8:"), k.cast("string"), F.lit("::/48"))
+    return s.read.parquet(f"{d}/nation.parquet").select(F.when(k % 2 == 0, six).otherwise(F.concat(F.lit("203.0."), k.cast("string"), F.lit(".0/24"))).alias("value"))
+
+
+register(
+    "join_both_families",
+    lambda s, d: matching.matches(both_families(s, d), "ip", ranges(s, d)),
+    """WITH a AS (SELECT DISTINCT o_orderkey % 2 AS odd, o_orderkey % 90 AS g, CASE WHEN o_orderkey % 2 = 0 THEN concat('2001:db8:', o_orderkey % 90, '::', o_orderkey % 10) ELSE concat('203.0.', o_orderkey % 90, '.7') END AS ip FROM orders)
+SELECT DISTINCT ip, CASE WHEN n_nationkey % 2 = 0 THEN concat('2001:DB8:', n_nationkey, '::/48') ELSE concat('203.0.', n_nationkey, '.0/24') END AS value FROM a JOIN nation ON g = n_nationkey AND odd = n_nationkey % 2""",
+)
+register(
+    "join_raw_evidence",
+    lambda s, d: matching.raw_evidence(view(s, d, "wide_v").withColumn("dst_ip", F.when(F.col("type") == "DNS Tunneling", "tun.example.com").otherwise(F.col("dst_ip"))).withColumn("at", F.col("seen")), {"conn": conn(s, d), "dns": view(s, d, "dns_v").withColumn("uid", F.col("query"))}, hours=24, most=2).groupBy("id", "log_type").agg(F.count("*").alias("n"), F.round(F.min("ts"), 3).alias("first")),
+    """, f AS (SELECT *, CASE WHEN type = 'DNS Tunneling' THEN 'tun.example.com' ELSE dst_ip END AS target FROM wide_v),
+c AS (SELECT f.id, 'conn' AS log_type, c.ts, c.uid, abs(c.ts - seen) AS off FROM f JOIN conn_v c ON f.src_ip = c.src AND f.target = c.dst AND abs(c.ts - seen) <= 86400 WHERE type IN ('Beacon', 'Strobe', 'C2 Port')),
+q AS (SELECT f.id, 'dns' AS log_type, d.ts, d.query AS uid, abs(d.ts - seen) AS off FROM f JOIN dns_v d ON f.src_ip = d.src AND abs(d.ts - seen) <= 86400 AND (d.query = target OR ends_with(d.query, '.' || target)) WHERE type = 'DNS Tunneling'),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY off, ts, log_type, uid) AS place FROM (FROM c UNION ALL FROM q))
+SELECT id, log_type, count(*) AS n, round(min(ts), 3) AS "first" FROM r WHERE place <= 2 GROUP BY ALL""",
+    ("wide_v", "conn_v", "dns_v"),
+)
+
+
+def named_indicators(s: SparkSession, d: str) -> DataFrame:
+    names = s.read.parquet(f"{d}/region.parquet").select(F.concat(F.lower("r_name"), F.lit(".example.net")).alias("value"), F.lit("f9").alias("feed"), F.lit(90).alias("score"))
+    known = s.read.parquet(f"{d}/region.parquet").filter("r_regionkey = 0").select(F.lit("click.example.net").alias("value"), F.lit("f8").alias("feed"), F.lit(97).alias("score"))
+    return indicators(s, d).unionByName(names).unionByName(known)
+
+
+register(
+    "join_threat_hits",
+    lambda s, d: matching.threat_hits(matching.destinations(conn(s, d), view(s, d, "dns_v"), view(s, d, "web_v"), view(s, d, "wide_v").withColumn("dst_ip", F.when(F.col("score") == 1, "africa.example.net").otherwise(F.col("dst_ip")))), named_indicators(s, d)).select("dst", "src", "n", "port", "log", "score", "source", "type", "severity"),
+    f""", {_IND}, m AS (SELECT dst, max(score) AS score, array_to_string(list_sort(list_distinct(list(feed))), '+') AS source FROM (SELECT DISTINCT dst FROM conn_v WHERE NOT {private('dst')} AND NOT {INFRA.format('dst', 'dst')}) JOIN num ON {_hit_sql('dst')} GROUP BY dst)
+SELECT dst, src, count(*) AS n, CAST(min(CAST(port AS VARCHAR)) AS VARCHAR) AS port, 'conn' AS log, score, source, 'TI Hit (IP)' AS type, CASE WHEN score >= 95 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM conn_v JOIN m USING (dst) GROUP BY dst, src, score, source
+UNION ALL SELECT 'click.example.net', src, count(*), '80', 'http', 97, 'f8', 'TI Hit (Domain)', 'CRITICAL' FROM web_v WHERE host = 'click.example.net' GROUP BY src
+UNION ALL SELECT 'africa.example.net', '(TI)', count(*), NULL, 'findings', 90, 'f9', 'TI Hit (Domain)', 'HIGH' FROM wide_v WHERE score = 1 HAVING count(*) > 0""",
+    ("conn_v", "dns_v", "web_v", "wide_v"),
+)
+register(
+    "det_malicious_ja4",
+    lambda s, d: detect.malicious_fingerprint(view(s, d, "ssl_v").withColumn("ja4", F.when(F.col("ja3") == F.md5(F.lit("5")), "t13d201100_2b729b4bf6f3_9e7b989ebec8")), "ja4", detect.fingerprint_list(detect.V.BAD_JA4, None, s)).select(*FINDING, "detail"),
+    f"""{finding_sql("'Malicious JA4'", "'CRITICAL'", '95')}, 'JA4: t13d201100_2b729b4bf6f3_9e7b989ebec8 - IcedID loader' AS detail FROM {first_sql("(SELECT * FROM ssl_v WHERE ja3 = md5('5'))", 'src, dst')}""",
+    ("ssl_v",),
+)
+register(
+    "roll_staged_reasons",
+    lambda s, d: rollups.multi_stage(conn(s, d).withColumn("dst", F.concat(F.lit("203.0.113."), (F.substring("uid", 2, 12).cast("long") % 4000).cast("string"))), s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("203.0.113."), F.col("s_suppkey").cast("string")).alias("dst"), F.lit("hit").alias("reason"), F.lit(1).alias("rank")), hours=1000).select("sensor", "dst", "n_sources", "reason", "score", "severity"),
+    """, o AS (SELECT sensor, concat('203.0.113.', CAST(uid[2:] AS BIGINT) % 4000) AS dst, src, min(ts) AS onset FROM conn_v GROUP BY ALL),
+g AS (SELECT sensor, dst, count(*) AS n_sources FROM o GROUP BY sensor, dst HAVING count(*) BETWEEN 2 AND 6 AND max(onset) - min(onset) <= 3600000), r AS (SELECT DISTINCT concat('203.0.113.', s_suppkey) AS dst FROM supplier)
+SELECT sensor, g.dst, n_sources, CASE WHEN r.dst IS NOT NULL THEN 'hit' END AS reason, CASE WHEN r.dst IS NOT NULL THEN 96 ELSE 80 END AS score, CASE WHEN r.dst IS NOT NULL THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM g LEFT JOIN r ON g.dst = r.dst""",
+    ("conn_v",),
+)
+register(
+    "join_without_strobes",
+    lambda s, d: beacon.without_strobes(detect.egress(conn(s, d)).groupBy("sensor", "src", "dst").agg(F.count("*").alias("n")), detect.strobe_keys(conn(s, d), CFG)),
+    f", e AS (SELECT sensor, src, dst, count(*) AS n, max(ts) - min(ts) AS span FROM {egress_sql()} GROUP BY ALL) SELECT sensor, src, dst, n FROM e WHERE NOT (n >= 8)",
+    ("conn_v",),
+)
+wide("merge_aged", lambda f: merge.aged(f.select("id", "score").withColumn("seen_at", F.when(F.col("score") % 9 > 0, F.col("score"))), "seen_at", 50).select("id"), " SELECT id FROM wide_v WHERE score % 9 = 0 OR score >= 50")
+wide("merge_sensor", lambda f: merge.drop_sensor(merge.rename_sensor(f, "s1", "north"), "s0").groupBy("sensor").agg(F.count("*").alias("n")), " SELECT 'north' AS sensor, count(*) AS n FROM wide_v WHERE sensor = 's1' HAVING count(*) > 0")
+wide("merge_notes", lambda f: merge.add_notes(f.withColumn("notes", F.array(F.lit("a"))), f.filter("score > 50").select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("note"))).select("id", F.array_join("notes", ",").alias("notes")), " SELECT id, CASE WHEN score > 50 THEN 'a,b' ELSE 'a' END AS notes FROM wide_v")
+wide("merge_retracted", lambda f: merge.retracted(f.select(F.col("id").alias("finding_id"), (F.col("score") % 10 == 0).alias("dismissed")), f.filter("score < 70")).select("finding_id", "dismissed"), " SELECT id AS finding_id, score % 10 = 0 OR score >= 70 AS dismissed FROM wide_v")
+wide("export_triage", lambda f: sinks.triage(noted(f)).select("id", "verdict", "confidence", "reason"), " SELECT id, 'likely benign' AS verdict, CAST(80 AS INT) AS confidence, 'known host' AS reason FROM wide_v WHERE id % 5 = 0")
+wide(
+    "export_triage_lines",
+    lambda f: sinks.triage_lines(noted(f).withColumn("timestamp", F.lit("t"))).select("value"),
+    """, t AS (FROM (VALUES ('Beacon', 'T1071'), ('Strobe', 'T1071'), ('C2 Port', 'T1571'), ('HTTP Beacon', 'T1071.001'), ('DNS Beacon', 'T1071.004'), ('DNS Tunneling', 'T1071.004,T1048'), ('Malicious JA3', 'T1573'), ('Suspicious URL', 'T1071.001')) t(type, ids))
+SELECT concat('CEF:0|packetloom|packetloom|1.0|triage|Triage #', id, ': likely benign|', least(10, score // 10), '|externalId=', id, ' src=', src_ip, ' dst=', dst_ip, ' dpt=', dst_port, ' msg=likely benign (80) - known host cs1=', score, ' cs2=likely benign cs3=80 cs4=', type, CASE WHEN ids IS NULL THEN '' ELSE concat(' cs5=', ids) END, ' end=t') AS value FROM wide_v LEFT JOIN t USING (type) WHERE id % 5 = 0""",
+)
 
 # Exports and scalar expressions
 
@@ -441,7 +765,7 @@ report("csv_guard", lambda f: f.withColumn("d", F.when(F.col("score") % 3 == 0,
 report("cef", sinks.cef_lines, """, t AS (FROM (VALUES ('Beacon', 'T1071'), ('Strobe', 'T1071'), ('Long Connection', 'T1071'), ('HTTP Beacon', 'T1071.001'), ('Data Exfiltration', 'T1048'), ('C2 Port', 'T1571'), ('DNS Tunneling', 'T1071.004,T1048'), ('Malicious JA3', 'T1573')) t(type, ids))
 SELECT concat('CEF:0|packetloom|packetloom|1.0|', type, '|', type, '|', least(10, score // 10), '|', 'src=', src_ip, ' dst=', dst_ip, ' dpt=', dst_port, ' end=', timestamp, CASE WHEN ids IS NULL THEN '' ELSE concat(' cs1=', ids) END, ' cs2=', sensor, ' msg=', replace(detail, '=', chr(92) || '=')) AS value FROM findings_v LEFT JOIN t USING (type)""")
 register("red_pseudonyms", lambda s, d: sinks.redacted(view(s, d, "findings_v").select("id", F.concat_ws(" to ", "src_ip", "dst_ip", "src_ip").alias("text")))[0], f" SELECT id, CASE WHEN {private('dst_ip')} THEN CASE WHEN src_ip < dst_ip THEN 'HOST-1 to HOST-2 to HOST-1' ELSE 'HOST-2 to HOST-1 to HOST-2' END ELSE concat('HOST-1 to ', dst_ip, ' to HOST-1') END AS text FROM findings_v", ("findings_v",))
-register("scl_names", lambda s, d: view(s, d, "dns_v").select("query").distinct().select("query", E.apex("query").alias("apex"), E.second_level("query").alias("sld"), F.round(E.entropy("query"), 6).alias("entropy"), E.is_cdn("query").alias("cdn")), f" SELECT DISTINCT query, apex, l[-2] AS sld, round(list_aggregate(string_split(query, ''), 'entropy'), 6) AS entropy, false AS cdn FROM {_DNS}", ("dns_v",))
+register("scl_names", lambda s, d: view(s, d, "dns_v").select("query").distinct().select("query", E.apex("query").alias("apex"), E.second_level("query").alias("sld"), F.round(E.entropy("query"), 6).alias("entropy"), E.is_cdn("query").alias("cdn")), f" SELECT DISTINCT query, apex, l[-2] AS sld, round(list_aggregate(string_split(query, ''), 'entropy'), 6) AS entropy, false AS cdn FROM {DNS_NAMES}", ("dns_v",))
 register("scl_host_class", lambda s, d: conn(s, d).select("dst").distinct().select("dst", E.host_class("dst").alias("class")), f" SELECT DISTINCT dst, CASE WHEN dst LIKE '224.%' THEN 'multicast' WHEN {private('dst')} THEN 'internal' ELSE 'external' END AS class FROM conn_v", ("conn_v",))
 register("src_import", lambda s, d: lists.import_findings(view(s, d, "findings_v").withColumn("score", F.when(F.col("score") % 10 == 0, 500).otherwise(F.col("score"))))[0].select("id", "detail"), " SELECT row_number() OVER (ORDER BY id) AS id, detail FROM findings_v WHERE score % 10 <> 0", ("findings_v",))
 register("src_url_list", lambda s, d: lists.url_list(s.read.parquet(f"{d}/pages.parquet")).select("value", "kind"), "SELECT DISTINCT lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS value, 'domain' AS kind FROM pages")

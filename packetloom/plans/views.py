@@ -37,6 +37,25 @@ VIEWS = {
   CASE page_id % 11 WHEN 0 THEN '/submit.php' WHEN 1 THEN concat('/ab12C', 100 + page_id % 100) WHEN 2 THEN concat('/files/f', page_id, '.exe')
     ELSE regexp_extract(url, '://[^/]+(/[^#]*)', 1) END AS uri,
   CASE page_id % 5 WHEN 0 THEN 'curl/8.0' WHEN 1 THEN 'Python-Requests/2' WHEN 2 THEN NULL ELSE 'Mozilla/5.0' END AS user_agent""",
+    ),
+    "web_v": (
+        "events",
+        """{TS} AS ts, concat('s', user_id % 2) AS sensor, concat('W', event_id) AS uid, concat('10.0.0.', user_id % 8) AS src,
+  CASE event_type WHEN 'signup' THEN '203.0.113.10' WHEN 'error' THEN '203.0.113.20' ELSE '198.51.100.5' END AS dst, 80 AS port,
+  concat(event_type, '.example.net') AS host, concat('/p', {K} % 4) AS uri, CAST(floor(value * 1000) AS DOUBLE) AS orig_bytes""",
+    ),
+    "wide_v": (
+        "events",
+        f"""event_id AS id, CASE {{K}} % 9 WHEN 0 THEN 'Beacon' WHEN 1 THEN 'Strobe' WHEN 2 THEN 'Suspicious URL' WHEN 3 THEN 'C2 Port' WHEN 4 THEN 'DNS Tunneling'
+    WHEN 5 THEN 'TI Hit (Domain)' WHEN 6 THEN 'Malicious JA3' WHEN 7 THEN 'HTTP Beacon' ELSE 'DNS Beacon' END AS type,
+  CASE WHEN {{K}} >= 80 THEN 'CRITICAL' WHEN {{K}} >= 60 THEN 'HIGH' WHEN {{K}} >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  {{K}} AS score, concat('10.0.', {{U}}, '.', user_id % 256) AS src_ip, {_DST} AS dst_ip, CAST({_PORT} AS {{STR}}) AS dst_port,
+  CASE WHEN {{K}} % 8 = 3 THEN concat('Spectral signal (informational, unscored): period ', {{K}} * 2, '.5s, x [artifact ', {{K}}, 's suppressed]') ELSE concat('kind=', event_type) END AS detail,
+  {{TEXT}} AS timestamp, concat('s', user_id % 2) AS sensor, CASE {{K}} % 5 WHEN 0 THEN 'acknowledged' WHEN 1 THEN 'escalated' WHEN 2 THEN 'dismissed' ELSE '' END AS status,
+  '' AS analyst, '' AS analyst_note, false AS ioc_match, ({{K}} % 3 = 0) AS is_new, {{TEXT}} AS detected_at, md5(CAST({{K}} % 12 AS {{STR}})) AS ja3,
+  CASE WHEN {{K}} % 11 = 0 THEN 'c1' ELSE '' END AS channel, ({{K}} % 4 = 1) AS spectral_rescued, CAST({{K}} % 10 AS DOUBLE) / 10 AS ts_score, CAST({{K}} % 10 AS DOUBLE) / 10 AS ts_raw,
+  CAST({{K}} % 7 AS DOUBLE) / 7 AS ts_mm, CAST({{K}} % 6 AS DOUBLE) / 6 AS ts_ent, CAST({{K}} * 10 AS DOUBLE) AS median_interval, {{K}} AS sample_size, {{TS}} AS seen,
+  CASE {{K}} % 7 WHEN 0 THEN 'ssl' WHEN 3 THEN '' ELSE 'http' END AS service""",
     ),
     "ssl_v": (
         "events",
