@@ -225,6 +225,8 @@ def test_json_and_tsv_logs(spark, tmp_path):
     (day / "dns.log").write_text("#separator \\x09\n#fields\tts\tid.orig_h\tquery\trcode_name\tanswers\n1.5\t10.0.0.1\ta.b\tNOERROR\t1.1.1.1,2.2.2.2\n2.5\t10.0.0.2\t(empty)\n")
     got = sorted((r.ts, r.src, r.query, r.rcode, r.answers) for r in logs.read(spark, str(tmp_path), "dns", fmt="tsv").collect())
     assert got == [(1.5, "10.0.0.1", "a.b", "NOERROR", "1.1.1.1,2.2.2.2"), (2.5, "10.0.0.2", None, None, None)]
+    q = logs.quality(spark, str(tmp_path), "dns").first()
+    assert (q.lines, q.parsed, q.error) == (2, 2, False)
     inv = logs.inventory(spark, str(tmp_path)).first()
     assert (inv.sensor, inv.files) == ("north", 3)
     assert logs.dataset_fingerprint(spark, str(tmp_path)) == logs.dataset_fingerprint(spark, str(tmp_path))
@@ -246,6 +248,7 @@ def test_exports(spark, tmp_path):
     assert sinks.cef_lines(f).filter("value LIKE 'CEF:0|%|Beacon|Beacon|7|src=10.0.0.1 %'").count() == 1
     t = sinks.triage(f).first()
     assert (t.id, t.verdict, t.confidence, t.reason) == (1, "likely benign", 80, "known host")
+    sinks.publish(f.limit(1), str(tmp_path / "t"))
     version = sinks.publish(f, str(tmp_path / "t"))
     assert sinks.current(spark, str(tmp_path / "t")).count() == 2 and version.startswith("v-")
     text = spark.createDataFrame([(1, "from 10.0.0.1 to 8.8.8.8 and 10.0.0.12, again 10.0.0.1")], "id long, text string")
@@ -274,6 +277,99 @@ def test_stale_sources(spark):
     assert stream.stale(latest, 100.0, 50.0, latest).count() == 0
 
 
+@pytest.mark.parametrize(
+    "ip,cidr,want",
+    [
+        ("2001:db8::1", "2001:db8::/32", True),
+        ("2001:db9::1", "2001:db8::/32", False),
+        ("2001:0DB8:0:0::5", "2001:db8::/126", False),
+        ("2001:db8::3", "2001:db8::/126", True),
+        ("::1", "::1/128", True),
+        ("fe80::1%eth0", "fe80::/10", True),
+        ("::ffff:10.1.2.3", "2001:db8::/32", False),
+        ("10.1.2.3", "10.0.0.0/8", True),
+        ("10.1.2.3", "2001:db8::/32", False),
+        ("not an address", "::/0", False),
+        ("1:2:3", "::/0", False),
+    ],
+)
+def test_ranges_of_both_families(spark, ip, cidr, want):
+    assert value(spark, E.in_cidr(F.lit(ip), cidr)) is want
+    values, entries = spark.createDataFrame([(ip,)], "ip string"), spark.createDataFrame([(cidr,)], "value string")
+    assert (matching.matches(values, "ip", entries).count() == 1) is want
+
+
+def test_one_address_in_other_spellings(spark):
+    values = spark.createDataFrame([(v,) for v in ("2001:DB8:0:0::0:1", "::ffff:10.0.0.1", "10.0.0.2")], "ip string")
+    entries = spark.createDataFrame([(v,) for v in ("2001:db8::1", "10.0.0.1", "::ffff:10.0.0.2")], "value string")
+    assert {(r.ip, r.value) for r in matching.matches(values, "ip", entries).collect()} == {("2001:DB8:0:0::0:1", "2001:db8::1"), ("::ffff:10.0.0.1", "10.0.0.1"), ("10.0.0.2", "::ffff:10.0.0.2")}
+
+
+def test_pair_rules_of_all_shapes(spark):
+    rows = [(1, "10.0.0.1", "a.evil.com", "443"), (2, "10.0.0.9", "evil.com", "443"), (3, "10.1.0.1", "notevil.com", "443"), (4, "2001:db8::7", "203.0.113.9", "22"), (5, "10.0.0.1", "203.0.113.9", "80")]
+    f = spark.createDataFrame([(i, s, d, p, "Beacon", "s0") for i, s, d, p in rows], "id long, src_ip string, dst_ip string, dst_port string, type string, sensor string")
+    kinds = "src string, dst string, port string, finding_type string, sensor string"
+    hidden = lambda *rules: sorted({1, 2, 3, 4, 5} - {r.id for r in matching.hide_pairs(f, spark.createDataFrame(list(rules), kinds)).collect()})
+    assert hidden(("10.0.0.0/29", "*.evil.com", "443", None, None)) == [1]
+    assert hidden(("", "*.evil.com", "443", "Beacon", "")) == [1, 2]
+    assert hidden(("2001:db8::/64", "203.0.113.0/24", "22", "", "s0"), ("10.0.0.1", "203.0.113.9", "80", "", "")) == [4, 5]
+    assert hidden(("bad/99x", "203.0.113.9", "80", "", ""), ("", "203.0.113.9", "80", "Strobe", "")) == []
+
+
+def test_http_and_dns_beacons(spark):
+    web = [(T0 + i * 60.0, "s0", f"W{i}", "10.0.0.5", "203.0.113.9", 80, "c2.example.net", "/poll") for i in range(200)] + [(T0 + i * 61.0, "s0", f"X{i}", "10.0.0.6", "203.0.113.9", 80, "c2.example.net", f"/p{i}") for i in range(40)]
+    df = spark.createDataFrame(web, "ts double, sensor string, uid string, src string, dst string, port int, host string, uri string")
+    got = beacon.http_beacons(df).collect()
+    assert [(r.src_ip, r.host, r.uri, r.n, r.type) for r in got] == [("10.0.0.5", "c2.example.net", "/poll", 200, "HTTP Beacon")] and got[0].detail.startswith("Requests: 200 | Host: c2.example.net | URI: /poll | Score: ts=1.00")
+    queries = [(T0 + i * 300.0, "s0", "10.0.0.5", "10.0.0.53", "beat.example.org", "NOERROR") for i in range(60)] + [(T0 + i * 300.0, "s0", "10.0.0.5", "10.0.0.53", "x.cloudfront.net", "NOERROR") for i in range(60)] + [(T0 + i * 300.0, "s0", "10.0.0.7", "10.0.0.53", "few.example.com", "NOERROR") for i in range(19)]
+    dns = spark.createDataFrame(queries, "ts double, sensor string, src string, resolver string, query string, rcode string")
+    assert [(r.src, r.apex, r.n) for r in beacon.dns_beacons(dns).collect()] == [("10.0.0.5", "example.org", 60)]
+    assert beacon.dns_beacons(dns, allowed=spark.createDataFrame([("*.org",)], "value string")).count() == 0
+
+
+def test_weak_timing_gets_a_hint_and_no_score(spark):
+    draw = random.Random(4)
+    rows, t = [], T0
+    for i in range(300):  # a steady period, seen at random
+        if draw.random() < 0.3:
+            rows.append((T0 + i * 300 + draw.uniform(0, 40), "10.0.0.5", "203.0.113.9", 443, "ssl", draw.uniform(1, 1e6), 1.0, 1.0))
+    df = conn(spark, rows)
+    plain = beacon.scored(beacon.profile(df)).first()
+    r = beacon.scored(beacon.annotated(beacon.profile(df).withColumn("ts_score", F.lit(0.1)), df)).first()
+    assert r.spectral_rescued and abs(r.spectral_period - 300) < 3 and plain.ts_score >= 0
+    assert not beacon.annotated(beacon.profile(df).withColumn("ts_score", F.lit(0.9)), df).first().spectral_rescued
+
+
+def test_busy_keys_are_dealt_out(spark):
+    """Blocks of time and sampled series leave counts and intervals as they are."""
+    df = conn(spark, steady(300, 7200.0))
+    one, two = (sorted((r.ts, r.iv) for r in x.select("ts", "iv").collect() if r.iv is not None) for x in (stats.blocked(df, ["src"]), stats.intervals(df, ["src"])))
+    assert one == two
+    p = beacon.profile(df, cfg=Config(series_sample=50)).first()
+    assert (p.n, p.mean_iv, p.median_iv, p.ts_raw) == (300, 7200.0, 7200.0, 1.0)
+
+
+def test_run_merge_translates_correlations_and_takes_over_older_names(spark):
+    kind = "id long, type string, severity string, score int, src_ip string, dst_ip string, dst_port string, detail string, timestamp string, sensor string, status string, analyst string, analyst_note string, detected_at string, is_new boolean, hostname string, uri string, correlations array<long>"
+    row = lambda i, t, sensor, status, host, refs: (i, t, "HIGH", 70, "10.0.0.1", "203.0.113.1", "443", "d", "2024-01-01 00:00:00", sensor, status, "", "", "2024-01-01 00:00:00", False, host, None, refs)
+    old = spark.createDataFrame([row(7, "HTTP Beacon", "", "acknowledged", None, None), row(8, "Strobe", "s0", "", None, None)], kind)
+    run = spark.createDataFrame([row(1, "HTTP Beacon", "s0", "", "c2.net", [2, -8, 99]), row(2, "C2 Port", "s0", "", None, [1, 3]), row(3, "C2 Port", "s0", "", None, None)], kind)
+    got = {r.type: (r.id, r.status, r.is_new, r.correlations) for r in merge.merge_run(old, run, "2024-01-02 00:00:00").collect()}
+    assert got == {"HTTP Beacon": (7, "acknowledged", False, [9, 8]), "C2 Port": (9, "", True, [7, 9]), "Strobe": (8, "", False, None)}
+
+
+def test_streams_match_ranges_and_forget_idle_pairs(spark, tmp_path):
+    df = conn(spark, steady(3) + [(T0, "10.0.0.5", "2001:db8::9", 443, "ssl", 1.0, 1.0, 1.0)]).repartition(1)
+    df.write.parquet(str(tmp_path / "in"))
+    entries = spark.createDataFrame([("203.0.113.0/24", "f", 90), ("2001:db8::/32", "f", 91), ("198.51.100.1", "f", 92)], "value string, feed string, score int")
+    q = stream.matched(stream.arriving(spark, str(tmp_path / "in"), df.schema), entries).writeStream.format("memory").queryName("t_hits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.dst, r.score) for r in spark.table("t_hits").collect()) == [("2001:db8::9", 91)] + [("203.0.113.9", 90)] * 3
+    q = stream.intervals(stream.with_time(stream.arriving(spark, str(tmp_path / "in"), df.schema))).writeStream.format("memory").queryName("t_idle").outputMode("update").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r.dst: r.n for r in spark.table("t_idle").collect()} == {"203.0.113.9": 3, "2001:db8::9": 1}
+
+
 def test_wildcards_beyond_one_pass_are_matched(spark, monkeypatch):
     from packetloom.operators import matching as m
 
