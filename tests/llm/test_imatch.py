@@ -1,7 +1,11 @@
+import struct
+from collections import Counter
 from hashlib import sha256
 from statistics import mean
 
 import pytest
+import regex
+import xxhash
 
 from packetloom.llm import imatch
 
@@ -58,3 +62,50 @@ def test_a_text_outside_the_band_uses_all_its_terms(spark):
     df = spark.createDataFrame([(i, f"{text} {i}") for i in range(300)], "doc_id long, text string")
     got = imatch.fingerprints(df, rarest=0.5, commonest=0.6).collect()
     assert all(len(r.fingerprint) == 256 and r.near_edited > 0 for r in got)
+
+
+def plain_prints(texts, lexicon):
+    """Fingerprints by their definition: sorted hashes of the terms in each subset, hashed one after the other."""
+    out = {}
+    for text in texts:
+        own = {xxhash.xxh64_intdigest(t.encode(), 42) for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t}
+        own = own & lexicon or own
+        slots = ["----"] * 64
+        for level, bits in enumerate((4, 6, 8, 10)):
+            for i in range(16):
+                held = sorted(h - (1 << 64) if h >> 63 else h for h in own if (h >> 13 * level) % (1 << bits) == i)
+                digest = 42
+                for h in held:
+                    digest = xxhash.xxh64_intdigest(struct.pack("<q", h), digest)
+                if held:
+                    slots[16 * level + i] = f"{digest & 0xFFFF:04x}"
+        out[text] = slots if own else ["x" + sha256(text.encode()).hexdigest()[:16]]
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    best = 0.0
+    for level in range(4):
+        pairs = list(zip(a[16 * level : 16 * level + 16], b[16 * level : 16 * level + 16]))
+        held = sum((x, y) != ("----", "----") for x, y in pairs)
+        best = max(best, sum(x == y != "----" for x, y in pairs) / max(held, 4))
+    return best
+
+
+def test_fingerprints_and_likenesses_by_definition(docs, rows):
+    df = Counter()
+    for text in {r.text or "" for r in rows}:
+        df.update({xxhash.xxh64_intdigest(t.encode(), 42) for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t})
+    n = len({r.text or "" for r in rows})
+    lexicon = {t for t, k in df.items() if max(1, n / 1000) <= k <= max(1, n / 50)}
+    order = sorted(rows, key=lambda r: -r.doc_id)
+    after = {r.doc_id: s.text or "" for r, s in zip(order, order[1:] + order[:1])}
+    texts = {r.doc_id: r.text or "" for r in rows}
+    edits = {d: t[: len(t) - len(t) // 3] + after[d][: len(t) // 3] for d, t in texts.items()}
+    prints = plain_prints({*texts.values(), *edits.values()}, lexicon)
+    for r in imatch.fingerprints(docs).collect():
+        own, edit, then = (prints[t] for t in (texts[r.doc_id], edits[r.doc_id], after[r.doc_id]))
+        assert (r.fingerprint, r.edited_fingerprint) == ("".join(own), "".join(edit))
+        assert abs(r.near_edited - plain_likeness(own, edit)) < 1e-12 and abs(r.near_next - plain_likeness(own, then)) < 1e-12

@@ -57,3 +57,29 @@ def test_columns_are_kept(odd):
     assert out.schema.names == odd.schema.names and out.count() == odd.count()
     for r in out.filter("doc_id = 8").collect():
         assert r.text == "line one is here\nline two is here\n" and r.n_chars == len(r.text)
+
+
+def test_long_runs_are_reported_whole(spark):
+    """100 lines that come again, once in full, once from the middle: two maximal runs, each with its first place."""
+    passage = [f"line {i} of the passage" for i in range(100)]
+    texts = ["\n".join(["own a", *passage, "own b"]), "\n".join([*passage, "own c"]), "\n".join(["own d", *passage[40:70], "own e", "", "x"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r._doc, r.start, r.len, r.words, r["first"]._doc, r["first"].pos) for r in line_runs.runs(df).collect())
+    assert got == [(1, 0, 100, 500, 0, 1), (2, 1, 30, 150, 0, 41)]
+    check(df, 1, 3)
+
+
+def test_growing_versions(spark):
+    """Each version begins with the one before: every longest prefix is another length."""
+    texts = ["\n".join(f"step {i} is done" for i in range(3 * k + 1)) + f"\nend of {k}" for k in range(12)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1, 3)
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["_text", "_hash", "_doc", "_none", "_lines", "_dels", "row"]
+    df = spark.createDataFrame([(i, "a line of words\nown %d" % i, *(f"{c}{i}" for c in names)) for i in range(3)], ["doc_id", "text", *names])
+    out = line_runs.cut(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names]
+        assert r.text == ("a line of words\nown 0" if r.doc_id == 0 else f"own {r.doc_id}")

@@ -56,3 +56,14 @@ def test_what_is_left_is_packed_whole(stages):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] and out.count() > 0
+
+
+def test_stages_on_nothing_and_on_clashing_names(spark, odd, none):
+    for docs in (none, odd):
+        out = docs
+        for name, stage in corpus_pipeline.STAGES:
+            before, out = out, stage(spark, out, SF)
+            assert name == "packing" or out.columns == docs.columns
+            out = out.cache()
+            assert name == "packing" or out.count() <= before.count()
+        assert out.columns[:2] == ["doc_id", "start"] and (out.count() > 0) == (docs is odd)

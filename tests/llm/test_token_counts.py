@@ -30,3 +30,14 @@ def test_every_limit(docs, odd, none):
 def test_quantile(docs):
     n = brute(docs)
     assert token_counts.quantile(token_counts.count_tokens(docs, PATH), 0.5).first()[0] == n[(len(n) + 1) // 2 - 1]
+
+
+def test_limits_between_lengths(docs, none):
+    n, limits = brute(docs), (1, 77, 2048, 10**7)
+    got = {r.n_tokens: r for r in token_counts.count_tokens(docs, PATH, limits=limits).collect()}
+    assert set(got) == set(n) | set(limits)
+    for limit in limits:
+        r = got[limit]
+        assert (r.n_docs, r.docs_at_least, r.tokens_at_least) == (n.count(limit), sum(x >= limit for x in n), sum(x for x in n if x >= limit))
+        assert r.kept_tokens == sum(min(x, limit) for x in n) and abs(r.quantile - sum(x <= limit for x in n) / len(n)) < 1e-12
+    assert token_counts.count_tokens(none, PATH, limits=limits).count() == 0

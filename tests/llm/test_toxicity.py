@@ -59,3 +59,67 @@ def test_no_labels_one_class_and_odd_rows(spark, odd, none, docs):
 def test_sample_is_bounded(spark):
     docs, labels = planted(spark)
     assert toxicity.sampled(docs, labels, ("rude", "grim"), 50).count() == 50
+
+
+def plain_choice(rows, y, most):
+    """The best features by the chi-squared statistic of their two-by-two tables."""
+    n, k, out = len(rows), sum(y), {}
+    for word in set().union(*rows):
+        both = sum(t for r, t in zip(rows, y) if word in r)
+        here = sum(word in r for r in rows)
+        table = [(both, here - both), (k - both, n - k - here + both)]
+        want = [(here * k / n, here * (n - k) / n), ((n - here) * k / n, (n - here) * (n - k) / n)]
+        if here >= toxicity.LEAST_DOCS and here < n:
+            out[word] = sum((o - e) ** 2 / e for os, es in zip(table, want) for o, e in zip(os, es))
+    best = sorted((w for w in out if out[w] >= toxicity.LEAST_CHI2 - 1e-9), key=lambda w: (-round(out[w], 6), w))
+    return best[:most]
+
+
+def plain_fit(x, y, penalty=1.0):
+    """Penalised logistic regression by Newton steps, over columns of one size."""
+    size = np.sqrt((x * x).mean(0)) + 1e-3
+    x, w, ridge = x / size, np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+    ridge[0] = 1e-9
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (p - y) + ridge * w)
+    return w / size
+
+
+def test_chain_by_plain_python(spark):
+    """Features, folds, out-of-fold probabilities and final models by a second, plain implementation."""
+    docs, labels = planted(spark, 400)
+    order = ("rude", "grim")
+    chain = toxicity.train(docs, labels, order=order)
+    truth = {r.doc_id: (r.rude, r.grim) for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    made = {d: toxicity.features(texts[d]) for d in ids}
+    fold = np.array([toxicity.crc32(texts[d].encode()) % toxicity.FOLDS for d in ids])
+    words, dense = [made[d][0] for d in ids], np.array([made[d][1] for d in ids])
+    ys = np.array([truth[d] for d in ids], float)
+
+    def design(of):
+        own = [w for w, use in zip(words, of) if use]
+        chosen = sorted(set().union(*(plain_choice(own, ys[of, c].tolist(), toxicity.FEATURES) for c in (0, 1))))
+        centre, scale = dense[of].mean(0), np.maximum(dense[of].std(0), 1e-6)
+        hot = np.array([[w in r for w in chosen] for r in words], float).reshape(len(ids), -1)
+        return chosen, np.hstack([np.ones((len(ids), 1)), hot, np.clip((dense - centre) / scale, -5, 5)])
+
+    every = np.ones(len(ids), bool)
+    chosen, x = design(every)
+    assert set(chosen) == set(chain.vocabulary)
+    folds = [design(fold != k)[1] for k in range(toxicity.FOLDS)]
+    earlier, final = np.zeros((len(ids), 0)), np.zeros((len(ids), 0))
+    for c in (0, 1):
+        p = np.zeros((len(ids), 1))
+        for k, each in enumerate(folds):
+            own, out = np.hstack([each, earlier]), fold == k
+            p[out, 0] = 1 / (1 + np.exp(-own[out] @ plain_fit(own[~out], ys[~out, c])))
+        w = plain_fit(np.hstack([x, earlier]), ys[:, c])
+        final = np.hstack([final, 1 / (1 + np.exp(-np.hstack([x, final]) @ w))[:, None]])
+        earlier = np.hstack([earlier, p])
+    got = {r.doc_id: (r.p_rude, r.p_grim) for r in toxicity.score(docs, chain).collect()}
+    assert np.abs(np.array([got[d] for d in ids]) - final).max() < 0.05
+    by_fold = np.array(sorted(chain.out_of_fold[:, 1]))
+    assert np.abs(by_fold - np.sort(earlier[:, 1])).max() < 0.05
