@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm import bpe, chunk_dedup, imatch, kdtree, line_runs, packing, simhash, token_counts, toxicity, warc
 from packetloom.llm.io import table
 
-#: Where the public vocabularies lie; the driver reads the file, tasks get its text.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a public vocabulary lies; the driver reads the file, tasks get its text."""
+    return str(public_tokenizers.path(name))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
