@@ -55,17 +55,26 @@ def with_prefix(cidrs: DataFrame, value: str = "_v") -> DataFrame:
     return cidrs.withColumn("_p", F.when(E.ip_key(base).isNotNull(), _four(E.ip_key(base), bits)).otherwise(_six(E.ip_bits(base), bits)))
 
 
+def entry_keys(listed: DataFrame, cidrs: bool) -> DataFrame:
+    """Typed entries with ``_p``, the key that a matching value asks by: its spelling, or a range's prefix."""
+    exact = listed.filter(F.col("_kind").isin("ip", "text")).withColumn("_p", F.concat(F.lit("="), F.col("_v")))
+    return exact.unionByName(with_prefix(listed.filter(F.col("_kind") == "cidr"))) if cidrs else exact
+
+
+def value_keys(value: Column | str, lengths: Sequence[tuple[int, int]]) -> Column:
+    """All keys that a value asks by: its spelling, and its prefixes of the lengths that occur."""
+    own = F.array(F.concat(F.lit("="), E.canonical(value)))
+    return F.concat(own, F.coalesce(prefixes(value, lengths), F.array().cast("array<string>"))) if lengths else own
+
+
 def matches(values: DataFrame, column: str, entries: DataFrame) -> DataFrame:
     """(column, entry columns...) pairs of distinct values and list entries that match (JOIN-6, JOIN-7)."""
     listed = typed(entries)
     own = values.select(column).filter(F.col(column).isNotNull()).distinct()
     keep = [c for c in entries.columns if c != column]
-    exact = own.withColumn("_v", E.canonical(column)).join(listed.filter(F.col("_kind").isin("ip", "text")), "_v").select(column, *keep)
-    cidrs = listed.filter(F.col("_kind") == "cidr")
-    out = exact
-    if lengths := cidr_lengths(cidrs):
-        ranged = own.withColumn("_p", F.explode(prefixes(column, lengths))).join(with_prefix(cidrs), "_p").select(column, *keep)
-        out = out.union(ranged)
+    lengths = cidr_lengths(listed.filter(F.col("_kind") == "cidr"))
+    keyed = entry_keys(listed, bool(lengths)).select("_p", *keep)
+    out = own.withColumn("_p", F.explode(value_keys(column, lengths))).join(keyed, "_p").select(column, *keep)
     patterns = listed.filter(F.col("_kind") == "glob").withColumn("_v", F.lower(F.trim("value")))
     globs = [r._v for r in patterns.select("_v").distinct().toLocalIterator()]
     for at in range(0, len(globs), GLOBS):  # a wildcard has no key to join by: patterns are constants of one pass over the values

@@ -769,3 +769,22 @@ register("scl_names", lambda s, d: view(s, d, "dns_v").select("query").distinct(
 register("scl_host_class", lambda s, d: conn(s, d).select("dst").distinct().select("dst", E.host_class("dst").alias("class")), f" SELECT DISTINCT dst, CASE WHEN dst LIKE '224.%' THEN 'multicast' WHEN {private('dst')} THEN 'internal' ELSE 'external' END AS class FROM conn_v", ("conn_v",))
 register("src_import", lambda s, d: lists.import_findings(view(s, d, "findings_v").withColumn("score", F.when(F.col("score") % 10 == 0, 500).otherwise(F.col("score"))))[0].select("id", "detail"), " SELECT row_number() OVER (ORDER BY id) AS id, detail FROM findings_v WHERE score % 10 <> 0", ("findings_v",))
 register("src_url_list", lambda s, d: lists.url_list(s.read.parquet(f"{d}/pages.parquet")).select("value", "kind"), "SELECT DISTINCT lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS value, 'domain' AS kind FROM pages")
+
+
+def dumps(s: SparkSession, d: str) -> DataFrame:
+    """One attribute pair and one pattern per supplier, with odd cases among them."""
+    k = F.col("s_suppkey")
+    return s.read.parquet(f"{d}/supplier.parquet").select(
+        F.when(k % 5 == 0, "ip-src").otherwise("domain|ip").alias("type"),
+        F.when(k % 5 == 0, "not an address").otherwise(F.concat(F.lit("Host"), k.cast("string"), F.lit(".Example.COM|203.0.113."), (k % 250).cast("string"))).alias("value"),
+        F.lit(None).cast("array<string>").alias("tags"),
+        F.when(k % 7 == 0, "[x:y = 'z']").otherwise(F.concat(F.lit("[domain-name:value = 'Host"), k.cast("string"), F.lit(".example.com']"))).alias("pattern"),
+    )
+
+
+register("src_entries", lambda s, d: lists.entries(s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("  "), "n_name", F.lit(" # region "), F.col("n_regionkey").cast("string")).alias("value"))), "SELECT DISTINCT n_name AS value FROM nation")
+register("src_fingerprints", lambda s, d: lists.fingerprints(s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.upper(F.md5(F.col("s_suppkey").cast("string"))), F.lit(" some label")).alias("value"))), "SELECT DISTINCT md5(CAST(s_suppkey AS VARCHAR)) AS fp, 'ja3' AS kind FROM supplier")
+register("src_attributes", lambda s, d: lists.attributes(dumps(s, d), "m").select("value", "kind", "feed"), "SELECT DISTINCT concat('host', s_suppkey, '.example.com') AS value, 'domain' AS kind, 'm' AS feed FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT DISTINCT concat('203.0.113.', s_suppkey % 250), 'ip', 'm' FROM supplier WHERE s_suppkey % 5 <> 0")
+register("src_patterns", lambda s, d: lists.patterns(dumps(s, d), "o").select("value", "kind", "feed"), "SELECT DISTINCT concat('host', s_suppkey, '.example.com') AS value, 'domain' AS kind, 'o' AS feed FROM supplier WHERE s_suppkey % 7 <> 0")
+register("scl_durations", lambda s, d: conn(s, d).select("uid", E.human_duration("duration").alias("text"), E.first_address(F.concat(F.lit('["'), "dst", F.lit('","x"]'))).alias("address"), E.is_ip("dst").alias("ip")), """ SELECT uid, CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm') WHEN s < 86400 THEN concat(s // 3600, 'h', s % 3600 // 60, 'm') ELSE concat(s // 86400, 'd', s % 86400 // 3600, 'h') END AS text, dst AS address, true AS ip
+FROM (SELECT uid, dst, CAST(trunc(duration) AS BIGINT) AS s FROM conn_v)""", ("conn_v",))

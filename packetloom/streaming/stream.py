@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.functions import exprs as E
-from packetloom.operators.matching import cidr_lengths, indicator_hits, prefixes, typed, with_prefix
+from packetloom.operators.matching import cidr_lengths, entry_keys, indicator_hits, typed, value_keys
 
 
 def arriving(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -31,14 +31,9 @@ def matched(stream: DataFrame, indicators: DataFrame, dst: str = "dst") -> DataF
     its statistics. A record that several entries of a feed match comes once for each.
     """
     listed = typed(indicators.select("value", "feed", "score"))
-    exact = listed.filter(F.col("_kind").isin("ip", "text")).select(F.col("_v").alias("_p"), "feed", "score")
-    cidrs = listed.filter(F.col("_kind") == "cidr")
-    lengths = cidr_lengths(cidrs)
-    keys = F.array(E.canonical(dst))
-    if lengths:
-        keys = F.concat(keys, F.coalesce(prefixes(dst, lengths), F.array().cast("array<string>")))
-        exact = exact.union(with_prefix(cidrs).select("_p", "feed", "score"))
-    return stream.withColumn("_p", F.explode(keys)).join(exact, "_p").drop("_p")
+    lengths = cidr_lengths(listed.filter(F.col("_kind") == "cidr"))
+    entries = entry_keys(listed, bool(lengths)).select("_p", "feed", "score")
+    return stream.withColumn("_p", F.explode(value_keys(dst, lengths))).join(entries, "_p").drop("_p")
 
 
 def first_seen(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
