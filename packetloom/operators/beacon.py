@@ -167,7 +167,7 @@ def dns_beacons(dns: DataFrame, cfg: Config = DEFAULT, allowed: DataFrame | None
     rule takes (that rule owns them). No lift, no floor.
     """
     keys = ["sensor", "src", "apex"]
-    rows = detect.dns_rows(dns).filter(F.coalesce("rcode", F.lit("")) != "NXDOMAIN").filter(~E.is_cdn("apex")).withColumn("orig_bytes", F.lit(0.0))
+    rows = detect.dns_rows(dns).filter(F.coalesce("rcode", F.lit("")) != "NXDOMAIN").filter(~E.is_cdn(F.concat(F.lit("."), F.col("apex")))).withColumn("orig_bytes", F.lit(0.0))
     if allowed is not None:
         rows = rows.join(matching.matches(rows, "apex", allowed).select("apex").distinct(), "apex", "left_anti")
     profiled = annotated(profile(rows, keys, least=cfg.dns_beacon_min_queries, cfg=cfg), rows, keys, cfg=cfg)

@@ -332,7 +332,7 @@ def test_weak_timing_gets_a_hint_and_no_score(spark):
     rows, t = [], T0
     for i in range(300):  # a steady period, seen at random
         if draw.random() < 0.3:
-            rows.append((T0 + i * 300 + draw.uniform(0, 40), "10.0.0.5", "203.0.113.9", 443, "ssl", draw.uniform(1, 1e6), 1.0, 1.0))
+            rows.append((T0 + i * 300 + draw.uniform(0, 110), "10.0.0.5", "203.0.113.9", 443, "ssl", draw.uniform(1, 1e6), 1.0, 1.0))
     df = conn(spark, rows)
     plain = beacon.scored(beacon.profile(df)).first()
     r = beacon.scored(beacon.annotated(beacon.profile(df).withColumn("ts_score", F.lit(0.1)), df)).first()
