@@ -34,7 +34,7 @@ from packetloom.llm import bpe
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Rests that are partitioned together.
-BLOCK = 1024
+BLOCK = 512
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
