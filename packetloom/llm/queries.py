@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import bpe, chunk_dedup, imatch, kdtree, line_runs, packing, simhash, token_counts, token_files, toxicity, warc
+from packetloom.llm import bpe, chunk_dedup, imatch, kdtree, line_runs, packing, simhash, token_counts, token_files, toxicity, warc, word_runs
 from packetloom.llm.io import table
 
 
@@ -57,13 +57,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.report(table(spark, sf_dir, "documents"), tails=True)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_packing, op3_imatch, op4_line_runs, op5_chunk_dedup, op6_simhash, op7_warc, op8_token_counts, op9_kdtree, op10_toxicity, op13_token_files)
+    for f in (op1_bpe, op2_packing, op3_imatch, op4_line_runs, op5_chunk_dedup, op6_simhash, op7_warc, op8_token_counts, op9_kdtree, op10_toxicity, op11_word_runs, op13_token_files)
 }
 
 #: The shortest runs of lines with three words, forwards and backwards from each line; all but the first of equal ones go.
