@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import bpe, chunk_dedup, imatch, kdtree, line_runs, packing, simhash, token_counts, token_files, toxicity, warc, word_runs
+from packetloom.llm import audit, bpe, chunk_dedup, imatch, kdtree, line_runs, packing, simhash, token_counts, token_files, toxicity, warc, word_runs
 from packetloom.llm.io import table
 
 
@@ -61,13 +61,17 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.report(table(spark, sf_dir, "documents"), tails=True)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_packing, op3_imatch, op4_line_runs, op5_chunk_dedup, op6_simhash, op7_warc, op8_token_counts, op9_kdtree, op10_toxicity, op11_word_runs, op13_token_files)
+    for f in (op1_bpe, op2_packing, op3_imatch, op4_line_runs, op5_chunk_dedup, op6_simhash, op7_warc, op8_token_counts, op9_kdtree, op10_toxicity, op11_word_runs, op12_filter_audit, op13_token_files)
 }
 
 #: The shortest runs of lines with three words, forwards and backwards from each line; all but the first of equal ones go.
@@ -102,4 +106,26 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_line_runs": _OP4, "op5_chunk_dedup": _OP5, "op7_warc": _OP7}
+#: Filters by definition, document by document, in every order.
+_OP12 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, [strpos('ABCDE', filter_order[k]) FOR k IN range(1, step + 1)] AS upto FROM (FROM o WHERE length(filter_order) = 5), (SELECT unnest(range(1, 6)) AS step)),
+j AS (SELECT part, filter_order, step, n, good, toxic, fails[upto[-1]] AS here, list_bool_or([fails[k] FOR k IN upto[:-2]] || [false]) AS gone, list_sum([CAST(x AS INT) FOR x IN fails]) AS failing, upto[-1] AS filter
+  FROM m, s),
+r AS (SELECT part, filter_order, step, filter,
+    sum(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN here AND failing = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM j GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": _OP12, "op4_line_runs": _OP4, "op5_chunk_dedup": _OP5, "op7_warc": _OP7}
