@@ -54,7 +54,12 @@ _HEAD = struct.Struct("<4sIQQQI")
 _LOW60 = np.uint64((1 << 60) - 1)
 
 #: Pieces kept encoded, and characters of text that are cut into pieces at once.
-MEMO_PIECES, CHUNK_CHARS = 400_000, 1 << 21
+MEMO_PIECES, CHUNK_CHARS = 1_000_000, 1 << 21
+#: Pieces that are encoded in one text, and the stand-in of a space in byte-level tokens (a fixed value).
+JOINED, _SPACE_SYMBOL = 64, "\u0120"
+
+#: Bits of small values, at least one.
+_BITS = np.concatenate([[1], np.repeat(np.arange(1, 17), 1 << np.arange(16))]).astype(np.uint8)
 
 
 class FileError(ValueError):
@@ -67,11 +72,14 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     bits = np.ones(n + 60, np.uint8)
     bits[n:] = 255  # no word reaches beyond the block
-    left = values.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        over = left >> np.uint64(shift) > 0
-        bits[:n][over] += shift
-        left[over] >>= np.uint64(shift)
+    if n and int(values.max()) < len(_BITS):
+        bits[:n] = _BITS[values]
+    else:
+        left = values.copy()
+        for shift in (32, 16, 8, 4, 2, 1):
+            over = left >> np.uint64(shift) > 0
+            bits[:n][over] += shift
+            left[over] >>= np.uint64(shift)
     widest = {1: bits}  # the most bits among so many neighbours from each place on
     for k in (2, 4, 8, 16, 32):
         half = widest[k // 2]
@@ -220,11 +228,31 @@ class Encoder:
         self.by_piece = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not said["normalizer"]
         special = [t["content"] for t in said["added_tokens"]]
         self._special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        #: Whether a token begins with a space, which in this form only the first of a piece can.
+        self._spaced = np.zeros(self.library.get_vocab_size(), bool)
+        self._spaced[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token[0] == _SPACE_SYMBOL]] = True
         self._memo: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """New pieces with their ids. Those led by one space are encoded many in a text: each begins where a token with a space does."""
+        led = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        some = [p for p in new if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
+        for at in range(0, len(led), JOINED * 256):
+            part = led[at : at + JOINED * 256]
+            joined = ["".join(part[k : k + JOINED]) for k in range(0, len(part), JOINED)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch(joined, add_special_tokens=False)])
+            starts = (np.flatnonzero(self._spaced[ids]) * 4).tolist()
+            if len(starts) != len(part):
+                some += part
+                continue
+            data = ids.tobytes()
+            yield from ((p, data[a:b]) for p, a, b in zip(part, starts, [*starts[1:], len(data)]))
+        for at in range(0, len(some), 20_000):
+            yield from zip(some[at : at + 20_000], self._whole(some[at : at + 20_000]))
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         chunk: list[str] = []
@@ -244,9 +272,7 @@ class Encoder:
             pieces.append((_ASCII if text.isascii() else _LATIN).findall(text) if plain else None)
         if len(self._memo) > MEMO_PIECES:
             self._memo = {}
-        new = list(set().union(*(p for p in pieces if p)).difference(self._memo))
-        for at in range(0, len(new), 20_000):
-            self._memo.update(zip(new[at : at + 20_000], self._whole(new[at : at + 20_000])))
+        self._memo.update(self._pieces(list(set().union(*(p for p in pieces if p)).difference(self._memo))))
         get = self._memo.__getitem__
         for text, cut in zip(chunk, pieces):
             yield b"".join(map(get, cut)) if cut is not None else self._whole([text])[0]

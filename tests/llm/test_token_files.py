@@ -93,3 +93,10 @@ def test_texts_of_every_kind_are_encoded_as_by_the_library():
     texts = ["it's  we'll\n\n x   y\t", "  lead", "trail  ", "\x1c \x1d a\x85b", "é è ²3 ½x", "中文 text", "a<|endoftext|>b", "'s's ''re", " 　x", "ſt ŉ ĸ Ÿ", "0123 a1b2", "", "\n", "..'s", "İ"]
     own, library = token_files.Encoder(token_files.spec_of(PATH)), Tokenizer.from_file(PATH)
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_encoded_together_are_those_encoded_alone():
+    own = token_files.Encoder(token_files.spec_of(PATH))
+    pieces = [" a", " '", " s", " 12", " ½", " é", " ...", " \x00", " x\x01", " zebra", " '!", "'s", "a", " ", "  ", "\n", " Ġ", " ~"] * 1
+    whole = own._whole(pieces)
+    assert dict(own._pieces(pieces)) == dict(zip(pieces, whole))
