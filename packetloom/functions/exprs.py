@@ -34,37 +34,25 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _groups(side: Column) -> Column:
-    """The hexadecimal groups of one side of an IPv6 address; an IPv4 tail makes two."""
-    tail = r"\d+\.\d+\.\d+\.\d+$"
-
-    def plain(key: Column) -> Column:
-        two = F.concat_ws(":", F.lower(F.hex(F.floor(key / 65536).cast("long"))), F.lower(F.hex(F.pmod(key, F.lit(65536)))))
-        return F.when(key.isNotNull(), F.concat(F.regexp_replace(side, tail, ""), two)).otherwise(side)
-
-    return F.filter(F.split(let(ip_key(F.regexp_extract(side, f"({tail})", 1)), plain), ":"), lambda g: g != "")
-
-
 def ip_hex(c: Column | str) -> Column:
-    """An IPv6 address as 32 hexadecimal digits, else null."""
-
-    def of(v: Column) -> Column:
-        return let(F.split(v, "::", -1), lambda sides: filled(v, sides))
-
-    def filled(v: Column, sides: Column) -> Column:
-        pair = F.struct(_groups(F.get(sides, 0)).alias("head"), _groups(F.coalesce(F.get(sides, 1), F.lit(""))).alias("tail"))
-        return let(pair, lambda p: let(whole(p, F.size(sides) == 2), lambda groups: checked(v, sides, groups)))
+    """An IPv6 address as 32 hexadecimal digits, else null; an IPv4 tail is two groups."""
+    plain = F.lower(F.regexp_replace(col(c), r"%.*$", ""))
+    tail = r"(\d+\.\d+\.\d+\.\d+)$"
+    two = let(ip_key(F.regexp_extract(plain, tail, 1)), lambda key: F.concat(F.hex(F.shiftright(key, 16)), F.lit(":"), F.hex(F.pmod(key, F.lit(65536)))))
+    whole = F.when(F.contains(plain, F.lit(".")), F.lower(F.concat(F.regexp_replace(plain, tail, ""), two))).otherwise(plain)
 
-    def whole(p: Column, short: Column) -> Column:
-        free = F.greatest(F.lit(8) - F.size(p["head"]) - F.size(p["tail"]), F.lit(0))
-        return F.when(short & (free > 0), F.concat(p["head"], F.array_repeat(F.lit("0"), free), p["tail"])).otherwise(F.concat(p["head"], p["tail"]))
+    def filled(w: Column) -> Column:
+        sides = F.split(w, "::", -1)
+        groups = lambda side: F.when(side == "", 0).otherwise(F.size(F.split(side, ":")))
+        head, rest = F.get(sides, 0), F.get(sides, 1)
+        free = F.lit(8) - groups(head) - groups(rest)
+        zeros = F.when(free > 0, F.concat(F.repeat(F.lit("0:"), free - 1), F.lit("0")))
+        return F.when(F.size(sides) == 1, w).when(F.size(sides) == 2, F.concat_ws(":", F.nullif(head, F.lit("")), zeros, F.nullif(rest, F.lit(""))))
 
-    def checked(v: Column, sides: Column, groups: Column) -> Column:
-        short = F.size(sides) == 2
-        fine = v.rlike(r"^[0-9a-f:.]+$") & (F.size(sides) <= 2) & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) <= 4) & (short | ~v.rlike("^:|:$"))
-        return F.when(fine, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+    def padded(w: Column) -> Column:
+        return F.when(w.rlike("^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"), F.array_join(F.transform(F.split(w, ":"), lambda g: F.lpad(g, 4, "0")), ""))
 
-    return F.when(F.contains(col(c), F.lit(":")), let(F.lower(F.regexp_replace(col(c), r"%.*$", "")), of))
+    return F.when(F.contains(col(c), F.lit(":")), let(let(whole, filled), padded))
 
 
 def ip_bits(c: Column | str) -> Column:
@@ -142,7 +130,7 @@ def host_class(c: Column | str) -> Column:
 
 def first_address(c: Column | str) -> Column:
     """The first address of a set field."""
-    return F.nullif(F.regexp_extract(F.coalesce(col(c), F.lit("")), r"^[\[\"\s]*([^,\]\"\s]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.coalesce(col(c), F.lit("")), r"^[\[\"\s]*([^,\[\]\"\s]+)", 1), F.lit(""))
 
 
 # Names

@@ -263,7 +263,7 @@ LOG_TYPES = {
     "SSL No-SNI": ("ssl",),
     "SSL No-SNI on C2 Port": ("ssl", "conn"),
     "Suspicious Certificate": ("x509",),
-    "Notice": ("notice",),
+    "Zeek Notice": ("notice",),
     "TI Hit (IP)": ("conn", "http", "ssl"),
     "TI Hit (Domain)": ("dns", "http"),
     "TI Hit (Hash)": ("files", "http"),

@@ -160,18 +160,18 @@ def http_beacons(http: DataFrame, cfg: Config = DEFAULT, prevalence: DataFrame |
     return found.withColumns({"type": F.lit("HTTP Beacon"), "severity": E.beacon_severity("score"), "src_ip": F.col("src"), "dst_ip": F.col("dst"), "dst_port": F.col("port").cast("string"), "hostname": F.col("host"), "detail": detail, "timestamp": E.when_text("first")})
 
 
-def dns_beacons(dns: DataFrame, cfg: Config = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+def dns_beacons(dns: DataFrame, cfg: Config = DEFAULT, allowed: DataFrame | None = None, suffixes: DataFrame | None = None) -> DataFrame:
     """DNS beacons (DET-19): at least ``dns_beacon_min_queries`` answered queries of one domain at a regular pace.
 
     Content networks and allowed domains are left out; so are domains with as many names as the generated-name
     rule takes (that rule owns them). No lift, no floor.
     """
     keys = ["sensor", "src", "apex"]
-    rows = detect.dns_rows(dns).filter(F.coalesce("rcode", F.lit("")) != "NXDOMAIN").filter(~E.is_cdn(F.concat(F.lit("."), F.col("apex")))).withColumn("orig_bytes", F.lit(0.0))
+    rows = detect.dns_rows(dns, suffixes).filter(F.coalesce("rcode", F.lit("")) != "NXDOMAIN").filter(~E.is_cdn(F.concat(F.lit("."), F.col("apex")))).withColumn("orig_bytes", F.lit(0.0))
     if allowed is not None:
         rows = rows.join(matching.matches(rows, "apex", allowed).select("apex").distinct(), "apex", "left_anti")
     profiled = annotated(profile(rows, keys, least=cfg.dns_beacon_min_queries, cfg=cfg), rows, keys, cfg=cfg)
-    found = dns_scored(profiled, detect.subdomains(dns).select(*keys, "n_subs"), cfg)
+    found = dns_scored(profiled, detect.subdomains(dns, suffixes).select(*keys, "n_subs"), cfg)
     detail = F.format_string(
         "DNS queries: %d | Unique subdomains: %d | Mean interval: %.1fs | CV: %.2f | Score: ts=%.2f conf=%.2f",
         *(F.col(c) for c in ("n", "n_subs", "mean_iv", "cv", "ts_score", "conf")),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packetloom.config import DEFAULT, Config
 from packetloom.functions import exprs as E
 from packetloom.functions import values as V
+from packetloom.operators import names
 
 FINDING = ("type", "severity", "score", "sensor", "src_ip", "dst_ip", "dst_port", "detail", "timestamp")
 
@@ -125,20 +126,24 @@ def database_egress(conn: DataFrame) -> DataFrame:
 # DNS
 
 
-def dns_rows(dns: DataFrame) -> DataFrame:
-    """Queries without local multicast names, with their registrable domain and subdomain."""
+def dns_rows(dns: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Queries without local multicast names, with their registrable domain and subdomain.
+
+    ``suffixes`` (``names.suffix_rules``) are the public suffixes; without them a short built-in list counts.
+    """
     out = dns.filter(F.col("query").isNotNull() & ~E.is_mdns("query")).withColumn("query", F.lower("query"))
-    return out.withColumn("apex", E.apex("query")).withColumn("sub", E.subdomain("query", "apex"))
+    out = out.withColumn("apex", E.apex("query")) if suffixes is None else names.with_apex(out, suffixes)
+    return out.withColumn("sub", E.subdomain("query", "apex"))
 
 
-def suspicious_tld(dns: DataFrame) -> DataFrame:
-    rows = dns_rows(dns).withColumn("tld", F.element_at(F.split("query", r"\."), -1)).filter(F.col("tld").isin(list(V.SUSPICIOUS_TLDS)))
+def suspicious_tld(dns: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    rows = dns_rows(dns, suffixes).withColumn("tld", F.element_at(F.split("query", r"\."), -1)).filter(F.col("tld").isin(list(V.SUSPICIOUS_TLDS)))
     return finding(first_per(rows, ["src", "apex"], ("ts", "query")), "Suspicious TLD", "MEDIUM", 52, F.concat(F.lit("TLD ."), F.col("tld")), dst="apex")
 
 
-def tunneling(dns: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def tunneling(dns: DataFrame, cfg: Config = DEFAULT, suffixes: DataFrame | None = None) -> DataFrame:
     label = F.split("query", r"\.")[0]
-    rows = dns_rows(dns).withColumn("label", label).withColumn("len", F.length("label")).withColumn("ent", E.entropy("label"))
+    rows = dns_rows(dns, suffixes).withColumn("label", label).withColumn("len", F.length("label")).withColumn("ent", E.entropy("label"))
     depth = F.length("query") - F.length(F.replace(F.col("query"), F.lit("."), F.lit("")))
     long = F.col("len") >= cfg.tunnel_label_len
     dense = (F.col("ent") >= cfg.tunnel_entropy) & (F.col("len") >= cfg.tunnel_entropy_min_len)
@@ -155,15 +160,15 @@ def nxdomain_flood(dns: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return finding(rows, "DNS NXDOMAIN Flood", "HIGH", E.clamp(45 + F.log10("n") * 15, 1, 85), F.format_string("NXDOMAIN responses: %d", "n"), ts="first")
 
 
-def subdomains(dns: DataFrame) -> DataFrame:
+def subdomains(dns: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Distinct subdomains per (sensor, src, apex)."""
-    return dns_rows(dns).groupBy("sensor", "src", "apex").agg(F.countDistinct("sub").alias("n_subs"), F.count("*").alias("queries"), F.min("ts").alias("first"))
+    return dns_rows(dns, suffixes).groupBy("sensor", "src", "apex").agg(F.countDistinct("sub").alias("n_subs"), F.count("*").alias("queries"), F.min("ts").alias("first"))
 
 
-def subdomain_dga(dns: DataFrame, sample: int = 200, cfg: Config = DEFAULT) -> DataFrame:
+def subdomain_dga(dns: DataFrame, sample: int = 200, cfg: Config = DEFAULT, suffixes: DataFrame | None = None) -> DataFrame:
     """Many subdomains; the mean entropy is over the first ``sample`` in sort order."""
     keys = ["sensor", "src", "apex"]
-    subs = dns_rows(dns).filter(F.col("sub").isNotNull()).groupBy(*keys, "sub").agg(F.min("ts").alias("first"))
+    subs = dns_rows(dns, suffixes).filter(F.col("sub").isNotNull()).groupBy(*keys, "sub").agg(F.min("ts").alias("first"))
     counted = subs.groupBy(*keys).agg(F.count("*").alias("n"), F.min("first").alias("first")).filter(F.col("n") >= cfg.unique_subdomain_min)
     # Names are ranked and measured only where there are many.
     ranked = subs.select(*keys, "sub").join(counted.select(*keys), keys, "left_semi").withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("sub")))
@@ -173,14 +178,21 @@ def subdomain_dga(dns: DataFrame, sample: int = 200, cfg: Config = DEFAULT) -> D
     return finding(out, "DNS Subdomain DGA", sev, E.clamp(F.least(55 + F.col("ent") * 6, F.lit(90.0)), 1, 95), F.format_string("Unique subdomains: %d", "n"), dst="apex", ts="first")
 
 
-def resolvers(dns: DataFrame, cap: int = 512) -> DataFrame:
-    return dns_rows(dns).groupBy("sensor", "src", "resolver").agg(F.count("*").alias("queries"), F.least(F.countDistinct("apex"), F.lit(cap)).alias("apexes"))
+def resolvers(dns: DataFrame, cap: int = 512, suffixes: DataFrame | None = None) -> DataFrame:
+    """Queries and domains of each (sensor, source, resolver); domains count up to ``cap``, ``overflow`` says that there are more (DET-20)."""
+    out = dns_rows(dns, suffixes).groupBy("sensor", "src", "resolver").agg(F.count("*").alias("queries"), F.countDistinct("apex").alias("apexes"))
+    return out.withColumns({"apexes": F.least("apexes", F.lit(cap)), "overflow": F.col("apexes") > cap})
 
 
-def resolved(dns: DataFrame, most: int = 8) -> DataFrame:
-    """The first addresses, in sort order, that a source's names of a domain resolved to."""
-    rows = dns_rows(dns).withColumn("answer", F.explode(F.split("answers", r",\s*"))).filter(E.is_ip("answer"))
-    return rows.groupBy("sensor", "src", "apex").agg(F.array_join(F.slice(F.sort_array(F.collect_set("answer")), 1, most), ",").alias("resolved"))
+def resolved(dns: DataFrame, most: int = 8, suffixes: DataFrame | None = None) -> DataFrame:
+    """The first addresses, in sort order, that a source's names of a domain resolved to.
+
+    Distinct addresses are ranked and cut before any are gathered.
+    """
+    keys = ["sensor", "src", "apex"]
+    rows = dns_rows(dns, suffixes).select(*keys, F.explode(F.split("answers", r",\s*")).alias("answer")).filter(E.is_ip("answer")).distinct()
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("answer"))).filter(F.col("_r") <= most)
+    return first.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("answer")), ",").alias("resolved"))
 
 
 # TLS and certificates
@@ -243,7 +255,7 @@ def notices(notice: DataFrame) -> DataFrame:
     rows = first_per(notice.filter(F.coalesce("note", F.lit("")) != ""), ["src", "dst", "note"])
     loud = F.lower("note").rlike("attack|scan|brute|sensitive")
     said = F.when(F.coalesce("msg", F.lit("")).isin("", "-"), F.lit("")).otherwise(F.concat(F.lit(" | "), E.truncated("msg")))
-    return finding(rows, "Notice", F.when(loud, "CRITICAL").otherwise("HIGH"), F.when(loud, 92).otherwise(68), F.concat(F.lit("Notice: "), F.col("note"), said), port=None)
+    return finding(rows, "Zeek Notice", F.when(loud, "CRITICAL").otherwise("HIGH"), F.when(loud, 92).otherwise(68), F.concat(F.lit("Notice: "), F.col("note"), said), port=None)
 
 
 # Files and HTTP
@@ -257,8 +269,16 @@ def _suspicious(mime: Column, name: Column) -> Column:
     return F.when(by_mime, F.concat(F.lit("MIME: "), F.lower(mime))).when(by_name, F.concat(F.lit("name: "), name))
 
 
+def file_ends(files: DataFrame) -> DataFrame:
+    """File records with one sender (``tx``) and one receiver (``rx``); where a record has none, the connection's ends (``src``, ``dst``)."""
+    held = lambda c: F.when(F.col(c) != "", F.col(c)) if c in files.columns else F.lit(None).cast("string")
+    tx, rx = F.coalesce(E.first_address("tx"), held("src")), F.coalesce(E.first_address("rx"), held("dst"))
+    return files.withColumns({"tx": tx, "rx": rx}).drop("src", "dst")
+
+
 def file_download(files: DataFrame) -> DataFrame:
-    rows = files.withColumn("src", E.first_address("rx")).withColumn("dst", E.first_address("tx"))
+    """First per (receiver, name and MIME type): the receiver is the source; records without file hosts are those of the connection's ends (DET-28)."""
+    rows = file_ends(files).withColumnRenamed("rx", "src").withColumnRenamed("tx", "dst")
     rows = rows.withColumn("reason", _suspicious(F.col("mime_type"), F.col("filename"))).filter(F.col("reason").isNotNull() & F.col("dst").isNotNull())
     rows = rows.withColumn("what", F.concat(F.coalesce("filename", F.lit("")), F.lower(F.coalesce("mime_type", F.lit("")))))
     return finding(first_per(rows, ["src", "what"], ("ts", "dst")), "Suspicious File Download", "HIGH", 72, F.col("reason"), port=None)

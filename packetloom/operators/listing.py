@@ -108,9 +108,9 @@ def marked(findings: DataFrame, indicators: DataFrame | None) -> DataFrame:
     best = F.lit(None).cast("struct<rank:int,source:string>")
     if indicators is not None:
         listed = indicators.select("value", "source", F.col("rank").cast("int").alias("rank"))
+        hit = matching.side_matches(rows, listed).groupBy("_ip").agg(F.min(F.struct("rank", "source")).alias("_best"))
         for side in ("src_ip", "dst_ip"):
-            hit = matching.matches(rows, side, listed).groupBy(side).agg(F.min(F.struct("rank", "source")).alias(f"_{side}"))
-            rows = rows.join(hit, side, "left")
+            rows = rows.join(hit.select(F.col("_ip").alias(side), F.col("_best").alias(f"_{side}")), side, "left")
         best = F.least("_src_ip", "_dst_ip")
     own = F.col("type").isin(list(V.INDICATOR_TYPES))
     rows = rows.withColumns({"ioc_match": best.isNotNull() | own, "ioc_source": F.coalesce(best["source"], F.when(own, "Threat Intel"))})

@@ -8,14 +8,16 @@ by nature, but none is broadcast by hint: Spark broadcasts what its statistics p
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import exprs as E
+from packetloom.operators import detect
 
-#: Wildcards of one pass over the values.
-GLOBS = 10_000
+#: Characters of the pieces by which wildcards are found; a wildcard is filed under pieces of one of these sizes.
+GRAMS = (8, 4, 2, 1)
 
 
 def typed(entries: DataFrame, value: str = "value") -> DataFrame:
@@ -31,74 +33,167 @@ def _four(key: Column, bits: Column) -> Column:
     return F.concat_ws("/", F.lit("4"), bits.cast("string"), (key - F.pmod(key, F.pow(F.lit(2.0), F.lit(32) - bits).cast("long"))).cast("string"))
 
 
-def _six(bits_of: Column, bits: Column) -> Column:
-    return F.concat_ws("/", F.lit("6"), bits.cast("string"), F.substring(bits_of, F.lit(1), bits))
+def _six(digits: Column, bits: Column) -> Column:
+    """The first bits of 32 hexadecimal digits: whole digits, then what is left of the next one as a number."""
+    whole, left = F.floor(bits / 4).cast("int"), F.pmod(bits, F.lit(4)).cast("int")
+    next_ = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 2)
+    return F.concat_ws("/", F.lit("6"), bits.cast("string"), F.concat(F.substring(digits, F.lit(1), whole), F.when(left > 0, F.concat(F.lit("+"), F.substring(F.lpad(next_, 4, "0"), F.lit(1), left))).otherwise("")))
 
 
 def prefixes(address: Column | str, lengths: Sequence[tuple[int, int]]) -> Column:
     """The address's prefixes of the given (family, length)s, each as a text; of its own family only."""
-    own = {family: [n for f, n in lengths if f == family] for family in (4, 6)}
-    none = F.lit(None).cast("array<string>")
-    four = lambda key: F.when(key.isNotNull(), F.array(*(_four(key, F.lit(n)) for n in own[4]))) if own[4] else none
-    six = lambda bits: F.when(bits.isNotNull(), F.array(*(_six(bits, F.lit(n)) for n in own[6]))) if own[6] else none
-    return F.coalesce(E.let(E.ip_key(E.canonical(address)), four), E.let(E.ip_bits(address), six))
+    return E.let(E.canonical(address), lambda known: _prefixes(E.col(address), known, lengths))
 
 
-def cidr_lengths(cidrs: DataFrame, value: str = "_v") -> list[tuple[int, int]]:
-    """The (family, prefix length)s that occur: at most 33 and 129, whatever the list."""
-    family = F.when(F.contains(value, F.lit(":")), 6).otherwise(4)
-    return sorted((r[0], r[1]) for r in cidrs.select(family, F.get(F.split(value, "/"), 1).cast("int")).distinct().collect() if r[1] is not None)
+def _prefixes(address: Column, known: Column, lengths: Sequence[tuple[int, int]]) -> Column:
+    """Those of an address whose canonical spelling is ``known``."""
+    own = {family: F.array(*(F.lit(n) for f, n in lengths if f == family)) for family in {f for f, _ in lengths}}
+    none = F.lit(None).cast("array<string>")
+    four = E.let(E.ip_key(known), lambda key: F.when(key.isNotNull(), F.transform(own[4], lambda n: _four(key, n)))) if 4 in own else none
+    digits = F.contains(address, F.lit(":")) & (F.length(known) == 32) & ~F.contains(known, F.lit(":"))
+    six = F.when(digits, F.transform(own[6], lambda n: _six(known, n))) if 6 in own else none
+    return F.coalesce(four, six)
 
 
 def with_prefix(cidrs: DataFrame, value: str = "_v") -> DataFrame:
     base, bits = F.get(F.split(value, "/"), 0), F.get(F.split(value, "/"), 1).cast("int")
-    return cidrs.withColumn("_p", F.when(E.ip_key(base).isNotNull(), _four(E.ip_key(base), bits)).otherwise(_six(E.ip_bits(base), bits)))
+    return cidrs.withColumn("_p", F.when(E.ip_key(base).isNotNull(), _four(E.ip_key(base), bits)).otherwise(_six(E.ip_hex(base), bits)))
+
 
+@dataclass(frozen=True)
+class Listed:
+    """A list ready to be matched: its entries by the keys that matching values ask by (``_p``), and which kinds of keys occur.
 
-def entry_keys(listed: DataFrame, cidrs: bool) -> DataFrame:
-    """Typed entries with ``_p``, the key that a matching value asks by: its spelling, or a range's prefix."""
-    exact = listed.filter(F.col("_kind").isin("ip", "text")).withColumn("_p", F.concat(F.lit("="), F.col("_v")))
-    return exact.unionByName(with_prefix(listed.filter(F.col("_kind") == "cidr"))) if cidrs else exact
+    Exact entries are filed under their spelling, ranges under their prefix, wildcards under a piece of
+    theirs (``_like``: what a value that asks for it must be like). The kinds are found by one job over the
+    list: at most 33 and 129 lengths of ranges, and the sizes of pieces. A list that is matched more than
+    once is made ready once and passed on; its keys stay cached until ``close``.
+    """
+
+    keys: DataFrame
+    lengths: tuple[tuple[int, int], ...]
+    grams: tuple[int, ...]
+    columns: tuple[str, ...]
+
+    def close(self) -> None:
+        self.keys.unpersist()
+
+
+def listed(entries: DataFrame | Listed) -> Listed:
+    if isinstance(entries, Listed):
+        return entries
+    rows, columns = typed(entries), entries.columns
+    family = F.when(F.contains("_v", F.lit(":")), 6).otherwise(4)
+    length = F.when(F.col("_kind") == "cidr", F.struct(family, F.get(F.split("_v", "/"), 1).cast("int")))
+    glob = F.lower(F.trim("value"))
+    found = rows.agg(F.collect_set(length), F.collect_set(F.when(F.col("_kind") == "glob", _gram_size(glob)))).first()
+    lengths, grams = tuple(sorted((f, n) for f, n in found[0] if n is not None)), tuple(sorted(found[1]))
+    like = F.lit(None).cast("string").alias("_like")
+    keys = rows.filter(F.col("_kind").isin("ip", "text")).select(F.concat(F.lit("="), F.col("_v")).alias("_p"), like, *columns)
+    if lengths:
+        keys = keys.union(with_prefix(rows.filter(F.col("_kind") == "cidr")).select("_p", like, *columns))
+    if grams:
+        keys = keys.union(glob_keys(rows.filter(F.col("_kind") == "glob").withColumn("_glob", glob), grams).select("_p", "_like", *columns))
+    return Listed(keys.persist(), lengths, grams, tuple(columns))
 
 
 def value_keys(value: Column | str, lengths: Sequence[tuple[int, int]]) -> Column:
     """All keys that a value asks by: its spelling, and its prefixes of the lengths that occur."""
-    own = F.array(F.concat(F.lit("="), E.canonical(value)))
-    return F.concat(own, F.coalesce(prefixes(value, lengths), F.array().cast("array<string>"))) if lengths else own
+
+    def keys(known: Column) -> Column:
+        own = F.array(F.concat(F.lit("="), known))
+        return F.concat(own, F.coalesce(_prefixes(E.col(value), known, lengths), F.array().cast("array<string>"))) if lengths else own
+
+    return E.let(E.canonical(value), keys)
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """The distinct pieces of a size in a text; size 0: the empty one, which every text has."""
+    if not size:
+        return F.array(F.lit(""))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def _longest(glob: Column) -> Column:
+    """A wildcard's longest stretch of plain characters, the first of equal ones."""
+    return F.array_max(F.transform(F.split(glob, r"[*?]"), lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
+
+
+def _gram_size(glob: Column) -> Column:
+    n, out = F.length(_longest(glob)), F.lit(0)
+    for size in sorted(GRAMS):
+        out = F.when(n >= size, size).otherwise(out)
+    return out
+
+
+def glob_keys(globs: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """Wildcards (``_glob``, ...) with ``_p``, the piece of their longest plain stretch that the fewest of them have, and ``_like``.
+
+    A value can match only wildcards whose piece it holds. Those without any plain character are filed
+    under the empty piece.
+    """
+    each = globs.select("_glob").distinct().withColumns({"_size": _gram_size(F.col("_glob")), "_long": _longest(F.col("_glob"))})
+    own = F.array(F.lit(""))
+    for size in sizes:
+        own = F.when(F.col("_size") == size, _pieces(F.col("_long"), size)).otherwise(own)
+    held = each.select("_glob", "_size", F.explode(own).alias("_piece"))
+    counts = held.groupBy("_size", "_piece").agg(F.count("*").alias("_n"))
+    best = held.join(counts, ["_size", "_piece"]).groupBy("_glob").agg(F.min(F.struct("_n", "_size", "_piece")).alias("_b"))
+    keyed = best.select("_glob", F.concat_ws("|", F.col("_b._size").cast("string"), "_b._piece").alias("_p"), glob_like(F.col("_glob")).alias("_like"))
+    return globs.join(keyed, "_glob")
+
+
+def glob_like(glob: Column) -> Column:
+    """A wildcard as a LIKE pattern: * any text, ? one character."""
+    return F.translate(F.regexp_replace(glob, r"([\\%_])", r"\\$1"), "*?", "%_")
+
+
+def asked(value: Column | str, ready: Listed) -> Column:
+    """All keys that a value asks a list by."""
+    low = F.lower(E.col(value))
+    filed = lambda size: F.transform(_pieces(low, size), lambda x: F.concat(F.lit(f"{size}|"), x))
+    return F.concat(value_keys(value, ready.lengths), *(filed(size) for size in ready.grams))
+
+
+def fits(value: Column | str) -> Column:
+    """Whether what a value asked for matches it; keys settle all but wildcards."""
+    return F.col("_like").isNull() | F.like(F.lower(E.col(value)), F.col("_like"))
 
 
-def matches(values: DataFrame, column: str, entries: DataFrame) -> DataFrame:
-    """(column, entry columns...) pairs of distinct values and list entries that match (JOIN-6, JOIN-7)."""
-    listed = typed(entries)
+def matches(values: DataFrame, column: str, entries: DataFrame | Listed) -> DataFrame:
+    """(column, entry columns...) pairs of distinct values and list entries that match (JOIN-6, JOIN-7).
+
+    One equi join for entries of all kinds: a value asks by its spelling, by its prefixes, and, where the list
+    has wildcards, by the pieces that it holds; wildcards that share a piece with it are then
+    compared with it. The plan doesn't grow with the list.
+    """
+    ready = listed(entries)
     own = values.select(column).filter(F.col(column).isNotNull()).distinct()
-    keep = [c for c in entries.columns if c != column]
-    lengths = cidr_lengths(listed.filter(F.col("_kind") == "cidr"))
-    keyed = entry_keys(listed, bool(lengths)).select("_p", *keep)
-    out = own.withColumn("_p", F.explode(value_keys(column, lengths))).join(keyed, "_p").select(column, *keep)
-    patterns = listed.filter(F.col("_kind") == "glob").withColumn("_v", F.lower(F.trim("value")))
-    globs = [r._v for r in patterns.select("_v").distinct().toLocalIterator()]
-    for at in range(0, len(globs), GLOBS):  # a wildcard has no key to join by: patterns are constants of one pass over the values
-        hit = F.array_compact(F.array(*(F.when(F.lower(column).rlike(E.glob_regex(g)), F.lit(g)) for g in globs[at : at + GLOBS])))
-        out = out.union(own.withColumn("_v", F.explode(hit)).join(patterns, "_v").select(column, *keep))
-    return out.distinct()
-
-
-def listed_rows(findings: DataFrame, entries: DataFrame, sides: Sequence[str] = ("src_ip", "dst_ip")) -> DataFrame:
+    keep = [c for c in ready.columns if c != column]
+    met = own.withColumn("_p", F.explode(asked(column, ready))).join(ready.keys.select("_p", "_like", *keep), "_p")
+    return met.filter(fits(column)).select(column, *keep).distinct()
+
+
+def side_matches(findings: DataFrame, entries: DataFrame | Listed, sides: Sequence[str] = ("src_ip", "dst_ip")) -> DataFrame:
+    """(_ip, entry columns...): ``matches`` of the addresses of all sides, asked once."""
+    return matches(findings.select(F.explode(F.array(*sides)).alias("_ip")), "_ip", entries)
+
+
+def listed_rows(findings: DataFrame, entries: DataFrame | Listed, sides: Sequence[str] = ("src_ip", "dst_ip")) -> DataFrame:
     """``ioc_match`` where either side is on the list."""
-    out = findings
-    for side in sides:
-        hit = matches(findings, side, entries).select(side).distinct().withColumn(f"_{side}", F.lit(True))
-        out = out.join(hit, side, "left")
-    flag = F.lit(False)
+    hit = side_matches(findings, entries, sides).select("_ip").distinct()
+    out, flag = findings, F.lit(False)
     for side in sides:
+        out = out.join(hit.select(F.col("_ip").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
         flag = flag | F.coalesce(f"_{side}", F.lit(False))
     return out.withColumn("ioc_match", flag).drop(*(f"_{s}" for s in sides))
 
 
-def hide_listed(findings: DataFrame, entries: DataFrame) -> DataFrame:
+def hide_listed(findings: DataFrame, entries: DataFrame | Listed) -> DataFrame:
     """Rows with neither side on the allowlist (JOIN-10)."""
+    hit = side_matches(findings, entries).select("_ip").distinct()
     for side in ("src_ip", "dst_ip"):
-        findings = findings.join(matches(findings, side, entries).select(side).distinct(), side, "left_anti")
+        findings = findings.join(hit.withColumnRenamed("_ip", side), side, "left_anti")
     return findings
 
 
@@ -110,61 +205,55 @@ def hide_suppressed(findings: DataFrame, rules: DataFrame, now: float) -> DataFr
     return findings
 
 
-def _side_shape(rule: str) -> Column:
-    """How a rule's side is compared: any, exact, a range (4/n or 6/n), or a name's last k labels (s/k)."""
-    r = F.col(rule)
-    base, bits = F.get(F.split(r, "/"), 0), F.get(F.split(r, "/"), 1)
+def _side_keys(rule: Column) -> Column:
+    """How a rule's side is filed: * for any, =text, /prefix of a range, or .k.name for names below; null where it can't be read."""
+    base, bits = F.get(F.split(rule, "/"), 0), F.get(F.split(rule, "/"), 1).try_cast("int")
+    four = F.when(bits.between(0, 32), _four(E.ip_key(base), bits))
+    six = F.when(bits.between(0, 128), _six(E.ip_hex(base), bits))
     return (
-        F.when(r == "", "any")
-        .when(r.startswith("*."), F.concat(F.lit("s/"), (F.size(F.split(r, r"\.")) - 1).cast("string")))
-        .when(F.contains(r, F.lit("/")), F.concat(F.when(E.ip_key(base).isNotNull(), "4/").when(E.ip_hex(base).isNotNull(), "6/"), bits))
-        .otherwise("exact")
+        F.when(rule == "", "*")
+        .when(rule.startswith("*."), F.concat(F.lit("."), F.substring(rule, F.lit(3), F.length(rule))))
+        .when(F.contains(rule, F.lit("/")), F.concat(F.lit("/"), F.coalesce(four, six)))
+        .otherwise(F.concat(F.lit("="), rule))
     )
 
 
-def _side_key(value: Column, shape: str) -> Column:
-    """The key by which a finding's side meets the rules of a shape."""
-    kind, _, n = shape.partition("/")
-    if kind == "s":
-        labels = F.split(F.lower(value), r"\.")
-        return F.when(F.size(labels) >= int(n), F.array_join(F.slice(labels, -int(n), int(n)), "."))
-    if kind in "46":
-        return F.get(prefixes(value, [(int(kind), int(n))]), 0)
-    return F.lit("") if shape == "any" else F.lower(value)
+def _met(values: DataFrame, side: str, held: DataFrame, lengths: Sequence[tuple[int, int]]) -> DataFrame:
+    """(side, _key): the filed sides that each distinct value meets, of those that occur in rules."""
+    low = F.lower(side)
+    labels = F.split(low, r"\.")
+    below = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    ranges = F.coalesce(prefixes(side, lengths), F.array().cast("array<string>")) if lengths else F.array().cast("array<string>")
+    keys = F.concat(F.array(F.lit("*"), F.concat(F.lit("="), low)), below, F.transform(ranges, lambda x: F.concat(F.lit("/"), x)))
+    return values.select(side).filter(F.col(side).isNotNull()).distinct().select(side, F.explode(keys).alias("_key")).join(held, "_key", "left_semi")
 
 
 def hide_pairs(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Pair rules: port exact, an empty field matches all, a side is exact, a range or *.suffix (JOIN-8).
 
-    Rules are grouped by their shape: how each side is compared, and which fields are set. Each shape that
-    occurs is one equi join; a rule whose range can't be read hides nothing.
+    Rules are filed under generalised keys. A side's distinct values are expanded into the keys that they may meet,
+    and only keys that occur in rules go on; so a finding has few of them, whatever the number of
+    rules' shapes. Then one join over the keys of all fields finds what is hidden. The plan has the same
+    size for any rules; a rule whose range can't be read hides nothing.
     """
     wanted = lambda c: F.coalesce(F.col(c), F.lit(""))
     fields = {"port": "dst_port", "finding_type": "type", "sensor": "sensor"}
-    held = rules.select(*(F.lower(wanted(c)).alias(c) for c in ("src", "dst")), *(wanted(c).alias(c) for c in fields)).distinct()
-    held = held.withColumns({f"{c}_shape": _side_shape(c) for c in ("src", "dst")} | {f"{c}_set": F.col(c) != "" for c in fields})
-    shape = ["src_shape", "dst_shape", *(f"{c}_set" for c in fields)]
-    for r in held.select(*shape).distinct().dropna().collect():  # kinds of comparison, not rules
-        own = held
-        for name in shape:
-            own = own.filter(F.col(name) == r[name])
-        on = []
-        for c, value in (("src", "src_ip"), ("dst", "dst_ip")):
-            kind = r[f"{c}_shape"]
-            if kind == "any":
-                continue
-            if kind[0] in "46":
-                own = with_prefix(own, c).withColumnRenamed("_p", f"_{c}")
-            else:
-                own = own.withColumn(f"_{c}", F.expr(f"substring({c}, 3)") if kind[0] == "s" else F.col(c))
-            on.append(_side_key(F.col(value), kind) == F.col(f"_{c}"))
-        for c, value in fields.items():
-            own = own.withColumnRenamed(c, f"_{c}")
-            if r[f"{c}_set"]:
-                on.append(F.col(value) == F.col(f"_{c}"))
-        mine = own.select(*(c for c in own.columns if c in ("_src", "_dst", "_port", "_finding_type", "_sensor"))).distinct()
-        findings = findings.join(mine, on, "left_anti") if on else findings.filter(F.lit(False))
-    return findings
+    sides = {"src": "src_ip", "dst": "dst_ip"}
+    held = rules.select(*(_side_keys(F.lower(wanted(c))).alias(f"_{c}") for c in sides), *(wanted(c).alias(f"_{c}") for c in fields)).dropna().distinct().persist()
+    # Which lengths of ranges occur, on either side: one small job.
+    length = lambda c: F.when(F.col(c).startswith("/"), F.struct(F.substring(c, 2, 1).cast("int"), F.get(F.split(c, "/"), 2).cast("int")))
+    found = held.agg(*(F.collect_set(length(f"_{c}")) for c in sides)).first()
+    columns = [*sides.values(), *fields.values()]
+    asked = findings.select(*columns).distinct()
+    met = asked
+    for (c, side), lengths in zip(sides.items(), found):
+        keys = _met(asked, side, held.select(F.col(f"_{c}").alias("_key")).distinct(), sorted((f, n) for f, n in lengths))
+        met = met.join(keys.withColumnRenamed("_key", f"_{c}"), side)
+    for c, value in fields.items():
+        met = met.withColumn(f"_{c}", F.explode(F.array_distinct(F.array(F.coalesce(F.col(value).cast("string"), F.lit("")), F.lit("")))))
+    hidden = met.join(held, [f"_{c}" for c in (*sides, *fields)], "left_semi").select(*(F.col(c).alias(f"_h_{c}") for c in columns)).distinct()
+    same = [findings[c].eqNullSafe(hidden[f"_h_{c}"]) for c in columns]
+    return findings.join(hidden, same, "left_anti")
 
 
 def flag_benign(findings: DataFrame, benign: DataFrame) -> DataFrame:
@@ -175,23 +264,49 @@ def flag_benign(findings: DataFrame, benign: DataFrame) -> DataFrame:
     return findings.withColumn("benign", F.coalesce("_ja3", "_ja4", F.lit(False))).drop("_ja3", "_ja4")
 
 
-def corroborated(beacons: DataFrame, others: DataFrame, types: Sequence[str] = ("Data Exfiltration", "Off-Hours Transfer", "Long Connection", "Strobe")) -> DataFrame:
-    """Beacons with the sorted types of egress findings on the same pair (JOIN-4)."""
+#: Egress that confirms a beacon to the same destination, and the beacons whose destination is the real far end.
+EGRESS = ("Admin Protocol Egress", "Data Exfiltration", "Database Protocol Egress", "Protocol on Unexpected Port")
+FAR_BEACONS = ("Beacon", "HTTP Beacon", "Port-Hopping Beacon")
+
+
+def corroborated(beacons: DataFrame, others: DataFrame) -> DataFrame:
+    """Beacons with the sorted types of egress findings of the same source to the same destination (JOIN-4).
+
+    Only the beacons of ``FAR_BEACONS`` can be confirmed; the others have null, like those without egress.
+    """
     keys = ["sensor", "src_ip", "dst_ip"]
-    by = others.filter(F.col("type").isin(list(types))).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set("type")), ", ").alias("corroboration"))
-    return beacons.join(by, keys, "left")
+    named = (F.coalesce("src_ip", F.lit("")) != "") & (F.coalesce("dst_ip", F.lit("")) != "")
+    by = others.filter(F.col("type").isin(*EGRESS) & named).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set("type")), ", ").alias("_egress"))
+    by = by.select(F.coalesce("sensor", F.lit("")).alias("_s"), "src_ip", "dst_ip", "_egress")
+    out = beacons.withColumn("_s", F.coalesce("sensor", F.lit(""))).join(by, ["_s", "src_ip", "dst_ip"], "left")
+    return out.withColumn("corroboration", F.when(F.col("type").isin(*FAR_BEACONS), F.col("_egress"))).select(*beacons.columns, "corroboration")
 
 
-def resolver_context(beacons: DataFrame, resolvers: DataFrame) -> DataFrame:
-    """Port-53 beacons with what their source asks of the resolver; sensors without DNS rows are skipped (JOIN-3)."""
-    asked = resolvers.select("sensor", F.col("src").alias("src_ip"), F.col("resolver").alias("dst_ip"), "queries", "apexes")
-    rows = beacons.filter(F.col("dst_port") == "53").join(resolvers.select("sensor").distinct(), "sensor", "left_semi").join(asked, ["sensor", "src_ip", "dst_ip"], "left")
+def resolver_context(findings: DataFrame, resolvers: DataFrame, cap: int = 512) -> DataFrame:
+    """Beacons on port 53 with what the sensor's DNS log says of the pair (JOIN-3); sensors without DNS rows are skipped.
+
+    A pair with queries is a resolver in use, with its domains counted up to ``cap``. Without any, the
+    flow's service decides: labelled dns, the log has a gap; else it is transport without DNS.
+    """
+    asked = resolvers.select("sensor", F.col("src").alias("src_ip"), F.col("resolver").alias("dst_ip"), "queries", "apexes", "overflow")
+    rows = findings.filter((F.col("type") == "Beacon") & (F.col("dst_port") == "53")).join(resolvers.select("sensor").distinct(), "sensor", "left_semi").join(asked, ["sensor", "src_ip", "dst_ip"], "left")
+    domains = F.concat(F.col("apexes").cast("string"), F.when(F.col("overflow"), "+").otherwise(""))
+    services = F.transform(F.split(F.lower(F.coalesce("service", F.lit(""))), ","), lambda x: F.trim(x))
     text = (
-        F.when(F.col("queries").isNull(), "no DNS queries seen: not a resolver")
-        .when(F.col("apexes") <= 2, "few domains: looks like a channel")
-        .otherwise("many domains: looks like a resolver")
+        F.when(F.col("queries").isNotNull(), F.format_string("active resolver for this source (%d queries, %s domains) \u2014 per-domain cadence is scored by DNS Beacon.", "queries", domains))
+        .when(F.array_contains(services, "dns"), "DPD recognized DNS on this pair but dns.log carries no queries for it \u2014 possible dns.log coverage gap.")
+        .otherwise("no DNS queries observed on this pair \u2014 port-53 transport without DNS semantics.")
     )
-    return rows.withColumn("dns_context", text)
+    return rows.withColumn("dns_context", text).drop("overflow")
+
+
+def beacon_notes(findings: DataFrame, resolvers: DataFrame) -> DataFrame:
+    """Findings whose texts tell what egress and the DNS log add to a beacon (DET-44); nothing else changes."""
+    said = resolver_context(findings, resolvers).select("id", "dns_context")
+    out = corroborated(findings, findings).join(said, "id", "left")
+    egress = F.when(F.col("corroboration").isNotNull(), F.concat(F.lit(" | Exfil-over-C2 corroboration: same destination also shows "), "corroboration", F.lit("."))).otherwise("")
+    dns = F.when(F.col("dns_context").isNotNull(), F.concat(F.lit(" | DNS context: "), "dns_context")).otherwise("")
+    return out.withColumn("detail", F.concat(F.coalesce("detail", F.lit("")), egress, dns)).select(*findings.columns)
 
 
 def siblings(findings: DataFrame, kind: str = "ja3") -> DataFrame:
@@ -200,28 +315,72 @@ def siblings(findings: DataFrame, kind: str = "ja3") -> DataFrame:
     return findings.join(n, kind, "left").fillna({"siblings": 0})
 
 
-def suggested(history: DataFrame, acknowledged: DataFrame, rules: DataFrame, least_days: int = 14) -> DataFrame:
-    """Acknowledged pairs seen on many days that no rule covers yet (JOIN-12)."""
-    keys = ["src_ip", "dst_ip", "dst_port", "type"]
-    seen = history.join(acknowledged.select(*keys).distinct(), keys).join(rules.select(*keys).distinct(), keys, "left_anti")
-    return seen.groupBy(*keys).agg(F.countDistinct("day").alias("days"), F.max("max_score").alias("max_score")).filter(F.col("days") >= least_days)
+def suggested(history: DataFrame, findings: DataFrame, rules: DataFrame, least_days: int = 14) -> DataFrame:
+    """Identities seen on many days, with an acknowledged finding, that no pair rule covers yet (JOIN-12).
+
+    ``history`` (finding_type, src_ip, dst_ip, dst_port, host, uri, sensor, day, max_score): an identity is all of
+    it but day and score. A history row without sensor meets findings of any; a rule's empty type or sensor
+    covers all. Both are equi joins: the side that is told apart is expanded by the keys it may meet.
+    """
+    flow, text = ["src_ip", "dst_ip", "dst_port"], lambda c: F.coalesce(F.col(c), F.lit(""))
+    identity = ["finding_type", *flow, "host", "uri", "sensor"]
+    seen = history.withColumns({c: text(c) for c in ("host", "uri", "sensor")})
+    held = rules.select(F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"), F.col("port").alias("dst_port"), text("finding_type").alias("_type"), text("sensor").alias("_sensor")).distinct()
+    either = lambda c: F.explode(F.array_distinct(F.array(text(c), F.lit(""))))
+    asked = seen.select(*identity).distinct().withColumn("_type", either("finding_type")).withColumn("_sensor", either("sensor"))
+    covered = asked.join(held, [*flow, "_type", "_sensor"], "left_semi").select(*identity).distinct()
+    known = findings.filter("status = 'acknowledged'").select(F.col("type").alias("finding_type"), *flow, either("sensor").alias("sensor"), text("analyst").alias("analyst"))
+    known = known.groupBy("finding_type", *flow, "sensor").agg(F.max("analyst").alias("acked_by"))
+    out = seen.groupBy(*identity).agg(F.countDistinct("day").alias("days"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.max("max_score").alias("peak_score"))
+    return out.filter(F.col("days") >= least_days).join(known, ["finding_type", *flow, "sensor"]).join(covered, identity, "left_anti")
 
 
 def evidence(findings: DataFrame, records: DataFrame, hours: float = 2.0, most: int = 50) -> DataFrame:
     """Records of a finding's source and destination around its time, the nearest ``most`` (JOIN-13).
 
-    ``findings`` (id, src_ip, dst_ip, at), ``records`` (src, dst, ts, ...); time is matched by whole windows.
+    ``findings`` (id, src_ip, dst_ip, at), ``records`` (src, dst, ts, ...); equally near ones by time, then uid.
     """
     own = findings.select("id", F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), "at")
     return _nearest(own, records, ["src", "dst"], hours, most)
 
 
 def _nearest(own: DataFrame, records: DataFrame, keys: Sequence[str], hours: float, most: int) -> DataFrame:
-    span = hours * 3600
-    own = own.withColumn("_slot", F.explode(F.expr(f"sequence(CAST(floor(at / {span}) AS BIGINT) - 1, CAST(floor(at / {span}) AS BIGINT) + 1)")))
-    near = records.withColumn("_slot", F.floor(F.col("ts") / span).cast("long")).join(own, [*keys, "_slot"]).filter(F.abs(F.col("ts") - F.col("at")) <= span)
-    w = Window.partitionBy("id").orderBy(F.abs(F.col("ts") - F.col("at")), "ts")
-    return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("_slot")
+    """The nearest records of each finding (id, keys, at), no more than ``most`` before and as many after it being joined.
+
+    A key's records are numbered in the order of time: counts per block of time first, then places within a block.
+    A finding's own place among them says which numbers are next to it, and these are fetched by an equi join, so n
+    findings and m records of a key make n times 2 ``most`` rows, not n times m.
+    """
+    span, block = hours * 3600, max(hours * 3600 / 8, 60.0)
+    rest = [c for c in records.columns if c not in (*keys, "ts")]
+    tie = F.col("uid") if "uid" in records.columns else F.lit(None).cast("string")
+    # Among records of one time the first uid is the nearest from either side, so there are two numberings.
+    data = records.select(*keys, "ts", tie.alias("_tie"), F.struct(*(F.col(c) for c in rest)).alias("_rest") if rest else F.lit(None).alias("_rest"), F.lit(None).cast("string").alias("_id"))
+    data = data.filter("ts IS NOT NULL")
+    asked = own.filter("at IS NOT NULL").select(*keys, F.col("at").cast("double").alias("ts"), F.lit(None).cast("string").alias("_tie"), F.lit(None).cast(data.schema["_rest"].dataType).alias("_rest"), F.to_json(F.struct("id")).alias("_id"))
+    # Keys without a finding take no part.
+    data = data.join(asked.select(*keys).distinct(), list(keys), "left_semi")
+    both = data.withColumn("ts", F.col("ts").cast("double")).unionByName(asked).withColumn("_block", F.floor(F.col("ts") / block))
+    record = F.when(F.col("_id").isNull(), 1).otherwise(0)
+    counts = both.groupBy(*keys, "_block").agg(F.sum(record).alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A finding stands behind the records of its own time: "up to" counts those before it or with it.
+    place = lambda tie_order: F.sum(record).over(Window.partitionBy(*keys, "_block").orderBy("ts", F.col("_id").isNotNull(), tie_order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = both.withColumns({"_up": place(F.asc("_tie")), "_down": place(F.desc("_tie"))}).join(counts.select(*keys, "_block", offset.alias("_o")), [*keys, "_block"])
+    held = ranked.filter("_id IS NULL")
+    numbers = F.array(F.struct(F.lit("after").alias("_side"), (F.col("_o") + F.col("_up")).alias("_k")), F.struct(F.lit("before").alias("_side"), (F.col("_o") + F.col("_down")).alias("_k")))
+    held = held.select(*keys, "ts", "_tie", "_rest", F.inline(numbers))
+    seen = F.col("_o") + F.col("_up")
+    wanted = F.concat(
+        F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.struct(F.lit("after").alias("_side"), (seen + i).alias("_k"))),
+        F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.struct(F.lit("before").alias("_side"), (seen - i).alias("_k"))),
+    )
+    finders = ranked.filter("_id IS NOT NULL").select(*keys, "_id", F.col("ts").alias("at"), F.inline(wanted))
+    near = finders.join(held, [*keys, "_side", "_k"]).filter(F.abs(F.col("ts") - F.col("at")) <= span)
+    w = Window.partitionBy("_id").orderBy(F.abs(F.col("ts") - F.col("at")), "ts", "_tie", "_side", "_k")
+    best = near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+    kind = own.schema["id"].dataType.simpleString()
+    return best.select(F.from_json("_id", f"id {kind}")["id"].alias("id"), *keys, "at", "ts", *(F.col(f"_rest.{c}").alias(c) for c in rest), "place")
 
 
 def raw_evidence(findings: DataFrame, logs: Mapping[str, DataFrame], hours: float = 2.0, most: int = 50) -> DataFrame:
@@ -245,7 +404,7 @@ def raw_evidence(findings: DataFrame, logs: Mapping[str, DataFrame], hours: floa
         elif "host" in rows.columns:
             by_name = rows.select("uid", "src", "ts", F.lower(E.host_without_port("host")).alias("target"))
         for held, flag in ((by_ip, F.col("_ip")), (by_name, ~F.col("_ip"))):
-            parts.append(_nearest(mine.filter(flag).drop("_ip"), held, ["src", "target"], hours, most).select("id", "log_type", "uid", "ts", "at"))
+            parts.append(_nearest(mine.filter(flag).drop("_ip"), held, ["src", "target"], hours, most).select("id", F.lit(name).alias("log_type"), "uid", "ts", "at"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -334,9 +493,12 @@ def threat_hits(seen: DataFrame, indicators: DataFrame) -> DataFrame:
 
 
 def hash_hits(files: DataFrame, indicators: DataFrame, columns: Sequence[str] = ("md5", "sha1", "sha256")) -> DataFrame:
-    """First hit per (receiver, hash), hashes in order (DET-38)."""
+    """First hit per (receiver, hash), hashes of a record in order (DET-38); ``rx`` and ``tx`` are single addresses.
+
+    Records without file hosts are those of the connection's two ends.
+    """
     held = [c for c in columns if c in files.columns]
-    rows = files.select("rx", "tx", "ts", F.posexplode(F.array(*held)).alias("pos", "hash")).filter(F.col("hash").isNotNull())
+    rows = detect.file_ends(files).select("rx", "tx", "ts", F.posexplode(F.array(*held)).alias("pos", "hash")).filter(F.coalesce("hash", F.lit("")) != "")
     rows = rows.withColumn("hash", F.lower("hash")).join(indicators.select(F.lower("value").alias("hash"), "feed").distinct(), "hash")
     w = Window.partitionBy("rx", "hash").orderBy("ts", "pos", "feed")
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "pos").withColumn("score", F.lit(90))

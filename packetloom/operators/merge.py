@@ -95,6 +95,27 @@ def translated(merged: DataFrame, run: DataFrame, history: DataFrame) -> DataFra
     return merged.join(held, "fp", "left").withColumn("correlations", F.when(F.col("_ran") & F.col("correlations").isNotNull(), new).otherwise(F.col("correlations"))).drop("_to")
 
 
+def merge_members(members: DataFrame, run_members: DataFrame, merged: DataFrame, full: bool = True) -> DataFrame:
+    """The membership table (rollup_fp, rollup, fp, member) after a run is merged, in the table's ids (DET-41).
+
+    ``merged`` is the findings table after ``merge_run``. A run's roll-up or member is found by identity, a
+    member that only the history had (``historical`` in ``run_members``) by its id, whatever identity that
+    row has by now. Roll-ups of the run replace their former members; in a partial run the others keep theirs,
+    as long as roll-up and member exist.
+    """
+    ids = fingerprint(merged).select("fp", "id")
+    roll = ids.select(F.col("fp").alias("rollup_fp"), F.col("id").alias("rollup"))
+    run = run_members.drop("rollup").join(roll, "rollup_fp")
+    fresh = run.filter("NOT historical").drop("member").join(ids.withColumnRenamed("id", "member"), "fp")
+    old = run.filter("historical").drop("fp").join(ids.withColumnRenamed("id", "member"), "member")
+    columns = ["rollup_fp", "rollup", "fp", "member"]
+    out = fresh.select(*columns).unionByName(old.select(*columns))
+    if not full:
+        again = members.join(run_members.select("rollup_fp").distinct(), "rollup_fp", "left_anti").drop("rollup", "fp")
+        out = out.unionByName(again.join(roll, "rollup_fp").join(ids.withColumnRenamed("id", "member"), "member").select(*columns))
+    return out.distinct()
+
+
 def merge_history(history: DataFrame, findings: DataFrame, day: str) -> DataFrame:
     """Daily figures per identity: the last score always, the best with its sub-scores when it is beaten (MRG-3)."""
     subs = ["ts_score", "ds_score", "hist_score", "dur_score"]

@@ -17,8 +17,10 @@ def no_rollups(findings: DataFrame) -> DataFrame:
 
 
 def campaigns(findings: DataFrame, least_sources: int = 2) -> DataFrame:
-    out = no_rollups(findings).groupBy("dst_ip", "dst_port").agg(
-        F.countDistinct("src_ip").alias("sources"), F.array_join(F.sort_array(F.collect_set("type")), ", ").alias("types"), F.max("score").alias("max_score"), F.count("*").alias("n")
+    """Destinations and ports that several sources' findings name, roll-ups included (AGG-1)."""
+    named = findings.filter(~F.coalesce("dst_ip", F.lit("")).isin("", "(network)"))
+    out = named.groupBy("dst_ip", "dst_port").agg(
+        F.countDistinct(F.when(F.col("src_ip") != "", F.col("src_ip"))).alias("sources"), F.array_join(F.sort_array(F.collect_set("type")), ", ").alias("types"), F.max("score").alias("max_score"), F.count("*").alias("n")
     )
     return out.filter(F.col("sources") >= least_sources)
 
@@ -79,28 +81,42 @@ def unmapped(findings: DataFrame) -> DataFrame:
 
 
 def activity(findings: DataFrame, now: str) -> DataFrame:
-    """Per type: the last 7 days, the 7 before, all, and whether it fell silent (AGG-7)."""
-    at = F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss"))
+    """Per type, roll-ups apart: what was detected in the last 7 days, in the 7 before, in all, and whether it fell silent (AGG-7)."""
+    at = F.try_to_timestamp("detected_at", F.lit("yyyy-MM-dd HH:mm:ss"))
     end = F.lit(now).cast("timestamp")
     week = F.expr("INTERVAL 7 DAYS")
-    last, prior = (at > end - week) & (at <= end), (at > end - week - week) & (at <= end - week)
-    out = findings.groupBy("type").agg(F.count_if(last).alias("last7"), F.count_if(prior).alias("prior7"), F.count("*").alias("total"))
+    last, prior = at >= end - week, (at >= end - week - week) & (at < end - week)
+    out = no_rollups(findings).groupBy("type").agg(F.count_if(last).alias("last7"), F.count_if(prior).alias("prior7"), F.count("*").alias("total"))
     return out.withColumn("dropped", (F.col("last7") == 0) & (F.col("prior7") > 0))
 
 
 def concern(prevalence: DataFrame) -> DataFrame:
-    """Rare (few destinations) and clustered (several sources) fingerprints (AGG-8)."""
-    rare, clustered = F.col("dsts") <= 8, F.col("srcs") >= 2
-    return prevalence.withColumn("concern", F.when(rare & clustered, "high").when(rare, "medium").otherwise("low"))
+    """How much a TLS client's rarity says (AGG-8): few destinations, more so where several hosts share it; a JA3 says less than a JA4."""
+    rare, clustered, strong = F.col("dsts") <= 8, F.col("srcs") >= 2, F.col("kind") == "ja4"
+    level = F.when(~rare, "none").when(strong & clustered, "critical").when(strong, "high").when(clustered, "medium").otherwise("low")
+    reason = (
+        F.when(~rare, "Common (browser/SDK shape)")
+        .when(strong & clustered, "Rare client, clustered across hosts")
+        .when(strong, "Rare client, single host")
+        .when(clustered, "Rare, clustered \u2014 JA3 only, collision possible")
+        .otherwise("Rare, single host \u2014 JA3 only, lower confidence")
+    )
+    return prevalence.withColumns({"concern": level, "reason": reason})
 
 
 def inventory(prevalence: DataFrame, bad: DataFrame, benign: DataFrame | None = None) -> DataFrame:
-    """Known-bad fingerprints first, benign ones and low concern out (AGG-9)."""
-    out = concern(prevalence).join(bad.select("fp", "label").dropDuplicates(["fp"]), "fp", "left")
+    """Known-bad TLS clients and those of medium concern or more (AGG-9); rank 0 is the worst.
+
+    ``bad`` (kind, fp, label) counts as critical, whatever is marked benign; ``benign`` (kind, fp) leaves the others out.
+    """
+    keys = ["kind", "fp"]
+    out = concern(prevalence).join(bad.select(*keys, "label").dropDuplicates(keys), keys, "left")
+    known = F.col("label").isNotNull()
     if benign is not None:
-        out = out.join(benign.select("fp").distinct(), "fp", "left_anti")
-    out = out.filter(F.col("label").isNotNull() | (F.col("concern") != "low"))
-    return out.withColumn("rank", F.when(F.col("label").isNotNull(), 0).when(F.col("concern") == "high", 1).otherwise(2))
+        out = out.join(benign.select(*keys).distinct().withColumn("_benign", F.lit(True)), keys, "left").filter(known | F.col("_benign").isNull()).drop("_benign")
+    out = out.withColumns({"concern": F.when(known, "critical").otherwise(F.col("concern")), "reason": F.when(known, "Known C2 fingerprint").otherwise(F.col("reason"))})
+    rank = E.pick(F.col("concern"), {"critical": 0, "high": 1, "medium": 2})
+    return out.withColumn("rank", rank).filter("rank IS NOT NULL")
 
 
 def unseen(findings: DataFrame, since: str) -> DataFrame:
@@ -218,7 +234,7 @@ def byte_bins(df: DataFrame, keys: Sequence[str], bins: int = 24) -> DataFrame:
     return out.withColumn("upload", F.col("sent") > 2 * F.col("received"))
 
 
-def notable(findings: DataFrame, least: int = 95, skip: Sequence[str] = ("Host Risk Score",), lists: Lists | None = None) -> DataFrame:
+def notable(findings: DataFrame, least: int = 95, skip: Sequence[str] = ("Host Risk Score", "Suspicious File Download", "Off-Hours Transfer"), lists: Lists | None = None) -> DataFrame:
     """What notifications are made of: new rows with a top score that no list hides (AGG-22)."""
     rows = findings.filter(F.col("is_new") & (F.col("score") >= least) & ~F.col("type").isin(list(skip)))
     return rows if lists is None else filtered(rows, Filters(include_dismissed=True), lists).select(rows.columns)
@@ -226,9 +242,9 @@ def notable(findings: DataFrame, least: int = 95, skip: Sequence[str] = ("Host R
 
 def inventory_counts(inventory_: DataFrame, findings: DataFrame) -> DataFrame:
     """The inventory with the findings that carry each fingerprint, ranked (AGG-9)."""
-    pairs = F.array(*(F.lower(F.col(c)) for c in ("ja3", "ja4") if c in findings.columns))
-    n = findings.select("id", F.explode(F.array_distinct(pairs)).alias("fp")).filter("fp IS NOT NULL").groupBy("fp").agg(F.countDistinct("id").alias("findings"))
-    return inventory_.join(n, "fp", "left").fillna({"findings": 0}).orderBy("rank", F.desc("findings"), "fp")
+    pairs = F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("fp")) for c in ("ja3", "ja4") if c in findings.columns))
+    n = findings.select(F.inline(pairs)).filter(F.coalesce("fp", F.lit("")) != "").groupBy("kind", "fp").agg(F.count("*").alias("findings"))
+    return inventory_.join(n, ["kind", "fp"], "left").fillna({"findings": 0}).orderBy("rank", F.desc("srcs"), F.desc("conns"), "fp")
 
 
 def ordered(findings: DataFrame, by: str = "score", descending: bool = True) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import exprs as E
@@ -32,48 +34,162 @@ def together(current: DataFrame, history: DataFrame | None) -> DataFrame:
     return best.select("fp", "f.*")
 
 
-def correlated(findings: DataFrame, least_types: int = 2) -> DataFrame:
-    """Pairs with several types: the best score and five more per further type (DET-40)."""
-    rows = findings.filter(~F.col("type").isin(list(V.ROLLUPS)) & ~E.is_private("dst_ip") & ~F.col("src_ip").startswith("("))
-    out = rows.groupBy("src_ip", "dst_ip").agg(
-        F.countDistinct("type").alias("n_types"), F.max("score").alias("best"), F.min("timestamp").alias("first"), F.array_join(F.sort_array(F.collect_set("type")), ", ").alias("types")
+#: Types that take no part in a correlation beside the roll-ups, and sources and destinations that stand for no host.
+UNCORRELATED = ("Zeek Notice", "Long Connection")
+NO_SOURCE, NO_DESTINATION = ("", "(cert)", "(escalation)", "(TI)"), ("", "(network)")
+
+CORROBORATING = ("Lateral Movement", "TI Hit (IP)", "Malicious JA3", "Malicious JA4")
+
+
+class Rollup(NamedTuple):
+    """Roll-up findings, and who is in them: one row per member (``rollup_fp``, ``rollup``, ``fp``, ``member``, ``historical``).
+
+    ``member`` is a finding's id, of the history where only that has it (``historical``); ``rollup`` is the
+    roll-up's id. Both tables grow with the members: no row lists the others.
+    """
+
+    findings: DataFrame
+    members: DataFrame
+
+
+def numbered(rows: DataFrame, start: DataFrame, key: str = "fp") -> DataFrame:
+    """``rows`` with gapless ids behind the one row of ``start`` (``_top``), in the order of a hexadecimal key.
+
+    Counts per block of keys first, then places within each block: no task sees all rows.
+    """
+    rows = rows.withColumn("_b", F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))  # 4096 blocks
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(key))
+    out = rows.withColumn("_p", place).join(F.broadcast(offsets), "_b").join(F.broadcast(start))  # 4096 rows and one
+    return out.withColumn("id", (F.col("_top") + F.col("_o") + F.col("_p")).cast("long")).drop("_b", "_o", "_p", "_top")
+
+
+def _signed(current: DataFrame, history: DataFrame | None, *columns: str) -> DataFrame:
+    """Findings of a run and of the history with ``fp``, and ``_p`` (0: the run) as precedence."""
+    wanted = [c for c in dict.fromkeys(("id", *FINGERPRINT, "score", "timestamp", *columns)) if c in current.columns]
+    rows = fingerprint(current).select("fp", *wanted, F.lit(0).alias("_p"))
+    if history is None:
+        return rows
+    return rows.unionByName(fingerprint(history).select("fp", *(c for c in wanted if c in history.columns), F.lit(1).alias("_p")), allowMissingColumns=True)
+
+
+def _member() -> tuple[Column, Column]:
+    """The id of the row that speaks for an identity, the run's first or else the history's, and which of them it is."""
+    return F.min_by("id", F.struct("_p", "id")).alias("member"), (F.min("_p") == 1).alias("historical")
+
+
+def _top(current: DataFrame) -> DataFrame:
+    return current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+
+
+def _rollup_row(out: DataFrame, kind: str) -> DataFrame:
+    """The identity of roll-up rows (sensor, src_ip, dst_ip), which have no port."""
+    return fingerprint(out.withColumns({"type": F.lit(kind), "dst_port": F.lit("")}))
+
+
+def correlated(current: DataFrame, history: DataFrame | None = None, least_types: int = 2) -> Rollup:
+    """Pairs of hosts, as one sensor saw them, with several types of findings (DET-40), and their members (DET-41).
+
+    A run and the history count together, one finding per identity, the run's first. The score is the best
+    one and five more per further type. With ``least_types`` under two there are no correlations.
+    """
+    pair = ["sensor", "src_ip", "dst_ip"]
+    rows = _signed(current, history).withColumn("sensor", F.coalesce("sensor", F.lit("")))
+    rows = rows.filter(~F.col("type").isin([*V.ROLLUPS, *UNCORRELATED]) & ~F.coalesce("src_ip", F.lit("")).isin(*NO_SOURCE) & ~F.coalesce("dst_ip", F.lit("")).isin(*NO_DESTINATION) & F.lit(least_types >= 2))
+    at = F.when(F.col("timestamp") != "", F.col("timestamp"))
+    each = rows.groupBy("fp", *pair, "type").agg(F.max("score").alias("score"), F.min(at).alias("at"), *_member())
+    # Types per pair first: few rows, so a busy pair is summed up before it is shuffled.
+    kinds = each.groupBy(*pair, "type").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min("at").alias("first"))
+    out = kinds.groupBy(*pair).agg(
+        F.count("*").alias("n_types"), F.max("best").alias("best"), F.min("first").alias("timestamp"), F.sum("n").alias("n_members"), F.array_join(F.sort_array(F.collect_list("type")), ", ").alias("types")
     )
     out = out.filter(F.col("n_types") >= least_types)
     score = F.least(F.lit(99), F.col("best") + 5 * (F.col("n_types") - least_types)).cast("int")
-    return out.select("src_ip", "dst_ip", "n_types", score.alias("score"), E.ladder(score, 80, 60, 40).alias("severity"), "first", "types")
+    detail = F.format_string("Multi-stage activity on (%s \u2192 %s) \u2014 %s | Contributing findings: %d", "src_ip", "dst_ip", "types", "n_members")
+    out = out.withColumns({"score": score, "severity": E.ladder(score, 80, 60, 40), "detail": detail})
+    found = numbered(_rollup_row(out, "Correlated Activity"), _top(current)).select("fp", "id", "type", "severity", "score", *pair, "dst_port", "timestamp", "detail", "n_types", "n_members", "types")
+    members = each.select(*pair, "fp", "member", "historical").join(found.select(*pair, F.col("fp").alias("rollup_fp"), F.col("id").alias("rollup")), pair)
+    return Rollup(found, members.select("rollup_fp", "rollup", "fp", "member", "historical"))
 
 
-def sibling_ids(findings: DataFrame) -> DataFrame:
-    """(id, correlations): the other findings of the same pair; counted pairs only, ids in order (DET-41).
+def with_rollup(current: DataFrame, members: DataFrame) -> DataFrame:
+    """Findings of the run with the id of the correlation they are in; what was there before goes (DET-41)."""
+    held = members.filter("NOT historical").select(F.col("member").alias("id"), "rollup")
+    return current.drop("rollup").join(held, "id", "left")
+
+
+def siblings_of(ids: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, sibling): the other members of the roll-ups that the given findings are in; made when asked for, never stored."""
+    asked = members.join(ids.select(F.col("id").alias("member")).distinct(), "member", "left_semi").select("rollup_fp", F.col("fp").alias("_fp"), F.col("member").alias("id"))
+    return members.select("rollup_fp", "fp", F.col("member").alias("sibling")).join(asked, "rollup_fp").filter("fp != _fp").select("id", "sibling").distinct()
 
-    The pair's ids are gathered once and each row takes its own out; ``id`` names a finding.
-    """
-    pairs = findings.filter(~F.col("type").isin(list(V.ROLLUPS))).groupBy("src_ip", "dst_ip").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.countDistinct("type").alias("k"))
-    rows = findings.join(pairs.filter("k >= 2"), ["src_ip", "dst_ip"])
-    return rows.select("id", F.array_remove("ids", F.col("id")).alias("correlations"))
 
+def staged(current: DataFrame, history: DataFrame | None, sources: DataFrame, least_hosts: int = 2, most_sources: int = 6, hours: float = 48) -> Rollup:
+    """Several internal hosts that began to beacon to one rare external destination, one after the other (DET-42).
 
-def multi_stage(conn: DataFrame, reasons: DataFrame | None = None, most_sources: int = 6, hours: float = 48) -> DataFrame:
-    """Few sources that took up one rare external destination in turn (DET-42).
+    Beacon findings of the run and of the history take part, one per identity, the run's first. ``sources``
+    (sensor, dst, n_sources) says how many sources talked to a destination: one that more than
+    ``most_sources`` know isn't rare; one it doesn't have counts as rare. The hosts' onsets lie within
+    ``hours``. Members are the beacons of the run and of the history. The finding names its
+    first hosts; the members name them all.
 
-    ``reasons`` (dst, reason, rank) corroborates; the first by rank counts (JOIN-16).
+    A cluster counts as confirmed by (JOIN-16): lateral movement between two of its hosts seen by the same sensor, or an
+    indicator hit or a known-bad TLS client on its destination. The first of them is the reason.
     """
-    keys = ["sensor", "dst"]
-    onset = conn.filter(~E.is_private("dst") & ~E.is_local_infra("dst")).groupBy(*keys, "src").agg(F.min("ts").alias("onset"))
-    counted = onset.groupBy(*keys).agg(F.count("*").alias("n_sources"), F.min("onset").alias("first"), F.max("onset").alias("last"))
-    few = counted.filter(F.col("n_sources").between(2, most_sources) & (F.col("last") - F.col("first") <= hours * 3600))
-    # Sources are listed where they are few; a busy destination's are only counted.
-    listed = onset.join(few.select(*keys), keys, "left_semi").groupBy(*keys).agg(
-        F.min_by("src", F.struct("onset", "src")).alias("patient_zero"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("onset", "src"))), lambda x: x["src"]), ",").alias("order"),
-    )
-    out = few.join(listed, keys)
-    if reasons is not None:
-        out = out.join(reasons.groupBy("dst").agg(F.min_by("reason", "rank").alias("reason")), "dst", "left")
-    else:
-        out = out.withColumn("reason", F.lit(None).cast("string"))
+    keys = ["sensor", "dst_ip"]
+    rows = _signed(current, history).withColumn("sensor", F.coalesce("sensor", F.lit("")))
+    usable = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    beacons = rows.filter(F.col("type").isin(list(V.BEACONS)) & usable("src_ip") & usable("dst_ip") & usable("timestamp") & ~E.is_private("dst_ip"))
+    first = F.struct("_p", "id")
+    each = beacons.groupBy("fp", *keys, "src_ip").agg(F.min_by("timestamp", first).alias("at"), *_member())
+    hosts = each.groupBy(*keys, "src_ip").agg(F.min("at").alias("onset"))
+    order = F.struct("onset", "src_ip")
+    clusters = hosts.groupBy(*keys).agg(F.count("*").alias("n_hosts"), F.min("onset").alias("timestamp"), F.max("onset").alias("last"), F.min_by("src_ip", order).alias("src_ip"))
+    known = sources.select(F.coalesce("sensor", F.lit("")).alias("sensor"), F.col("dst").alias("dst_ip"), "n_sources")
+    clusters = clusters.filter(F.col("n_hosts") >= least_hosts).join(known, keys, "left").filter(F.coalesce("n_sources", F.lit(0)) <= most_sources).drop("n_sources")
+    at = lambda c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")).cast("double")
+    clusters = clusters.filter(at("last") - at("timestamp") <= hours * 3600)
+    parts = hosts.join(clusters.select(*keys), keys, "left_semi")
+    named = parts.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("onset", "src_ip"))).filter(F.col("_r") <= NAMED)
+    named = named.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.concat(x["src_ip"], F.lit("@"), x["onset"])), " ").alias("named"))
+    reasons = _reasons(rows.filter(F.col("type").isin(*CORROBORATING)), parts, clusters)
+    out = clusters.join(named, keys).join(reasons, keys, "left")
     sure = F.col("reason").isNotNull()
-    return out.withColumns({"score": F.when(sure, 96).otherwise(80), "severity": F.when(sure, "CRITICAL").otherwise("HIGH")})
+    more = F.when(F.col("n_hosts") > NAMED, F.format_string(" and %d more", F.col("n_hosts") - NAMED)).otherwise("")
+    detail = F.concat(
+        F.format_string("%d internal hosts converging on external %s \u2014 staged beacon onsets: %s", "n_hosts", "dst_ip", "named"), more, F.when(sure, F.concat(F.lit(" | corroboration: "), "reason")).otherwise("")
+    )
+    out = out.withColumns({"score": F.when(sure, 96).otherwise(80), "severity": F.when(sure, "CRITICAL").otherwise("HIGH"), "detail": detail})
+    found = numbered(_rollup_row(out, "Multi-Stage Beacon"), _top(current)).select("fp", "id", "type", "severity", "score", "sensor", "src_ip", "dst_ip", "dst_port", "timestamp", "detail", "n_hosts", "reason")
+    members = each.select(*keys, "fp", "member", "historical").join(found.select(*keys, F.col("fp").alias("rollup_fp"), F.col("id").alias("rollup")), keys)
+    return Rollup(found, members.select("rollup_fp", "rollup", "fp", "member", "historical"))
+
+
+#: Hosts that a staging finding's text names.
+NAMED = 50
+
+
+def _reasons(related: DataFrame, parts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(sensor, dst_ip, reason): what confirms each cluster first, in the order of the run's ids, then the history's.
+
+    Lateral movement is held against the hosts of each cluster by two equi joins, so it counts only where
+    both ends are in one cluster.
+    """
+    keys = ["sensor", "dst_ip"]
+    host = lambda side: parts.select(*keys, F.col("src_ip").alias(side))
+    moves = related.filter("type = 'Lateral Movement'").select("_p", "id", "sensor", F.col("src_ip").alias("a"), F.col("dst_ip").alias("b"))
+    moved = moves.join(host("a"), ["sensor", "a"]).join(host("b"), [*keys, "b"]).select(*keys, "_p", "id", F.concat(F.lit("lateral movement "), "a", F.lit("\u2192"), "b").alias("reason"))
+    ends = F.when(F.col("type") == "TI Hit (IP)", F.array_distinct(F.array("dst_ip", "src_ip"))).otherwise(F.array("dst_ip"))
+    text = F.concat(F.when(F.col("type") == "TI Hit (IP)", "TI hit").otherwise(F.col("type")), F.lit(" on C2 destination")).alias("reason")
+    hits = related.filter("type != 'Lateral Movement'").select("_p", "id", text, F.explode(ends).alias("dst_ip"))
+    hit = hits.join(clusters.select(*keys), "dst_ip").select(*keys, "_p", "id", "reason")
+    return moved.unionByName(hit).groupBy(*keys).agg(F.min_by("reason", F.struct("_p", "id", "reason")).alias("reason"))
+
+
+def destination_sources(conn: DataFrame) -> DataFrame:
+    """(sensor, dst, n_sources): how many internal sources each destination has in the logs."""
+    return conn.filter(E.is_private("src")).groupBy("sensor", "dst").agg(F.countDistinct("src").alias("n_sources"))
 
 
 def host_risk(findings: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.config import Config
 from packetloom.functions import exprs as E
-from packetloom.operators import beacon, detect, listing, matching, merge, reports, rollups, stats
+from packetloom.operators import beacon, detect, listing, matching, merge, names, reports, rollups, stats
 from packetloom.plans.views import ctes, view
 from packetloom.sources import lists, sinks
 
@@ -326,7 +326,7 @@ detector("det_doh", "ssl_v", detect.doh_bypass, f"""{finding_sql("'DoH Bypass'",
 detector("det_no_sni", "ssl_v", detect.no_sni, f"""{finding_sql("CASE WHEN port = 4444 THEN 'SSL No-SNI on C2 Port' ELSE 'SSL No-SNI' END", "CASE WHEN port = 4444 THEN 'HIGH' ELSE 'LOW' END", 'CASE WHEN port = 4444 THEN 82 ELSE 35 END')} FROM {first_sql("(SELECT * FROM ssl_v WHERE established AND server_name IS NULL)", 'src, dst, port')}""")
 register("det_tls_prevalence", lambda s, d: detect.fingerprint_prevalence(view(s, d, "ssl_v")), " SELECT 'ja3' AS kind, ja3 AS fp, count(*) AS conns, count(DISTINCT src) AS srcs, count(DISTINCT dst) AS dsts FROM ssl_v GROUP BY ja3", ("ssl_v",))
 detector("det_certificates", "x509_v", detect.certificates, f"""{finding_sql("'Suspicious Certificate'", "'MEDIUM'", '58', src="'(cert)'", dst='subject', port='CAST(NULL AS VARCHAR)')} FROM {first_sql("(SELECT * FROM x509_v WHERE lower(subject) = lower(issuer) OR contains(lower(subject), 'localhost') OR (CAST(not_after AS DOUBLE) - CAST(not_before AS DOUBLE)) / 86400 < 2 OR (CAST(not_after AS DOUBLE) - CAST(not_before AS DOUBLE)) / 86400 > 3650)", 'subject, issuer')}""")
-detector("det_notices", "notice_v", detect.notices, f"""{finding_sql("'Notice'", "CASE WHEN lower(note) LIKE '%scan%' THEN 'CRITICAL' ELSE 'HIGH' END", "CASE WHEN lower(note) LIKE '%scan%' THEN 92 ELSE 68 END", port='CAST(NULL AS VARCHAR)')} FROM {first_sql('notice_v', 'src, dst, note')}""")
+detector("det_notices", "notice_v", detect.notices, f"""{finding_sql("'Zeek Notice'", "CASE WHEN lower(note) LIKE '%scan%' THEN 'CRITICAL' ELSE 'HIGH' END", "CASE WHEN lower(note) LIKE '%scan%' THEN 92 ELSE 68 END", port='CAST(NULL AS VARCHAR)')} FROM {first_sql('notice_v', 'src, dst, note')}""")
 detector("det_file_download", "files_v", detect.file_download, f"""{finding_sql("'Suspicious File Download'", "'HIGH'", '72', src='rx', dst='tx', port='CAST(NULL AS VARCHAR)')} FROM {first_sql("(SELECT * FROM files_v WHERE mime_type = 'application/x-dosexec' OR filename LIKE '%.exe' OR filename LIKE '%.ps1')", 'rx, filename || mime_type', 'ts, tx')}""")
 detector("det_agents", "http_v", detect.agents, f"""{finding_sql("'Suspicious UA'", "'LOW'", '30')} FROM {first_sql("(SELECT * FROM http_v WHERE lower(user_agent) LIKE 'curl/%' OR lower(user_agent) LIKE 'python-requests%')", 'src, user_agent')}""")
 _SUM8 = "list_sum(list_transform(string_split(uri, ''), lambda x: ord(x))) % 256"
@@ -406,18 +406,41 @@ SELECT id FROM findings_v f WHERE NOT EXISTS (SELECT 1 FROM r WHERE f.dst_ip = r
   AND (lo IS NULL OR (starts_with(src_ip, '10.0.0.') AND CAST(src_ip[8:] AS INT) BETWEEN lo AND lo + 7)))""",
     ("findings_v",),
 )
+_EGRESS = """, o AS (SELECT sensor, src_ip, dst_ip, array_to_string(list_sort(list_distinct(list(type))), ', ') AS corroboration FROM findings_v
+  WHERE type IN ('Database Protocol Egress', 'Admin Protocol Egress', 'Data Exfiltration', 'Protocol on Unexpected Port') GROUP BY ALL)"""
 register(
     "join_corroboration",
-    lambda s, d: matching.corroborated(view(s, d, "findings_v").filter("type = 'Beacon'"), view(s, d, "findings_v")).select("id", "corroboration"),
-    ", o AS (SELECT sensor, src_ip, dst_ip, array_to_string(list_sort(list_distinct(list(type))), ', ') AS corroboration FROM findings_v WHERE type IN ('Data Exfiltration', 'Off-Hours Transfer', 'Long Connection', 'Strobe') GROUP BY ALL) SELECT id, corroboration FROM findings_v LEFT JOIN o USING (sensor, src_ip, dst_ip) WHERE type = 'Beacon'",
+    lambda s, d: matching.corroborated(view(s, d, "findings_v"), view(s, d, "findings_v")).select("id", "corroboration"),
+    f"{_EGRESS} SELECT id, CASE WHEN type IN ('Beacon', 'HTTP Beacon', 'Port-Hopping Beacon') THEN corroboration END AS corroboration FROM findings_v LEFT JOIN o USING (sensor, src_ip, dst_ip)",
     ("findings_v",),
 )
+
+
+def at_resolver(s: SparkSession, d: str) -> DataFrame:
+    """Findings of which those on port 53 went to the resolver, some of them with a dns service."""
+    f = view(s, d, "findings_v")
+    return f.withColumns({"dst_ip": F.when(F.col("dst_port") == "53", F.when(F.col("score") % 4 == 0, "10.0.255.54").otherwise("10.0.255.53")).otherwise(F.col("dst_ip")), "service": F.when(F.col("score") % 8 == 0, "ssl, DNS").otherwise(F.col("service"))})
+
+
+_CONTEXT = f""", r AS (SELECT sensor, src, count(*) AS queries, count(DISTINCT apex) AS apexes FROM {DNS_NAMES} GROUP BY ALL),
+f AS (SELECT * REPLACE (CASE WHEN dst_port = '53' THEN CASE WHEN score % 4 = 0 THEN '10.0.255.54' ELSE '10.0.255.53' END ELSE dst_ip END AS dst_ip, CASE WHEN score % 8 = 0 THEN 'ssl, DNS' ELSE service END AS service) FROM findings_v),
+c AS (SELECT f.*, CASE WHEN queries IS NOT NULL THEN concat('active resolver for this source (', queries, ' queries, ', CASE WHEN apexes > 512 THEN '512+' ELSE CAST(apexes AS VARCHAR) END, ' domains) \u2014 per-domain cadence is scored by DNS Beacon.')
+    WHEN list_contains(list_transform(string_split(lower(service), ','), lambda x: trim(x)), 'dns') THEN 'DPD recognized DNS on this pair but dns.log carries no queries for it \u2014 possible dns.log coverage gap.'
+    ELSE 'no DNS queries observed on this pair \u2014 port-53 transport without DNS semantics.' END AS dns_context
+  FROM f LEFT JOIN r ON f.sensor = r.sensor AND f.src_ip = r.src AND f.dst_ip = '10.0.255.53' WHERE dst_port = '53' AND type = 'Beacon' AND f.sensor IN (SELECT sensor FROM r))"""
 register(
     "join_resolver_context",
-    lambda s, d: matching.resolver_context(view(s, d, "findings_v").withColumn("dst_ip", F.lit("10.0.255.53")), detect.resolvers(view(s, d, "dns_v"))).select("id", "queries", "apexes", "dns_context"),
-    f""", r AS (SELECT sensor, src, count(*) AS queries, least(count(DISTINCT apex), 512) AS apexes FROM {DNS_NAMES} GROUP BY ALL)
-SELECT id, queries, CAST(apexes AS BIGINT) AS apexes, CASE WHEN queries IS NULL THEN 'no DNS queries seen: not a resolver' WHEN apexes <= 2 THEN 'few domains: looks like a channel' ELSE 'many domains: looks like a resolver' END AS dns_context
-FROM findings_v f LEFT JOIN r ON f.sensor = r.sensor AND f.src_ip = r.src WHERE dst_port = '53' AND f.sensor IN (SELECT sensor FROM r)""",
+    lambda s, d: matching.resolver_context(at_resolver(s, d), detect.resolvers(view(s, d, "dns_v"))).select("id", "dns_context"),
+    f"{_CONTEXT} SELECT id, dns_context FROM c",
+    ("findings_v", "dns_v"),
+)
+register(
+    "det_beacon_notes",
+    lambda s, d: matching.beacon_notes(at_resolver(s, d), detect.resolvers(view(s, d, "dns_v"))).select("id", "detail"),
+    f"""{_CONTEXT}{_EGRESS.replace('findings_v', 'f')}
+SELECT f.id, concat(f.detail, CASE WHEN corroboration IS NOT NULL AND f.type IN ('Beacon', 'HTTP Beacon', 'Port-Hopping Beacon') THEN concat(' | Exfil-over-C2 corroboration: same destination also shows ', corroboration, '.') ELSE '' END,
+  CASE WHEN dns_context IS NOT NULL THEN concat(' | DNS context: ', dns_context) ELSE '' END) AS detail
+FROM f LEFT JOIN o USING (sensor, src_ip, dst_ip) LEFT JOIN (SELECT id, dns_context FROM c) c ON f.id = c.id""",
     ("findings_v", "dns_v"),
 )
 register("join_siblings", lambda s, d: matching.siblings(view(s, d, "ssl_v").withColumnRenamed("uid", "id")).select("id", "siblings"), " SELECT uid AS id, count(*) OVER (PARTITION BY ja3) - 1 AS siblings FROM ssl_v", ("ssl_v",))
@@ -436,11 +459,27 @@ register(
     f", u AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/:]+)', 1)) AS host FROM pages) SELECT src, lower(host) AS name, dst, 96 AS score FROM {first_sql('(SELECT h.* FROM http_v h WHERE lower(host) IN (FROM u))', 'src, lower(host)', 'ts, dst')}",
     ("http_v",),
 )
+
+
+def suggestion_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A history with and without sensors, the findings, and rules with wildcard types and sensors."""
+    f = view(s, d, "findings_v").withColumn("analyst", F.concat(F.lit("a"), (F.col("id") % 3).cast("string")))
+    sensor = F.when(F.col("score") % 13 == 0, "").otherwise(F.col("sensor"))
+    history = f.select(F.col("type").alias("finding_type"), "src_ip", "dst_ip", "dst_port", F.col("hostname").alias("host"), F.lit("").alias("uri"), sensor.alias("sensor"), F.substring("timestamp", 1, 10).alias("day"), F.col("score").alias("max_score"))
+    blank = lambda c, k: F.when(F.col("score") % k == 0, "").otherwise(F.col(c))
+    rules = f.filter("status = 'dismissed' AND score > 70").select(F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), F.col("dst_port").alias("port"), blank("type", 2).alias("finding_type"), blank("sensor", 3).alias("sensor"))
+    return history, f, rules
+
+
 register(
     "join_suggested",
-    lambda s, d: matching.suggested(view(s, d, "findings_v").select("src_ip", "dst_ip", "dst_port", "type", F.substring("timestamp", 1, 10).alias("day"), F.col("score").alias("max_score")), view(s, d, "findings_v").filter("status = 'acknowledged'"), view(s, d, "findings_v").filter("status = 'dismissed' AND score > 70"), 2),
-    """, f AS (SELECT *, timestamp[:10] AS day FROM findings_v), a AS (SELECT DISTINCT src_ip, dst_ip, dst_port, type FROM f WHERE status = 'acknowledged'), r AS (SELECT DISTINCT src_ip, dst_ip, dst_port, type FROM f WHERE status = 'dismissed' AND score > 70)
-SELECT src_ip, dst_ip, dst_port, type, count(DISTINCT day) AS days, max(score) AS max_score FROM f JOIN a USING (src_ip, dst_ip, dst_port, type) ANTI JOIN r USING (src_ip, dst_ip, dst_port, type) GROUP BY ALL HAVING count(DISTINCT day) >= 2""",
+    lambda s, d: matching.suggested(*suggestion_inputs(s, d), 2),
+    """, bh AS (SELECT type AS finding_type, src_ip, dst_ip, dst_port, hostname AS host, '' AS uri, CASE WHEN score % 13 = 0 THEN '' ELSE sensor END AS sensor, timestamp[:10] AS day, score FROM findings_v),
+pa AS (SELECT src_ip, dst_ip, dst_port, CASE WHEN score % 2 = 0 THEN '' ELSE type END AS finding_type, CASE WHEN score % 3 = 0 THEN '' ELSE sensor END AS sensor FROM findings_v WHERE status = 'dismissed' AND score > 70)
+SELECT bh.finding_type, bh.src_ip, bh.dst_ip, bh.dst_port, bh.host, bh.uri, bh.sensor, count(DISTINCT day) AS days, min(day) AS first_seen, max(day) AS last_seen, max(bh.score) AS peak_score, max(concat('a', f.id % 3)) AS acked_by
+FROM bh JOIN findings_v f ON f.src_ip = bh.src_ip AND f.dst_ip = bh.dst_ip AND f.dst_port = bh.dst_port AND f.type = bh.finding_type AND (bh.sensor = '' OR f.sensor = bh.sensor) AND f.status = 'acknowledged'
+WHERE NOT EXISTS (SELECT 1 FROM pa WHERE pa.src_ip = bh.src_ip AND pa.dst_ip = bh.dst_ip AND pa.dst_port = bh.dst_port AND pa.finding_type IN ('', bh.finding_type) AND pa.sensor IN ('', bh.sensor))
+GROUP BY ALL HAVING count(DISTINCT day) >= 2""",
     ("findings_v",),
 )
 
@@ -456,21 +495,91 @@ s AS (SELECT *, CAST(CASE WHEN raw <= 75 THEN raw ELSE least(99, round(75 + 24 *
 SELECT src_ip, raw, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS severity, detections FROM s""",
     ("findings_v",),
 )
+_IDENTITY = "concat_ws('|', type, src_ip, dst_ip, dst_port, sensor, CASE WHEN type = 'HTTP Beacon' THEN concat(hostname, '|', uri) ELSE '' END)"
+_CORRELATED = f""", i AS (SELECT {_IDENTITY} AS k, sensor, src_ip, dst_ip, type, max(score) AS score, min(timestamp) AS seen_at, coalesce(min(id) FILTER (is_new), min(id)) AS member, NOT bool_or(is_new) AS historical
+  FROM findings_v WHERE NOT {ROLLUP} AND type NOT IN ('Zeek Notice', 'Long Connection') AND src_ip NOT IN ('', '(cert)', '(escalation)', '(TI)') AND dst_ip NOT IN ('', '(network)') GROUP BY ALL),
+p AS (SELECT sensor, src_ip, dst_ip, count(DISTINCT type) AS n_types, CAST(least(99, max(score) + 5 * (count(DISTINCT type) - 2)) AS INT) AS score, min(seen_at) AS timestamp, count(*) AS n_members, array_to_string(list_sort(list_distinct(list(type))), ', ') AS types
+  FROM i GROUP BY ALL HAVING count(DISTINCT type) >= 2)"""
+
+
+def run_and_history(s: SparkSession, d: str, name: str = "findings_v") -> tuple[DataFrame, DataFrame]:
+    """The table's new rows as a run, the others as the history."""
+    rows = view(s, d, name)
+    return rows.filter("is_new"), rows.filter("NOT is_new")
+
+
 register(
     "roll_correlated",
-    lambda s, d: rollups.correlated(view(s, d, "findings_v")),
-    f""" SELECT src_ip, dst_ip, count(DISTINCT type) AS n_types, CAST(least(99, max(score) + 5 * (count(DISTINCT type) - 2)) AS INT) AS score,
-  CASE WHEN least(99, max(score) + 5 * (count(DISTINCT type) - 2)) >= 80 THEN 'CRITICAL' WHEN least(99, max(score) + 5 * (count(DISTINCT type) - 2)) >= 60 THEN 'HIGH' WHEN least(99, max(score) + 5 * (count(DISTINCT type) - 2)) >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-  min(timestamp) AS first, array_to_string(list_sort(list_distinct(list(type))), ', ') AS types FROM findings_v WHERE NOT {ROLLUP} AND NOT {private('dst_ip')} GROUP BY src_ip, dst_ip HAVING count(DISTINCT type) >= 2""",
+    lambda s, d: rollups.correlated(*run_and_history(s, d)).findings.select("sensor", "src_ip", "dst_ip", "n_types", "score", "severity", "timestamp", "n_members", "types"),
+    f"{_CORRELATED} SELECT *, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 60 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM p",
+    ("findings_v",),
+)
+register(
+    "roll_members",
+    lambda s, d: rollups.correlated(*run_and_history(s, d)).members.groupBy("rollup_fp").agg(F.count("*").alias("n"), F.sum("member").alias("members"), F.count_if("historical").alias("historical")).drop("rollup_fp"),
+    f"{_CORRELATED} SELECT count(*) AS n, CAST(sum(member) AS BIGINT) AS members, count(*) FILTER (historical) AS historical FROM i JOIN p USING (sensor, src_ip, dst_ip) GROUP BY sensor, src_ip, dst_ip",
     ("findings_v",),
 )
-register("roll_sibling_ids", lambda s, d: rollups.sibling_ids(view(s, d, "findings_v")).select("id", F.array_join(F.col("correlations").cast("array<string>"), ",").alias("ids")), f", p AS (SELECT src_ip, dst_ip, list_sort(list(id)) AS ids FROM findings_v WHERE NOT {ROLLUP} GROUP BY ALL HAVING count(DISTINCT type) >= 2) SELECT id, array_to_string(list_filter(ids, lambda x: x <> id), ',') AS ids FROM findings_v JOIN p USING (src_ip, dst_ip)", ("findings_v",))
+
+
+def merged_members(s: SparkSession, d: str) -> DataFrame:
+    """The membership of a run's correlations after the run is merged into the history, by the merged table's rows."""
+    run, history = run_and_history(s, d)
+    found = rollups.correlated(run, history)
+    # As a job would, which publishes each table before it goes on.
+    added, members = found.findings.persist(), found.members.persist()
+    table = merge.merge_run(history, run.unionByName(added, allowMissingColumns=True), "2024-02-01 00:00:00").persist()
+    held = merge.merge_members(members.limit(0), members, table)
+    names = table.select(F.col("id").alias("member"), "sensor", "src_ip", "dst_ip", "type")
+    roll = table.select(F.col("id").alias("rollup"), F.col("type").alias("rollup_type"))
+    return held.join(names, "member").join(roll, "rollup").groupBy("sensor", "src_ip", "dst_ip", "rollup_type").agg(F.count("*").alias("n"), F.countDistinct("type").alias("types"))
+
+
+register(
+    "merge_members",
+    merged_members,
+    f"{_CORRELATED} SELECT sensor, src_ip, dst_ip, 'Correlated Activity' AS rollup_type, n_members AS n, n_types AS types FROM p",
+    ("findings_v",),
+)
+register(
+    "roll_sibling_ids",
+    lambda s, d: rollups.siblings_of(view(s, d, "findings_v").filter("status = 'escalated'").select("id"), rollups.correlated(*run_and_history(s, d)).members).groupBy("id").agg(F.count("*").alias("n"), F.sum("sibling").alias("siblings")),
+    f"""{_CORRELATED}, m AS (SELECT sensor, src_ip, dst_ip, member FROM i JOIN p USING (sensor, src_ip, dst_ip))
+SELECT a.member AS id, count(*) AS n, CAST(sum(b.member) AS BIGINT) AS siblings FROM m a JOIN m b USING (sensor, src_ip, dst_ip) WHERE a.member <> b.member AND a.member IN (SELECT id FROM findings_v WHERE status = 'escalated') GROUP BY a.member""",
+    ("findings_v",),
+)
+
+
+def staged(s: SparkSession, d: str) -> rollups.Rollup:
+    rows = view(s, d, "staged_v")
+    return rollups.staged(*run_and_history(s, d, "staged_v"), rollups.destination_sources(rows.select("sensor", F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"))), hours=400)
+
+
+_STAGED = f""", n AS (SELECT sensor, dst_ip, count(DISTINCT src_ip) AS n_sources FROM staged_v GROUP BY ALL),
+b AS (SELECT {_IDENTITY} AS k, sensor, dst_ip, src_ip, arg_min(timestamp, (NOT is_new, id)) AS seen_at, coalesce(min(id) FILTER (is_new), min(id)) AS member, NOT bool_or(is_new) AS historical FROM staged_v
+  WHERE type IN ('Beacon', 'HTTP Beacon', 'DNS Beacon', 'Port-Hopping Beacon') AND NOT {private('dst_ip')} GROUP BY ALL),
+h AS (SELECT sensor, dst_ip, src_ip, min(seen_at) AS onset FROM b GROUP BY ALL),
+c AS (SELECT sensor, dst_ip, count(*) AS n_hosts, min(onset) AS timestamp, arg_min(src_ip, (onset, src_ip)) AS src_ip, string_agg(concat(src_ip, '@', onset), ' ' ORDER BY onset, src_ip) AS named FROM h GROUP BY ALL
+  HAVING count(*) >= 2 AND epoch(CAST(max(onset) AS TIMESTAMP)) - epoch(CAST(min(onset) AS TIMESTAMP)) <= 400 * 3600),
+g AS (SELECT c.* FROM c JOIN n USING (sensor, dst_ip) WHERE n_sources <= 6),
+y AS (SELECT g.sensor, g.dst_ip, NOT r.is_new AS p, r.id, concat('lateral movement ', r.src_ip, '\u2192', r.dst_ip) AS reason FROM g JOIN staged_v r ON r.type = 'Lateral Movement' AND r.sensor = g.sensor
+    JOIN h a ON a.sensor = g.sensor AND a.dst_ip = g.dst_ip AND a.src_ip = r.src_ip JOIN h z ON z.sensor = g.sensor AND z.dst_ip = g.dst_ip AND z.src_ip = r.dst_ip
+  UNION ALL SELECT g.sensor, g.dst_ip, NOT r.is_new, r.id, CASE WHEN r.type = 'TI Hit (IP)' THEN 'TI hit on C2 destination' ELSE concat(r.type, ' on C2 destination') END
+    FROM g JOIN staged_v r ON (r.type = 'TI Hit (IP)' AND g.dst_ip IN (r.dst_ip, r.src_ip)) OR (r.type IN ('Malicious JA3', 'Malicious JA4') AND g.dst_ip = r.dst_ip)),
+w AS (SELECT sensor, dst_ip, arg_min(reason, (p, id)) AS reason FROM y GROUP BY ALL),
+o AS (SELECT g.*, reason, CASE WHEN reason IS NULL THEN 80 ELSE 96 END AS score, CASE WHEN reason IS NULL THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM g LEFT JOIN w USING (sensor, dst_ip))"""
 register(
     "roll_multi_stage",
-    lambda s, d: rollups.multi_stage(conn(s, d).withColumn("dst", F.concat(F.lit("203.0.113."), (F.substring("uid", 2, 12).cast("long") % 4000).cast("string"))), hours=1000).select("sensor", "dst", "n_sources", "patient_zero", "order", "score"),
-    """, o AS (SELECT sensor, concat('203.0.113.', CAST(uid[2:] AS BIGINT) % 4000) AS dst, src, min(ts) AS onset FROM conn_v GROUP BY ALL)
-SELECT sensor, dst, count(*) AS n_sources, arg_min(src, onset) AS patient_zero, string_agg(src, ',' ORDER BY onset, src) AS "order", 80 AS score FROM o GROUP BY sensor, dst HAVING count(*) BETWEEN 2 AND 6 AND max(onset) - min(onset) <= 3600000""",
-    ("conn_v",),
+    lambda s, d: staged(s, d).findings.select("sensor", "dst_ip", "n_hosts", "src_ip", "timestamp", "score", "severity", "reason", "detail"),
+    f"""{_STAGED} SELECT sensor, dst_ip, n_hosts, src_ip, timestamp, score, severity, reason,
+  concat(n_hosts, ' internal hosts converging on external ', dst_ip, ' \u2014 staged beacon onsets: ', named, CASE WHEN reason IS NULL THEN '' ELSE concat(' | corroboration: ', reason) END) AS detail FROM o""",
+    ("staged_v",),
+)
+register(
+    "roll_staged_members",
+    lambda s, d: staged(s, d).members.select("member"),
+    f"{_STAGED} SELECT member FROM b JOIN o USING (sensor, dst_ip)",
+    ("staged_v",),
 )
 register("roll_identity", lambda s, d: rollups.fingerprint(view(s, d, "findings_v")).groupBy("type").agg(F.countDistinct("fp").alias("n")), " SELECT type, count(DISTINCT CASE WHEN type = 'HTTP Beacon' THEN concat_ws('|', src_ip, dst_ip, dst_port, sensor, hostname, uri) ELSE concat_ws('|', src_ip, dst_ip, dst_port, sensor) END) AS n FROM findings_v GROUP BY type", ("findings_v",))
 register("roll_orphans", lambda s, d: rollups.without_orphans(view(s, d, "findings_v").filter("score < 12 OR type != 'Beacon'")).groupBy("type").agg(F.count("*").alias("n")), f", f AS (SELECT * FROM findings_v WHERE score < 12 OR type <> 'Beacon'), h AS (SELECT DISTINCT src_ip FROM f WHERE NOT {ROLLUP}) SELECT type, count(*) AS n FROM f WHERE type <> 'Host Risk Score' OR src_ip IN (FROM h) GROUP BY type", ("findings_v",))
@@ -552,24 +661,46 @@ def report(name: str, make: Callable[[DataFrame], DataFrame], sql: str | None) -
     register(f"report_{name}", lambda s, d: make(view(s, d, "findings_v")), sql, ("findings_v",))
 
 
-report("campaigns", reports.campaigns, f" SELECT dst_ip, dst_port, count(DISTINCT src_ip) AS sources, array_to_string(list_sort(list_distinct(list(type))), ', ') AS types, max(score) AS max_score, count(*) AS n FROM findings_v WHERE NOT {ROLLUP} GROUP BY dst_ip, dst_port HAVING count(DISTINCT src_ip) >= 2")
+report("campaigns", reports.campaigns, f" SELECT dst_ip, dst_port, count(DISTINCT src_ip) AS sources, array_to_string(list_sort(list_distinct(list(type))), ', ') AS types, max(score) AS max_score, count(*) AS n FROM findings_v WHERE dst_ip NOT IN ('', '(network)') GROUP BY dst_ip, dst_port HAVING count(DISTINCT src_ip) >= 2")
 report("hosts", reports.hosts, f" SELECT src_ip, count(*) AS n, count(*) FILTER (type IN ('Beacon', 'HTTP Beacon')) AS beacons, max(score) AS max_score, arg_min(severity, {RANK}) AS worst, array_to_string(list_sort(list_distinct(list(type))), ', ') AS types FROM findings_v WHERE NOT {ROLLUP} AND {private('src_ip')} GROUP BY src_ip")
 report("status_counts", reports.status_counts, " SELECT count(*) FILTER (status = '') AS open, count(*) FILTER (status = 'acknowledged') AS acknowledged, count(*) FILTER (status = 'escalated') AS escalated, count(*) FILTER (status = 'dismissed') AS dismissed, count(*) FILTER (ioc_match) AS ioc, count(*) AS total FROM findings_v")
 report("facets", reports.facets, " SELECT DISTINCT 'type' AS facet, type AS value FROM findings_v UNION ALL SELECT DISTINCT 'sensor', sensor FROM findings_v")
 report("trend", reports.trend, f", c AS (SELECT CAST(timestamp[:10] AS DATE) AS day, severity, count(*) AS n FROM findings_v WHERE NOT {ROLLUP} GROUP BY ALL), d AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day), s AS (SELECT DISTINCT severity FROM c) SELECT d.day, s.severity, coalesce(n, 0) AS n FROM d CROSS JOIN s LEFT JOIN c USING (day, severity)")
 report("coverage", reports.coverage, ", t AS (FROM (VALUES ('Beacon', 'T1071'), ('Strobe', 'T1071'), ('Long Connection', 'T1071'), ('HTTP Beacon', 'T1071.001'), ('Data Exfiltration', 'T1048'), ('C2 Port', 'T1571'), ('DNS Tunneling', 'T1071.004'), ('DNS Tunneling', 'T1048'), ('Malicious JA3', 'T1573')) t(type, technique)), m AS (FROM (VALUES ('T1071', 'Application Layer Protocol', 'Command and Control'), ('T1071.001', 'Application Layer Protocol: Web Protocols', 'Command and Control'), ('T1071.004', 'Application Layer Protocol: DNS', 'Command and Control'), ('T1048', 'Exfiltration Over Alternative Protocol', 'Exfiltration'), ('T1571', 'Non-Standard Port', 'Command and Control'), ('T1573', 'Encrypted Channel', 'Command and Control')) m(technique, name, tactic)) SELECT technique, name, tactic, count(*) AS n, array_to_string(list_sort(list_distinct(list(type))), ', ') AS types FROM findings_v JOIN t USING (type) JOIN m USING (technique) GROUP BY technique, name, tactic")
 report("unmapped", reports.unmapped, " SELECT DISTINCT type FROM findings_v WHERE type = 'Host Risk Score'")
-report("activity", lambda f: reports.activity(f, "2024-01-20 00:00:00"), " SELECT type, count(*) FILTER (timestamp > '2024-01-13 00:00:00' AND timestamp <= '2024-01-20 00:00:00') AS last7, count(*) FILTER (timestamp > '2024-01-06 00:00:00' AND timestamp <= '2024-01-13 00:00:00') AS prior7, count(*) AS total, count(*) FILTER (timestamp > '2024-01-13 00:00:00' AND timestamp <= '2024-01-20 00:00:00') = 0 AND count(*) FILTER (timestamp > '2024-01-06 00:00:00' AND timestamp <= '2024-01-13 00:00:00') > 0 AS dropped FROM findings_v GROUP BY type")
+report("activity", lambda f: reports.activity(f, "2024-01-20 00:00:00"), f" SELECT type, count(*) FILTER (detected_at >= '2024-01-13 00:00:00') AS last7, count(*) FILTER (detected_at >= '2024-01-06 00:00:00' AND detected_at < '2024-01-13 00:00:00') AS prior7, count(*) AS total, count(*) FILTER (detected_at >= '2024-01-13 00:00:00') = 0 AND count(*) FILTER (detected_at >= '2024-01-06 00:00:00' AND detected_at < '2024-01-13 00:00:00') > 0 AS dropped FROM findings_v WHERE NOT {ROLLUP} GROUP BY type")
 report("unseen", lambda f: reports.unseen(f, "2024-01-20 00:00:00"), f" SELECT count(*) FILTER (is_new) AS new, count(*) FILTER (detected_at > '2024-01-20 00:00:00' AND NOT {ROLLUP}) AS unseen FROM findings_v")
 report("census", lambda f: reports.census(f, ("type", "severity", "service")), " SELECT type, severity, service, count(*) AS n, round(avg(score), 1) AS avg_score FROM findings_v GROUP BY ALL")
 report("graph_nodes", lambda f: reports.graph(f)[0].drop("marked"), f", e AS (SELECT src_ip AS host, {RANK} AS r FROM findings_v WHERE NOT {ROLLUP} UNION ALL SELECT dst_ip, {RANK} FROM findings_v WHERE NOT {ROLLUP}) SELECT host, count(*) AS n, CAST(min(r) AS INT) AS worst, {private('host')} AS internal FROM e GROUP BY host")
 report("graph_marked", lambda f: reports.graph(f)[0].filter("marked").select("host", "n"), f" SELECT host, count(*) AS n FROM (SELECT src_ip AS host, {RANK} AS r FROM findings_v WHERE NOT {ROLLUP} UNION ALL SELECT dst_ip, {RANK} FROM findings_v WHERE NOT {ROLLUP}) WHERE NOT {private('host')} GROUP BY host HAVING min(r) <= 1 ORDER BY min(r), n DESC, host LIMIT 1")
 report("graph_links", lambda f: reports.graph(f)[1].withColumn("weight", F.round("weight", 6)), f" SELECT src_ip, dst_ip, count(*) AS n, CAST(min({RANK}) AS INT) AS worst, round(least(8.0, 1 + log2(count(*))), 6) AS weight FROM findings_v WHERE NOT {ROLLUP} GROUP BY src_ip, dst_ip")
 report("graph_capped", lambda f: reports.capped(*reports.graph(f))[0].select("host", "degree"), f", l AS (SELECT DISTINCT src_ip, dst_ip FROM findings_v WHERE NOT {ROLLUP}), d AS (SELECT host, count(*) AS degree FROM (SELECT src_ip AS host FROM l UNION ALL SELECT dst_ip FROM l) GROUP BY host), c AS (SELECT host, count(*) AS n FROM (SELECT src_ip AS host FROM findings_v WHERE NOT {ROLLUP} UNION ALL SELECT dst_ip FROM findings_v WHERE NOT {ROLLUP}) GROUP BY host) SELECT host, degree FROM d JOIN c USING (host) ORDER BY degree DESC, n DESC, host LIMIT 200")
-report("notable", lambda f: reports.notable(f).select("id"), " SELECT id FROM findings_v WHERE is_new AND score >= 95 AND type <> 'Host Risk Score'")
+report("notable", lambda f: reports.notable(f).select("id"), " SELECT id FROM findings_v WHERE is_new AND score >= 95 AND type NOT IN ('Host Risk Score', 'Suspicious File Download', 'Off-Hours Transfer')")
 report("page", lambda f: reports.page(f, "severity", False, 10, 50).select("id"), f" SELECT id FROM findings_v ORDER BY {RANK}, id LIMIT 50 OFFSET 10")
-register("report_concern", lambda s, d: reports.concern(detect.fingerprint_prevalence(view(s, d, "ssl_v"))).select("fp", "concern"), " SELECT ja3 AS fp, CASE WHEN count(DISTINCT dst) <= 8 AND count(DISTINCT src) >= 2 THEN 'high' WHEN count(DISTINCT dst) <= 8 THEN 'medium' ELSE 'low' END AS concern FROM ssl_v GROUP BY ja3", ("ssl_v",))
-register("report_inventory", lambda s, d: reports.inventory(detect.fingerprint_prevalence(view(s, d, "ssl_v")), detect.fingerprint_list(detect.V.BAD_JA3, None, s)).select("fp", "label", "concern", "rank"), ", p AS (SELECT ja3 AS fp, CASE WHEN count(DISTINCT dst) <= 8 AND count(DISTINCT src) >= 2 THEN 'high' WHEN count(DISTINCT dst) <= 8 THEN 'medium' ELSE 'low' END AS concern FROM ssl_v GROUP BY ja3) SELECT fp, CASE WHEN fp = '72a589da586844d7f0818ce684948eea' THEN 'Cobalt Strike beacon' END AS label, concern, CAST(CASE WHEN fp = '72a589da586844d7f0818ce684948eea' THEN 0 WHEN concern = 'high' THEN 1 ELSE 2 END AS INT) AS rank FROM p WHERE fp = '72a589da586844d7f0818ce684948eea' OR concern <> 'low'", ("ssl_v",))
+
+
+def both_kinds(s: SparkSession, d: str) -> DataFrame:
+    """TLS records with a JA4 that is rarer than the JA3."""
+    return view(s, d, "ssl_v").withColumn("ja4", F.concat(F.lit("t13_"), F.substring("uid", 2, 2), F.lit("_"), F.substring("ja3", 1, 3)))
+
+
+_CONCERN = """, q AS (SELECT src, dst, 'ja3' AS kind, lower(ja3) AS fp FROM ssl_v UNION ALL SELECT src, dst, 'ja4', lower(concat('t13_', uid[2:3], '_', ja3[:3])) FROM ssl_v),
+p AS (SELECT kind, fp, count(*) AS conns, count(DISTINCT src) AS srcs, count(DISTINCT dst) AS dsts FROM q WHERE fp <> '' GROUP BY ALL),
+c AS (SELECT *, CASE WHEN dsts > 8 THEN 'none' WHEN kind = 'ja4' AND srcs >= 2 THEN 'critical' WHEN kind = 'ja4' THEN 'high' WHEN srcs >= 2 THEN 'medium' ELSE 'low' END AS concern FROM p)"""
+register("report_concern", lambda s, d: reports.concern(detect.fingerprint_prevalence(both_kinds(s, d))).select("kind", "fp", "concern"), f"{_CONCERN} SELECT kind, fp, concern FROM c", ("ssl_v",))
+register(
+    "report_inventory",
+    lambda s, d: reports.inventory(
+        detect.fingerprint_prevalence(both_kinds(s, d)),
+        detect.fingerprint_list(detect.V.BAD_JA3, None, s).withColumn("kind", F.lit("ja3")),
+        both_kinds(s, d).filter("port = 4444 AND length(src) > 8").select(F.lit("ja4").alias("kind"), F.col("ja4").alias("fp")).distinct(),
+    ).select("kind", "fp", "label", "concern", "rank"),
+    f"""{_CONCERN}, good AS (SELECT DISTINCT lower(concat('t13_', uid[2:3], '_', ja3[:3])) AS fp FROM ssl_v WHERE port = 4444 AND length(src) > 8),
+k AS (SELECT kind, fp, CASE WHEN kind = 'ja3' AND fp = '72a589da586844d7f0818ce684948eea' THEN 'Cobalt Strike beacon' END AS label, concern FROM c)
+SELECT kind, fp, label, CASE WHEN label IS NOT NULL THEN 'critical' ELSE concern END AS concern, CAST(CASE WHEN label IS NOT NULL OR concern = 'critical' THEN 0 WHEN concern = 'high' THEN 1 ELSE 2 END AS INT) AS rank
+FROM k WHERE label IS NOT NULL OR (concern IN ('critical', 'high', 'medium') AND NOT (kind = 'ja4' AND fp IN (FROM good)))""",
+    ("ssl_v",),
+)
 register("report_byte_bins", lambda s, d: reports.byte_bins(conn(s, d), ["sensor", "dst"]), """, s AS (SELECT sensor, dst, min(ts) AS t0, max(ts) AS t1 FROM conn_v GROUP BY ALL)
 SELECT sensor, dst, CAST(CASE WHEN t1 > t0 THEN least(23, floor((ts - t0) / (t1 - t0) * 24)) ELSE 0 END AS INT) AS bin, sum(orig_bytes) AS sent, sum(resp_bytes) AS received, sum(orig_bytes) > 2 * sum(resp_bytes) AS upload FROM conn_v JOIN s USING (sensor, dst) GROUP BY ALL""", ("conn_v",))
 register(
@@ -608,8 +739,8 @@ wide(
     lambda f: reports.trend(f, "family"),
     f", c AS (SELECT CAST(timestamp[:10] AS DATE) AS day, {_FAMILY} AS family, count(*) AS n FROM wide_v GROUP BY ALL), d AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day), s AS (SELECT DISTINCT family FROM c) SELECT d.day, s.family, coalesce(n, 0) AS n FROM d CROSS JOIN s LEFT JOIN c USING (day, family)",
 )
-wide("report_tab_counts", reports.tab_counts, f" SELECT count(*) FILTER (status = '') AS open, count(*) FILTER (status = 'acknowledged') AS acknowledged, count(*) FILTER (status = 'escalated') AS escalated, count(*) FILTER (status = 'dismissed') AS dismissed, count(*) FILTER (ioc_match) AS ioc, count(*) AS total, (SELECT count(*) FROM (SELECT dst_ip, dst_port FROM wide_v GROUP BY ALL HAVING count(DISTINCT src_ip) >= 2)) AS campaigns, (SELECT count(DISTINCT src_ip) FROM wide_v WHERE {private('src_ip')}) AS hosts FROM wide_v")
-wide("report_inventory_counts", lambda f: reports.inventory_counts(f.select(F.col("ja3").alias("fp")).distinct().withColumn("rank", F.lit(1)), f), " SELECT ja3 AS fp, 1 AS rank, count(*) AS findings FROM wide_v GROUP BY ja3")
+wide("report_tab_counts", reports.tab_counts, f" SELECT count(*) FILTER (status = '') AS open, count(*) FILTER (status = 'acknowledged') AS acknowledged, count(*) FILTER (status = 'escalated') AS escalated, count(*) FILTER (status = 'dismissed') AS dismissed, count(*) FILTER (ioc_match) AS ioc, count(*) AS total, (SELECT count(*) FROM (SELECT dst_ip, dst_port FROM wide_v WHERE dst_ip NOT IN ('', '(network)') GROUP BY ALL HAVING count(DISTINCT src_ip) >= 2)) AS campaigns, (SELECT count(DISTINCT src_ip) FROM wide_v WHERE {private('src_ip')}) AS hosts FROM wide_v")
+wide("report_inventory_counts", lambda f: reports.inventory_counts(f.select(F.lit("ja3").alias("kind"), F.col("ja3").alias("fp")).distinct().withColumns({"rank": F.lit(1), "srcs": F.lit(1), "conns": F.lit(1)}), f).select("fp", "rank", "findings"), " SELECT ja3 AS fp, 1 AS rank, count(*) AS findings FROM wide_v GROUP BY ja3")
 wide(
     "report_beacon_history",
     lambda f: reports.beacon_history(f.groupBy("src_ip", "dst_ip", F.substring("timestamp", 1, 10).alias("day")).agg(F.max("score").alias("max_score")), "2024-01-20", 10),
@@ -733,14 +864,6 @@ register(
     f"""{finding_sql("'Malicious JA4'", "'CRITICAL'", '95')}, 'JA4: t13d201100_2b729b4bf6f3_9e7b989ebec8 - IcedID loader' AS detail FROM {first_sql("(SELECT * FROM ssl_v WHERE ja3 = md5('5'))", 'src, dst')}""",
     ("ssl_v",),
 )
-register(
-    "roll_staged_reasons",
-    lambda s, d: rollups.multi_stage(conn(s, d).withColumn("dst", F.concat(F.lit("203.0.113."), (F.substring("uid", 2, 12).cast("long") % 4000).cast("string"))), s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("203.0.113."), F.col("s_suppkey").cast("string")).alias("dst"), F.lit("hit").alias("reason"), F.lit(1).alias("rank")), hours=1000).select("sensor", "dst", "n_sources", "reason", "score", "severity"),
-    """, o AS (SELECT sensor, concat('203.0.113.', CAST(uid[2:] AS BIGINT) % 4000) AS dst, src, min(ts) AS onset FROM conn_v GROUP BY ALL),
-g AS (SELECT sensor, dst, count(*) AS n_sources FROM o GROUP BY sensor, dst HAVING count(*) BETWEEN 2 AND 6 AND max(onset) - min(onset) <= 3600000), r AS (SELECT DISTINCT concat('203.0.113.', s_suppkey) AS dst FROM supplier)
-SELECT sensor, g.dst, n_sources, CASE WHEN r.dst IS NOT NULL THEN 'hit' END AS reason, CASE WHEN r.dst IS NOT NULL THEN 96 ELSE 80 END AS score, CASE WHEN r.dst IS NOT NULL THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM g LEFT JOIN r ON g.dst = r.dst""",
-    ("conn_v",),
-)
 register(
     "join_without_strobes",
     lambda s, d: beacon.without_strobes(detect.egress(conn(s, d)).groupBy("sensor", "src", "dst").agg(F.count("*").alias("n")), detect.strobe_keys(conn(s, d), CFG)),
@@ -788,3 +911,44 @@ register("src_attributes", lambda s, d: lists.attributes(dumps(s, d), "m").selec
 register("src_patterns", lambda s, d: lists.patterns(dumps(s, d), "o").select("value", "kind", "feed"), "SELECT DISTINCT concat('host', s_suppkey, '.example.com') AS value, 'domain' AS kind, 'o' AS feed FROM supplier WHERE s_suppkey % 7 <> 0")
 register("scl_durations", lambda s, d: conn(s, d).select("uid", E.human_duration("duration").alias("text"), E.first_address(F.concat(F.lit('["'), "dst", F.lit('","x"]'))).alias("address"), E.is_ip("dst").alias("ip")), """ SELECT uid, CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm') WHEN s < 86400 THEN concat(s // 3600, 'h', s % 3600 // 60, 'm') ELSE concat(s // 86400, 'd', s % 86400 // 3600, 'h') END AS text, dst AS address, true AS ip
 FROM (SELECT uid, dst, CAST(trunc(duration) AS BIGINT) AS s FROM conn_v)""", ("conn_v",))
+
+
+# Names by a suffix list, wildcards by their pieces
+
+
+def suffix_list(s: SparkSession, d: str) -> DataFrame:
+    """A suffix list with plain rules, a wildcard and exemptions, of the kinds of events that occur."""
+    kinds = s.read.parquet(f"{d}/events.parquet").select("event_type").distinct()
+    lines = F.array(F.concat("event_type", F.lit(".example.org")), F.when(F.col("event_type") < "d", F.concat(F.lit("!"), "event_type", F.lit(".co.uk"))), F.lit("*.co.uk"), F.lit("uk // comment"), F.lit("xyz"), F.lit("// none"), F.lit(" badzone.xyz "))
+    return names.suffix_rules(kinds.select(F.explode(F.array_compact(lines)).alias("value")).distinct())
+
+
+_SUFFIX_NAMES = """(SELECT *, CASE WHEN ends_with(query, '.' || apex) THEN query[: len(query) - len(apex) - 1] END AS sub FROM (SELECT *, array_to_string(CASE
+    WHEN l[-2:] = ['co', 'uk'] AND l[-3] < 'd' THEN l[-3:] WHEN l[-2:] = ['co', 'uk'] AND len(l) >= 4 THEN l[-4:] WHEN l[-2:] = ['co', 'uk'] THEN l[-2:]
+    WHEN l[-2:] = ['example', 'org'] AND len(l) >= 4 THEN l[-4:] WHEN l[-2:] = ['badzone', 'xyz'] AND len(l) >= 3 THEN l[-3:] ELSE l[-2:] END, '.') AS apex
+  FROM (SELECT *, string_split(query, '.') AS l FROM dns_v)))"""
+register(
+    "scl_suffixes",
+    lambda s, d: detect.dns_rows(view(s, d, "dns_v"), suffix_list(s, d)).select("query", "apex", "sub").distinct(),
+    f" SELECT DISTINCT query, apex, sub FROM {_SUFFIX_NAMES}",
+    ("dns_v",),
+)
+register(
+    "det_resolvers_by_suffix",
+    lambda s, d: detect.resolvers(view(s, d, "dns_v"), suffixes=suffix_list(s, d)).select("sensor", "src", "queries", "apexes"),
+    f" SELECT sensor, src, count(*) AS queries, count(DISTINCT apex) AS apexes FROM {_SUFFIX_NAMES} GROUP BY ALL",
+    ("dns_v",),
+)
+register(
+    "join_wildcards",
+    lambda s, d: matching.matches(
+        view(s, d, "dns_v"), "query",
+        s.read.parquet(f"{d}/customer.parquet").select(F.explode(F.array(
+            F.concat(F.lit("*"), F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 2), F.lit("?"), F.substring(F.md5(F.col("c_custkey").cast("string")), 4, 1), F.lit("*.tun.*")),
+            F.concat(F.lit("H"), (F.col("c_custkey") % 100).cast("string"), F.lit(".*.?o.uk")), F.lit("*.badzone.???"),
+        )).alias("value")).distinct(),
+    ),
+    """, g AS (SELECT DISTINCT unnest([concat('*', md5(CAST(c_custkey AS VARCHAR))[:2], '?', md5(CAST(c_custkey AS VARCHAR))[4], '*.tun.*'), concat('H', c_custkey % 100, '.*.?o.uk'), '*.badzone.???']) AS value FROM customer)
+SELECT DISTINCT query, value FROM (SELECT DISTINCT query FROM dns_v) JOIN g ON query GLOB lower(value)""",
+    ("dns_v",),
+)

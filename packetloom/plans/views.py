@@ -94,6 +94,14 @@ VIEWS = {
   concat('/u', {{K}} % 4) AS uri, CASE {{K}} % 7 WHEN 0 THEN 'ssl' WHEN 3 THEN 'rfb' ELSE 'http' END AS service,
   CAST(floor(value * 1000) AS DOUBLE) AS orig_bytes, CAST(({{K}} % 4) * 10 AS DOUBLE) AS resp_bytes, {{TS}} AS at""",
     ),
+    "staged_v": (
+        "events",
+        """event_id AS id, CASE {K} % 10 WHEN 0 THEN 'HTTP Beacon' WHEN 1 THEN 'DNS Beacon' WHEN 2 THEN 'Port-Hopping Beacon' WHEN 3 THEN 'Lateral Movement'
+    WHEN 4 THEN CASE WHEN {K} % 20 = 4 THEN 'TI Hit (IP)' ELSE 'Malicious JA3' END WHEN 5 THEN 'Strobe' ELSE 'Beacon' END AS type,
+  CAST({K} AS INT) AS score, concat('s', user_id % 2) AS sensor, concat('10.0.0.', user_id % 12) AS src_ip,
+  CASE WHEN {K} % 10 = 3 THEN concat('10.0.0.', {K} % 12) ELSE concat('203.0.', CAST(floor(event_id / 700) AS INT) % 250, '.', event_id % 200) END AS dst_ip,
+  '443' AS dst_port, {TEXT} AS timestamp, ({K} % 3 = 0) AS is_new, '' AS hostname, '' AS uri""",
+    ),
 }
 
 

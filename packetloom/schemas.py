@@ -20,7 +20,7 @@ LOGS = {
         "not_before": ("certificate.not_valid_before", "string"),
         "not_after": ("certificate.not_valid_after", "string"),
     },
-    "files": {"ts": ("ts", "double"), "fuid": ("fuid", "string"), "tx": ("tx_hosts", "set"), "rx": ("rx_hosts", "set")}
+    "files": {"ts": ("ts", "double"), "fuid": ("fuid", "string"), "tx": ("tx_hosts", "set"), "rx": ("rx_hosts", "set"), "src": ("id.orig_h", "string"), "dst": ("id.resp_h", "string")}
     | {c: (c, "string") for c in ("mime_type", "filename", "md5", "sha1", "sha256")},
     "notice": {"ts": ("ts", "double"), "uid": ("uid", "string"), "src": ("id.orig_h", "string"), "dst": ("id.resp_h", "string"), "note": ("note", "string"), "msg": ("msg", "string")},
 }

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.functions import exprs as E
-from packetloom.operators.matching import cidr_lengths, entry_keys, indicator_hits, typed, value_keys
+from packetloom.operators.matching import asked, fits, indicator_hits, listed
 
 
 def arriving(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -25,15 +25,14 @@ def with_time(stream: DataFrame, ts: str = "ts", late: str = "5 minutes") -> Dat
 
 
 def matched(stream: DataFrame, indicators: DataFrame, dst: str = "dst") -> DataFrame:
-    """New records whose destination is an indicator, an exact one or a range (STR-2): one stream-static join by keys.
+    """New records whose destination is an indicator, an exact one, a range or a wildcard (STR-2): one stream-static join by keys.
 
-    A record asks by its own spelling and by its prefixes of the lengths that occur; the static side follows
-    its statistics. A record that several entries of a feed match comes once for each.
+    A record asks by its own spelling, by its prefixes of the lengths that occur and by its pieces; the
+    static side follows its statistics. A record that several entries of a feed match comes once for each.
     """
-    listed = typed(indicators.select("value", "feed", "score"))
-    lengths = cidr_lengths(listed.filter(F.col("_kind") == "cidr"))
-    entries = entry_keys(listed, bool(lengths)).select("_p", "feed", "score")
-    return stream.withColumn("_p", F.explode(value_keys(dst, lengths))).join(entries, "_p").drop("_p")
+    ready = listed(indicators.select("value", "feed", "score"))
+    entries = ready.keys.select("_p", "_like", "feed", "score")
+    return stream.withColumn("_p", F.explode(asked(dst, ready))).join(entries, "_p").filter(fits(dst)).drop("_p", "_like")
 
 
 def first_seen(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
