@@ -337,9 +337,23 @@ def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends[min(words, len(found)) - 1 :].tolist())], np.uint64))
 
 
-def set_node(grams: np.ndarray) -> int:
-    """The 63-bit name of a set of shingles: equal sets are one node."""
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) >> 1
+def set_name(grams: np.ndarray) -> tuple[int, int]:
+    """The 128-bit name of a set of shingles, as a node of 63 bits and a check of 64: equal sets have equal names."""
+    whole = xxhash.xxh3_128_intdigest(grams.tobytes())
+    check = whole & ((1 << 64) - 1)
+    return whole >> 65, check - (1 << 64) if check >> 63 else check
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """Rows (node, check, ...) in which no two names share a node: of those that do, all but the least check get another one."""
+    doubled = rows.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least < most").select("node", "least")
+    doubled = written(doubled, "doubled")
+    if not doubled.isEmpty():
+        other = F.xxhash64("node", "check").bitwiseAND(F.lit((1 << 63) - 1))
+        rows = rows.join(sized(doubled), "node", "left").withColumn("node", F.when(F.col("check") != F.col("least"), other).otherwise(F.col("node"))).drop("least")
+        rows = written(rows, "numbered")
+    freed(doubled)
+    return rows
 
 
 def set_keys(grams: np.ndarray, similarity: float) -> list[tuple[bool, np.ndarray]]:
@@ -375,16 +389,29 @@ def set_keys(grams: np.ndarray, similarity: float) -> list[tuple[bool, np.ndarra
     return out
 
 
-#: Words of a set's parity sketch.
+#: Words of a set's parity sketch, the least of a wide one.
 SKETCH = 16
 
 
-def parities(grams: np.ndarray) -> np.ndarray:
+def parities(grams: np.ndarray, words: int = SKETCH) -> np.ndarray:
     """How many shingles fall to each bit, odd or even: two sets differ in at least as many shingles as sketches in bits."""
-    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    odd = np.bincount((grams >> np.uint64(38)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def wide_parities(grams: np.ndarray) -> np.ndarray:
+    """A sketch with twice as many bits as shingles at least, so that it doesn't fill up: a power of two words, which fold onto fewer."""
+    return parities(grams, max(SKETCH, 1 << max(0, (len(grams) - 1) // 32).bit_length()))
+
+
+def folded(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sketches of one key as rows of the least width among them; bit i of a wide one falls to bit i modulo the width."""
+    width = int(sizes.min())
+    if int(sizes.max()) == width:
+        return flat[starts[0] : starts[0] + width * len(sizes)].reshape(-1, width)
+    return np.stack([np.bitwise_xor.reduce(flat[a : a + n].reshape(-1, width)) for a, n in zip(starts.tolist(), sizes.tolist())])
+
+
 def _mixed(x: np.ndarray, part: np.ndarray, level: int) -> np.ndarray:
     x = (x ^ ((part + np.uint64(level << 40)) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
     return (x ^ (x >> np.uint64(32))).view(np.int64)
@@ -400,11 +427,11 @@ def sharing(rows: DataFrame, similarity: float, words: int) -> DataFrame:
         for batch in batches:
             seen: set[int] = set()
             keys, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for text in batch.column("text").to_pylist():
-                grams = shingles(text, words)
-                if (node := set_node(grams)) in seen:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
+                if node in seen:
                     continue
                 seen.add(node)
+                grams = shingles(text.as_py(), words)
                 for own, made in set_keys(grams, similarity):
                     keys.append(made)
                     who.append(np.full(len(made), np.int64(node) | (_OWN if own else np.int64(0))))
@@ -432,41 +459,45 @@ def sharing(rows: DataFrame, similarity: float, words: int) -> DataFrame:
             columns = [key[take], who[take] & ~_OWN, who[take] < 0, head[take] & ~_OWN]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "own", "head"])
 
-    dealt = rows.select("text").mapInArrow(keyed, "key long, who long").repartition("key").sortWithinPartitions("key", "who")
+    dealt = rows.select("node", "text").mapInArrow(keyed, "key long, who long").repartition("key").sortWithinPartitions("key", "who")
     return dealt.mapInArrow(met, "key long, node long, own boolean, head long")
 
 
 def unjoined(members: DataFrame, sets: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
     """(u, v) of all members (key, node, own, label) of a key that have different labels, one of them in its own class.
 
-    Pairs whose sketches and sizes (in ``sets``) already show that they are not similar are left out.
+    Pairs whose wide sketches and sizes (in ``sets``) already show that they are not similar are left out; keys
+    with the same members count once.
     """
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    mixed = written(members.join(mixed.select("key", "n"), "key").join(sets.select("node", "size", "sketch"), "node"), "mixed")
+    same = [F.bit_xor(F.xxhash64("node", "own")), F.bit_xor(F.xxhash64("own", "node", F.lit(1)))]
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), same[0].alias("a"), same[1].alias("b")).filter("lo < hi")
+    mixed = mixed.groupBy("n", "a", "b").agg(F.min("key").alias("key"))  # keys with the same members give the same pairs
+    mixed = written(members.join(mixed.select("key", "n"), "key").join(sets.select("node", "size", "wide"), "node"), "mixed")
     few = mixed.filter(F.col("n") <= hot).drop("n").withColumn("block", F.lit(0).cast("long"))
     dealt = few.unionByName(_in_blocks(mixed.filter(F.col("n") > hot), hot))
 
-    def pairs(key: np.ndarray, block: np.ndarray, label: np.ndarray, node: np.ndarray, own: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, block: np.ndarray, label: np.ndarray, node: np.ndarray, own: np.ndarray, size: np.ndarray, width: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
         run = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
         group = run | np.concatenate([[True], label[1:] != label[:-1]])
-        ends = np.append(np.flatnonzero(run)[1:], len(key))[np.cumsum(run) - 1]
+        at_word = np.cumsum(width) - width
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        starts = np.flatnonzero(group)
-        for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
-            if to == (end := int(ends[at])):
-                continue
-            step = max(1, (1 << 16) // (end - to))
-            for low in range(at, to, step):
-                i = np.repeat(np.arange(low, min(to, low + step)), end - to)
-                j = np.tile(np.arange(to, end), min(to, low + step) - low)
-                ok = (own[i] | own[j]) & (size[i] >= similarity * size[j] - 1e-9) & (size[j] >= similarity * size[i] - 1e-9)
-                i, j = i[ok], j[ok]
-                ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-9
-                us.append(node[i[ok]])
-                vs.append(node[j[ok]])
-                if sum(map(len, us)) > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
-                    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        firsts = np.flatnonzero(run)
+        for first, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(key)]):
+            sketch = folded(flat, at_word[first:end], width[first:end])
+            starts = (np.flatnonzero(group[first:end]) + first).tolist()
+            for at, to in zip(starts, starts[1:]):  # the last label has none behind it
+                step = max(1, (1 << 20) // (sketch.shape[1] * (end - to)))
+                for low in range(at, to, step):
+                    i = np.repeat(np.arange(low, min(to, low + step)), end - to)
+                    j = np.tile(np.arange(to, end), min(to, low + step) - low)
+                    ok = (own[i] | own[j]) & (size[i] >= similarity * size[j] - 1e-9) & (size[j] >= similarity * size[i] - 1e-9)
+                    i, j = i[ok], j[ok]
+                    ok = np.bitwise_count(sketch[i - first] ^ sketch[j - first]).sum(1) <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-9
+                    us.append(node[i[ok]])
+                    vs.append(node[j[ok]])
+                    if sum(map(len, us)) > 1 << 18:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
+                        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,17 +506,20 @@ def unjoined(members: DataFrame, sets: DataFrame, similarity: float, hot: int =
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names[:-1]]
             if not len(now[0]):
                 continue
-            now.append(batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH))
+            width = np.diff(batch.column("wide").offsets.to_numpy()).astype(np.int64)
+            flat = batch.column("wide").flatten().to_numpy().view(np.uint64)
             last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
             if last.all() and (not held or held[-1][0][0] == now[0][0] and held[-1][1][0] == now[1][0]):
-                held.append(now)
+                held.append([*now, width, flat])
                 continue
-            yield from pairs(*(np.concatenate(x) for x in zip(*held, [x[~last] for x in now])))
-            held = [[x[last] for x in now]]
+            # Rows are sorted, so those of the last key stand at the end.
+            cut, words = int(np.argmax(last)), int(width[~last].sum())
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, [*(x[:cut] for x in now), width[:cut], flat[:words]])))
+            held = [[*(x[cut:] for x in now), width[cut:], flat[words:]]]
         if held:
             yield from pairs(*(np.concatenate(x) for x in zip(*held)))
 
-    columns = ["key", "block", "label", "node", "own", "size", "sketch"]
+    columns = ["key", "block", "label", "node", "own", "size", "wide"]
     sorted_ = dealt.select(columns).repartition("key", "block").sortWithinPartitions("key", "block", "label", "node")
     found = sorted_.mapInArrow(run, "u long, v long")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -508,14 +542,20 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common / (F.size("a") + F.size("b") - common) >= similarity).select("u", "v")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int = HOT) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int = HOT, bits: int = 63) -> DataFrame:
     """The documents without near copies: of each group the smallest doc_id stays (nulls last), in one row.
 
     Two documents are linked where the sets of their word shingles have at least this Jaccard similarity;
     a group is what links connect. The generalised pigeonhole is applied to the sets themselves instead of
     to bits that are drawn from them, so all similar sets share a key (``set_keys``). First each set is
     compared with the head of its keys; then those under one key that are not joined yet are compared
-    with one another. Nothing goes without a comparison of whole sets, but equal ones.
+    with one another. Nothing goes without a comparison of whole sets, but equal ones: sets are equal where
+    their 128-bit names are.
+
+    Cases: null, empty and white texts have the empty set and are one group, of which one row stays; fewer words
+    than a shingle make one shingle; texts of any length are compared whole; of rows that repeat a doc_id the first in
+    the table stays; rows with a null doc_id stay only where their group has no other; an empty table gives an
+    empty table.
 
     Rows travel as one column and are written with their numbers first, so extra columns may have any
     names, and numbers don't depend on how ``docs`` was made.
@@ -523,19 +563,20 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [set_node(shingles(t, words)) for t in batch.column("row").field(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.int64())], names=["row", "node"])
+            made = [set_name(shingles(t.as_py(), words)) for t in batch.column("row").field(at)]
+            nodes, checks = zip(*made) if made else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([n >> 63 - bits for n in nodes], pa.int64()), pa.array(checks, pa.int64())], names=["row", "node", "check"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            lists = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], names=["node", "grams", "size", "sketch"])
+            lists = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array([wide_parities(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], names=["node", "grams", "size", "sketch", "wide"])
 
     at = docs.columns.index("text")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    schema = StructType([StructField("row", whole.schema["row"].dataType), StructField("node", LongType())])
-    rows = written(whole.mapInArrow(named, schema).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    schema = StructType([StructField("row", whole.schema["row"].dataType), StructField("node", LongType()), StructField("check", LongType())])
+    rows = told_apart(written(whole.mapInArrow(named, schema).withColumn("rid", F.monotonically_increasing_id()), "numbered"))
     doc = F.col("row.doc_id").cast("long")
     order = F.struct(doc.isNull().alias("none"), doc.alias("doc_id"), "rid")
     nodes = written(rows.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "sets")
@@ -546,7 +587,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, hot: int
     star = written(shared.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct(), "stars")
     ends = written(star.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select(F.col("first.rid").alias("rid")), "ends")
     sets = rows.select("rid", "node", F.col("row.text").alias("text")).join(sized(ends), "rid", "left_semi").select("node", "text")
-    sets = written(sets.mapInArrow(gathered, "node long, grams array<long>, size long, sketch array<long>"), "shingles")
+    sets = written(sets.mapInArrow(gathered, "node long, grams array<long>, size long, sketch array<long>, wide array<long>"), "shingles")
     near = written(similar(star, sets, similarity), "near")
     label = written(components(near), "joined")
     members = shared.select("key", "node", "own").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))

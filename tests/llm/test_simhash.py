@@ -269,3 +269,63 @@ def test_similar_sets_share_a_key():
             assert (n - gone) / (n + more) >= 0.8
             own, every = ([set(np.concatenate([k for o, k in simhash.set_keys(x, 0.8) if o or most]).tolist()) for x in (a, b)] for most in (0, 1))
             assert own[0] & every[1] or own[1] & every[0]
+
+
+def template_pages(draw, n, size, own):
+    """Pages of one template of ``size`` words, in each of which a block of its own takes the place of ``own`` of them."""
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(size)]
+    return [" ".join([*base[:at], *(word() for _ in range(own)), *base[at + own :]]) for at in (draw.randrange(size - own) for _ in range(n))]
+
+
+def put_out(spark, sets, similarity=0.8):
+    """The pairs that ``unjoined`` puts out for sets that are all under their keys and joined with none."""
+    rows, held = [], []
+    for node, g in enumerate(sets):
+        for own, keys in simhash.set_keys(g, similarity):
+            rows += [(int(k), node, own, node) for k in keys]
+        held.append((node, len(g), [int(x) for x in simhash.wide_parities(g)]))
+    members = spark.createDataFrame(rows, "key long, node long, own boolean, label long")
+    return {(r.u, r.v) for r in simhash.unjoined(members, spark.createDataFrame(held, "node long, size long, wide array<long>"), similarity).collect()}
+
+
+@pytest.mark.parametrize("size", [500, 1000, 2000, 4000, 8000])
+def test_pages_of_a_template_that_are_not_similar_put_out_no_pairs(spark, size):
+    pages = [grams_of(p) for p in template_pages(random.Random(size), 20, size, size * 18 // 100)]
+    alike = [jaccard(set(a.tolist()), set(b.tolist())) for a, b in zip(pages, pages[1:])]
+    assert max(alike) < 0.72 and put_out(spark, pages) == set()
+
+
+def grams_of(text):
+    return simhash.shingles(text, 5)
+
+
+def test_output_grows_with_the_members_of_a_template_of_long_pages(spark):
+    pages = template_pages(random.Random(5), 200, 8000, 1400)
+    assert len(put_out(spark, [grams_of(p) for p in pages])) <= 200
+
+
+def test_wide_sketches_fold_and_bound_the_difference():
+    draw = np.random.default_rng(2)
+    for n in (10, 700, 3000, 20_000):
+        a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 8 :], draw.integers(0, 1 << 63, n // 3).astype(np.uint64)]))
+        x, y = (simhash.wide_parities(g).view(np.uint64) for g in (a, b))
+        assert 64 * len(x) >= 2 * n
+        sizes = np.array([len(x), len(y)])
+        rows = simhash.folded(np.concatenate([x, y]), np.array([0, len(x)]), sizes)
+        assert rows.shape == (2, sizes.min()) and np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert (rows[0].view(np.int64) == simhash.parities(a, rows.shape[1])).all()
+
+
+@pytest.mark.parametrize("size,n", [(400, 120), (3000, 60)])
+def test_borderline_pages_of_a_template_are_found_as_by_all_pairs(spark, size, n):
+    draw = random.Random(size)
+    pages = [p for own in (7, 9, 10, 11, 14) for p in template_pages(random.Random(1), n // 5, size, size * own // 100)]
+    pages += draw.sample(pages, 5)
+    assert kept_ids(spark, pages) == plain_ids(pages)
+
+
+def test_names_that_share_a_node_are_told_apart(spark):
+    texts = [f"text number {i // 2} of a set with a few more words {i // 2}" for i in range(60)]
+    assert kept_ids(spark, texts, bits=3) == plain_ids(texts) and len(plain_ids(texts)) == 30
