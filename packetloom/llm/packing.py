@@ -7,8 +7,9 @@ the lightest of the other, until one partition of near-equal windows is left.
 
 The window count starts at the least that can hold the block's tokens and rises whenever differencing
 leaves a window above capacity, by the windows that what is over would fill, until every window fits.
-Where cuts are allowed, the lightest windows are then cut up to fill the others, and what is left over
-makes windows whose sizes are powers of two (which need no padding), so no window is padded.
+Where cuts are allowed, the lightest windows are then cut up to fill the others, and what is left over goes
+on to the next block; at the end of the partition it makes windows whose sizes are powers of two (which need
+no padding), so no window is padded and a task leaves eleven at most that aren't full.
 
 A task packs its own partition, block by block, in bounded memory: nothing is shuffled and no
 window depends on another task. A task that runs again gives the same rows.
@@ -34,7 +35,7 @@ from packetloom.llm import bpe
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Rests that are partitioned together.
-BLOCK = 512
+BLOCK = 1024
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -118,16 +119,21 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, bloc
         rests: list[tuple[int | None, int, bytes, int]] = []  # doc_id, start, ids, tokens of the document
         out: list[tuple] = []
 
-        def flush() -> None:
+        def flush(last: bool) -> None:
             nonlocal sequence
+            over: list[tuple[int | None, int, bytes, int]] = []
             for window in pack_block([len(r[2]) // 4 for r in rests], capacity):
-                offset = 0
+                full, offset = last or sum(p[2] for p in window) == capacity, 0
                 for i, start, length in window:
                     doc, base, ids, total = rests[i]
-                    out.append((doc, base + start, length, crc32(ids[4 * start : 4 * (start + length)]), total, sequence, offset))
-                    offset += length
-                sequence += 1
-            rests.clear()
+                    piece = ids[4 * start : 4 * (start + length)]
+                    if full:
+                        out.append((doc, base + start, length, crc32(piece), total, sequence, offset))
+                        offset += length
+                    else:
+                        over.append((doc, base + start, piece, total))
+                sequence += full
+            rests[:] = over
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -142,10 +148,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, bloc
                         start = total // capacity * capacity
                         rests.append((doc, start, ids[4 * start :], total))
                     if len(rests) >= block:
-                        flush()
+                        flush(False)
                 yield rows(out)
                 out.clear()
-        flush()
+        flush(True)
         yield rows(out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

@@ -85,3 +85,13 @@ def test_pieces_of_documents(docs):
 def test_odd_rows(odd, none):
     check(odd)
     assert packing.pack(none, PATH).count() == 0
+
+
+def test_blocks_hand_on_what_does_not_fill_a_window(docs):
+    from pyspark.sql import functions as F
+
+    one = docs.coalesce(1)
+    short = packing.pack(one, PATH, block=16).groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n < 2048").collect()
+    assert len(short) <= 11 and len({r.n for r in short}) == len(short)
+    check_blocks = packing.pack(one, PATH, block=16)
+    assert check_blocks.agg(F.sum("length")).first()[0] == packing.pack(one, PATH).agg(F.sum("length")).first()[0]
