@@ -15,7 +15,7 @@ of the last category is the one at which the out-of-fold predictions have the be
 else covers every document's whole text.
 
 Cases: a null or empty text has no words; labels with a null, without a document, or repeated for a
-doc_id (the first counts) are left out; a category with one class only, or no labels at all, gives
+doc_id (the least label counts) are left out; a category with one class only, or no labels at all, gives
 its smoothed base rate (0 without labels); repeated rows get equal scores; an empty table gives no
 rows. Extra columns are carried by ``reject`` and not read by ``score``.
 """
@@ -128,11 +128,15 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, order: tuple[str, ...], sample: int) -> DataFrame:
-    """The training rows with their features; at most ``sample``, so their ids may be broadcast."""
+    """The training rows with their features, one per labelled doc_id and at most ``sample``, so their ids may be broadcast.
+
+    Of rows that repeat a doc_id the one with the least hash of its text counts.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("int").alias(c) for c in order)).dropna()
     known = known.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("y")).select("doc_id", "y.*")
     known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", *order).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", *order, F.col("t.text").alias("text"))
     schema = "fold int, dense array<double>, words array<string>, " + ", ".join(f"`{c}` int" for c in order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

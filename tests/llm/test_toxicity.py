@@ -123,3 +123,10 @@ def test_chain_by_plain_python(spark):
     assert np.abs(np.array([got[d] for d in ids]) - final).max() < 0.05
     by_fold = np.array(sorted(chain.out_of_fold[:, 1]))
     assert np.abs(by_fold - np.sort(earlier[:, 1])).max() < 0.05
+
+
+def test_rows_that_repeat_a_doc_id_are_one_training_row(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.sampled(docs, labels, ("quality", "toxic"), 2).count() == 2
+    assert toxicity.sampled(docs, labels, ("quality", "toxic"), 10).count() == 3
