@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from packetloom.config import DEFAULT, Config
 from packetloom.functions import exprs as E
-from packetloom.operators import detect, matching, stats
+from packetloom.operators import detect, matching, order, stats
+from packetloom.sources.scratch import written
 
 
 def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", bytes_: str = "orig_bytes", least: int = 4, cfg: Config = DEFAULT) -> DataFrame:
@@ -55,6 +56,31 @@ def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: s
     return out.withColumn("conf", stats.confidence(F.col("n"), least, cfg))
 
 
+def exact(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", bytes_: str = "orig_bytes", least: int = 4, cfg: Config = DEFAULT) -> DataFrame:
+    """``profile`` with the order statistics of its busy keys over all their records instead of a sample (STAT-2, 3, 13).
+
+    Only keys over ``cfg.series_sample`` records are looked at again; the others are exact already. Nothing of a
+    key is gathered or sorted (``order``), whatever its size.
+    """
+    keys = list(keys)
+    busy = written(profiled.filter(F.col("n") > cfg.series_sample).select(*keys), "busy")
+    if busy.isEmpty():
+        return profiled
+    rows = df.select(*keys, F.col(ts).alias("_ts"), F.col(bytes_).cast("double").alias("_bytes")).join(busy, keys, "left_semi")
+    rows = stats.blocked(rows, keys, "_ts", least).select(*keys, "iv", F.when(F.col("_bytes") > 0, F.col("_bytes")).alias("_bytes"))
+    rows = written(rows, "busy-rows")
+    timing = order.spread(rows, keys, "iv").select(*keys, F.col("q2").alias("_median"), order.regularity(1.0).alias("_raw"))
+    sizes = order.spread(rows, keys, "_bytes").select(*keys, F.when(F.col("n") >= 3, order.regularity(0.0)).otherwise(0.0).alias("_ds"))
+    modes = order.multimodal(rows, keys, "iv").withColumnRenamed("multimodal", "_mm")
+    out = profiled.join(timing, keys, "left").join(sizes, keys, "left").join(modes, keys, "left")
+    was = F.col("n") > cfg.series_sample
+    out = out.withColumns({
+        "median_iv": F.when(was, F.col("_median")).otherwise(F.col("median_iv")), "ts_raw": F.when(was, F.col("_raw")).otherwise(F.col("ts_raw")),
+        "ts_mm": F.when(was, F.col("_mm")).otherwise(F.col("ts_mm")), "ds_score": F.when(was, F.coalesce("_ds", F.lit(0.0))).otherwise(F.col("ds_score")),
+    })
+    return out.withColumn("ts_score", F.greatest("ts_raw", "ts_mm", "ts_ent")).select(*profiled.columns)
+
+
 def annotated(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", cfg: Config = DEFAULT) -> DataFrame:
     """``spectral_rescued`` and ``spectral_period`` of the keys with weak timing (STAT-11 in DET-1): a hint that doesn't lift the score.
 

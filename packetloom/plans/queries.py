@@ -11,7 +11,7 @@ from packetloom.config import Config
 from packetloom.functions import exprs as E
 from packetloom.operators import beacon, detect, listing, matching, merge, names, reports, rollups, stats
 from packetloom.plans.views import ctes, view
-from packetloom.sources import lists, sinks
+from packetloom.sources import lists, redact, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -887,7 +887,18 @@ SELECT concat('CEF:0|packetloom|packetloom|1.0|triage|Triage #', id, ': likely b
 report("csv_guard", lambda f: f.withColumn("d", F.when(F.col("score") % 3 == 0, F.concat(F.lit("=cmd"), "detail")).otherwise(F.col("detail"))).select("id", sinks.guarded("d").alias("d")), " SELECT id, CASE WHEN score % 3 = 0 THEN concat('''=cmd', detail) ELSE detail END AS d FROM findings_v")
 report("cef", sinks.cef_lines, """, t AS (FROM (VALUES ('Beacon', 'T1071'), ('Strobe', 'T1071'), ('Long Connection', 'T1071'), ('HTTP Beacon', 'T1071.001'), ('Data Exfiltration', 'T1048'), ('C2 Port', 'T1571'), ('DNS Tunneling', 'T1071.004,T1048'), ('Malicious JA3', 'T1573')) t(type, ids))
 SELECT concat('CEF:0|packetloom|packetloom|1.0|', type, '|', type, '|', least(10, score // 10), '|', 'src=', src_ip, ' dst=', dst_ip, ' dpt=', dst_port, ' end=', timestamp, CASE WHEN ids IS NULL THEN '' ELSE concat(' cs1=', ids) END, ' cs2=', sensor, ' msg=', replace(detail, '=', chr(92) || '=')) AS value FROM findings_v LEFT JOIN t USING (type)""")
-register("red_pseudonyms", lambda s, d: sinks.redacted(view(s, d, "findings_v").select("id", F.concat_ws(" to ", "src_ip", "dst_ip", "src_ip").alias("text")))[0], f" SELECT id, CASE WHEN {private('dst_ip')} THEN CASE WHEN src_ip < dst_ip THEN 'HOST-1 to HOST-2 to HOST-1' ELSE 'HOST-2 to HOST-1 to HOST-2' END ELSE concat('HOST-1 to ', dst_ip, ' to HOST-1') END AS text FROM findings_v", ("findings_v",))
+register("red_pseudonyms", lambda s, d: redact.redacted(view(s, d, "findings_v").select("id", F.concat_ws(" to ", "src_ip", "dst_ip", "src_ip").alias("text")))[0], f" SELECT id, CASE WHEN {private('dst_ip')} THEN 'HOST_1 to HOST_2 to HOST_1' ELSE concat('HOST_1 to ', dst_ip, ' to HOST_1') END AS text FROM findings_v", ("findings_v",))
+register(
+    "red_names",
+    lambda s, d: redact.redacted(
+        view(s, d, "findings_v").select("id", F.concat_ws(" ", F.concat(F.lit("at"), F.lit(" "), F.col("hostname"), F.lit(",")), "src_ip", "hostname", "dst_ip").alias("text")),
+        ranges=s.range(1).select(F.lit("203.0.113.0/28").alias("value")),
+        domains=s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit(".H"), F.col("n_nationkey").cast("string"), F.lit(".example.net.")).alias("value")).filter("value NOT LIKE '%7%'"),
+    )[0],
+    """, r AS (SELECT id, hostname, src_ip, dst_ip, dst_ip = '203.0.113.10' OR dst_ip LIKE '192.168.%' AS two, NOT contains(hostname, '7') AS named FROM findings_v)
+SELECT id, CASE WHEN named THEN concat('at HOST_', CASE WHEN two THEN 3 ELSE 2 END, ', HOST_1 HOST_', CASE WHEN two THEN 3 ELSE 2 END) ELSE concat('at ', hostname, ', HOST_1 ', hostname) END || CASE WHEN two THEN ' HOST_2' ELSE ' ' || dst_ip END AS text FROM r""",
+    ("findings_v",),
+)
 register("scl_names", lambda s, d: view(s, d, "dns_v").select("query").distinct().select("query", E.apex("query").alias("apex"), E.second_level("query").alias("sld"), F.round(E.entropy("query"), 6).alias("entropy"), E.is_cdn("query").alias("cdn")), f" SELECT DISTINCT query, apex, l[-2] AS sld, round(list_aggregate(string_split(query, ''), 'entropy'), 6) AS entropy, false AS cdn FROM {DNS_NAMES}", ("dns_v",))
 register("scl_host_class", lambda s, d: conn(s, d).select("dst").distinct().select("dst", E.host_class("dst").alias("class")), f" SELECT DISTINCT dst, CASE WHEN dst LIKE '224.%' THEN 'multicast' WHEN {private('dst')} THEN 'internal' ELSE 'external' END AS class FROM conn_v", ("conn_v",))
 register("src_import", lambda s, d: lists.import_findings(view(s, d, "findings_v").withColumn("score", F.when(F.col("score") % 10 == 0, 500).otherwise(F.col("score"))))[0].select("id", "detail"), " SELECT row_number() OVER (ORDER BY id) AS id, detail FROM findings_v WHERE score % 10 <> 0", ("findings_v",))
@@ -952,3 +963,10 @@ register(
 SELECT DISTINCT query, value FROM (SELECT DISTINCT query FROM dns_v) JOIN g ON query GLOB lower(value)""",
     ("dns_v",),
 )
+_FEW = Config(series_sample=40)
+register(
+    "det_beacon_exact",
+    lambda s, d: rounded(beacon.exact(beacon.profile(detect.egress(conn(s, d)), cfg=_FEW), detect.egress(conn(s, d)), cfg=_FEW), ("sensor", "src", "dst")),
+    profile_sql(egress_sql()),
+    ("conn_v",),
+)

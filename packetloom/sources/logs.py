@@ -96,8 +96,13 @@ def dataset_fingerprint(spark: SparkSession, path: str) -> str:
     return f"{(got.x or 0) & (2**64 - 1):016x}-{got.s or 0:x}-{got.n}"
 
 
-def retention_plan(spark: SparkSession, path: str, cutoff: str) -> DataFrame:
-    """Partitions older than the cutoff, by path date or else file time, with counts and bytes (SNK-7, dry run)."""
+def old_files(spark: SparkSession, path: str, cutoff: str) -> DataFrame:
+    """Files of partitions older than the cutoff, by path date or else file time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("source_file"), "length", "modificationTime")
     rows = _located(files, None).withColumn("day", F.coalesce("log_date", F.to_date("modificationTime")))
-    return rows.filter(F.col("day") < F.lit(cutoff).cast("date")).groupBy("sensor", "day").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return rows.filter(F.col("day") < F.lit(cutoff).cast("date"))
+
+
+def retention_plan(spark: SparkSession, path: str, cutoff: str) -> DataFrame:
+    """Partitions older than the cutoff with counts and bytes (SNK-7, dry run); ``archive.copy`` is the job."""
+    return old_files(spark, path, cutoff).groupBy("sensor", "day").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

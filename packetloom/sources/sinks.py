@@ -1,10 +1,10 @@
-"""Exports of findings (SNK-1..5) and pseudonyms in text (RED-1)."""
+"""Exports of findings (SNK-1..5)."""
 
 from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions import exprs as E
@@ -100,44 +100,33 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 
 
-def publish(findings: DataFrame, root: str) -> str:
+_POINTERS = "version string, at long, job string, batch long"
+
+
+def publish(findings: DataFrame, root: str, job: str | None = None, batch: int | None = None) -> str:
     """A new version of the findings table, partitioned by type (SNK-5).
 
     A pointer of its own is added when the version is whole; nothing is overwritten, so the table that was
-    current stays readable whatever happens in between.
+    current stays readable whatever happens in between. The pointer says which batch of which job made the
+    version, so ``applied`` is the ledger of batches and can't disagree with the table.
     """
     spark, version = findings.sparkSession, f"v-{uuid4().hex}"
     findings.write.partitionBy("type").parquet(f"{root}/{version}")
-    at = spark.range(1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("at"))
+    at = spark.range(1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("at"), F.lit(job).cast("string").alias("job"), F.lit(batch).cast("long").alias("batch"))
     at.coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
     return version
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The version that the newest pointer names."""
-    newest = spark.read.parquet(f"{root}/_pointers").agg(F.max_by("version", F.struct("at", "version"))).first()[0]
-    return spark.read.parquet(f"{root}/{newest}")
-
-
-_ADDRESS = r"\b((?:10|127)\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})\b"
+def pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_POINTERS).parquet(f"{root}/_pointers")
 
 
-def redacted(texts: DataFrame, id_: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Texts with internal addresses replaced by tokens of their document, and the token table (RED-1)."""
-    found = texts.select(id_, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_ADDRESS), 1))).alias("value"))
-    tokens = found.withColumn("token", F.concat(F.lit("HOST-"), F.row_number().over(Window.partitionBy(id_).orderBy("value")).cast("string")))
-    held = tokens.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("value", "token"))).alias("_t"))
-    # Split at the addresses, so that each is replaced as a whole.
-    pieces = F.split(F.col(text), _ADDRESS, -1)
-    hits = F.regexp_extract_all(text, F.lit(_ADDRESS), 1)
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at("_t", F.get(hits, i)), F.lit("")))), "")
-    out = texts.join(held, id_, "left").withColumn(text, F.when(F.col("_t").isNull(), F.col(text)).otherwise(joined)).drop("_t")
-    return out, tokens
+def applied(spark: SparkSession, root: str, job: str, batch: int) -> bool:
+    """Whether a version was published by this batch."""
+    return not pointers(spark, root).filter((F.col("job") == job) & (F.col("batch") == batch)).isEmpty()
 
 
-def restored(texts: DataFrame, tokens: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """The inverse of ``redacted``."""
-    held = tokens.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_t"))
-    hits = F.regexp_extract_all(text, F.lit(r"\b(HOST-\d+)\b"), 1)
-    joined = F.array_join(F.transform(F.split(F.col(text), r"\bHOST-\d+\b", -1), lambda p, i: F.concat(p, F.coalesce(F.try_element_at("_t", F.get(hits, i)), F.get(hits, i), F.lit("")))), "")
-    return texts.join(held, id_, "left").withColumn(text, F.when(F.col("_t").isNull(), F.col(text)).otherwise(joined)).drop("_t")
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The version that the newest pointer names."""
+    newest = pointers(spark, root).agg(F.max_by("version", F.struct("at", "version"))).first()[0]
+    return spark.read.parquet(f"{root}/{newest}")

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.functions import exprs as E
 from packetloom.operators.matching import asked, fits, indicator_hits, listed
+from packetloom.sources import sinks
 
 
 def arriving(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -86,6 +87,21 @@ def merged(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int],
     return (writer.queryName(name) if name else writer).start()
 
 
+def upserted(stream: DataFrame, checkpoint: str, root: str, job: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
+    """Every micro-batch merged into the published findings table exactly once (STR-6): ``merge(table, batch)`` gives the new table.
+
+    Spark repeats a batch that it doesn't know to be done. The pointer that publishes a version also names its
+    batch: a batch that has one is skipped, and one that failed before has left the table as it was.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if not sinks.applied(spark, root, job, number):
+            sinks.publish(merge(sinks.current(spark, root), batch), root, job, number)
+
+    return merged(stream, checkpoint, apply)
+
+
 def stale(latest: DataFrame, now: float, limit: float, active: DataFrame | None = None) -> DataFrame:
     """Sources whose newest record is too old, each alarm raised once while it lasts (STR-7)."""
     late = latest.groupBy("sensor").agg(F.max("ts").alias("last")).withColumn("silent", F.lit(now) - F.col("last")).filter(F.col("silent") > limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packetloom.config import Config
 from packetloom.functions import exprs as E
 from packetloom.operators import beacon, detect, matching, merge, reports, rollups, stats
-from packetloom.sources import lists, logs, sinks
+from packetloom.sources import lists, logs, redact, sinks
 from packetloom.streaming import stream
 
 T0 = 1_705_320_000.0
@@ -246,9 +246,9 @@ def test_exports(spark, tmp_path):
     version = sinks.publish(f, str(tmp_path / "t"))
     assert sinks.current(spark, str(tmp_path / "t")).count() == 2 and version.startswith("v-")
     text = spark.createDataFrame([(1, "from 10.0.0.1 to 8.8.8.8 and 10.0.0.12, again 10.0.0.1")], "id long, text string")
-    out, tokens = sinks.redacted(text)
-    assert out.first().text == "from HOST-1 to 8.8.8.8 and HOST-2, again HOST-1"
-    assert sinks.restored(out, tokens).first().text == text.first().text
+    out, tokens = redact.redacted(text)
+    assert out.first().text == "from HOST_1 to 8.8.8.8 and HOST_2, again HOST_1"
+    assert redact.restored(out, tokens).first().text == text.first().text
 
 
 def test_streams_equal_the_batch(spark, tmp_path):
