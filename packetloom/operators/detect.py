@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from packetloom.config import DEFAULT, Config
 from packetloom.functions import exprs as E
 from packetloom.functions import values as V
-from packetloom.operators import names
+from packetloom.operators import matching, names
+from packetloom.sources import logs
 
 FINDING = ("type", "severity", "score", "sensor", "src_ip", "dst_ip", "dst_port", "detail", "timestamp")
 
@@ -269,16 +270,9 @@ def _suspicious(mime: Column, name: Column) -> Column:
     return F.when(by_mime, F.concat(F.lit("MIME: "), F.lower(mime))).when(by_name, F.concat(F.lit("name: "), name))
 
 
-def file_ends(files: DataFrame) -> DataFrame:
-    """File records with one sender (``tx``) and one receiver (``rx``); where a record has none, the connection's ends (``src``, ``dst``)."""
-    held = lambda c: F.when(F.col(c) != "", F.col(c)) if c in files.columns else F.lit(None).cast("string")
-    tx, rx = F.coalesce(E.first_address("tx"), held("src")), F.coalesce(E.first_address("rx"), held("dst"))
-    return files.withColumns({"tx": tx, "rx": rx}).drop("src", "dst")
-
-
 def file_download(files: DataFrame) -> DataFrame:
     """First per (receiver, name and MIME type): the receiver is the source; records without file hosts are those of the connection's ends (DET-28)."""
-    rows = file_ends(files).withColumnRenamed("rx", "src").withColumnRenamed("tx", "dst")
+    rows = logs.file_ends(files).withColumnRenamed("rx", "src").withColumnRenamed("tx", "dst")
     rows = rows.withColumn("reason", _suspicious(F.col("mime_type"), F.col("filename"))).filter(F.col("reason").isNotNull() & F.col("dst").isNotNull())
     rows = rows.withColumn("what", F.concat(F.coalesce("filename", F.lit("")), F.lower(F.coalesce("mime_type", F.lit("")))))
     return finding(first_per(rows, ["src", "what"], ("ts", "dst")), "Suspicious File Download", "HIGH", 72, F.col("reason"), port=None)
@@ -327,21 +321,33 @@ def uri_footprint(http: DataFrame, most: int = 8) -> DataFrame:
     return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "uri", F.col("n").alias("count")))), lambda x: F.struct(x["uri"], x["count"])).alias("top_uris"))
 
 
-def dga(beacons: DataFrame, bigrams: DataFrame, host: str = "hostname", cfg: Config = DEFAULT) -> DataFrame:
-    """Beacons whose host name looks generated score 15 more and go up one severity (DET-39).
+def dga(beacons: DataFrame, bigrams: DataFrame, host: str = "hostname", cfg: Config = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+    """Beacons whose host name looks generated score 15 more and go up one severity, and their text says why (DET-39).
 
-    ``bigrams`` (bigram, logp) has at most the square of the alphabet's rows and becomes one constant.
+    Only beacon types count. A host on the allowlist (``allowed``: value), by its whole name or by its second-level
+    label, is left alone. Thresholds that make no sense turn the rule off. ``bigrams`` (bigram, logp) has at
+    most the square of the alphabet's rows and becomes one constant.
     """
+    if not (0 <= cfg.dga_entropy <= 8 and -10 <= cfg.dga_bigram < 0):
+        return beacons.withColumn("dga", F.lit(False))
     held = bigrams.orderBy("bigram").collect()
     table = F.map_from_arrays(F.lit([r.bigram for r in held] or ["  "]), F.lit([float(r.logp) for r in held] or [0.0]))
-    sld = E.second_level(host)
-    rows = beacons
-    suspect = F.coalesce(
-        ~E.is_ip(host) & ~E.is_cdn(host) & (F.length(sld) >= 7) & (E.entropy(sld) > cfg.dga_entropy) & (E.bigram_mean(sld, table) < cfg.dga_bigram), F.lit(False)
-    )
-    rows = rows.withColumn("dga", suspect)
+    kind = F.col("type").isin(list(V.BEACONS)) if "type" in beacons.columns else F.lit(True)
+    rows = beacons.withColumn("_sld", E.second_level(host)).withColumns({"_ent": E.entropy("_sld"), "_mean": E.bigram_mean(F.col("_sld"), table)})
+    suspect = kind & ~E.is_ip(host) & ~E.is_cdn(host) & (F.length("_sld") >= 7) & (F.col("_ent") > cfg.dga_entropy) & (F.col("_mean") < cfg.dga_bigram)
+    if allowed is not None:
+        hit = matching.matches(rows.select(F.explode(F.array(host, "_sld")).alias("_name")), "_name", allowed).select("_name").distinct()
+        for name, side in (("_whole", F.col(host)), ("_label", F.col("_sld"))):
+            rows = rows.join(hit.select(F.col("_name").alias(f"{name}_key"), F.lit(True).alias(name)), side == F.col(f"{name}_key"), "left").drop(f"{name}_key")
+            suspect = suspect & F.col(name).isNull()
+    rows = rows.withColumn("dga", F.coalesce(suspect, F.lit(False)))
     up = E.pick(F.col("severity"), {"HIGH": "CRITICAL", "MEDIUM": "HIGH", "LOW": "MEDIUM", "CRITICAL": "CRITICAL"})
-    return rows.withColumns({"score": F.when(F.col("dga"), F.least(F.col("score") + 15, F.lit(99))).otherwise(F.col("score")), "severity": F.when(F.col("dga"), up).otherwise(F.col("severity"))})
+    on = F.col("dga")
+    out = {"score": F.when(on, F.least(F.col("score") + 15, F.lit(99))).otherwise(F.col("score")), "severity": F.when(on, up).otherwise(F.col("severity"))}
+    if "detail" in beacons.columns:
+        said = F.format_string(" | DGA-suspect destination: %s (SLD=%s, entropy=%.2f, bigram=%.2f)", F.col(host), "_sld", "_ent", "_mean")
+        out["detail"] = F.when(on, F.concat(F.coalesce("detail", F.lit("")), said)).otherwise(F.col("detail"))
+    return rows.withColumns(out).drop("_sld", "_ent", "_mean", "_whole", "_label")
 
 
 def bigram_table(names: DataFrame, text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import exprs as E
-from packetloom.operators import detect
+from packetloom.sources import logs
 
 #: Characters of the pieces by which wildcards are found; a wildcard is filed under pieces of one of these sizes.
 GRAMS = (8, 4, 2, 1)
@@ -435,6 +435,26 @@ def context(findings: DataFrame, most: int = 8) -> DataFrame:
     return findings.select("id", "src_ip", "dst_ip").join(types("src_ip", "src"), "src_ip", "left").join(types("dst_ip", "dst"), "dst_ip", "left").join(hosts, "dst_ip", "left")
 
 
+def full_context(findings: DataFrame, members: DataFrame | None = None, allowed: DataFrame | Listed | None = None, most: int = 8) -> DataFrame:
+    """``context`` with the other types on the finding's pair, the roll-ups that hold it, its source's risk, and which of its sides are allowed (JOIN-18).
+
+    ``members`` is the membership table of roll-ups: a finding is in few of them.
+    """
+    pair = ["sensor", "src_ip", "dst_ip"]
+    kinds = findings.groupBy(*pair).agg(F.sort_array(F.collect_set("type")).alias("_kinds"))  # as many as there are types at most
+    risk = findings.filter("type = 'Host Risk Score'").groupBy("src_ip").agg(F.max("score").alias("host_risk"))
+    out = context(findings, most).join(findings.select("id", "sensor", "type"), "id").join(kinds, pair, "left").join(risk, "src_ip", "left")
+    out = out.withColumn("pair_types", F.array_join(F.array_remove("_kinds", F.col("type")), ", ")).drop("_kinds", "type")
+    if members is not None:
+        held = members.groupBy(F.col("member").alias("id")).agg(F.sort_array(F.collect_set("rollup")).alias("rollups"))
+        out = out.join(held, "id", "left")
+    if allowed is not None:
+        hit = side_matches(findings, allowed).select("_ip").distinct()
+        for side in ("src_ip", "dst_ip"):
+            out = out.join(hit.select(F.col("_ip").alias(side), F.lit(True).alias(f"{side}_allowed")), side, "left").fillna({f"{side}_allowed": False})
+    return out
+
+
 # Threat indicators
 
 
@@ -498,7 +518,7 @@ def hash_hits(files: DataFrame, indicators: DataFrame, columns: Sequence[str] =
     Records without file hosts are those of the connection's two ends.
     """
     held = [c for c in columns if c in files.columns]
-    rows = detect.file_ends(files).select("rx", "tx", "ts", F.posexplode(F.array(*held)).alias("pos", "hash")).filter(F.coalesce("hash", F.lit("")) != "")
+    rows = logs.file_ends(files).select("rx", "tx", "ts", F.posexplode(F.array(*held)).alias("pos", "hash")).filter(F.coalesce("hash", F.lit("")) != "")
     rows = rows.withColumn("hash", F.lower("hash")).join(indicators.select(F.lower("value").alias("hash"), "feed").distinct(), "hash")
     w = Window.partitionBy("rx", "hash").orderBy("ts", "pos", "feed")
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "pos").withColumn("score", F.lit(90))

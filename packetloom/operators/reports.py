@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import exprs as E
 from packetloom.functions import values as V
+from packetloom.operators import order
 from packetloom.operators.listing import Filters, Lists, filtered
 
 
@@ -209,21 +210,22 @@ def capped(nodes: DataFrame, links: DataFrame, most: int = 200, hint: str | None
 def interval_histogram(df: DataFrame, keys: Sequence[str], value: str = "iv") -> DataFrame:
     """Linear bins of each key's values without the top hundredth (AGG-20); 12 to 40 bins, twice the root of the count.
 
-    The values left are the first 99 % in order: equal values are counted first, and a value keeps as many
-    of its rows as fit.
+    The values left are the first 99 % in order. The last of them is found by refined histograms (``order``), so no
+    key is sorted in one task; of the values equal to it, as many count as fit.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    whole = Window.partitionBy(*keys)
-    upto = F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    rows = counted.withColumns({"upto": upto, "total": F.sum("c").over(whole)})
-    kept = F.greatest(F.lit(1), F.floor(F.col("total") * 0.99)).cast("long")
-    rows = rows.withColumn("kept", kept).withColumn("c", F.least("c", F.col("kept") - (F.col("upto") - F.col("c")))).filter("c > 0")
-    rows = rows.withColumns({"low": F.min("v").over(whole), "top": F.max("v").over(whole)})
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    kept = F.greatest(F.lit(1), F.floor(F.count("*") * 0.99)).cast("long")
+    sizes = rows.groupBy(*keys).agg(F.min("v").alias("low"), kept.alias("kept"))
+    tops = order.at_ranks(rows, keys, "v", sizes.select(*keys, F.lit("top").alias("slot"), (F.col("kept") - 1).alias("rank")))
+    held = sizes.join(tops.select(*keys, F.col("value").alias("top")), keys)
     bins = F.least(F.lit(40), F.greatest(F.lit(12), F.floor(F.sqrt("kept") * 2))).cast("int")
     width = F.greatest(F.col("top") - F.col("low"), F.lit(0.001)) / bins
     place = F.least(bins - 1, F.greatest(F.lit(0), F.floor((F.col("v") - F.col("low")) / width).cast("int")))
-    return rows.groupBy(*keys, bins.alias("bins"), place.alias("bin")).agg(F.sum("c").alias("n"))
+    counted = rows.join(held, keys).filter("v <= top").groupBy(*keys, "kept", bins.alias("bins"), place.alias("bin"), (F.col("v") == F.col("top")).alias("last")).agg(F.count("*").alias("c"))
+    below = F.sum(F.when(~F.col("last"), F.col("c")).otherwise(0)).over(Window.partitionBy(*keys))  # 41 rows of a key at most
+    fitting = F.when(F.col("last"), F.col("kept") - below).otherwise(F.col("c"))
+    return counted.withColumn("c", fitting).groupBy(*keys, "bins", "bin").agg(F.sum("c").alias("n"))
 
 
 def byte_bins(df: DataFrame, keys: Sequence[str], bins: int = 24) -> DataFrame:

@@ -342,12 +342,12 @@ register(
 _GENERATED = "concat(md5(CAST(id AS VARCHAR))[:12], '.net')"
 register(
     "det_dga",
-    lambda s, d: detect.dga(view(s, d, "findings_v").withColumn("hostname", F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 12), F.lit(".net"))), detect.bigram_table(s.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'"))).select("id", "hostname", "score", "severity", "dga"),
+    lambda s, d: detect.dga(view(s, d, "findings_v").withColumn("hostname", F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 12), F.lit(".net"))), detect.bigram_table(s.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'")), allowed=s.createDataFrame([("a???????????",), ("*7.net",)], "value string")).select("id", "hostname", "score", "severity", "dga"),
     f""", words AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en'),
 bi AS (SELECT bigram, log10(count(*) / sum(count(*)) OVER ()) AS logp FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i : i + 1])) AS bigram FROM words WHERE len(w) > 1) GROUP BY bigram),
-h AS (SELECT id, score, severity, {_GENERATED} AS hostname, {_GENERATED}[:12] AS sld FROM findings_v),
+h AS (SELECT id, type, score, severity, {_GENERATED} AS hostname, {_GENERATED}[:12] AS sld FROM findings_v),
 p AS (SELECT id, sum(coalesce(logp, -5.5::DOUBLE)) / 11 AS mean FROM (SELECT id, unnest(list_transform(range(1, 12), lambda i: sld[i : i + 1])) AS bigram FROM h) LEFT JOIN bi USING (bigram) GROUP BY id),
-g AS (SELECT h.*, list_aggregate(string_split(sld, ''), 'entropy') > 3.5::DOUBLE AND mean < -4.5::DOUBLE AS dga FROM h JOIN p USING (id))
+g AS (SELECT h.*, type IN ('Beacon', 'HTTP Beacon') AND list_aggregate(string_split(sld, ''), 'entropy') > 3.5::DOUBLE AND mean < -4.5::DOUBLE AND sld NOT LIKE 'a%' AND hostname NOT LIKE '%7.net' AS dga FROM h JOIN p USING (id))
 SELECT id, hostname, CAST(CASE WHEN dga THEN least(score + 15, 99) ELSE score END AS INT) AS score, CASE WHEN dga THEN CASE severity WHEN 'LOW' THEN 'MEDIUM' WHEN 'MEDIUM' THEN 'HIGH' ELSE 'CRITICAL' END ELSE severity END AS severity, dga FROM g""",
     ("findings_v",),
 )
@@ -970,3 +970,13 @@ register(
     profile_sql(egress_sql()),
     ("conn_v",),
 )
+register(
+    "join_full_context",
+    lambda s, d: matching.full_context(view(s, d, "findings_v"), rollups.correlated(*run_and_history(s, d)).members, indicators(s, d)).select("id", "pair_types", "host_risk", F.size(F.coalesce("rollups", F.array().cast("array<bigint>"))).alias("n_rollups"), "src_ip_allowed", "dst_ip_allowed"),
+    f"""{_CORRELATED}, {_IND}, a AS (SELECT DISTINCT ip FROM (SELECT DISTINCT src_ip AS ip FROM findings_v UNION SELECT DISTINCT dst_ip FROM findings_v) JOIN num ON {_hit_sql('ip')}),
+k AS (SELECT sensor, src_ip, dst_ip, list_sort(list_distinct(list(type))) AS kinds FROM findings_v GROUP BY ALL), h AS (SELECT src_ip, max(score) AS host_risk FROM findings_v WHERE type = 'Host Risk Score' GROUP BY src_ip),
+m AS (SELECT member FROM i JOIN p USING (sensor, src_ip, dst_ip))
+SELECT id, array_to_string(list_filter(kinds, lambda x: x <> type), ', ') AS pair_types, host_risk, CAST(id IN (SELECT member FROM m) AS INT) AS n_rollups, src_ip IN (FROM a) AS src_ip_allowed, dst_ip IN (FROM a) AS dst_ip_allowed
+FROM findings_v JOIN k USING (sensor, src_ip, dst_ip) LEFT JOIN h USING (src_ip)""",
+    ("findings_v",),
+)

@@ -6,9 +6,14 @@ Files are routed by base name and carry sensor, date and file from their path. M
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.functions import exprs
 from packetloom.schemas import LOGS
 
 
@@ -33,14 +38,48 @@ def _located(df: DataFrame, default_sensor: str | None) -> DataFrame:
     return out.filter(~F.contains(path, F.lit("/_archived/")))
 
 
-def _lines(spark: SparkSession, path: str, log: str) -> DataFrame:
+@dataclass(frozen=True)
+class Part:
+    """The part of a folder of logs that is asked for: sensors, and days from ``since`` to ``until`` (YYYY-MM-DD, both included).
+
+    Folders of other sensors and days, .../<sensor>/<day>/, are neither listed nor opened. ``spread`` deals the lines
+    of compressed files, each of which one task reads, out to so many tasks before they are parsed.
+    """
+
+    sensors: Sequence[str] = ("*",)
+    since: str | None = None
+    until: str | None = None
+    spread: int | None = None
+
+    def folders(self, spark: SparkSession, path: str) -> list[str]:
+        """The folders that there are, by patterns that the file system resolves itself."""
+        if self.since is None and self.until is None and tuple(self.sensors) == ("*",):
+            return [path]
+        if (self.since is None) != (self.until is None):
+            raise ValueError("give both ends of the days")
+        days = ["*"]
+        if self.since is not None:
+            first, last = date.fromisoformat(self.since), date.fromisoformat(self.until)
+            days = [str(first + timedelta(k)) for k in range((last - first).days + 1)]
+        jvm, out = spark.sparkContext._jvm, []
+        for pattern in (f"{path.rstrip('/')}/{s}/{d}" for s in self.sensors for d in days):
+            at = jvm.org.apache.hadoop.fs.Path(pattern)
+            found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+            out += [str(x.getPath()) for x in found or ()]
+        return out
+
+
+def _lines(spark: SparkSession, path: str, log: str, part: Part = Part()) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{log}[._]*")
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    if not (folders := part.folders(spark, path)):
+        return spark.createDataFrame([], "value string, source_file string")
+    out = reader.text(folders).select("value", F.col("_metadata.file_path").alias("source_file"))
+    return out.repartition(part.spread) if part.spread else out
 
 
-def read_json(spark: SparkSession, path: str, log: str, default_sensor: str | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, log: str, default_sensor: str | None = None, part: Part = Part()) -> DataFrame:
     """One JSON object per line; lines that do not parse are skipped."""
-    lines = _lines(spark, path, log).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    lines = _lines(spark, path, log, part).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     wire = {w: k for w, k in LOGS[log].values()}
     schema = ", ".join(f"`{w}` STRING" for w in wire) + ", `_bad` STRING"
     parsed = lines.withColumn("r", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})).filter("r._bad IS NULL")
@@ -48,9 +87,9 @@ def read_json(spark: SparkSession, path: str, log: str, default_sensor: str | No
     return _located(parsed.select(*cols, "source_file"), default_sensor)
 
 
-def read_tsv(spark: SparkSession, path: str, log: str, default_sensor: str | None = None) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, log: str, default_sensor: str | None = None, part: Part = Part()) -> DataFrame:
     """Tab-separated lines under their file's ``#fields`` header; short rows are filled up with nulls."""
-    lines = _lines(spark, path, log)
+    lines = _lines(spark, path, log, part)
     heads = lines.filter(F.col("value").startswith("#fields")).groupBy("source_file").agg(F.min("value").alias("_h"))
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).join(heads, "source_file")
     names = F.slice(F.split("_h", "\t"), 2, 1_000)
@@ -60,14 +99,22 @@ def read_tsv(spark: SparkSession, path: str, log: str, default_sensor: str | Non
     return _located(rows.select(*cols, "source_file"), default_sensor)
 
 
-def read(spark: SparkSession, path: str, log: str, default_sensor: str | None = None, fmt: str = "json") -> DataFrame:
-    out = (read_json if fmt == "json" else read_tsv)(spark, path, log, default_sensor)
+def read(spark: SparkSession, path: str, log: str, default_sensor: str | None = None, fmt: str = "json", part: Part = Part()) -> DataFrame:
+    """One kind of log as rows of fixed columns (SRC-1..6); ``part`` limits what is listed and opened."""
+    out = (read_json if fmt == "json" else read_tsv)(spark, path, log, default_sensor, part)
     if log == "conn":  # payload bytes, else packet bytes
         pick = lambda a, b: F.when(F.coalesce(F.col(a), F.lit(0.0)) > 0, F.col(a)).otherwise(F.coalesce(F.col(b), F.col(a)))
         out = out.withColumns({"orig_bytes": pick("orig_bytes", "orig_ip_bytes"), "resp_bytes": pick("resp_bytes", "resp_ip_bytes")})
     return out
 
 
+def file_ends(files: DataFrame) -> DataFrame:
+    """File records with one sender (``tx``) and one receiver (``rx``); where a record has none, the connection's ends (``src``, ``dst``)."""
+    held = lambda c: F.when(F.col(c) != "", F.col(c)) if c in files.columns else F.lit(None).cast("string")
+    tx, rx = F.coalesce(exprs.first_address("tx"), held("src")), F.coalesce(exprs.first_address("rx"), held("dst"))
+    return files.withColumns({"tx": tx, "rx": rx}).drop("src", "dst")
+
+
 def quality(spark: SparkSession, path: str, log: str) -> DataFrame:
     """Data lines and parsed lines per file, JSON or with a header; a file without a parsed line is an error (SRC-7).
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.sources import archive, redact, sinks
+from packetloom.sources import archive, logs, redact, sinks
 from packetloom.streaming import stream
 
 
@@ -63,3 +63,18 @@ def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
     # The same batch once more, as after a crash between publishing and Spark's own commit.
     stream.upserted(incoming(), str(tmp_path / "c2"), root, job, merge).awaitTermination(120)
     assert table() == {("a", 6), ("b", 7)} and sinks.applied(spark, root, job, 0) and not sinks.applied(spark, root, "other", 0)
+
+
+def test_a_day_of_a_sensor_opens_only_its_files(spark, tmp_path):
+    for sensor in ("north", "south"):
+        for day in ("2024-01-14", "2024-01-15", "2024-01-16"):
+            (at := tmp_path / sensor / day).mkdir(parents=True)
+            (at / "conn.log").write_text(f'{{"ts": 1, "uid": "{sensor}{day[-2:]}", "id.orig_h": "10.0.0.1"}}\n')
+    got = lambda **part: {r.uid for r in logs.read(spark, str(tmp_path), "conn", part=logs.Part(**part)).collect()}
+    files = lambda **part: len(logs._lines(spark, str(tmp_path), "conn", logs.Part(**part)).inputFiles())
+    assert got(since="2024-01-15", until="2024-01-15") == {"north15", "south15"} and files(since="2024-01-15", until="2024-01-15") == 2
+    assert got(sensors=("south",)) == {"south14", "south15", "south16"}
+    assert got(sensors=("south", "west"), since="2024-01-15", until="2024-02-20", spread=4) == {"south15", "south16"}
+    assert got(sensors=("west",)) == set() and got(since="2023-01-01", until="2023-01-02") == set()
+    with pytest.raises(ValueError):
+        got(since="2024-01-15")
