@@ -315,7 +315,7 @@ FROM {first_sql(f"(SELECT *, list_aggregate(string_split(l[1], ''), 'entropy') A
 detector("det_nxdomain", "dns_v", lambda x: detect.nxdomain_flood(x, CFG), f"""{finding_sql("'DNS NXDOMAIN Flood'", "'HIGH'", clamp_sql('45 + log10(n) * 15', 1, 85), dst="'(network)'", port="'53'", ts='f')} FROM (SELECT sensor, src, count(*) AS n, min(ts) AS f FROM dns_v WHERE rcode = 'NXDOMAIN' GROUP BY ALL) WHERE n >= 2""")
 detector("det_subdomain_dga", "dns_v", lambda x: detect.subdomain_dga(x, cfg=CFG), f"""{finding_sql("'DNS Subdomain DGA'", "CASE WHEN ent > 3.0 THEN 'HIGH' ELSE 'MEDIUM' END", clamp_sql('least(55 + ent * 6, 90.0)', 1, 95), dst='apex', port="'53'", ts='f')}
 FROM (SELECT sensor, src, apex, count(*) AS n, avg(list_aggregate(string_split(sub, ''), 'entropy')) AS ent, min(f) AS f FROM (SELECT sensor, src, apex, sub, min(ts) AS f FROM {DNS_NAMES} WHERE sub IS NOT NULL GROUP BY ALL) GROUP BY sensor, src, apex) WHERE n >= 3""")
-register("det_resolvers", lambda s, d: detect.resolvers(view(s, d, "dns_v")), f" SELECT sensor, src, resolver, count(*) AS queries, least(count(DISTINCT apex), 512) AS apexes FROM {DNS_NAMES} GROUP BY ALL", ("dns_v",))
+register("det_resolvers", lambda s, d: detect.resolvers(view(s, d, "dns_v")), f" SELECT sensor, src, resolver, count(*) AS queries, least(count(DISTINCT apex), 512) AS apexes, count(DISTINCT apex) > 512 AS overflow FROM {DNS_NAMES} GROUP BY ALL", ("dns_v",))
 register("det_subdomains", lambda s, d: detect.subdomains(view(s, d, "dns_v")).select("sensor", "src", "apex", "n_subs", "queries"), f" SELECT sensor, src, apex, count(DISTINCT sub) AS n_subs, count(*) AS queries FROM {DNS_NAMES} GROUP BY ALL", ("dns_v",))
 register("det_resolved", lambda s, d: detect.resolved(view(s, d, "dns_v")), f" SELECT sensor, src, apex, array_to_string(list_sort(list_distinct(list(answers)))[:8], ',') AS resolved FROM {DNS_NAMES} WHERE answers IS NOT NULL GROUP BY sensor, src, apex", ("dns_v",))
 
