@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom.config import Config
 from packetloom.operators import detect, matching, merge, names, reports, rollups
 
 NOW = "2026-06-08 10:00:00"
@@ -346,3 +347,12 @@ def test_nearest_records_are_those_of_a_search_through_all(spark):
         near = sorted((abs(ts - at), ts, uid) for uid, s, d, ts in records if (s, d) == (src, dst) and abs(ts - at) <= 7200)
         want |= {(i, uid, k) for k, (_, _, uid) in enumerate(near[:5], 1)}
     assert {(x.id, x.uid, x.place) for x in matching.evidence(f, r, most=5).collect()} == want
+
+
+def test_generated_names_need_no_job_and_no_table_in_the_plan(spark):
+    """The bigrams are joined: neither collected while the plan is made nor written into it."""
+    letters = spark.range(676).select(F.concat(*(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), k.cast("int") + 1, F.lit(1)) for k in (F.floor(F.col("id") / 26), F.col("id") % 26))).alias("bigram"), F.lit(-9.0).alias("logp"))
+    rows = spark.createDataFrame([(1, "Beacon", "xqzvkjwpqx.net", 80, "HIGH"), (2, "Strobe", "xqzvkjwpqx.net", 80, "HIGH"), (3, "Beacon", None, 80, "HIGH"), (4, "Beacon", "xqzvkjwpqq.net", 80, "HIGH")], "id int, type string, hostname string, score int, severity string")
+    got = detect.dga(rows, letters, cfg=Config(dga_entropy=2.5), allowed=spark.createDataFrame([("xqzvkjwpqq",)], "value string"))
+    assert {r.id: (r.dga, r.score) for r in got.collect()} == {1: (True, 95), 2: (False, 80), 3: (False, 80), 4: (False, 80)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("-9.0") < 10
