@@ -174,17 +174,28 @@ def _reasons(related: DataFrame, parts: DataFrame, clusters: DataFrame) -> DataF
     """(sensor, dst_ip, reason): what confirms each cluster first, in the order of the run's ids, then the history's.
 
     Lateral movement is held against the hosts of each cluster by two equi joins, so it counts only where
-    both ends are in one cluster.
+    both ends are in one cluster. Only the first of equal reasons can be a cluster's first one, so the rows of a move or of
+    a hit are reduced to it before they meet the clusters: the joins grow with the clusters, not with clusters times findings.
     """
     keys = ["sensor", "dst_ip"]
     host = lambda side: parts.select(*keys, F.col("src_ip").alias(side))
-    moves = related.filter("type = 'Lateral Movement'").select("_p", "id", "sensor", F.col("src_ip").alias("a"), F.col("dst_ip").alias("b"))
-    moved = moves.join(host("a"), ["sensor", "a"]).join(host("b"), [*keys, "b"]).select(*keys, "_p", "id", F.concat(F.lit("lateral movement "), "a", F.lit("\u2192"), "b").alias("reason"))
+    moved = _moves(related).join(host("a"), ["sensor", "a"]).join(host("b"), [*keys, "b"]).select(*keys, "_p", "id", F.concat(F.lit("lateral movement "), "a", F.lit("\u2192"), "b").alias("reason"))
+    hit = _hits(related).join(clusters.select(*keys), "dst_ip").select(*keys, "_p", "id", "reason")
+    return moved.unionByName(hit).groupBy(*keys).agg(F.min_by("reason", F.struct("_p", "id", "reason")).alias("reason"))
+
+
+def _moves(related: DataFrame) -> DataFrame:
+    """(sensor, a, b, _p, id): the first lateral movement between two hosts."""
+    rows = related.filter("type = 'Lateral Movement'").groupBy("sensor", F.col("src_ip").alias("a"), F.col("dst_ip").alias("b"))
+    return rows.agg(F.min(F.struct("_p", "id")).alias("f")).select("sensor", "a", "b", "f.*")
+
+
+def _hits(related: DataFrame) -> DataFrame:
+    """(dst_ip, reason, _p, id): the first indicator hit, and the first of each kind of bad client, on a destination."""
     ends = F.when(F.col("type") == "TI Hit (IP)", F.array_distinct(F.array("dst_ip", "src_ip"))).otherwise(F.array("dst_ip"))
     text = F.concat(F.when(F.col("type") == "TI Hit (IP)", "TI hit").otherwise(F.col("type")), F.lit(" on C2 destination")).alias("reason")
-    hits = related.filter("type != 'Lateral Movement'").select("_p", "id", text, F.explode(ends).alias("dst_ip"))
-    hit = hits.join(clusters.select(*keys), "dst_ip").select(*keys, "_p", "id", "reason")
-    return moved.unionByName(hit).groupBy(*keys).agg(F.min_by("reason", F.struct("_p", "id", "reason")).alias("reason"))
+    rows = related.filter("type != 'Lateral Movement'").select("_p", "id", text, F.explode(ends).alias("dst_ip")).groupBy("dst_ip", "reason")
+    return rows.agg(F.min(F.struct("_p", "id")).alias("f")).select("dst_ip", "reason", "f.*")
 
 
 def destination_sources(conn: DataFrame) -> DataFrame:

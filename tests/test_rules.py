@@ -356,3 +356,12 @@ def test_generated_names_need_no_job_and_no_table_in_the_plan(spark):
     got = detect.dga(rows, letters, cfg=Config(dga_entropy=2.5), allowed=spark.createDataFrame([("xqzvkjwpqq",)], "value string"))
     assert {r.id: (r.dga, r.score) for r in got.collect()} == {1: (True, 95), 2: (False, 80), 3: (False, 80), 4: (False, 80)}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("-9.0") < 10
+
+
+def test_corroborating_rows_are_reduced_before_they_meet_clusters(spark):
+    kind = "_p int, id long, type string, sensor string, src_ip string, dst_ip string"
+    moves = [(i % 2, i, "Lateral Movement", "s1", "10.0.0.1", "10.0.0.2") for i in range(2, 40)]
+    hits = [(1, i, "TI Hit (IP)", "s1", "10.0.0.1", "203.0.113.5") for i in range(50, 60)] + [(0, i, "Malicious JA3", "s1", "10.0.0.1", "203.0.113.5") for i in range(60, 70)]
+    related = spark.createDataFrame(moves + hits, kind)
+    assert [tuple(r) for r in rollups._moves(related).collect()] == [("s1", "10.0.0.1", "10.0.0.2", 0, 2)]
+    assert sorted(tuple(r) for r in rollups._hits(related).collect()) == [("10.0.0.1", "TI hit on C2 destination", 1, 50), ("203.0.113.5", "Malicious JA3 on C2 destination", 0, 60), ("203.0.113.5", "TI hit on C2 destination", 1, 50)]
