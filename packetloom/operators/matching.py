@@ -7,6 +7,7 @@ by nature, but none is broadcast by hint: Spark broadcasts what its statistics p
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import exprs as E
 from packetloom.sources import logs
 
-#: Characters of the pieces by which wildcards are found; a wildcard is filed under pieces of one of these sizes.
+#: Characters of the pieces by which wildcards are found; with a ? for any character inside them, their shapes are few.
 GRAMS = (8, 4, 2, 1)
 
 
@@ -65,14 +66,14 @@ class Listed:
     """A list ready to be matched: its entries by the keys that matching values ask by (``_p``), and which kinds of keys occur.
 
     Exact entries are filed under their spelling, ranges under their prefix, wildcards under a piece of
-    theirs (``_like``: what a value that asks for it must be like). The kinds are found by one job over the
-    list: at most 33 and 129 lengths of ranges, and the sizes of pieces. A list that is matched more than
-    once is made ready once and passed on; its keys stay cached until ``close``.
+    theirs (``_like``: what a value that asks for it must be like). Equal entries are filed once. The kinds are found
+    by one job over the list, and one more over its wildcards: at most 33 and 129 lengths of ranges, and the shapes of
+    pieces, 71 at most. A list that is matched more than once is made ready once and passed on; its keys stay cached until ``close``.
     """
 
     keys: DataFrame
     lengths: tuple[tuple[int, int], ...]
-    grams: tuple[int, ...]
+    shapes: tuple[str, ...]
     columns: tuple[str, ...]
 
     def close(self) -> None:
@@ -82,19 +83,22 @@ class Listed:
 def listed(entries: DataFrame | Listed) -> Listed:
     if isinstance(entries, Listed):
         return entries
-    rows, columns = typed(entries), entries.columns
+    rows, columns = typed(entries).distinct(), entries.columns
     family = F.when(F.contains("_v", F.lit(":")), 6).otherwise(4)
     length = F.when(F.col("_kind") == "cidr", F.struct(family, F.get(F.split("_v", "/"), 1).cast("int")))
-    glob = F.lower(F.trim("value"))
-    found = rows.agg(F.collect_set(length), F.collect_set(F.when(F.col("_kind") == "glob", _gram_size(glob)))).first()
-    lengths, grams = tuple(sorted((f, n) for f, n in found[0] if n is not None)), tuple(sorted(found[1]))
+    found = rows.agg(F.collect_set(length), F.coalesce(F.bool_or(F.col("_kind") == "glob"), F.lit(False))).first()
+    lengths, shapes = tuple(sorted((f, n) for f, n in found[0] if n is not None)), ()
     like = F.lit(None).cast("string").alias("_like")
     keys = rows.filter(F.col("_kind").isin("ip", "text")).select(F.concat(F.lit("="), F.col("_v")).alias("_p"), like, *columns)
     if lengths:
         keys = keys.union(with_prefix(rows.filter(F.col("_kind") == "cidr")).select("_p", like, *columns))
-    if grams:
-        keys = keys.union(glob_keys(rows.filter(F.col("_kind") == "glob").withColumn("_glob", glob), grams).select("_p", "_like", *columns))
-    return Listed(keys.persist(), lengths, grams, tuple(columns))
+    if found[1]:  # neither an address nor a range has a * or ?, so wildcards are told apart by it alone
+        globs = entries.filter(F.trim("value").rlike(r"[*?]")).distinct()
+        keys = keys.union(glob_keys(globs.withColumn("_glob", F.lower(F.trim("value")))).select("_p", "_like", *columns))
+    keys = keys.persist()
+    if found[1]:
+        shapes = tuple(sorted(keys.filter("_like IS NOT NULL").agg(F.collect_set(F.regexp_extract("_p", r"^[#?]*", 0))).first()[0]))
+    return Listed(keys, lengths, shapes, tuple(columns))
 
 
 def value_keys(value: Column | str, lengths: Sequence[tuple[int, int]]) -> Column:
@@ -107,39 +111,44 @@ def value_keys(value: Column | str, lengths: Sequence[tuple[int, int]]) -> Colum
     return E.let(E.canonical(value), keys)
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """The distinct pieces of a size in a text; size 0: the empty one, which every text has."""
+def _pieces(text: Column, shape: str) -> Column:
+    """The distinct pieces of a shape in a text, with ? where the shape has it; the empty shape: the empty piece, which every text has."""
+    size = len(shape)
     if not size:
         return F.array(F.lit(""))
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    plain = [(m.start(), m.end()) for m in re.finditer("#+", shape)]
 
+    def piece(i: Column) -> Column:
+        parts, at = [], 0
+        for start, end in plain:
+            parts += [F.lit("?" * (start - at))] * (start > at) + [F.substring(text, i + start, F.lit(end - start))]
+            at = end
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-def _longest(glob: Column) -> Column:
-    """A wildcard's longest stretch of plain characters, the first of equal ones."""
-    return F.array_max(F.transform(F.split(glob, r"[*?]"), lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), piece))).otherwise(F.array().cast("array<string>"))
 
 
-def _gram_size(glob: Column) -> Column:
-    n, out = F.length(_longest(glob)), F.lit(0)
-    for size in sorted(GRAMS):
-        out = F.when(n >= size, size).otherwise(out)
-    return out
+def _windows(glob: Column) -> Column:
+    """A wildcard's pieces of all sizes, between its *, that begin and end with a plain character; ? inside them stands for any."""
+
+    sized = lambda part, size: F.transform(F.sequence(F.lit(1), F.length(part) - size + 1), lambda i: F.substring(part, i, size))
+    windows = lambda part: F.flatten(F.transform(F.filter(F.array(*map(F.lit, GRAMS)), lambda size: size <= F.length(part)), lambda size: sized(part, size)))
+    own = F.filter(F.flatten(F.transform(F.split(glob, r"\*"), windows)), lambda x: ~x.startswith("?") & ~x.endswith("?"))
+    return F.when(F.size(own) > 0, F.array_distinct(own)).otherwise(F.array(F.lit("")))
 
 
-def glob_keys(globs: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """Wildcards (``_glob``, ...) with ``_p``, the piece of their longest plain stretch that the fewest of them have, and ``_like``.
+def glob_keys(globs: DataFrame) -> DataFrame:
+    """Wildcards (``_glob``, ...) with ``_p``, that of their pieces that the fewest of them have behind its shape, and ``_like``.
 
-    A value can match only wildcards whose piece it holds. Those without any plain character are filed
-    under the empty piece.
+    A value can match only wildcards whose piece it holds. Of equally rare pieces one without ? counts, then a
+    longer one. Wildcards without any plain character are filed under the empty piece.
     """
-    each = globs.select("_glob").distinct().withColumns({"_size": _gram_size(F.col("_glob")), "_long": _longest(F.col("_glob"))})
-    own = F.array(F.lit(""))
-    for size in sizes:
-        own = F.when(F.col("_size") == size, _pieces(F.col("_long"), size)).otherwise(own)
-    held = each.select("_glob", "_size", F.explode(own).alias("_piece"))
-    counts = held.groupBy("_size", "_piece").agg(F.count("*").alias("_n"))
-    best = held.join(counts, ["_size", "_piece"]).groupBy("_glob").agg(F.min(F.struct("_n", "_size", "_piece")).alias("_b"))
-    keyed = best.select("_glob", F.concat_ws("|", F.col("_b._size").cast("string"), "_b._piece").alias("_p"), glob_like(F.col("_glob")).alias("_like"))
+    held = globs.select("_glob").distinct().select("_glob", F.explode(_windows(F.col("_glob"))).alias("_piece"))
+    counts = held.groupBy("_piece").agg(F.count("*").alias("_n"))
+    rank = F.struct("_n", F.length(F.regexp_replace("_piece", r"[^?]", "")).alias("any"), (-F.length("_piece")).alias("size"), "_piece")
+    best = held.join(counts, "_piece").groupBy("_glob").agg(F.min(rank).alias("_b"))
+    shape = F.regexp_replace("_b._piece", r"[^?]", "#")
+    keyed = best.select("_glob", F.concat_ws("|", shape, F.col("_b._piece")).alias("_p"), glob_like(F.col("_glob")).alias("_like"))
     return globs.join(keyed, "_glob")
 
 
@@ -151,8 +160,8 @@ def glob_like(glob: Column) -> Column:
 def asked(value: Column | str, ready: Listed) -> Column:
     """All keys that a value asks a list by."""
     low = F.lower(E.col(value))
-    filed = lambda size: F.transform(_pieces(low, size), lambda x: F.concat(F.lit(f"{size}|"), x))
-    return F.concat(value_keys(value, ready.lengths), *(filed(size) for size in ready.grams))
+    filed = lambda shape: F.transform(_pieces(low, shape), lambda x: F.concat(F.lit(f"{shape}|"), x))
+    return F.concat(value_keys(value, ready.lengths), *(filed(shape) for shape in ready.shapes))
 
 
 def fits(value: Column | str) -> Column:
@@ -171,7 +180,9 @@ def matches(values: DataFrame, column: str, entries: DataFrame | Listed) -> Data
     own = values.select(column).filter(F.col(column).isNotNull()).distinct()
     keep = [c for c in ready.columns if c != column]
     met = own.withColumn("_p", F.explode(asked(column, ready))).join(ready.keys.select("_p", "_like", *keep), "_p")
-    return met.filter(fits(column)).select(column, *keep).distinct()
+    out = met.filter(fits(column)).select(column, *keep)
+    # An entry has one key, and a value asks by each once: pairs are distinct unless a column of the entries is left out.
+    return out if column not in ready.columns else out.distinct()
 
 
 def side_matches(findings: DataFrame, entries: DataFrame | Listed, sides: Sequence[str] = ("src_ip", "dst_ip")) -> DataFrame:
