@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions import exprs as E
 from packetloom.operators import matching
 
 #: What looks like an address or a dotted name, and the ranges that are internal everywhere.
@@ -13,19 +14,21 @@ NAME = r"(?i)\b(?:[a-z0-9_-]+\.)+[a-z0-9_-]+\b"
 INTERNAL = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "127.0.0.0/8", "fc00::/7", "fe80::/10", "::1/128")
 
 
-def redacted(texts: DataFrame, id_: str = "id", text: str = "text", ranges: DataFrame | None = None, domains: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def redacted(texts: DataFrame, id_: str = "id", text: str = "text", ranges: DataFrame | None = None, domains: DataFrame | None = None, spelled: bool = False) -> tuple[DataFrame, DataFrame]:
     """Texts whose internal addresses and host names are HOST_n tokens of their document, and the tokens (id, value, token).
 
     ``ranges`` (value) are further internal ranges or addresses; ``domains`` (value) the internal domains, of
     any number: names are only looked for where they are given, whole names at or below a domain. Tokens count
     in the order of appearance, addresses before names; a value has one token in its document. What looks
-    like an address but can't be read stays.
+    like an address but can't be read stays; with ``spelled`` it goes too where it begins like an internal one.
     """
     spark = texts.sparkSession
     nets = spark.createDataFrame([(n,) for n in INTERNAL], "value string")
     nets = nets if ranges is None else nets.union(ranges.select("value"))
     found = _found(texts, id_, text, ADDRESS)
     inside = matching.matches(found, "shown", nets).select("shown").distinct()
+    if spelled:
+        inside = inside.union(found.filter(E.is_private("shown") & ~E.is_ip("shown")).select("shown").distinct())
     none = texts.select(F.col(id_)).limit(0).withColumn("n", F.lit(0).cast("long"))
     tokens = _numbered(found.join(inside, "shown"), id_, none)
     out = _replaced(texts, id_, text, ADDRESS, tokens)

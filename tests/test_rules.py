@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.config import Config
+from packetloom.functions import exprs as E
 from packetloom.operators import detect, matching, merge, names, reports, rollups
+from packetloom.sources import redact
 
 NOW = "2026-06-08 10:00:00"
 FINDING = (
@@ -379,3 +381,21 @@ def test_wildcards_are_filed_under_their_rarest_piece_with_any_characters_in_it(
     want = {(x, g) for x in texts for g in ends + odd if re.fullmatch("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in g.lower()), x.lower())}
     got = matching.matches(spark.createDataFrame([(x,) for x in texts], "name string"), "name", ready).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_addresses_out_of_range_count_by_their_spelling_where_a_query_asks_for_it(spark, tmp_path):
+    import __spark_entry__
+
+    duckdb = pytest.importorskip("duckdb")
+    duck, at = duckdb.connect(), str(tmp_path)
+    for t in ("events", "nation"):
+        duck.sql(f"COPY (SELECT * {'REPLACE (user_id + 70000 AS user_id)' if t == 'events' else ''} FROM '/root/testdata/sf0.001/{t}.parquet') TO '{at}/{t}.parquet'")
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    for name in ("pred_direction", "export_triage_lines", "red_pseudonyms", "red_names"):
+        df = __spark_entry__.queries()[name](spark, at)
+        want = duck.sql(f"SELECT {', '.join(df.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+        assert sorted(tuple(r) for r in df.collect()) == sorted(want) and want, name
+    bad = spark.createDataFrame([(1, "10.0.300.5", "8.8.8.8", "10.0.300.5 to 8.8.300.8")], "id int, src string, dst string, text string")
+    assert bad.filter(E.direction_is("src", "dst", "outbound")).count() == 0
+    assert redact.redacted(bad.select("id", "text"))[0].first().text == "10.0.300.5 to 8.8.300.8"
+    assert redact.redacted(bad.select("id", "text"), spelled=True)[0].first().text == "HOST_1 to 8.8.300.8"
