@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.config import DEFAULT, Config
 from packetloom.functions import exprs as E
-from packetloom.operators import detect, matching, order, stats
+from packetloom.operators import detect, matching, order, shape, stats
 from packetloom.sources.scratch import written
 
 
@@ -21,34 +21,32 @@ def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: s
     outgrows a row.
     """
     keys = list(keys)
-    rows = stats.blocked(df.select(*keys, F.col(ts).alias("_ts"), F.col(bytes_).cast("double").alias("_bytes")), keys, "_ts", least)
-    share = F.pmod(F.xxhash64("_ts", "_bytes"), F.lit(1 << 20)) / float(1 << 20)
-    rows = rows.withColumn("_in", (F.col("n") <= cfg.series_sample) | (share < cfg.series_sample / F.col("n"))).withColumn("_bucket", F.when(F.col("iv").isNotNull(), stats._bucket(F.col("iv"))))
-    series = rows.groupBy(*keys, "n", "first", "last").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_in"), F.col("iv")))).alias("ivs"),
-        F.array_sort(F.collect_list(F.when(F.col("_in") & (F.col("_bytes") > 0), F.col("_bytes")))).alias("sizes"),
-        F.count("iv").alias("gaps"),
-        F.avg("iv").alias("mean_iv"),
-        F.stddev_pop("iv").alias("sd_iv"),
-        *(F.count_if(F.col("_bucket") == b).cast("int").alias(f"_b{b}") for b in range(stats.BUCKETS)),
-    )
-    series = series.filter("gaps >= 3").join(stats.capture_window(df, keys[0], ts), keys[0])
-    hours = stats.hourly(df.select(*keys, ts), keys, ts)
-    spans = series.select(*keys, "first", "last", "win_min", "win_max")
-    out = series.join(stats.daily_rhythm(hours, keys), keys).join(stats.persistence(hours, spans, keys, cfg), keys)
-    iv, counts = F.col("ivs"), F.array(*(F.col(f"_b{b}") for b in range(stats.BUCKETS)))
+    rows = df.select(*keys, F.col(ts).alias("_ts"), F.col(bytes_).cast("double").alias("_bytes"))
+    real = F.when(F.col("_ts") > 0, F.col("_ts"))
+    counted = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(real).alias("win_min"), F.max(real).alias("win_max")), "counted")
+    windows = written(counted.groupBy(keys[0]).agg(F.min("win_min").alias("win_min"), F.max("win_max").alias("win_max")).filter("win_min IS NOT NULL"), "windows")
+    busy = written(counted.filter(F.col("n") > cfg.series_sample).select(*keys), "busy")
+    rows = rows.dropna(subset=keys)
+    if busy.isEmpty():
+        series, hours = _series(_whole(rows, keys), keys, least), stats.hourly(rows, keys, "_ts", dealt=True)
+    else:
+        few, many = rows.join(busy, keys, "left_anti"), rows.join(busy, keys, "left_semi")
+        series = _series(_whole(few, keys), keys, least).unionByName(_series(_sampled(many, keys, least, cfg), keys, least))
+        hours = stats.hourly(few, keys, "_ts", dealt=True).unionByName(stats.hourly(many, keys, "_ts"))
+    out = series.join(stats.daily_rhythm(hours, keys), keys).join(stats.recent_runs(hours, windows, keys, cfg), keys, "left").join(windows, keys[0])
+    out = shape.shaped(out.withColumn("dur_score", stats.persistence(cfg)).drop("bars", "longest", "win_min", "win_max"))
     out = out.select(
         *keys,
         "n",
         "first",
         "last",
         "mean_iv",
-        stats.median(iv).alias("median_iv"),
+        "median_iv",
         (F.col("sd_iv") / F.col("mean_iv")).alias("cv"),
-        stats.regularity(iv, 1.0).alias("ts_raw"),
-        stats.multimodal(iv, counts).alias("ts_mm"),
-        stats.concentration(iv, counts, F.col("gaps")).alias("ts_ent"),
-        F.when(F.size("sizes") >= 3, stats.regularity(F.col("sizes"), 0.0)).otherwise(0.0).alias("ds_score"),
+        F.round("_raw", 3).alias("ts_raw"),
+        F.col("_mm").alias("ts_mm"),
+        F.when(F.col("held") >= 6, stats.concentration(F.col("counts"), F.col("gaps"))).otherwise(0.0).alias("ts_ent"),
+        F.round("_ds", 3).alias("ds_score"),
         "hist_score",
         "dur_score",
     )
@@ -56,13 +54,44 @@ def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: s
     return out.withColumn("conf", stats.confidence(F.col("n"), least, cfg))
 
 
+def _whole(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of keys that fit into a task, with the interval before each: dealt out by key once, for the intervals and for what follows."""
+    gap = F.col("_ts") - F.lag("_ts").over(Window.partitionBy(*keys).orderBy("_ts"))
+    return rows.withColumns({"iv": F.when(gap > 0, gap), "_in": F.col("_ts").isNotNull()})
+
+
+def _sampled(rows: DataFrame, keys: Sequence[str], least: int, cfg: Config) -> DataFrame:
+    """Rows of busy keys, dealt out by key and block of time, with those marked that the order statistics are over."""
+    share = F.pmod(F.xxhash64("_ts", "_bytes"), F.lit(1 << 20)) / float(1 << 20)
+    return stats.blocked(rows, keys, "_ts", least).withColumn("_in", share < cfg.series_sample / F.col("n"))
+
+
+def _series(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """One row per key with at least three intervals: figures over all of them, and the values that the order statistics are over."""
+    blocked = "n" in rows.columns  # then records without a time are counted, but not among the rows
+    rows = rows.withColumn("_bucket", F.when(F.col("iv").isNotNull(), stats._bucket(F.col("iv"))))
+    ends = [] if blocked else [F.count("*").alias("n"), F.min("_ts").alias("first"), F.max("_ts").alias("last")]
+    out = rows.groupBy(*keys, *(["n", "first", "last"] if blocked else [])).agg(
+        *ends,
+        F.collect_list(F.when(F.col("_in") & F.col("iv").isNotNull(), F.struct("iv", "_bucket"))).alias("ivs"),
+        F.collect_list(F.when(F.col("_in") & (F.col("_bytes") > 0), F.col("_bytes"))).alias("sizes"),
+        F.count("iv").alias("gaps"),
+        F.avg("iv").alias("mean_iv"),
+        F.stddev_pop("iv").alias("sd_iv"),
+        *(F.count_if(F.col("_bucket") == b).cast("int").alias(f"_b{b}") for b in range(stats.BUCKETS)),
+    )
+    buckets = [f"_b{b}" for b in range(stats.BUCKETS)]
+    out = out.filter((F.col("n") >= least) & (F.col("gaps") >= 3))
+    return out.withColumns({"counts": F.array(*buckets), "held": F.size("ivs")}).drop(*buckets)
+
+
 def exact(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", bytes_: str = "orig_bytes", least: int = 4, cfg: Config = DEFAULT) -> DataFrame:
     """``profile`` with the order statistics of its busy keys over all their records instead of a sample (STAT-2, 3, 13).
 
     Only keys over ``cfg.series_sample`` records are looked at again; the others are exact already. Nothing of a
     key is gathered or sorted (``order``), whatever its size.
     """
-    keys = list(keys)
+    keys, profiled = list(keys), written(profiled, "profiled")
     busy = written(profiled.filter(F.col("n") > cfg.series_sample).select(*keys), "busy")
     if busy.isEmpty():
         return profiled
@@ -86,7 +115,7 @@ def annotated(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor
 
     ``spectral_blocked``: the only strong peak was implausible.
     """
-    keys = list(keys)
+    keys, profiled = list(keys), written(profiled, "profiled")
     weak = profiled.filter((F.col("ts_score") < cfg.spectral_rescue) & (F.col("n") >= cfg.spectral_min_observations))
     found = stats.periodicity(df, keys, ts, cfg=cfg, gated=weak).select(*keys, "period", "spectral_score", "dominant_period")
     out = profiled.join(found, keys, "left")
@@ -144,7 +173,7 @@ def without_strobes(profiled: DataFrame, strobe_keys: DataFrame) -> DataFrame:
 
 def with_tls(beacons: DataFrame, conn: DataFrame, ssl: DataFrame, most: int = 32) -> DataFrame:
     """First non-empty SNI and first JA3 (with its JA4) of a beacon's connections in time order (JOIN-1, DET-5)."""
-    keys = ["sensor", "src", "dst"]
+    keys, beacons = ["sensor", "src", "dst"], written(beacons, "beacons")
     last = Window.partitionBy("uid").orderBy(F.desc("ts"))
     one = ssl.withColumn("_r", F.row_number().over(last)).filter("_r = 1").select("uid", "server_name", "ja3", *(["ja4"] if "ja4" in ssl.columns else []))
     if "ja4" not in one.columns:
@@ -164,7 +193,8 @@ def with_tls(beacons: DataFrame, conn: DataFrame, ssl: DataFrame, most: int = 32
 def channels(conn: DataFrame, ssl: DataFrame, blend: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Connections of one pair split by JA3: channels that score above the pair's blend (DET-4)."""
     keys = ["sensor", "src", "dst"]
-    split = conn.join(ssl.filter(F.coalesce("ja3", F.lit("")) != "").select("uid", "ja3").distinct(), "uid")
+    split = conn.select("uid", *keys, "ts", "orig_bytes").join(ssl.filter(F.coalesce("ja3", F.lit("")) != "").select("uid", "ja3").distinct(), "uid")
+    split = written(split, "split")  # read several times
     several = split.groupBy(*keys).agg(F.countDistinct("ja3").alias("k")).filter("k >= 2").select(*keys)
     each = scored(profile(split.join(several, keys, "left_semi"), [*keys, "ja3"], cfg=cfg)).withColumnRenamed("ja3", "channel")
     base = blend.filter(F.col("type") == "Beacon").select(*keys, F.col("score").alias("blend_score"))
@@ -177,6 +207,7 @@ def http_beacons(http: DataFrame, cfg: Config = DEFAULT, prevalence: DataFrame |
     rows = http.filter(F.coalesce("host", F.lit("")) != "")
     if "orig_bytes" not in rows.columns:
         rows = rows.withColumn("orig_bytes", F.lit(0.0))
+    rows = written(rows.select(*keys, "ts", "orig_bytes"), "requests")  # read several times
     found = scored(annotated(profile(rows, keys, least=cfg.http_beacon_min_requests, cfg=cfg), rows, keys, cfg=cfg), prevalence, boost=False)
     found = found.filter(F.col("score") >= cfg.beacon_min_score)
     detail = F.format_string(
@@ -196,6 +227,7 @@ def dns_beacons(dns: DataFrame, cfg: Config = DEFAULT, allowed: DataFrame | None
     rows = detect.dns_rows(dns, suffixes).filter(F.coalesce("rcode", F.lit("")) != "NXDOMAIN").filter(~E.is_cdn(F.concat(F.lit("."), F.col("apex")))).withColumn("orig_bytes", F.lit(0.0))
     if allowed is not None:
         rows = rows.join(matching.matches(rows, "apex", allowed).select("apex").distinct(), "apex", "left_anti")
+    rows = written(rows.select(*keys, "ts", "orig_bytes"), "answered")  # read several times
     profiled = annotated(profile(rows, keys, least=cfg.dns_beacon_min_queries, cfg=cfg), rows, keys, cfg=cfg)
     found = dns_scored(profiled, detect.subdomains(dns, suffixes).select(*keys, "n_subs"), cfg)
     detail = F.format_string(

@@ -34,7 +34,10 @@ def at_ranks(rows: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame,
     found = state.filter("_lo = _hi").select(*keys, "slot", F.col("_lo").alias("value"))
     while True:
         small = state.filter(f"_lo < _hi AND _n <= {few}")
-        listed = rows.join(small, keys).filter("_v BETWEEN _lo AND _hi").groupBy(*keys, "slot", "rank").agg(F.array_sort(F.collect_list("_v")).alias("_vs"))
+        # Slots that share their bounds share a list.
+        spans = small.select(*keys, "_lo", "_hi").distinct()
+        listed = rows.join(spans, keys).filter("_v BETWEEN _lo AND _hi").groupBy(*keys, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+        listed = small.join(listed, [*keys, "_lo", "_hi"])
         found = found.union(written(listed.select(*keys, "slot", F.get("_vs", F.col("rank").cast("int")).alias("value")), "values"))
         large = state.filter(f"_lo < _hi AND _n > {few}")
         if large.isEmpty():

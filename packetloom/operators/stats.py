@@ -134,22 +134,28 @@ def multimodal(xs: Column, counts: Column | None = None) -> Column:
     return F.when(F.size(xs) >= 6, let(let(_counts(xs) if counts is None else counts, peaks_of), of)).otherwise(0.0)
 
 
-def concentration(xs: Column, counts: Column | None = None, total: Column | None = None) -> Column:
-    """1 - entropy over the logarithmic buckets, scaled down where the fullest bucket is wide; 0 below six intervals."""
+def concentration(counts: Column, total: Column) -> Column:
+    """1 - entropy over the logarithmic buckets of ``total`` intervals, scaled down where the fullest bucket is wide."""
 
     def of(counts: Column) -> Column:
-        n = (F.size(xs) if total is None else total).cast("double")
+        n = total.cast("double")
         bits = F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0))
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - bits / math.log2(BUCKETS)))
         top = F.array_position(counts, F.array_max(counts)).cast("int") - 1
         return F.when(top >= 8, score * 128.0 / F.pow(F.lit(2.0), top)).otherwise(score)
 
-    return F.when(F.size(xs) >= 6, let(_counts(xs) if counts is None else counts, of)).otherwise(0.0)
+    return let(counts, of)
 
 
-def hourly(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Records per key and absolute hour: what the daily and the persistence score rest on, dealt out by key once for both."""
-    return df.groupBy(*keys, F.floor(F.col(ts) / 3600).alias("hour")).agg(F.count("*").alias("n")).repartition(*keys)
+def hourly(df: DataFrame, keys: Sequence[str], ts: str = "ts", dealt: bool = False) -> DataFrame:
+    """Records per key and absolute hour: what the daily and the persistence score rest on, dealt out by key once for both.
+
+    With ``dealt`` rows are dealt out by key at once, which is right where a key has few records an hour and fits into a task.
+    """
+    rows = df.select(*keys, F.floor(F.col(ts) / 3600).alias("hour"))
+    if dealt:
+        return rows.repartition(*keys).groupBy(*keys, "hour").agg(F.count("*").alias("n"))
+    return rows.groupBy(*keys, "hour").agg(F.count("*").alias("n")).repartition(*keys)
 
 
 def daily_rhythm(hours: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -172,21 +178,25 @@ def capture_window(df: DataFrame, sensor: str = "sensor", ts: str = "ts") -> Dat
     return df.filter(F.col(ts) > 0).groupBy(sensor).agg(F.min(ts).alias("win_min"), F.max(ts).alias("win_max"))
 
 
-def persistence(hours: DataFrame, spans: DataFrame, keys: Sequence[str], cfg: Config = DEFAULT, least_bars: int = 6) -> DataFrame:
-    """``dur_score``: coverage of the recent window or the longest run of its 24 bins.
+def _begin(cfg: Config) -> Column:
+    return F.greatest("win_min", F.col("win_max") - cfg.persistence_days * 86400)
 
-    ``spans`` has keys, first, last, win_min and win_max per key.
-    """
-    begin = F.greatest("win_min", F.col("win_max") - cfg.persistence_days * 86400)
-    h = hours.join(spans.withColumn("begin", begin), list(keys))
+
+def recent_runs(hours: DataFrame, windows: DataFrame, keys: Sequence[str], cfg: Config = DEFAULT) -> DataFrame:
+    """(keys, bars, longest): how many of the recent window's 24 bins a key is in, and its longest run of them; ``windows`` per first key."""
+    h = hours.join(windows.withColumn("begin", _begin(cfg)).filter(F.col("win_max") > F.col("begin")), keys[0])
     place = (F.col("hour") * 3600.0 - F.col("begin")) / (F.col("win_max") - F.col("begin")) * 24
-    bins = h.filter(F.col("win_max") > F.col("begin")).select(*keys, F.greatest(F.lit(0), F.least(F.lit(23), place.cast("int"))).alias("bin")).distinct()
+    bins = h.select(*keys, F.greatest(F.lit(0), F.least(F.lit(23), place.cast("int"))).alias("bin")).distinct()
     island = bins.withColumn("run", F.col("bin") - F.row_number().over(Window.partitionBy(*keys).orderBy("bin")))
-    runs = island.groupBy(*keys, "run").agg(F.count("*").alias("len")).groupBy(*keys).agg(F.sum("len").alias("bars"), F.max("len").alias("longest"))
-    out = spans.withColumn("begin", begin).join(runs, list(keys), "left")
-    coverage = F.least(F.lit(1.0), (F.col("last") - F.greatest("first", "begin")) / (F.col("win_max") - F.col("begin")))
+    return island.groupBy(*keys, "run").agg(F.count("*").alias("len")).groupBy(*keys).agg(F.sum("len").alias("bars"), F.max("len").alias("longest"))
+
+
+def persistence(cfg: Config = DEFAULT, least_bars: int = 6) -> Column:
+    """``dur_score``, of first, last, win_min, win_max, bars and longest: coverage of the recent window or the longest run of its bins."""
+    begin = _begin(cfg)
+    coverage = F.least(F.lit(1.0), (F.col("last") - F.greatest(F.col("first"), begin)) / (F.col("win_max") - begin))
     score = F.greatest(coverage, F.least(F.lit(1.0), F.col("longest") / 12.0))
-    return out.select(*keys, F.when(F.coalesce("bars", F.lit(0)) < least_bars, 0.0).otherwise(score).alias("dur_score"))
+    return F.when(F.coalesce("bars", F.lit(0)) < least_bars, 0.0).otherwise(score)
 
 
 def confidence(n: Column, least: int, cfg: Config = DEFAULT) -> Column:
@@ -234,13 +244,24 @@ def periodicity(df: DataFrame, keys: Sequence[str], ts: str = "ts", grid: int =
         x = omega * window / 2
         flat = n * np.sin(x) / x  # an even spread over the window has these sums
         c, s = -flat * np.cos(x), -flat * np.sin(x)
+        # A rough power first, in single precision after whole turns are taken off: it is off by far less than n / 10 000,
+        # so only periods that near to the largest can have it, and these few are done in double.
+        power = np.zeros(grid)
+        rough_c, rough_s = c.copy(), s.copy()
         for at in range(0, n, 500):
-            angle = t[at : at + 500, None] * omega
-            c += np.cos(angle).sum(0)
-            s += np.sin(angle).sum(0)
-        power = (c * c + s * s) / n
+            turns = t[at : at + 500, None] / period
+            angle = ((turns - np.rint(turns)) * (2 * np.pi)).astype(np.float32)
+            rough_c += np.cos(angle).sum(0, dtype=np.float64)
+            rough_s += np.sin(angle).sum(0, dtype=np.float64)
+        rough = (rough_c * rough_c + rough_s * rough_s) / n
+        fitting = (period >= median / 5) & (period <= window / 3)
+        near = rough >= rough.max() - 1e-4 * n
+        if fitting.any():
+            near |= fitting & (rough >= rough[fitting].max() - 1e-4 * n)
+        angle = t[:, None] * omega[near]
+        power[near] = ((c[near] + np.cos(angle).sum(0)) ** 2 + (s[near] + np.sin(angle).sum(0)) ** 2) / n
         best = int(power.argmax())
-        fits = np.flatnonzero((period >= median / 5) & (period <= window / 3))
+        fits = np.flatnonzero(fitting & near)
         if not len(fits):
             return (n, median, None, None, 0.0, *((period[best], power[best]) if power[best] >= threshold else (None, None)))
         own = int(fits[power[fits].argmax()])
