@@ -36,6 +36,8 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE
 
 #: Characters of text that are split into words at once, and words kept encoded between chunks.
 CHUNK_CHARS, MEMO_WORDS = 1 << 22, 400_000
+#: Words that are merged in one array, so that what a chunk needs beside the memo has a bound of its own.
+AT_ONCE = 1 << 15
 #: Ranks below this are applied to their lists as arrays.
 LONG_LISTS = 2500
 
@@ -55,7 +57,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A vocabulary of the tokenizers library's JSON form: byte-level symbols, BPE with a word-end suffix."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, memo_words: int = MEMO_WORDS) -> None:
         from tokenizers import Tokenizer
 
         said = json.loads(spec)
@@ -83,6 +85,7 @@ class Bpe:
         self.tokens = [""] * (max([*vocab.values(), *self._special.values()]) + 1)
         for token, i in [*vocab.items(), *self._special.items()]:
             self.tokens[i] = token
+        self._memo_words = memo_words
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}  # the memo before the present one; what is used again moves over
 
@@ -212,7 +215,7 @@ class Bpe:
 
     def _encode(self, chunk: list[list[str]]) -> Iterator[bytes]:
         memo = self._memo
-        if len(memo) > MEMO_WORDS:
+        if len(memo) > self._memo_words:
             self._older, self._memo = memo, (memo := {})
         new = set().union(*chunk).difference(memo)
         memo.update((w, self._older[w]) for w in new & self._older.keys())
@@ -220,8 +223,9 @@ class Bpe:
         for w in [w for w in new if w[0] == "\0" and w[1:] in self._special]:
             memo[w] = int(self._special[w[1:]]).to_bytes(4, "little")
             new.discard(w)
-        if new:
-            memo.update(zip(words := list(new), self._apply(words)))
+        words = list(new)
+        for at in range(0, len(words), AT_ONCE):
+            memo.update(zip(part := words[at : at + AT_ONCE], self._apply(part)))
         get = memo.__getitem__
         for words in chunk:
             yield b"".join(map(get, words))
@@ -238,9 +242,9 @@ def _to_byte() -> dict[str, int]:
 
 
 @lru_cache(2)
-def load(spec: str) -> Bpe:
+def load(spec: str, memo_words: int = MEMO_WORDS) -> Bpe:
     """One vocabulary in each Python worker."""
-    return Bpe(spec)
+    return Bpe(spec, memo_words)
 
 
 def spec_of(path: str) -> str:

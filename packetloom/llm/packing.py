@@ -22,6 +22,7 @@ gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -42,27 +43,51 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     """The items of each window, by multiway differencing.
 
     A partial partition is kept as its loaded windows only, lightest first; windows without a load
-    are implied, so the first merges are cheap.
+    are implied, so the first merges are cheap. Nearly all merges have a single item on one side: it is put in
+    its place, and only partitions of several windows on both sides are sorted. What a window holds is kept as
+    a tree, so no list of items is copied on the way.
     """
     if windows == 1:
         return [list(range(len(sizes)))]
-    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
+    heap: list[tuple[int, int, list[int], list]] = [(-s, i, [s], [i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     fresh = len(heap)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        if (over := len(a) + len(b) - windows) > 0:  # so many windows of both get a load from each
-            merged = [(a[i][0] + b[over - 1 - i][0], a[i][1] + b[over - 1 - i][1]) for i in range(over)]
-            rest = a[over:] + b[over:]
+        _, _, a, held = heapq.heappop(heap)
+        _, _, b, more = heap[0]
+        over = len(a) + len(b) - windows  # so many windows of both get a load from each
+        if len(a) == 1 or len(b) == 1:
+            lone = len(b) == 1
+            load, node = (b[0], more[0]) if lone else (a[0], held[0])
+            loads, nodes = (a, held) if lone else (b, more)
+            if over > 0:
+                load, below = load + loads.pop(0), nodes.pop(0)
+                node = (below, node) if lone else (node, below)
+            at = bisect_right(loads, load) if lone and over <= 0 else bisect_left(loads, load)
+            loads.insert(at, load)
+            nodes.insert(at, node)
         else:
-            merged, rest = [], a + b
-        loads = sorted(merged + rest, key=lambda x: x[0])
-        low = loads[0][0] if len(loads) == windows else 0
-        heapq.heappush(heap, (low - loads[-1][0], fresh, loads))
+            over = max(0, over)
+            loads = [a[i] + b[over - 1 - i] for i in range(over)] + a[over:] + b[over:]
+            nodes = [(held[i], more[over - 1 - i]) for i in range(over)] + held[over:] + more[over:]
+            order = sorted(range(len(loads)), key=loads.__getitem__)
+            loads, nodes = [loads[i] for i in order], [nodes[i] for i in order]
+        low = loads[0] if len(loads) == windows else 0
+        heapq.heapreplace(heap, (low - loads[-1], fresh, loads, nodes))
         fresh += 1
-    loads = heap[0][2] if heap else []
-    return [items for _, items in loads] + [[] for _ in range(windows - len(loads))]
+    nodes = heap[0][3] if heap else []
+    return [_items(node) for node in nodes] + [[] for _ in range(windows - len(nodes))]
+
+
+def _items(tree: int | tuple) -> list[int]:
+    """The leaves of a tree of pairs from left to right, however deep it is."""
+    out, ahead = [], [tree]
+    while ahead:
+        if isinstance(x := ahead.pop(), tuple):
+            ahead += (x[1], x[0])
+        else:
+            out.append(x)
+    return out
 
 
 def powers(n: int) -> list[int]:
@@ -103,8 +128,12 @@ def pack_block(sizes: list[int], capacity: int, cut: bool = True) -> list[list[t
     return [window for window, _ in targets]
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, block: int = BLOCK) -> DataFrame:
-    """One row per piece: where it lies in its document, in which sequence, and at which offset."""
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, block: int = BLOCK, memo_words: int = bpe.MEMO_WORDS, at_once: int = 1000) -> DataFrame:
+    """One row per piece: where it lies in its document, in which sequence, and at which offset.
+
+    A worker keeps up to twice ``memo_words`` words encoded and takes ``at_once`` texts at a time: less of either takes less
+    memory and more time, with the same rows.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(bpe.spec_of(path))
     end = int(end_id).to_bytes(4, "little")
 
@@ -114,7 +143,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, bloc
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe.load(spec.value)
+        pa.default_memory_pool().release_unused()  # what the worker's former tasks left
+        model = bpe.load(spec.value, memo_words)
         sequence = TaskContext.get().partitionId() << 40
         rests: list[tuple[int | None, int, bytes, int]] = []  # doc_id, start, ids, tokens of the document
         out: list[tuple] = []
@@ -136,8 +166,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, bloc
             rests[:] = over
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 for doc, ids in zip(part.column("doc_id").to_pylist(), model.encode(part.column("text").to_pylist())):
                     ids += end
                     total = len(ids) // 4

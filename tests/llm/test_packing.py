@@ -95,3 +95,33 @@ def test_blocks_hand_on_what_does_not_fill_a_window(docs):
     assert len(short) <= 11 and len({r.n for r in short}) == len(short)
     check_blocks = packing.pack(one, PATH, block=16)
     assert check_blocks.agg(F.sum("length")).first()[0] == packing.pack(one, PATH).agg(F.sum("length")).first()[0]
+
+
+def test_single_items_are_put_in_place_without_a_sort():
+    class Counted(int):
+        compared = 0
+
+        def __lt__(self, other):
+            Counted.compared += 1
+            return int(self) < int(other)
+
+    draw = random.Random(6)
+    sizes = [draw.randint(1, 2047) for _ in range(600)]
+    windows = packing.difference([Counted(s) for s in sizes], 300)
+    assert Counted.compared < 600 * 20  # before: 300 to a merge
+    assert sorted(i for w in windows for i in w) == list(range(600)) and windows == packing.difference(sizes, 300)
+
+
+def test_fewer_kept_words_and_smaller_batches_make_the_same_rows(docs):
+    one, by = docs.coalesce(1), ("sequence_id", "offset")
+    assert packing.pack(one, PATH, memo_words=50, at_once=7).orderBy(*by).collect() == packing.pack(one, PATH).orderBy(*by).collect()
+
+
+def test_kept_words_have_a_bound(rows):
+    from packetloom.llm import bpe
+
+    model = bpe.Bpe(bpe.spec_of(PATH), memo_words=100)
+    for r in rows[:200]:
+        list(model.encode([r.text]))
+        own = len(set(model.words(r.text or "")))
+        assert len(model._memo) <= 100 + own
