@@ -29,7 +29,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary(), capacity=2048, end_id=1)
+    # The executors' heaps are as large by now as the stages before needed, so the workers keep fewer words.
+    return packing.pack(docs, vocabulary(), capacity=2048, end_id=1, memo_words=60_000, at_once=500)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
