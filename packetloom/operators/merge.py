@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import exprs as E
 from packetloom.functions import values as V
 from packetloom.operators.rollups import fingerprint
+from packetloom.sources.scratch import written
 
 KEPT = ("id", "status", "analyst", "analyst_note", "detected_at")
 
@@ -46,9 +47,11 @@ def merge_run(history: DataFrame, run: DataFrame, now: str, full: bool = True) -
     old = fingerprint(history)
     new = winners(run).drop(*(c for c in (*kept, "is_new") if c in run.columns))
     both = old.select("fp", F.struct(*history.columns).alias("o")).join(new.select("fp", F.struct(*(c for c in new.columns if c != "fp")).alias("n")), "fp", "full")
+    both = written(both, "both")  # the steps below read it a dozen times
     lone = _older_names(both.filter("o IS NULL").select("fp", "n.*")).join(both.filter("n IS NULL").select(F.col("fp").alias("older"), F.col("o").alias("before")), "older")
     first = lone.groupBy("older").agg(F.min(F.struct("try", "fp")).alias("w"), F.first("before").alias("before")).select("older", "w.*", "before")
     taken = first.groupBy("fp").agg(F.min(F.struct("try", "older")).alias("w"), F.min_by("before", F.struct("try", "older")).alias("before")).select("fp", "w.older", "before")
+    taken = written(taken, "taken")
     gone = taken.select(F.col("older").alias("fp"))
     both = both.join(gone, "fp", "left_anti").join(taken.select("fp", "before"), "fp", "left").withColumn("o", F.coalesce("o", "before")).drop("before")
     if full:
@@ -103,7 +106,7 @@ def merge_members(members: DataFrame, run_members: DataFrame, merged: DataFrame,
     row has by now. Roll-ups of the run replace their former members; in a partial run the others keep theirs,
     as long as roll-up and member exist.
     """
-    ids = fingerprint(merged).select("fp", "id")
+    ids = written(fingerprint(merged).select("fp", "id"), "merged-ids")  # read three times
     roll = ids.select(F.col("fp").alias("rollup_fp"), F.col("id").alias("rollup"))
     run = run_members.drop("rollup").join(roll, "rollup_fp")
     fresh = run.filter("NOT historical").drop("member").join(ids.withColumnRenamed("id", "member"), "fp")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import exprs as E
 from packetloom.functions import values as V
+from packetloom.sources.scratch import written
 
 FINGERPRINT = ("type", "src_ip", "dst_ip", "dst_port", "sensor", "hostname", "uri", "channel")
 
@@ -20,7 +21,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
         v = F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
         if c in ("hostname", "uri"):
             v = F.when(F.col("type") == "HTTP Beacon", v).otherwise("")
-        parts.append(F.regexp_replace(v, "\x1f", ""))
+        parts.append(F.replace(v, F.lit("\x1f"), F.lit("")))
     return df.withColumn("fp", F.sha2(F.concat_ws("\x1f", *parts), 256))
 
 
@@ -99,6 +100,7 @@ def correlated(current: DataFrame, history: DataFrame | None = None, least_types
     rows = rows.filter(~F.col("type").isin([*V.ROLLUPS, *UNCORRELATED]) & ~F.coalesce("src_ip", F.lit("")).isin(*NO_SOURCE) & ~F.coalesce("dst_ip", F.lit("")).isin(*NO_DESTINATION) & F.lit(least_types >= 2))
     at = F.when(F.col("timestamp") != "", F.col("timestamp"))
     each = rows.groupBy("fp", *pair, "type").agg(F.max("score").alias("score"), F.min(at).alias("at"), *_member())
+    each = written(each, "correlated-each")  # read for the pairs, for their numbers and for the members
     # Types per pair first: few rows, so a busy pair is summed up before it is shuffled.
     kinds = each.groupBy(*pair, "type").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min("at").alias("first"))
     out = kinds.groupBy(*pair).agg(
@@ -109,6 +111,7 @@ def correlated(current: DataFrame, history: DataFrame | None = None, least_types
     detail = F.format_string("Multi-stage activity on (%s \u2192 %s) \u2014 %s | Contributing findings: %d", "src_ip", "dst_ip", "types", "n_members")
     out = out.withColumns({"score": score, "severity": E.ladder(score, 80, 60, 40), "detail": detail})
     found = numbered(_rollup_row(out, "Correlated Activity"), _top(current)).select("fp", "id", "type", "severity", "score", *pair, "dst_port", "timestamp", "detail", "n_types", "n_members", "types")
+    found = written(found, "correlated")
     members = each.select(*pair, "fp", "member", "historical").join(found.select(*pair, F.col("fp").alias("rollup_fp"), F.col("id").alias("rollup")), pair)
     return Rollup(found, members.select("rollup_fp", "rollup", "fp", "member", "historical"))
 

@@ -416,3 +416,12 @@ def test_counted_contacts_give_the_same_hits(spark):
     assert (rows.count(), groups.count()) == (7, 4)
     plain, fewer = (sorted(map(str, matching.threat_hits(x, listed).collect())) for x in (rows, groups))
     assert plain == fewer and len(plain) == 3
+
+
+def test_a_merge_joins_and_reads_its_tables_once(spark):
+    run, old = findings(spark, beacon(1, "10.0.0.1"), beacon(2, "10.0.0.1", kind="Strobe")), findings(spark, beacon(7, "10.0.0.1"))
+    found = rollups.correlated(run, old)
+    table = merge.merge_run(old, run.unionByName(found.findings.select(*(c for c in found.findings.columns if c in run.columns)), allowMissingColumns=True), NOW)
+    for df, most in ((found.members, 2), (table, 8)):  # what is read for the result alone; before, each step was made anew for each of its readers
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") + plan.count("LogicalRDD") + plan.count("LocalRelation") <= most
