@@ -84,7 +84,8 @@ class Listed:
 def listed(entries: DataFrame | Listed) -> Listed:
     if isinstance(entries, Listed):
         return entries
-    rows, columns = typed(entries).distinct(), entries.columns
+    entries = written(entries.distinct(), "entries")  # read several times; feeds repeat entries, so they are told apart before they are looked at
+    rows, columns = typed(entries), entries.columns
     family = F.when(F.contains("_v", F.lit(":")), 6).otherwise(4)
     length = F.when(F.col("_kind") == "cidr", F.struct(family, F.get(F.split("_v", "/"), 1).cast("int")))
     found = rows.agg(F.collect_set(length), F.coalesce(F.bool_or(F.col("_kind") == "glob"), F.lit(False))).first()
@@ -94,7 +95,7 @@ def listed(entries: DataFrame | Listed) -> Listed:
     if lengths:
         keys = keys.union(with_prefix(rows.filter(F.col("_kind") == "cidr")).select("_p", like, *columns))
     if found[1]:  # neither an address nor a range has a * or ?, so wildcards are told apart by it alone
-        globs = entries.filter(F.trim("value").rlike(r"[*?]")).distinct()
+        globs = entries.filter(F.trim("value").rlike(r"[*?]"))
         keys = keys.union(glob_keys(globs.withColumn("_glob", F.lower(F.trim("value")))).select("_p", "_like", *columns))
     keys = keys.persist()
     if found[1]:

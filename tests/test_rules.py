@@ -425,3 +425,13 @@ def test_a_merge_joins_and_reads_its_tables_once(spark):
     for df, most in ((found.members, 2), (table, 8)):  # what is read for the result alone; before, each step was made anew for each of its readers
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") + plan.count("LogicalRDD") + plan.count("LocalRelation") <= most
+
+
+def test_repeated_entries_are_told_apart_before_their_kind_is_found(spark, monkeypatch):
+    asked = []
+    kept = matching.typed
+    monkeypatch.setattr(matching, "typed", lambda entries, *more: (asked.append(entries.count()), kept(entries, *more))[1])
+    entries = spark.createDataFrame([("203.0.113.0/24", "f"), ("198.51.100.1", "f"), ("*.example.net", "g")] * 200, "value string, feed string")
+    ready = matching.listed(entries)
+    assert asked == [3] and ready.keys.count() == 3  # before: 600
+    ready.close()
