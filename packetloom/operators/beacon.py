@@ -28,13 +28,13 @@ def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: s
     busy = written(counted.filter(F.col("n") > cfg.series_sample).select(*keys), "busy")
     rows = rows.dropna(subset=keys)
     if busy.isEmpty():
-        series, hours = _series(_whole(rows, keys), keys, least), stats.hourly(rows, keys, "_ts", dealt=True)
+        series = _series(_whole(rows, keys), keys, least)
     else:
         few, many = rows.join(busy, keys, "left_anti"), rows.join(busy, keys, "left_semi")
-        series = _series(_whole(few, keys), keys, least).unionByName(_series(_sampled(many, keys, least, cfg), keys, least))
-        hours = stats.hourly(few, keys, "_ts", dealt=True).unionByName(stats.hourly(many, keys, "_ts"))
-    out = series.join(stats.daily_rhythm(hours, keys), keys).join(stats.recent_runs(hours, windows, keys, cfg), keys, "left").join(windows, keys[0])
-    out = shape.shaped(out.withColumn("dur_score", stats.persistence(cfg)).drop("bars", "longest", "win_min", "win_max"))
+        hours = stats.hourly(many, keys, "_ts").groupBy(*keys).agg(F.collect_list(F.struct("hour", "n")).alias("hours"))
+        series = _series(_whole(few, keys), keys, least).unionByName(_series(_sampled(many, keys, least, cfg), keys, least).join(hours, keys))
+    out = shape.shaped(series.join(windows.withColumn("begin", stats.begin(cfg)), keys[0]))
+    out = out.withColumn("dur_score", stats.persistence(cfg))
     out = out.select(
         *keys,
         "n",
@@ -55,9 +55,9 @@ def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: s
 
 
 def _whole(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of keys that fit into a task, with the interval before each: dealt out by key once, for the intervals and for what follows."""
+    """Rows of keys that fit into a task, with the interval before each and their hour: dealt out by key once, for all that follows."""
     gap = F.col("_ts") - F.lag("_ts").over(Window.partitionBy(*keys).orderBy("_ts"))
-    return rows.withColumns({"iv": F.when(gap > 0, gap), "_in": F.col("_ts").isNotNull()})
+    return rows.withColumns({"iv": F.when(gap > 0, gap), "_in": F.col("_ts").isNotNull(), "_hour": F.floor(F.col("_ts") / 3600)})
 
 
 def _sampled(rows: DataFrame, keys: Sequence[str], least: int, cfg: Config) -> DataFrame:
@@ -67,10 +67,13 @@ def _sampled(rows: DataFrame, keys: Sequence[str], least: int, cfg: Config) -> D
 
 
 def _series(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
-    """One row per key with at least three intervals: figures over all of them, and the values that the order statistics are over."""
+    """One row per key with at least three intervals: figures over all of them, and the values that the order statistics are over.
+
+    Keys that lie whole in a task bring their hours too; those of others are counted apart.
+    """
     blocked = "n" in rows.columns  # then records without a time are counted, but not among the rows
     rows = rows.withColumn("_bucket", F.when(F.col("iv").isNotNull(), stats._bucket(F.col("iv"))))
-    ends = [] if blocked else [F.count("*").alias("n"), F.min("_ts").alias("first"), F.max("_ts").alias("last")]
+    ends = [] if blocked else [F.count("*").alias("n"), F.min("_ts").alias("first"), F.max("_ts").alias("last"), F.collect_list(F.struct(F.col("_hour").alias("hour"), F.lit(1).cast("long").alias("n"))).alias("hours")]
     out = rows.groupBy(*keys, *(["n", "first", "last"] if blocked else [])).agg(
         *ends,
         F.collect_list(F.when(F.col("_in") & F.col("iv").isNotNull(), F.struct("iv", "_bucket"))).alias("ivs"),
@@ -85,23 +88,24 @@ def _series(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     return out.withColumns({"counts": F.array(*buckets), "held": F.size("ivs")}).drop(*buckets)
 
 
-def exact(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", bytes_: str = "orig_bytes", least: int = 4, cfg: Config = DEFAULT) -> DataFrame:
+def exact(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", bytes_: str = "orig_bytes", least: int = 4, cfg: Config = DEFAULT, gathered: int = 10_000) -> DataFrame:
     """``profile`` with the order statistics of its busy keys over all their records instead of a sample (STAT-2, 3, 13).
 
-    Only keys over ``cfg.series_sample`` records are looked at again; the others are exact already. Nothing of a
-    key is gathered or sorted (``order``), whatever its size.
+    Only keys over ``cfg.series_sample`` records are looked at again; the others are exact already. Those with up to
+    ``gathered`` records are sorted in a row, in one pass for all figures; of larger ones nothing is gathered or
+    sorted (``order``), whatever their size.
     """
     keys, profiled = list(keys), written(profiled, "profiled")
-    busy = written(profiled.filter(F.col("n") > cfg.series_sample).select(*keys), "busy")
+    busy = written(profiled.filter(F.col("n") > cfg.series_sample).select(*keys, "n"), "busy")
     if busy.isEmpty():
         return profiled
-    rows = df.select(*keys, F.col(ts).alias("_ts"), F.col(bytes_).cast("double").alias("_bytes")).join(busy, keys, "left_semi")
-    rows = stats.blocked(rows, keys, "_ts", least).select(*keys, "iv", F.when(F.col("_bytes") > 0, F.col("_bytes")).alias("_bytes"))
-    rows = written(rows, "busy-rows")
-    timing = order.spread(rows, keys, "iv").select(*keys, F.col("q2").alias("_median"), order.regularity(1.0).alias("_raw"))
-    sizes = order.spread(rows, keys, "_bytes").select(*keys, F.when(F.col("n") >= 3, order.regularity(0.0)).otherwise(0.0).alias("_ds"))
-    modes = order.multimodal(rows, keys, "iv").withColumnRenamed("multimodal", "_mm")
-    out = profiled.join(timing, keys, "left").join(sizes, keys, "left").join(modes, keys, "left")
+    rows, fits = df.select(*keys, F.col(ts).alias("_ts"), F.col(bytes_).cast("double").alias("_bytes")), F.col("n") <= gathered
+    held = shape.shaped(_series(_whole(rows.join(busy.filter(fits).select(*keys), keys, "left_semi"), keys), keys, least).drop("hours"))
+    again = held.select(*keys, F.col("median_iv").alias("_median"), F.round("_raw", 3).alias("_raw"), F.round("_ds", 3).alias("_ds"), "_mm")
+    large = busy.filter(~fits).select(*keys)
+    if not large.isEmpty():
+        again = again.unionByName(_refined(written(_spans(rows.join(large, keys, "left_semi"), keys, least), "busy-rows"), keys))
+    out = profiled.join(again, keys, "left")
     was = F.col("n") > cfg.series_sample
     out = out.withColumns({
         "median_iv": F.when(was, F.col("_median")).otherwise(F.col("median_iv")), "ts_raw": F.when(was, F.col("_raw")).otherwise(F.col("ts_raw")),
@@ -110,6 +114,18 @@ def exact(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "
     return out.withColumn("ts_score", F.greatest("ts_raw", "ts_mm", "ts_ent")).select(*profiled.columns)
 
 
+def _spans(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    return stats.blocked(rows, keys, "_ts", least).select(*keys, "iv", F.when(F.col("_bytes") > 0, F.col("_bytes")).alias("_bytes"))
+
+
+def _refined(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The order statistics of keys of any size, from their intervals and sizes."""
+    timing = order.spread(rows, keys, "iv").select(*keys, F.col("q2").alias("_median"), order.regularity(1.0).alias("_raw"))
+    sizes = order.spread(rows, keys, "_bytes").select(*keys, F.when(F.col("n") >= 3, order.regularity(0.0)).otherwise(0.0).alias("_ds"))
+    modes = order.multimodal(rows, keys, "iv").withColumnRenamed("multimodal", "_mm")
+    return timing.join(sizes, keys, "left").join(modes, keys, "left")
+
+
 def annotated(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", cfg: Config = DEFAULT) -> DataFrame:
     """``spectral_rescued`` and ``spectral_period`` of the keys with weak timing (STAT-11 in DET-1): a hint that doesn't lift the score.
 

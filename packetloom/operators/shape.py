@@ -16,8 +16,8 @@ from packetloom.operators.stats import BUCKETS
 # Tasks get these functions themselves: executors need not have the library.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: What ``shaped`` adds.
-SHAPES = ("median_iv", "_raw", "_mm", "_ds")
+#: What ``shaped`` adds, and what besides where there are hours.
+SHAPES, RHYTHMS = ("median_iv", "_raw", "_mm", "_ds"), ("hist_score", "bars", "longest")
 
 
 def _starts(n: np.ndarray) -> np.ndarray:
@@ -70,12 +70,43 @@ def _multimodal(v: np.ndarray, bucket: np.ndarray, n: np.ndarray, counts: np.nda
     return np.where(good, (tight * size).sum(1) / np.maximum(size.sum(1), 1), 0.0)
 
 
+def _daily(row: np.ndarray, hour: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+    """``hist_score``: even use of the hours of day, or the share of them in use; records without an hour are a bar of their own."""
+    place = np.where(np.isnan(hour), 24, np.mod(hour, 24)).astype(np.int64)
+    count = np.bincount(row * 25 + place, n, rows * 25).reshape(-1, 25)
+    used = count > 0
+    bars = used.sum(1)
+    mean = count.sum(1) / np.maximum(bars, 1)
+    sd = np.sqrt((np.square(count - mean[:, None]) * used).sum(1) / np.maximum(bars, 1))
+    high = (used & (count >= count.max(1, keepdims=True) * 0.05)).sum(1)
+    even = np.where((bars < 2) | (sd >= mean), 0.0, 1 - sd / np.where(mean > 0, mean, 1.0))
+    share = np.where((bars < 11) | (high < 2), 0.0, high / np.maximum(bars, 1))
+    return np.maximum(even, share)
+
+
+def _runs(row: np.ndarray, hour: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the recent window's 24 bins a key is in, and its longest run of them; records without an hour are in the last."""
+    width = np.where(end > begin, end - begin, np.nan)
+    place = np.trunc((hour * 3600.0 - begin[row]) / width[row] * 24)
+    bins = np.clip(np.where(np.isnan(place), 23, place), 0, 23).astype(np.int64)
+    held = np.bincount(row * 24 + bins, minlength=len(begin) * 24).reshape(-1, 24) > 0
+    held &= (end > begin)[:, None]
+    run = longest = np.zeros(len(begin), np.int64)
+    for b in range(24):
+        run = (run + 1) * held[:, b]
+        longest = np.maximum(longest, run)
+    return held.sum(1), longest
+
+
 def shaped(series: DataFrame) -> DataFrame:
     """``median_iv``, ``_raw`` and ``_ds`` (regularity of intervals and sizes, not yet rounded) and ``_mm`` in place of the values.
 
-    ``series`` has ``ivs`` (iv, bucket), ``sizes`` and ``counts`` of the buckets. A key is one row, so nothing here crosses rows.
+    ``series`` has ``ivs`` (iv, bucket), ``sizes`` and ``counts`` of the buckets. With ``hours`` (hour, n) and the recent window's
+    ``begin`` and ``win_max``, ``hist_score``, ``bars`` and ``longest`` are added. A key is one row, so nothing here crosses rows.
     """
-    kept = [c for c in series.columns if c not in ("ivs", "sizes")]
+    kept = [c for c in series.columns if c not in ("ivs", "sizes", "hours", "begin")]
+    with_hours = "hours" in series.columns
+    names = SHAPES + RHYTHMS if with_hours else SHAPES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +118,12 @@ def shaped(series: DataFrame) -> DataFrame:
             size = _sorted(sizes.flatten().to_numpy(zero_copy_only=False), m)
             counts = batch.column("counts").flatten().to_numpy(zero_copy_only=False).reshape(-1, BUCKETS)
             figures = (_medians(iv, _starts(n), n), _regularity(iv, n, 1.0), _multimodal(iv, bucket, n, counts), np.where(m >= 3, _regularity(size, m, 0.0), 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(x, pa.float64()) for x in figures], names=[*kept, *SHAPES])
-
-    schema = StructType([*(series.schema[c] for c in kept), *(StructField(c, DoubleType()) for c in SHAPES)])
+            if with_hours:
+                row = np.repeat(np.arange(len(n)), batch.column("hours").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                hour, times = (x.to_numpy(zero_copy_only=False).astype(np.float64) for x in batch.column("hours").flatten().flatten())
+                begin, end = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("begin", "win_max"))
+                figures += (_daily(row, hour, times, len(n)), *_runs(row, hour, begin, end))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(x, pa.float64()) for x in figures], names=[*kept, *names])
+
+    schema = StructType([*(series.schema[c] for c in kept), *(StructField(c, DoubleType()) for c in names)])
     return series.mapInArrow(run, schema)

@@ -147,54 +147,24 @@ def concentration(counts: Column, total: Column) -> Column:
     return let(counts, of)
 
 
-def hourly(df: DataFrame, keys: Sequence[str], ts: str = "ts", dealt: bool = False) -> DataFrame:
-    """Records per key and absolute hour: what the daily and the persistence score rest on, dealt out by key once for both.
-
-    With ``dealt`` rows are dealt out by key at once, which is right where a key has few records an hour and fits into a task.
-    """
-    rows = df.select(*keys, F.floor(F.col(ts) / 3600).alias("hour"))
-    if dealt:
-        return rows.repartition(*keys).groupBy(*keys, "hour").agg(F.count("*").alias("n"))
-    return rows.groupBy(*keys, "hour").agg(F.count("*").alias("n")).repartition(*keys)
-
-
-def daily_rhythm(hours: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``hist_score``: even use of the hours of day, or the share of them in use."""
-    day = hours.groupBy(*keys, F.pmod("hour", F.lit(24)).alias("h")).agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*keys)
-    day = day.withColumn("top", F.max("n").over(w))
-    out = day.groupBy(*keys).agg(
-        F.count("*").alias("bars"),
-        F.stddev_pop("n").alias("sd"),
-        F.avg("n").alias("mean"),
-        F.count_if(F.col("n") >= F.col("top") * 0.05).alias("high"),
-    )
-    cv = F.when((F.col("bars") < 2) | (F.col("sd") >= F.col("mean")), 0.0).otherwise(1 - F.col("sd") / F.col("mean"))
-    used = F.when((F.col("bars") < 11) | (F.col("high") < 2), 0.0).otherwise(F.col("high") / F.col("bars"))
-    return out.select(*keys, F.greatest(cv, used).alias("hist_score"))
+def hourly(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Records per key and absolute hour: what the daily and the persistence score of keys of any size rest on (``shape``)."""
+    return df.groupBy(*keys, F.floor(F.col(ts) / 3600).alias("hour")).agg(F.count("*").alias("n"))
 
 
 def capture_window(df: DataFrame, sensor: str = "sensor", ts: str = "ts") -> DataFrame:
     return df.filter(F.col(ts) > 0).groupBy(sensor).agg(F.min(ts).alias("win_min"), F.max(ts).alias("win_max"))
 
 
-def _begin(cfg: Config) -> Column:
+def begin(cfg: Config = DEFAULT) -> Column:
+    """Where the recent window begins, of win_min and win_max."""
     return F.greatest("win_min", F.col("win_max") - cfg.persistence_days * 86400)
 
 
-def recent_runs(hours: DataFrame, windows: DataFrame, keys: Sequence[str], cfg: Config = DEFAULT) -> DataFrame:
-    """(keys, bars, longest): how many of the recent window's 24 bins a key is in, and its longest run of them; ``windows`` per first key."""
-    h = hours.join(windows.withColumn("begin", _begin(cfg)).filter(F.col("win_max") > F.col("begin")), keys[0])
-    place = (F.col("hour") * 3600.0 - F.col("begin")) / (F.col("win_max") - F.col("begin")) * 24
-    bins = h.select(*keys, F.greatest(F.lit(0), F.least(F.lit(23), place.cast("int"))).alias("bin")).distinct()
-    island = bins.withColumn("run", F.col("bin") - F.row_number().over(Window.partitionBy(*keys).orderBy("bin")))
-    return island.groupBy(*keys, "run").agg(F.count("*").alias("len")).groupBy(*keys).agg(F.sum("len").alias("bars"), F.max("len").alias("longest"))
-
-
 def persistence(cfg: Config = DEFAULT, least_bars: int = 6) -> Column:
     """``dur_score``, of first, last, win_min, win_max, bars and longest: coverage of the recent window or the longest run of its bins."""
-    begin = _begin(cfg)
-    coverage = F.least(F.lit(1.0), (F.col("last") - F.greatest(F.col("first"), begin)) / (F.col("win_max") - begin))
+    since = begin(cfg)
+    coverage = F.least(F.lit(1.0), (F.col("last") - F.greatest(F.col("first"), since)) / (F.col("win_max") - since))
     score = F.greatest(coverage, F.least(F.lit(1.0), F.col("longest") / 12.0))
     return F.when(F.coalesce("bars", F.lit(0)) < least_bars, 0.0).otherwise(score)
 
