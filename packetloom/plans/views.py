@@ -106,11 +106,17 @@ VIEWS = {
 }
 
 
+#: Views most of whose columns rest on the JSON field.
+_BY_FIELD = ("dns_v", "wide_v", "findings_v", "staged_v")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = VIEWS[name]
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     if "{K}" in columns:  # read once a row: the columns ask for it many times
-        source = source.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+        field = F.get_json_object("props", "$.k").cast("int")
+        # Exploded, it isn't copied into the filters on such columns, which would read it anew for every branch.
+        source = source.withColumn("_k", F.explode(F.array(field)) if name in _BY_FIELD else field)
     # Spark reads the columns from SQL text, so that both dialects have one source.
     return spark.sql(f"SELECT {_fill(columns, _SPARK)} FROM {{source}}", source=source)
 
