@@ -145,7 +145,9 @@ def scored(profiled: DataFrame, prevalence: DataFrame | None = None, boost: bool
     if prevalence is None:
         profiled = profiled.withColumn("prevalence_mod", F.lit(1.0))
     else:
-        profiled = profiled.join(prevalence.select("sensor", "dst", "prevalence_mod"), ["sensor", "dst"], "left").fillna({"prevalence_mod": 1.0})
+        # Written, its size is known: dealt out by so few keys, the profiles would lie in few tasks.
+        prevalence = written(prevalence.select("sensor", "dst", "prevalence_mod"), "prevalence")
+        profiled = profiled.join(prevalence, ["sensor", "dst"], "left").fillna({"prevalence_mod": 1.0})
         if not boost:
             profiled = profiled.withColumn("prevalence_mod", F.least("prevalence_mod", F.lit(1.0)))
     base = 100 * (F.col("ts_score") * 0.25 + F.col("ds_score") * 0.25 + F.col("hist_score") * 0.25 + F.col("dur_score") * 0.25) * F.col("conf")

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from packetloom.config import DEFAULT, Config
 from packetloom.functions.exprs import let
+from packetloom.sources.scratch import written
 
 BUCKETS = 18
 
@@ -175,8 +176,9 @@ def confidence(n: Column, least: int, cfg: Config = DEFAULT) -> Column:
 
 def prevalence(df: DataFrame, sensor: str = "sensor", src: str = "src", dst: str = "dst") -> DataFrame:
     """(sensor, dst, dst_srcs, all_srcs, prevalence_mod): common destinations are damped, rare ones lifted."""
-    all_srcs = df.groupBy(sensor).agg(F.countDistinct(src).alias("all_srcs"))
-    seen = df.groupBy(sensor, dst).agg(F.countDistinct(src).alias("dst_srcs")).join(all_srcs, sensor)
+    pairs = written(df.select(sensor, dst, src).distinct(), "pairs")  # both counts rest on these
+    all_srcs = pairs.groupBy(sensor).agg(F.countDistinct(src).alias("all_srcs"))
+    seen = pairs.groupBy(sensor, dst).agg(F.count(src).alias("dst_srcs")).join(all_srcs, sensor)
     share = F.col("dst_srcs") / F.col("all_srcs")
     mod = F.when((F.col("all_srcs") >= 10) & (share >= 0.5), 0.85).when((F.col("all_srcs") >= 50) & (share <= 0.02), 1.15).otherwise(1.0)
     return seen.withColumn("prevalence_mod", mod)

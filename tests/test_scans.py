@@ -1,7 +1,7 @@
 """Sources that a beacon's steps read several times are read once, and parsed once a row."""
 
 from packetloom.functions import exprs as E
-from packetloom.operators import detect
+from packetloom.operators import beacon, detect, stats
 from packetloom.plans import queries
 from packetloom.plans.views import view
 
@@ -26,3 +26,17 @@ def test_apex_of_odd_names(spark):
 
 def test_a_profile_of_names_reads_what_was_answered(spark):
     assert all("/answered-" in f or "/windows-" in f for f in queries.QUERIES["det_dns_beacon_profile"](spark, SF).inputFiles())
+
+
+def test_prevalence_reads_its_source_once(spark):
+    rows = [("s0", f"h{i}", d) for i in range(12) for d in ("all", f"own{i % 3}") if i or d == "all"] + [("s0", None, "all"), (None, "h1", "all"), ("s1", "h1", None)]
+    found = stats.prevalence(spark.createDataFrame(rows * 2, "sensor string, src string, dst string"))
+    assert found.inputFiles() and all("/pairs-" in f for f in found.inputFiles())
+    assert {(r.sensor, r.dst): (r.dst_srcs, r.all_srcs, r.prevalence_mod) for r in found.collect()} == {("s0", "all"): (12, 12, 0.85), ("s0", "own0"): (3, 12, 1.0), ("s0", "own1"): (4, 12, 1.0), ("s0", "own2"): (4, 12, 1.0), ("s1", None): (1, 1, 1.0)}
+
+
+def test_scores_are_not_dealt_out_by_destination(spark):
+    profiled = spark.createDataFrame([("s0", "h1", "all", *[0.5] * 5)], "sensor string, src string, dst string, ts_score double, ds_score double, hist_score double, dur_score double, conf double")
+    rows = spark.createDataFrame([("s0", f"h{i}", "all") for i in range(12)], "sensor string, src string, dst string")
+    found = beacon.scored(profiled, stats.prevalence(rows))
+    assert "Aggregate" not in optimized(found) and [r.score for r in found.collect()] == [21]
