@@ -193,7 +193,8 @@ def with_tls(beacons: DataFrame, conn: DataFrame, ssl: DataFrame, most: int = 32
     """First non-empty SNI and first JA3 (with its JA4) of a beacon's connections in time order (JOIN-1, DET-5)."""
     keys, beacons = ["sensor", "src", "dst"], written(beacons, "beacons")
     last = Window.partitionBy("uid").orderBy(F.desc("ts"))
-    one = ssl.withColumn("_r", F.row_number().over(last)).filter("_r = 1").select("uid", "server_name", "ja3", *(["ja4"] if "ja4" in ssl.columns else []))
+    # Not by a rank, which Spark would limit before the shuffle as well: few uids occur twice, so that sorts all rows once more for nothing.
+    one = ssl.withColumn("_later", F.lag(F.lit(1)).over(last)).filter("_later IS NULL").select("uid", "server_name", "ja3", *(["ja4"] if "ja4" in ssl.columns else []))
     if "ja4" not in one.columns:
         one = one.withColumn("ja4", F.lit(None).cast("string"))
     early = Window.partitionBy(*keys).orderBy("ts", "uid")

@@ -107,7 +107,7 @@ VIEWS = {
 
 
 #: Views most of whose columns rest on the JSON field.
-_BY_FIELD = ("dns_v", "wide_v", "findings_v", "staged_v")
+_BY_FIELD = ("dns_v", "wide_v", "ssl_v", "findings_v", "staged_v")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,3 +40,12 @@ def test_scores_are_not_dealt_out_by_destination(spark):
     rows = spark.createDataFrame([("s0", f"h{i}", "all") for i in range(12)], "sensor string, src string, dst string")
     found = beacon.scored(profiled, stats.prevalence(rows))
     assert "Aggregate" not in optimized(found) and [r.score for r in found.collect()] == [21]
+
+
+def test_tls_rows_are_sorted_once(spark):
+    beacons = spark.createDataFrame([("s0", "h", "d")], "sensor string, src string, dst string")
+    links = spark.createDataFrame([("u1", "s0", "h", "d", 1.0), ("u2", "s0", "h", "d", 2.0)], "uid string, sensor string, src string, dst string, ts double")
+    ssl = spark.createDataFrame([("u1", 1.0, "old", "a"), ("u1", 5.0, "", "b"), ("u1", None, "none", "c"), ("u2", 2.0, "two", None)], "uid string, ts double, server_name string, ja3 string")
+    found = beacon.with_tls(beacons, links, ssl)
+    assert "WindowGroupLimit [uid" not in optimized(found)
+    assert [(r.hostname, r.ja3) for r in found.collect()] == [("two", "b")]
