@@ -315,7 +315,7 @@ def resolver_context(findings: DataFrame, resolvers: DataFrame, cap: int = 512)
 
 def beacon_notes(findings: DataFrame, resolvers: DataFrame) -> DataFrame:
     """Findings whose texts tell what egress and the DNS log add to a beacon (DET-44); nothing else changes."""
-    said = resolver_context(findings, resolvers).select("id", "dns_context")
+    said = resolver_context(findings, written(resolvers, "resolvers")).select("id", "dns_context")  # read twice
     out = corroborated(findings, findings).join(said, "id", "left")
     egress = F.when(F.col("corroboration").isNotNull(), F.concat(F.lit(" | Exfil-over-C2 corroboration: same destination also shows "), "corroboration", F.lit("."))).otherwise("")
     dns = F.when(F.col("dns_context").isNotNull(), F.concat(F.lit(" | DNS context: "), "dns_context")).otherwise("")

@@ -1,7 +1,7 @@
 """Sources that a beacon's steps read several times are read once, and parsed once a row."""
 
 from packetloom.functions import exprs as E
-from packetloom.operators import beacon, detect, stats
+from packetloom.operators import beacon, detect, matching, stats
 from packetloom.plans import queries
 from packetloom.plans.views import view
 
@@ -49,3 +49,8 @@ def test_tls_rows_are_sorted_once(spark):
     found = beacon.with_tls(beacons, links, ssl)
     assert "WindowGroupLimit [uid" not in optimized(found)
     assert [(r.hostname, r.ja3) for r in found.collect()] == [("two", "b")]
+
+
+def test_notes_count_the_resolvers_once(spark):
+    found = matching.beacon_notes(queries.at_resolver(spark, SF), detect.resolvers(view(spark, SF, "dns_v")))
+    assert "10.0.255.53 AS resolver" not in optimized(found) and any("/resolvers-" in f for f in found.inputFiles())
