@@ -13,27 +13,25 @@ from packetloom.operators import detect, matching, order, shape, stats
 from packetloom.sources.scratch import written
 
 
-def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", bytes_: str = "orig_bytes", least: int = 4, cfg: Config = DEFAULT) -> DataFrame:
-    """All keys with enough records, with every sub-score; ``keys`` begins with the sensor.
+def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", bytes_: str = "orig_bytes", least: int = 4, cfg: Config = DEFAULT, gathered: int = 10_000) -> DataFrame:
+    """All keys with enough records, with every sub-score over all their records; ``keys`` begins with the sensor.
 
-    Counts, means, log buckets, hours and coverage are over all records. The order statistics of a key with
-    over ``cfg.series_sample`` records are over about so many of them, chosen by hash (STAT-13), so no key
-    outgrows a row.
+    Keys of up to ``gathered`` records lie in a row each; of larger ones nothing is gathered or sorted as a whole
+    (``order``), so no key outgrows a row. Figures don't depend on the way.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(ts).alias("_ts"), F.col(bytes_).cast("double").alias("_bytes"))
     real = F.when(F.col("_ts") > 0, F.col("_ts"))
     counted = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(real).alias("win_min"), F.max(real).alias("win_max")), "counted")
     windows = written(counted.groupBy(keys[0]).agg(F.min("win_min").alias("win_min"), F.max("win_max").alias("win_max")).filter("win_min IS NOT NULL"), "windows")
-    busy = written(counted.filter(F.col("n") > cfg.series_sample).select(*keys), "busy")
+    windows = windows.withColumn("begin", stats.begin(cfg))
+    busy = written(counted.filter(F.col("n") > gathered).select(*keys), "busy")
     rows = rows.dropna(subset=keys)
     if busy.isEmpty():
-        series = _series(_whole(rows, keys), keys, least)
+        out = shape.shaped(_series(_whole(rows, keys), keys, least).join(windows, keys[0]))
     else:
         few, many = rows.join(busy, keys, "left_anti"), rows.join(busy, keys, "left_semi")
-        hours = stats.hourly(many, keys, "_ts").groupBy(*keys).agg(F.collect_list(F.struct("hour", "n")).alias("hours"))
-        series = _series(_whole(few, keys), keys, least).unionByName(_series(_sampled(many, keys, least, cfg), keys, least).join(hours, keys))
-    out = shape.shaped(series.join(windows.withColumn("begin", stats.begin(cfg)), keys[0]))
+        out = shape.shaped(_series(_whole(few, keys), keys, least).join(windows, keys[0])).unionByName(_large(many, windows, keys, least))
     out = out.withColumn("dur_score", stats.persistence(cfg))
     out = out.select(
         *keys,
@@ -45,7 +43,7 @@ def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: s
         (F.col("sd_iv") / F.col("mean_iv")).alias("cv"),
         F.round("_raw", 3).alias("ts_raw"),
         F.col("_mm").alias("ts_mm"),
-        F.when(F.col("held") >= 6, stats.concentration(F.col("counts"), F.col("gaps"))).otherwise(0.0).alias("ts_ent"),
+        F.when(F.col("gaps") >= 6, stats.concentration(F.col("counts"), F.col("gaps"))).otherwise(0.0).alias("ts_ent"),
         F.round("_ds", 3).alias("ds_score"),
         "hist_score",
         "dur_score",
@@ -57,41 +55,47 @@ def profile(df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: s
 def _whole(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of keys that fit into a task, with the interval before each and their hour: dealt out by key once, for all that follows."""
     gap = F.col("_ts") - F.lag("_ts").over(Window.partitionBy(*keys).orderBy("_ts"))
-    return rows.withColumns({"iv": F.when(gap > 0, gap), "_in": F.col("_ts").isNotNull(), "_hour": F.floor(F.col("_ts") / 3600)})
+    return rows.withColumns({"iv": F.when(gap > 0, gap), "_hour": F.floor(F.col("_ts") / 3600)})
 
 
-def _sampled(rows: DataFrame, keys: Sequence[str], least: int, cfg: Config) -> DataFrame:
-    """Rows of busy keys, dealt out by key and block of time, with those marked that the order statistics are over."""
-    share = F.pmod(F.xxhash64("_ts", "_bytes"), F.lit(1 << 20)) / float(1 << 20)
-    return stats.blocked(rows, keys, "_ts", least).withColumn("_in", share < cfg.series_sample / F.col("n"))
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_bucket", F.when(F.col("iv").isNotNull(), stats._bucket(F.col("iv"))))
 
 
-def _series(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
-    """One row per key with at least three intervals: figures over all of them, and the values that the order statistics are over.
+def _gaps() -> list[Column]:
+    """Additive figures of a key's intervals: their number, mean, deviation and logarithmic buckets."""
+    buckets = [F.count_if(F.col("_bucket") == b).cast("int") for b in range(stats.BUCKETS)]
+    return [F.count("iv").alias("gaps"), F.avg("iv").alias("mean_iv"), F.stddev_pop("iv").alias("sd_iv"), F.array(*buckets).alias("counts")]
 
-    Keys that lie whole in a task bring their hours too; those of others are counted apart.
-    """
-    blocked = "n" in rows.columns  # then records without a time are counted, but not among the rows
-    rows = rows.withColumn("_bucket", F.when(F.col("iv").isNotNull(), stats._bucket(F.col("iv"))))
-    ends = [] if blocked else [F.count("*").alias("n"), F.min("_ts").alias("first"), F.max("_ts").alias("last"), F.collect_list(F.struct(F.col("_hour").alias("hour"), F.lit(1).cast("long").alias("n"))).alias("hours")]
-    out = rows.groupBy(*keys, *(["n", "first", "last"] if blocked else [])).agg(
-        *ends,
-        F.collect_list(F.when(F.col("_in") & F.col("iv").isNotNull(), F.struct("iv", "_bucket"))).alias("ivs"),
-        F.collect_list(F.when(F.col("_in") & (F.col("_bytes") > 0), F.col("_bytes"))).alias("sizes"),
-        F.count("iv").alias("gaps"),
-        F.avg("iv").alias("mean_iv"),
-        F.stddev_pop("iv").alias("sd_iv"),
-        *(F.count_if(F.col("_bucket") == b).cast("int").alias(f"_b{b}") for b in range(stats.BUCKETS)),
+
+def _series(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """One row per key with at least three intervals: figures over all of them, and the values that the order statistics are over."""
+    out = _bucketed(rows).groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.min("_ts").alias("first"),
+        F.max("_ts").alias("last"),
+        F.collect_list(F.struct(F.col("_hour").alias("hour"), F.lit(1).cast("long").alias("n"))).alias("hours"),
+        F.collect_list(F.when(F.col("iv").isNotNull(), F.struct("iv", "_bucket"))).alias("ivs"),
+        F.collect_list(F.when(F.col("_bytes") > 0, F.col("_bytes"))).alias("sizes"),
+        *_gaps(),
     )
-    buckets = [f"_b{b}" for b in range(stats.BUCKETS)]
-    out = out.filter((F.col("n") >= least) & (F.col("gaps") >= 3))
-    return out.withColumns({"counts": F.array(*buckets), "held": F.size("ivs")}).drop(*buckets)
+    return out.filter((F.col("n") >= least) & (F.col("gaps") >= 3))
+
+
+def _large(rows: DataFrame, windows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """What ``shape.shaped`` makes of ``_series``, for keys of any size: records are dealt out by key and block of time."""
+    spans = written(_spans(rows, keys, least), "busy-rows")
+    hours = stats.hourly(spans, keys, "_ts").groupBy(*keys).agg(F.collect_list(F.struct("hour", "n")).alias("hours"))
+    none = {"ivs": F.array().cast("array<struct<iv: double, _bucket: int>>"), "sizes": F.array().cast("array<double>")}
+    figures = _bucketed(spans).groupBy(*keys).agg(F.count("*").alias("n"), F.min("_ts").alias("first"), F.max("_ts").alias("last"), *_gaps()).filter("gaps >= 3")
+    rhythms = shape.shaped(figures.withColumns(none).join(hours, keys).join(windows, keys[0])).drop("median_iv", "_raw", "_mm", "_ds")
+    return rhythms.join(_refined(spans, keys).withColumnRenamed("_median", "median_iv"), keys)
 
 
 def exact(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", bytes_: str = "orig_bytes", least: int = 4, cfg: Config = DEFAULT, gathered: int = 10_000) -> DataFrame:
-    """``profile`` with the order statistics of its busy keys over all their records instead of a sample (STAT-2, 3, 13).
+    """A profile with the order statistics of its busy keys, those over ``cfg.series_sample`` records, taken anew from all their records (STAT-2, 3, 13).
 
-    Only keys over ``cfg.series_sample`` records are looked at again; the others are exact already. Those with up to
+    ``profile`` has them already: this is for profiles that come from elsewhere, as from a stream. Keys with up to
     ``gathered`` records are sorted in a row, in one pass for all figures; of larger ones nothing is gathered or
     sorted (``order``), whatever their size.
     """
@@ -115,15 +119,24 @@ def exact(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "
 
 
 def _spans(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
-    return stats.blocked(rows, keys, "_ts", least).select(*keys, "iv", F.when(F.col("_bytes") > 0, F.col("_bytes")).alias("_bytes"))
+    return stats.blocked(rows, keys, "_ts", least).select(*keys, "_ts", "iv", F.when(F.col("_bytes") > 0, F.col("_bytes")).alias("_bytes"))
 
 
 def _refined(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The order statistics of keys of any size, from their intervals and sizes."""
-    timing = order.spread(rows, keys, "iv").select(*keys, F.col("q2").alias("_median"), order.regularity(1.0).alias("_raw"))
-    sizes = order.spread(rows, keys, "_bytes").select(*keys, F.when(F.col("n") >= 3, order.regularity(0.0)).otherwise(0.0).alias("_ds"))
-    modes = order.multimodal(rows, keys, "iv").withColumnRenamed("multimodal", "_mm")
-    return timing.join(sizes, keys, "left").join(modes, keys, "left")
+    """The order statistics of keys of any size, from their intervals and sizes: those of all values and of each mode in the same rounds."""
+    keys = list(keys)
+    held = _bucketed(rows).join(order.modes(rows, keys, "iv"), [*keys, "_bucket"], "left")
+    what = [("iv", F.col("iv")), ("bytes", F.col("_bytes")), ("mode", F.when(F.col("_mode").isNotNull(), F.col("iv")))]
+    stacked = F.inline(F.array(*(F.struct(F.lit(name).alias("_what"), F.when(F.lit(name) == "mode", F.col("_mode")).alias("_mode"), v.alias("_v")) for name, v in what)))
+    stacked = held.select(*keys, stacked).filter("_v IS NOT NULL").withColumn("_mode", F.coalesce("_mode", F.lit(0)))
+    each = order.spread(written(stacked, "stacked"), [*keys, "_what", "_mode"], "_v")
+    one = lambda name, value: F.max(F.when(F.col("_what") == name, value))
+    return each.groupBy(*keys).agg(
+        one("iv", F.col("q2")).alias("_median"),
+        one("iv", order.regularity(1.0)).alias("_raw"),
+        F.coalesce(one("bytes", F.when(F.col("n") >= 3, order.regularity(0.0))), F.lit(0.0)).alias("_ds"),
+        order.tight(F.col("_what") == "mode").alias("_mm"),
+    )
 
 
 def annotated(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor", "src", "dst"), ts: str = "ts", cfg: Config = DEFAULT) -> DataFrame:

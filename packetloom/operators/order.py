@@ -99,6 +99,25 @@ def regularity(default: float) -> Column:
     return F.round((skew + mad_score(default)) / 2, 3)
 
 
+def modes(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _bucket, _mode): the logarithmic buckets that are peaks; neighbouring peaks are one mode. Keys with fewer than six values have none."""
+    keys = list(keys)
+    rows = rows.filter(F.col(value).isNotNull()).withColumn("_bucket", stats._bucket(F.col(value)))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c"))
+    of_key = Window.partitionBy(*keys)  # 18 rows of a key at most
+    total, most = F.sum("_c").over(of_key), F.max("_c").over(of_key)
+    peaks = counts.withColumns({"_total": total, "_most": most}).filter("_total >= 6 AND _c >= _most * 0.5")
+    # The numbers of neighbouring peaks rise together with their places.
+    return written(peaks.withColumn("_mode", F.col("_bucket") - F.row_number().over(Window.partitionBy(*keys).orderBy("_bucket"))).select(*keys, "_bucket", "_mode"), "modes")
+
+
+def tight(mode: Column) -> Column:
+    """``stats.multimodal`` from the rows of ``spread`` that are modes of a key."""
+    n, score = F.when(mode, F.col("n")), F.when(mode, mad_score(0.0))
+    good = F.count(n).between(2, 4) & F.bool_and((n >= 2) & (score >= 0.5))
+    return F.when(good, F.sum(score * n) / F.sum(n)).otherwise(0.0)
+
+
 def multimodal(rows: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
     """(keys, multimodal): ``stats.multimodal`` over all values: the tightness of each mode is exact as well.
 
@@ -106,15 +125,6 @@ def multimodal(rows: DataFrame, keys: Sequence[str], value: str, buckets: int =
     """
     keys = list(keys)
     rows = rows.filter(F.col(value).isNotNull()).withColumn("_bucket", stats._bucket(F.col(value)))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c"))
-    of_key = Window.partitionBy(*keys)  # 18 rows of a key at most
-    total, most = F.sum("_c").over(of_key), F.max("_c").over(of_key)
-    peaks = counts.withColumns({"_total": total, "_most": most}).filter("_total >= 6 AND _c >= _most * 0.5")
-    # Neighbouring peaks are one mode: their numbers rise together with their places.
-    modes = peaks.withColumn("_mode", F.col("_bucket") - F.row_number().over(Window.partitionBy(*keys).orderBy("_bucket"))).select(*keys, "_bucket", "_mode")
-    modes = written(modes, "modes")
-    inside = rows.join(modes, [*keys, "_bucket"])
-    each = spread(inside, [*keys, "_mode"], value, buckets, few).select(*keys, "n", mad_score(0.0).alias("_t"))
-    good = F.count("*").between(2, 4) & F.bool_and((F.col("n") >= 2) & (F.col("_t") >= 0.5))
-    tight = each.groupBy(*keys).agg(F.when(good, F.sum(F.col("_t") * F.col("n")) / F.sum("n")).otherwise(0.0).alias("multimodal"))
-    return rows.select(*keys).distinct().join(tight, keys, "left").fillna({"multimodal": 0.0})
+    inside = rows.join(modes(rows, keys, value), [*keys, "_bucket"])
+    each = spread(inside, [*keys, "_mode"], value, buckets, few).groupBy(*keys).agg(tight(F.lit(True)).alias("multimodal"))
+    return rows.select(*keys).distinct().join(each, keys, "left").fillna({"multimodal": 0.0})

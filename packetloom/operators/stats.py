@@ -40,7 +40,7 @@ def blocked(df: DataFrame, keys: Sequence[str], ts: str = "ts", least: int = 0,
     Rows are dealt out by key and block of time, so a busy key lies in many tasks: one small aggregate per
     block gives the key's figures and the latest time before each block.
     """
-    keys, own = list(keys), df.withColumn("_block", F.floor(F.col(ts) / block))
+    keys, own = list(keys), df.withColumn("_block", F.coalesce(F.floor(F.col(ts) / block), F.lit(-(1 << 62))))  # records without a time are a block
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     days = own.groupBy(*keys, "_block").agg(F.count("*").alias("_c"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
