@@ -33,3 +33,8 @@ def test_channels_are_over_all_records(spark, irregular):
     blend = irregular.selectExpr("sensor", "src", "dst", "'Beacon' AS type", "0 AS score").distinct()
     found = lambda cfg: said(beacon.channels(irregular, ssl, blend, cfg).select("dst", "channel", "n", "score", "median_iv", "ts_score", "ds_score"))
     assert len(found(MANY)) == 16 and found(FEW) == found(MANY)
+
+
+def test_findings_are_over_all_records(irregular):
+    found = lambda cfg: said(beacon.findings(beacon.scored(beacon.profile(irregular, cfg=cfg)), cfg=cfg).select("dst", "score", "severity", "detail"))
+    assert len(found(MANY)) == 8 and found(FEW) == found(MANY)
