@@ -44,3 +44,8 @@ def test_dns_beacons_are_over_all_records(irregular):
     dns = irregular.selectExpr("ts", "sensor", "src", "'10.0.0.53' AS resolver", "concat('n', dst, '.e', substr(dst, -1), '.org') AS query", "'NOERROR' AS rcode")
     found = lambda cfg: said(beacon.dns_beacons(dns, cfg).select("apex", "score", "n", "n_subs", "median_iv", "ts_score", "detail"))
     assert len(found(MANY)) == 8 and found(FEW) == found(MANY)
+
+
+def test_timing_layers_are_over_all_records(irregular):
+    found = lambda cfg: said(reports.timing_layers(beacon.scored(beacon.profile(irregular, cfg=cfg)).withColumn("severity", E.beacon_severity("score"))))
+    assert found(FEW) == found(MANY)
