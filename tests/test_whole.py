@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 from tests.test_queries import plain
 
-WHOLE = ["det_beacon_profile"]
+WHOLE = ["det_beacon_profile", "det_dns_beacon_profile"]
 
 
 @pytest.fixture(scope="module")
