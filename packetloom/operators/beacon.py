@@ -202,19 +202,19 @@ def without_strobes(profiled: DataFrame, strobe_keys: DataFrame) -> DataFrame:
     return profiled.join(strobe_keys.select("sensor", "src", "dst"), ["sensor", "src", "dst"], "left_anti")
 
 
-def with_tls(beacons: DataFrame, conn: DataFrame, ssl: DataFrame, most: int = 32) -> DataFrame:
-    """First non-empty SNI and first JA3 (with its JA4) of a beacon's connections in time order (JOIN-1, DET-5)."""
+def with_tls(beacons: DataFrame, conn: DataFrame, ssl: DataFrame) -> DataFrame:
+    """First non-empty SNI and first JA3 (with its JA4) of all of a beacon's connections in time order (JOIN-1, DET-5)."""
     keys, beacons = ["sensor", "src", "dst"], written(beacons, "beacons")
     last = Window.partitionBy("uid").orderBy(F.desc("ts"))
     # Not by a rank, which Spark would limit before the shuffle as well: few uids occur twice, so that sorts all rows once more for nothing.
     one = ssl.withColumn("_later", F.lag(F.lit(1)).over(last)).filter("_later IS NULL").select("uid", "server_name", "ja3", *(["ja4"] if "ja4" in ssl.columns else []))
     if "ja4" not in one.columns:
         one = one.withColumn("ja4", F.lit(None).cast("string"))
-    early = Window.partitionBy(*keys).orderBy("ts", "uid")
-    joined = conn.join(beacons.select(*keys), keys, "left_semi").join(one, "uid").withColumn("_r", F.row_number().over(early)).filter(F.col("_r") <= most)
+    joined = conn.join(beacons.select(*keys), keys, "left_semi").join(one, "uid")
+    early = F.struct(F.col("ts").isNull(), "ts", "uid")  # connections without a time are the last
     meta = joined.groupBy(*keys).agg(
-        F.min_by("server_name", F.when(F.coalesce("server_name", F.lit("")) != "", F.col("_r"))).alias("hostname"),
-        F.min_by(F.struct("ja3", "ja4"), F.when(F.coalesce("ja3", F.lit("")) != "", F.col("_r"))).alias("f"),
+        F.min_by("server_name", F.when(F.coalesce("server_name", F.lit("")) != "", early)).alias("hostname"),
+        F.min_by(F.struct("ja3", "ja4"), F.when(F.coalesce("ja3", F.lit("")) != "", early)).alias("f"),
     )
     out = beacons.join(meta.select(*keys, "hostname", "f.ja3", "f.ja4"), keys, "left")
     if {"score", "unboosted"} <= set(out.columns):

@@ -49,3 +49,10 @@ def test_dns_beacons_are_over_all_records(irregular):
 def test_timing_layers_are_over_all_records(irregular):
     found = lambda cfg: said(reports.timing_layers(beacon.scored(beacon.profile(irregular, cfg=cfg)).withColumn("severity", E.beacon_severity("score"))))
     assert found(FEW) == found(MANY)
+
+
+def test_tls_is_looked_for_in_all_connections(spark):
+    links = conn(spark, [(T0 + i * 60, "10.0.0.5", "203.0.113.9", 443, "ssl", 1.0, 1.0, 1.0) for i in range(60)])
+    ssl = links.selectExpr("uid", "ts", "CASE WHEN uid IN ('C40', 'C50') THEN uid ELSE '' END AS server_name", "CASE WHEN uid IN ('C45', 'C55') THEN uid END AS ja3", "concat('4-', uid) AS ja4")
+    r = beacon.with_tls(links.select("sensor", "src", "dst").distinct(), links, ssl).first()
+    assert (r.hostname, r.ja3, r.ja4) == ("C40", "C45", "4-C45")
