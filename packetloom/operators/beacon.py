@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.config import DEFAULT, Config
 from packetloom.functions import exprs as E
-from packetloom.operators import detect, matching, order, shape, stats
+from packetloom.operators import detect, matching, order, shape, spectrum, stats
 from packetloom.sources.scratch import written
 
 
@@ -146,7 +146,7 @@ def annotated(profiled: DataFrame, df: DataFrame, keys: Sequence[str] = ("sensor
     """
     keys, profiled = list(keys), written(profiled, "profiled")
     weak = profiled.filter((F.col("ts_score") < cfg.spectral_rescue) & (F.col("n") >= cfg.spectral_min_observations))
-    found = stats.periodicity(df, keys, ts, cfg=cfg, gated=weak).select(*keys, "period", "spectral_score", "dominant_period")
+    found = spectrum.periodicity(df, keys, ts, cfg=cfg, gated=weak).select(*keys, "period", "spectral_score", "dominant_period")
     out = profiled.join(found, keys, "left")
     rescued = F.coalesce(F.col("spectral_score") > F.col("ts_score"), F.lit(False))
     out = out.withColumns({"spectral_rescued": rescued, "spectral_period": F.when(rescued, F.col("period"))})

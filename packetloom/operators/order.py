@@ -85,6 +85,13 @@ def spread(rows: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCK
     return held.join(off, keys)
 
 
+def median(rows: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
+    """(keys, median) of the values that aren't null."""
+    keys = list(keys)
+    sizes = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    return _means(at_ranks(rows, keys, value, _wanted(sizes, keys, median=_middle(F.col("n"))), buckets, few), keys, ("median",))
+
+
 def mad_score(default: float) -> Column:
     """``stats.mad`` from the columns of ``spread``."""
     near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("q2") - F.col("off")) / F.col("q2")))

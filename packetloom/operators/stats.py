@@ -7,7 +7,7 @@ source, a target and a timestamp.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -184,11 +184,45 @@ def prevalence(df: DataFrame, sensor: str = "sensor", src: str = "src", dst: str
     return seen.withColumn("prevalence_mod", mod)
 
 
-def periodicity(df: DataFrame, keys: Sequence[str], ts: str = "ts", grid: int = 2000, cfg: Config = DEFAULT, last: int = 2000, gated: DataFrame | None = None) -> DataFrame:
+def peaks(grid: int, threshold: float) -> tuple[Callable, Callable, Callable]:
+    """The periods of a window, their powers and the choice among these; made here, they reach the tasks by value."""
+    steps = np.arange(grid) / (grid - 1)
+
+    def periods(window: float) -> np.ndarray:
+        return 5.0 * (window / 10.0) ** steps
+
+    def beyond(c: np.ndarray, s: np.ndarray, n: int, window: float) -> np.ndarray:
+        """The power of sums over all periods, less the sums that an even spread over the window has."""
+        x = np.pi * window / periods(window)
+        flat = n * np.sin(x) / x
+        return ((c - flat * np.cos(x)) ** 2 + (s - flat * np.sin(x)) ** 2) / n
+
+    def chosen(n: int, window: float, median: float, power: np.ndarray, near: np.ndarray) -> tuple:
+        """The figures of the strongest period; ``near`` are those whose power is known."""
+        period = periods(window)
+        best = int(power.argmax())
+        fits = np.flatnonzero((period >= median / 5) & (period <= window / 3) & near)
+        if not len(fits):
+            return (n, median, None, None, 0.0, *((period[best], power[best]) if power[best] >= threshold else (None, None)))
+        own = int(fits[power[fits].argmax()])
+        score = min(1.0, max(0.0, (power[own] - threshold) / threshold))
+        stronger = best != own and power[best] >= threshold and power[best] > power[own]
+        return (n, median, period[own], power[own], score, *((period[best], power[best]) if stronger else (None, None)))
+
+    return periods, beyond, chosen
+
+
+def period_schema(keys: Sequence[StructField]) -> StructType:
+    figures = ("median_iv", "period", "power", "spectral_score", "dominant_period", "dominant_power")
+    return StructType([*keys, StructField("n", LongType()), *(StructField(x, DoubleType()) for x in figures)])
+
+
+def periodicity(df: DataFrame, keys: Sequence[str], ts: str = "ts", grid: int = 2000, cfg: Config = DEFAULT, last: int | None = 2000, gated: DataFrame | None = None) -> DataFrame:
     """The strongest plausible period of each key (STAT-11): power |sum exp(2 pi i t / p)|^2 / n less what the mere window gives.
 
     Keys are gated first, by their count and (``gated``) by whatever the caller asks of them, such as a
-    weak timing score; each keeps its ``last`` timestamps (WIN-10). Plausible are a fifth of the median
+    weak timing score; each keeps its ``last`` timestamps (WIN-10), or all without it: ``spectrum`` is for keys
+    of any size. Plausible are a fifth of the median
     interval and more, up to a third of the window. ``dominant_period`` is a stronger peak outside of
     that. A key is one row then, and its sums over the grid are arrays within an Arrow batch.
     """
@@ -198,12 +232,15 @@ def periodicity(df: DataFrame, keys: Sequence[str], ts: str = "ts", grid: int =
         rows = rows.join(gated.select(*keys).distinct(), keys, "left_semi")
     enough = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= cfg.spectral_min_observations)
     rows = rows.join(enough.select(*keys), keys, "left_semi").withColumn("_s", F.pmod(F.xxhash64("_t"), F.lit(32)))
-    # The latest of each of 32 shares, then the latest of these: a busy key is dealt out.
-    place = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(F.desc("_t")))
-    latest = F.sort_array(F.slice(F.sort_array(F.collect_list("_t"), False), 1, last))
-    held = rows.withColumn("_r", place).filter(F.col("_r") <= last).groupBy(*keys).agg(latest.alias("_ts"))
-    names = [*keys, "n", "median_iv", "period", "power", "spectral_score", "dominant_period", "dominant_power"]
-    threshold, steps = cfg.spectral_threshold, np.arange(grid) / (grid - 1)
+    if last is None:
+        held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
+    else:
+        # The latest of each of 32 shares, then the latest of these: a busy key is dealt out.
+        place = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(F.desc("_t")))
+        latest = F.sort_array(F.slice(F.sort_array(F.collect_list("_t"), False), 1, last))
+        held = rows.withColumn("_r", place).filter(F.col("_r") <= last).groupBy(*keys).agg(latest.alias("_ts"))
+    schema = period_schema([held.schema[k] for k in keys])
+    names, (periods, _, chosen) = schema.names, peaks(grid, cfg.spectral_threshold)
 
     def strongest(t: np.ndarray) -> tuple | None:
         t, window, n = t - t[0], t[-1] - t[0], len(t)
@@ -211,7 +248,7 @@ def periodicity(df: DataFrame, keys: Sequence[str], ts: str = "ts", grid: int =
         gaps = gaps[gaps > 0]
         if window / 2 < 5.0 or not len(gaps):
             return None
-        median, period = float(np.median(gaps)), 5.0 * (window / 10.0) ** steps
+        median, period = float(np.median(gaps)), periods(window)
         omega = 2 * np.pi / period
         x = omega * window / 2
         flat = n * np.sin(x) / x  # an even spread over the window has these sums
@@ -230,16 +267,13 @@ def periodicity(df: DataFrame, keys: Sequence[str], ts: str = "ts", grid: int =
         near = rough >= rough.max() - 1e-4 * n
         if fitting.any():
             near |= fitting & (rough >= rough[fitting].max() - 1e-4 * n)
-        angle = t[:, None] * omega[near]
-        power[near] = ((c[near] + np.cos(angle).sum(0)) ** 2 + (s[near] + np.sin(angle).sum(0)) ** 2) / n
-        best = int(power.argmax())
-        fits = np.flatnonzero(fitting & near)
-        if not len(fits):
-            return (n, median, None, None, 0.0, *((period[best], power[best]) if power[best] >= threshold else (None, None)))
-        own = int(fits[power[fits].argmax()])
-        score = min(1.0, max(0.0, (power[own] - threshold) / threshold))
-        stronger = best != own and power[best] >= threshold and power[best] > power[own]
-        return (n, median, period[own], power[own], score, *((period[best], power[best]) if stronger else (None, None)))
+        own_c, own_s = c[near], s[near]
+        for at in range(0, n, 500):
+            angle = t[at : at + 500, None] * omega[near]
+            own_c += np.cos(angle).sum(0)
+            own_s += np.sin(angle).sum(0)
+        power[near] = (own_c**2 + own_s**2) / n
+        return chosen(n, window, median, power, near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,6 +284,5 @@ def periodicity(df: DataFrame, keys: Sequence[str], ts: str = "ts", grid: int =
             columns = [kept.column(k) for k in keys] + [pa.array(list(f), t) for f, t in zip(figures, types)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = StructType([*(held.schema[k] for k in keys), StructField("n", LongType()), *(StructField(x, DoubleType()) for x in names[len(keys) + 1 :])])
     slots = df.sparkSession.sparkContext.defaultParallelism
     return held.repartition(2 * slots, *keys).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 from tests.test_queries import plain
 
-WHOLE = ["det_beacon_profile", "det_dns_beacon_profile", "stat_profile_lineitem"]
+WHOLE = ["det_beacon_profile", "det_beacon_hints", "det_dns_beacon_profile", "stat_profile_lineitem"]
 
 
 @pytest.fixture(scope="module")
